@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from barlight.llm.tables import read
+from barlight.llm.tables import read, saved
 
 BUCKET = 32768
 MAX_BITS = 1 << 28
@@ -68,7 +68,8 @@ def copy_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     alone = rows.where(~F.col("candidate")).select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
     candidates = rows.where("candidate").select("id", "digest")
     each = candidates.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
-    joined = each.join(_groups(candidates), F.col("digest") == F.col("of")).select("id", "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    # Read from a table, both sides of the join are dealt by its key alone, and Spark can split a large group.
+    joined = each.join(saved(_groups(candidates), "copy-groups"), F.col("digest") == F.col("of")).select("id", "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
     return alone.unionByName(joined.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256")))
 
 
@@ -77,7 +78,7 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = marked(df, doc_id, text)
     alone = rows.where(~F.col("candidate")).select("row.*")
     candidates = rows.where("candidate")
-    top = candidates.join(_groups(candidates.select("id", "digest")), (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    top = candidates.join(saved(_groups(candidates.select("id", "digest")), "copy-groups"), (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep_id")))
     one = top.where("n_top = 1").select("row.*")
     # Rows repeated with text and doc_id, which tables with a key do not have.
     tied = top.where("n_top > 1").withColumn("rank", F.row_number().over(Window.partitionBy("digest", "id").orderBy(F.xxhash64("row")))).where("rank = 1").select("row.*")

@@ -1,6 +1,11 @@
 """The queries of this subpackage, by name, and their DuckDB SQL where there is one."""
 
-from barlight.llm import exact_dedup, mixing
+from barlight.llm import chat, exact_dedup, licenses, mixing
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup, "op5_mixing": mixing.op5_mixing}
-ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op5_mixing": mixing.OP5_SQL}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_license_scans": licenses.op9_license_scans,
+}
+ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL, "op9_license_scans": licenses.OP9_SQL}
