@@ -1,12 +1,13 @@
 """The queries of this subpackage, by name, and their DuckDB SQL where there is one."""
 
-from barlight.llm import chat, exact_dedup, licenses, mixing, quality, secrets
+from barlight.llm import chat, exact_dedup, licenses, mixing, pieces, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_license_scans": licenses.op9_license_scans,
 }

@@ -7,17 +7,17 @@ works on one Arrow batch inside a task, cut into chunks of bounded bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from barlight.llm.process import kept
+
 CHUNK = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
     out = []
@@ -29,7 +29,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(21, int(n).bit_length()))
+    size = 1 << max(21, int(n).bit_length())
+    return kept(("powers", size), lambda: _powers(size)) if size <= 1 << 24 else _powers(size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
