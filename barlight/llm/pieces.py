@@ -135,7 +135,7 @@ class Coder:
     """Encodes and decodes whole texts with a backend. Where words can be encoded one by one, each new word of a batch is
     encoded once, all of them in one multithreaded call; what words encode to is kept, up to KEPT of them."""
 
-    KEPT = 1_000_000
+    KEPT = 300_000
 
     def __init__(self, data: bytes):
         from tokenizers import pre_tokenizers

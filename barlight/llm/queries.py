@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and their DuckDB SQL where there is one."""
 
-from barlight.llm import chat, exact_dedup, licenses, mixing, pieces, quality, secrets
+from barlight.llm import chat, exact_dedup, licenses, mixing, near_dedup, pieces, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_sentencepiece": pieces.op7_sentencepiece,
