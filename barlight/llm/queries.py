@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their DuckDB SQL where there is one."""
 
-from barlight.llm import chat, exact_dedup, licenses, mixing, near_dedup, pieces, quality, secrets
+from barlight.llm import chat, exact_dedup, licenses, lm_scoring, mixing, near_dedup, pieces, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_license_scans": licenses.op9_license_scans,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL, "op9_license_scans": licenses.OP9_SQL}
