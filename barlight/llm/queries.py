@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and their DuckDB SQL where there is one."""
 
-from barlight.llm import chat, exact_dedup, licenses, lm_scoring, mixing, near_dedup, pieces, quality, secrets
+from barlight.llm import chat, exact_dedup, licenses, lm_scoring, mixing, near_dedup, pieces, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_sentencepiece": pieces.op7_sentencepiece,
