@@ -1,7 +1,9 @@
 """The engine's queries by name, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from barlight.plans import features, registry  # noqa: F401
+
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 
 
 def flagship(spark, sf_dir):
