@@ -29,11 +29,22 @@ def positions(digest: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits)) + 1 for k in (1, 2)]
 
 
+def bitmaps(at: DataFrame) -> DataFrame:
+    """Filter positions as bitmaps of BUCKET positions each."""
+    return at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+
+def filter_bits(n: int) -> int:
+    return min(MAX_BITS, BUCKET * max(1, -(-16 * n // BUCKET)))
+
+
+def all_positions(digests: DataFrame, bits: int) -> DataFrame:
+    return digests.select(F.explode(F.array(*positions(F.col("digest"), bits))).alias("at"))
+
+
 def repeated_positions(digests: DataFrame, bits: int) -> DataFrame:
-    """The filter of what is seen again, as bitmaps of BUCKET positions: bits that at least two rows fall on."""
-    at = digests.select(F.explode(F.array(*positions(F.col("digest"), bits))).alias("at"))
-    again = at.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return again.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    """Filter positions that are seen again: those that at least two rows fall on."""
+    return all_positions(digests, bits).groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at")
 
 
 def _is_set(bits: Column, at: Column) -> Column:
@@ -45,15 +56,19 @@ def _is_set(bits: Column, at: Column) -> Column:
 def marked(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row (all columns of df), id, digest and candidate: false if no other row can have the same text."""
     rows = df.select(F.struct("*").alias("row")).select("row", F.col("row")[doc_id].alias("id"), text_digest(F.col("row")[text]).alias("digest"))
-    n = rows.count()
-    bits = min(MAX_BITS, BUCKET * max(1, -(-16 * n // BUCKET)))
-    again = repeated_positions(rows.select("digest"), bits)
+    bits = filter_bits(rows.count())
+    rows = flagged(rows, bitmaps(repeated_positions(rows.select("digest"), bits)), bits)
+    return rows.select("row", "id", "digest", "candidate")
+
+
+def flagged(rows: DataFrame, again: DataFrame, bits: int) -> DataFrame:
+    """rows with candidate: whether both filter positions of digest are set in the bitmaps again, which are of bounded size."""
     one, two = positions(F.col("digest"), bits)
     rows = rows.withColumns({"at1": one, "at2": two})
     for k in "12":
         rows = rows.join(F.broadcast(again.select(F.col("bucket").alias(f"bucket{k}"), F.col("bits").alias(f"bits{k}"))), F.bitmap_bucket_number(f"at{k}") == F.col(f"bucket{k}"), "left")
     hit = _is_set(F.col("bits1"), F.col("at1")) & _is_set(F.col("bits2"), F.col("at2"))
-    return rows.select("row", "id", "digest", hit.alias("candidate"))
+    return rows.withColumn("candidate", hit).drop("at1", "at2", "bucket1", "bucket2", "bits1", "bits2")
 
 
 def _groups(candidates: DataFrame) -> DataFrame:
