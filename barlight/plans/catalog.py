@@ -1,10 +1,10 @@
 """The engine's queries by name, with their DuckDB SQL."""
 
-from barlight.plans import features, registry, relations  # noqa: F401
+from barlight.plans import features, registry, relations, screens  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["screen_single"](spark, sf_dir)
