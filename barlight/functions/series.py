@@ -10,15 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("symbol").orderBy("time")
+
+def by():
+    return Window.partitionBy("symbol").orderBy("time")
 
 
 def frame(a: int, b: int):
-    return BY.rowsBetween(a, b)
+    return by().rowsBetween(a, b)
 
 
 def back(x: Column, k: int = 1) -> Column:
-    return F.lag(x, k).over(BY)
+    return F.lag(x, k).over(by())
 
 
 def full(x: Column, n: int, out: Column, ago: int = 0) -> Column:

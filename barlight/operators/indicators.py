@@ -120,7 +120,7 @@ def volume_spikes(bars: DataFrame, n: int = 100, times: float = 1.5) -> DataFram
     v, o, h, l, c = (F.col(x) for x in ("volume", "open", "high", "low", "close"))
     mid = (h + l) / 2
     big = v > times * S.sma(v, n)
-    after = lambda x: F.lead(x).over(S.BY)
+    after = lambda x: F.lead(x).over(S.by())
     top = big & (h > S.back(h)) & (h > after(h)) & (o < mid) & (c < mid)
     low = big & (l < S.back(l)) & (l < after(l)) & (o > mid) & (c > mid)
     out = bars.withColumns({"_top": F.coalesce(top, F.lit(False)), "_low": F.coalesce(low, F.lit(False))})

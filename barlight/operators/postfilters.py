@@ -37,7 +37,7 @@ def supported(bars: DataFrame, first: str, second: str, lookback: int = 4, toler
     """A row for each symbol: whether two lines support its last bars together, by both holding or by one below the other.
 
     What holds at each bar is a column; the pairs of bars are at most lookback by four of the last seven, in one array."""
-    all_bars, ahead = Window.partitionBy("symbol"), S.BY.rowsBetween(0, Window.unboundedFollowing)
+    all_bars, ahead = Window.partitionBy("symbol"), S.by().rowsBetween(0, Window.unboundedFollowing)
     slack = lambda x: F.greatest(F.abs(F.col(x)), F.lit(1.0)) * tolerance / 100
     hold = lambda x: touch(F.col(x) - slack(x), F.col(x) + slack(x), "both", "down")
     c, y = F.col("close"), F.col(second)
@@ -97,11 +97,13 @@ def dead(bars: DataFrame, lookback: int = 200, runs: int = 3, bounce: float = 20
     s = agg.join(tops, "symbol", "left").join(lows, "symbol", "left")
     t = F.col("bars")
 
-    def failed(low_bar: Column) -> Column:
-        price = low_bar["low"]
-        up = F.array_min(F.transform(F.filter(t, lambda z: (z["i"] > low_bar["i"]) & (z["high"] >= price * (1 + bounce / 100))), lambda z: z["i"]))
-        return low_bar["swing"] & (price > 0) & F.exists(t, lambda z: (z["i"] >= up) & (z["i"] <= up + window) & (z["low"] < price))
+    def bounced(low_bar: Column) -> Column:
+        later = F.filter(t, lambda z: (z["i"] > low_bar["i"]) & (z["high"] >= low_bar["low"] * (1 + bounce / 100)))
+        return F.struct(low_bar["low"].alias("p"), F.try_element_at(later, F.lit(1))["i"].alias("u"))
 
+    # Each swing low with the first bar that bounced off it; then whether a bar soon after is below the low.
+    s = s.withColumn("bounces", F.filter(F.transform(F.filter(t, lambda z: z["swing"] & (z["low"] > 0)), bounced), lambda q: q["u"].isNotNull()))
+    failed = F.exists("bounces", lambda q: F.exists(t, lambda z: (z["i"] >= q["u"]) & (z["i"] <= q["u"] + window) & (z["low"] < q["p"])))
     down = F.col("end") < F.col("start")
     no = lambda c: F.coalesce(c, F.lit(False))
     slow = down & ~no(F.col("high_higher")) & (F.col("below") >= 0.8)
@@ -109,5 +111,5 @@ def dead(bars: DataFrame, lookback: int = 200, runs: int = 3, bounce: float = 20
     weak = no((F.col("volume_long") > 0) & (F.col("volume_now") < 0.5 * F.col("volume_long"))) | no((F.col("volume_prior") > 0) & (F.col("volume_now") <= 0.7 * F.col("volume_prior")))
     still = no((F.col("atr_long") > 0) & (F.col("atr_now") < 0.5 * F.col("atr_long")))
     enough = F.col("n") >= 12
-    kind = F.when(enough & strong, "strong").when(enough & slow, "slow").when(enough & no(F.exists(t, failed)), "failed").when((F.col("n") >= 25) & weak & still, "flat").otherwise("none")
+    kind = F.when(enough & strong, "strong").when(enough & slow, "slow").when(enough & no(failed), "failed").when((F.col("n") >= 25) & weak & still, "flat").otherwise("none")
     return s.select("symbol", kind.alias("kind"), no(F.col("close") > F.col("high_last")).alias("recovered"))

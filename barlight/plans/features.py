@@ -132,7 +132,7 @@ def win_20(spark, sf_dir):
     trend = F.when((c3 < c2) & (c2 < c1), "up").when((c3 > c2) & (c2 > c1), "down")
     m = m.withColumns({"rise": c > c1, "trend_before": trend, **{k: S.direction(c, k) for k in ("rising", "falling", "turning_up", "turning_down")}})
     m = m.withColumns({"crossed_above": S.crossed_above(F.col("fast"), F.col("slow")), "crossed_below": S.crossed_above(F.col("slow"), F.col("fast"))})
-    since = F.col("time") - F.max(F.when(F.col("rise"), F.col("time"))).over(S.BY.rowsBetween(Window.unboundedPreceding, 0))
+    since = F.col("time") - F.max(F.when(F.col("rise"), F.col("time"))).over(S.by().rowsBetween(Window.unboundedPreceding, 0))
     flags = ("rising", "falling", "turning_up", "turning_down", "crossed_above", "crossed_below")
     return m.select("symbol", "time", *[F.coalesce(c, F.lit(False)).alias(c) for c in flags], "trend_before", F.coalesce(since, F.lit(-1)).alias("seconds_since_rise"))
 
@@ -159,7 +159,7 @@ def win_26(spark, sf_dir):
     """The count of bars within the UTC day, and every fourth close carried forward (an as-of lookup within the series)."""
     bar = F.row_number().over(Window.partitionBy("symbol", F.floor(F.col("time") / 86400)).orderBy("time"))
     r = B.event_bars(spark, sf_dir).withColumn("bar_of_day", bar.cast("long"))
-    sampled = F.last(F.when(F.col("bar_of_day") % 4 == 0, F.col("close")), ignorenulls=True).over(S.BY.rowsBetween(Window.unboundedPreceding, 0))
+    sampled = F.last(F.when(F.col("bar_of_day") % 4 == 0, F.col("close")), ignorenulls=True).over(S.by().rowsBetween(Window.unboundedPreceding, 0))
     return r.select("symbol", "time", "bar_of_day", sampled.alias("sampled"))
 
 

@@ -40,7 +40,7 @@ def test_rsi_without_losses_is_100(spark):
 
 def test_aroon_takes_the_first_of_equal_extremes(spark):
     df = make(spark, [5, 9, 9, 5, 5]).withColumn("a", indicators.aroon(4))
-    assert values(df, "a")[-1] == 100.0 * (0 - 1) / 4 * -1 * -1
+    assert values(df, "a")[-1] == 25.0
 
 
 def test_rising_series_correlates_negatively(spark):
