@@ -163,11 +163,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([w["id"] for w in wants], pa.int64()), pa.array([w["pos"] for w in wants], pa.int32()), pa.array(left.astype(np.int32)), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(lists)))], ["id", "pos", "left", "words"])
 
 
-def covered(words: np.ndarray, wants: list) -> list[tuple[int, int]]:
-    """Of a text: the union of its matches of MIN_WORDS words or more, as word ranges."""
+def covered(words: np.ndarray, wants: Iterator[tuple[np.ndarray, int, int]]) -> list[tuple[int, int]]:
+    """Of a text: the union of its matches of MIN_WORDS words or more, as word ranges. wants: the neighbour's words, how many
+    of them are left of the position, and the text's own position."""
     spans = []
-    for w in wants:
-        near, left, p = np.asarray(w["words"]), w["left"], w["pos"]
+    for near, left, p in wants:
         right = near[left:]
         n = min(len(right), len(words) - p)
         off = np.flatnonzero(right[:n] != words[p : p + n])
@@ -186,6 +186,16 @@ def covered(words: np.ndarray, wants: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def contexts_of(wants: pa.ListArray, i: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """The wants of row i, their words as views of the column's buffer."""
+    flat, off = wants.values, wants.offsets
+    words = flat.field("words")
+    at, value = words.offsets.to_numpy(), words.values.to_numpy()
+    pos, left = flat.field("pos").to_numpy(), flat.field("left").to_numpy()
+    for j in range(off[i].as_py(), off[i + 1].as_py()):
+        yield value[at[j] : at[j + 1]], int(left[j]), int(pos[j])
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, s in chunks(batch.column(1)):
@@ -195,7 +205,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(a, b):
                 t = s.tok_off[i - a]
                 first = points[s.off[i - a]]
-                for x, y in covered(h[t : s.tok_off[i - a + 1]], batch.column(2)[i].as_py()):
+                for x, y in covered(h[t : s.tok_off[i - a + 1]], contexts_of(batch.column(2), i)):
                     rows.append((batch.column(0)[i].as_py(), x, y, int(points[s.start[t + x]] - first), int(points[s.end[t + y - 1]] - first)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "first_word", "end_word", "start", "end"])
