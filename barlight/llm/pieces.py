@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,7 +146,7 @@ class Coder:
         self.prefix = m.dummy_prefix
         self.simple = not m.charsmap and not m.squeeze
         self.split = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+").findall if self.backend.pre_tokenizer else None
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         if self.split:
             self.words = backend(data)
             self.words.normalizer = normalizers_none()
@@ -157,15 +158,20 @@ class Coder:
         return (MARKER if self.prefix else "") + text.replace(" ", MARKER)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes of int32."""
+        pack = lambda e: np.array(e.ids, np.int32).tobytes()
         if not self.split:
-            return [e.ids for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+            return [pack(e) for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
         normal = self.marked if self.simple else self.backend.normalizer.normalize_str
         words = [self.split(normal(x)) if x else [] for x in texts]
         if len(self.known) > self.KEPT:
             self.known.clear()
         new = list(set(chain.from_iterable(words)) - self.known.keys())
-        self.known.update((w, e.ids) for w, e in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in words]
+        self.known.update((w, pack(e)) for w, e in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        return [b"".join(map(self.known.__getitem__, x)) for x in words]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """As the backend does; bytes that are no UTF-8 go through the backend itself."""
@@ -214,9 +220,11 @@ def encoded(df: DataFrame, data: bytes, text: str = "text", threads: int = 1) ->
         coder = built(data)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            ids = coder.encode(texts)
-            again = coder.decode(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([a == b for a, b in zip(texts, again, strict=True)])], ["row", "ids", "round_trip"])
+            packed = coder.packed(texts)
+            again = coder.decode([np.frombuffer(x, np.int32).tolist() for x in packed])
+            off = np.append(0, np.cumsum([len(x) // 4 for x in packed])).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([a == b for a, b in zip(texts, again, strict=True)])], ["row", "ids", "round_trip"])
 
     return rows.mapInArrow(encode, schema)
 
