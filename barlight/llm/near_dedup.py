@@ -9,10 +9,13 @@ texts have, which no frequent shingle can escape in all blocks; then those repor
 
 Each text gets HASHES samples; a band is the joint hash of ROWS of them (BANDS fixed subsets). Texts that share a band's
 value are candidates: all are compared with a leader, by exact weighted Jaccard over whole texts. The leader is the text that
-shares most places in buckets with others, as the original of a group of near copies does. Those that do not reach THRESHOLD
-with it go on to buckets that two more samples divide, with leaders of their own, round by round until none is left, as in an
-LSH forest. So no pair list within a group is ever written. Classes are the connected components of what was
-verified; texts with equal words in lower case are one node from the start (by a 64-bit hash).
+shares most places in buckets with others, as the original of a group of near copies does. Where more than CROWD do not reach
+THRESHOLD with it, they get further leaders of the same bucket, as long as that takes many of them out. What is then not
+connected in its bucket is compared in blocks of about CROWD by CROWD texts: every pair of different components, unless their
+signatures agree in fewer than AGREE places (chance below 1e-5 at THRESHOLD) or a block's links have connected them. No pair
+list within a group is ever written. The work in a crowded bucket grows with the pairs of texts outside its largest
+component. Classes are the connected components of what was verified; texts with equal words in lower case are one node from
+the start (by a 64-bit hash).
 
 Nulls: a null text is empty; texts without words are copies of each other. Rows without doc_id take part; class_id is the
 smallest doc_id of the class (null if none has one). One row of each class is kept, that of class_id, of repeated rows the
@@ -36,6 +39,7 @@ from barlight.llm.textscan import Scan, chunks, grams, mix
 WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS, BANDS, SEED = 64, 7, 40, 17
 RARE, FLOOR = 0.01, 0.75
+AGREE, CROWD = 36, 256
 BLOCK = 4096
 PIECE = 256 << 10
 U = np.uint64
@@ -214,12 +218,6 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
     return saved(joined.mapInArrow(compare, "a long, b long, same boolean"), "verified")
 
 
-def finer(rows: DataFrame, signatures: DataFrame, turn: int) -> DataFrame:
-    """rows (band, bucket, key) in buckets that two more samples divide; a bucket left with one row is gone."""
-    more = [F.element_at("signature", (F.pmod(F.xxhash64("band", F.lit(turn), F.lit(i)), F.lit(HASHES)) + 1).cast("int")) for i in (0, 1)]
-    return rows.join(signatures, "key").select("band", F.xxhash64("bucket", *more).alias("bucket"), "key")
-
-
 def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """rows whose column has one of the values in wanted, a saved table of them. Only rows that a Bloom filter of bounded size
     lets through are shuffled."""
@@ -242,11 +240,12 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def links(members: DataFrame, sketches: DataFrame, signatures: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """members: band, bucket, key. Pairs (a, b) of keys that were verified to reach the threshold."""
+    """members: band, bucket, key. Pairs (a, b) of keys that were verified to reach the threshold; all texts of a bucket that are
+    linked in any way, if only through others of their bucket, are connected by them."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     score = saved(members.join(sizes, "bucket").groupBy("key").agg(F.sum("n").alias("score")), "scores")
     texts = saved(among(sketches.select("key", "text"), "key", score.select("key")).groupBy("key").agg(F.first("text").alias("text")), "texts")
-    left, tested, turn = members, None, 0
+    left, tested, before = members, None, None
     while True:
         leaders = saved(left.join(score, "key").groupBy("bucket").agg(F.max(F.struct("score", "key"))["key"].alias("leader")), "leaders")
         rest = left.join(leaders, "bucket").where("key != leader").select("band", "bucket", "key", F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
@@ -256,16 +255,137 @@ def links(members: DataFrame, sketches: DataFrame, signatures: DataFrame, weight
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         now = verified(pairs, texts, weights, threshold)
         tested = now if tested is None else tested.unionByName(now)
-        open_rows = rest.join(tested.where("same").select("a", "b"), ["a", "b"], "left_anti").select("band", "bucket", "key")
-        turn += 1
-        left = saved(shared(saved(finer(open_rows, signatures, turn), "finer")), "left")
-        if left.isEmpty():
-            return tested.where("same").select("a", "b")
-        # Later rounds compare only what is left, so they need not deal out the other texts again.
-        if turn & (turn - 1) == 0:
-            wanted = left.select("key").distinct()
-            texts = saved(texts.join(wanted, "key", "left_semi"), "texts")
-            signatures = saved(signatures.join(wanted, "key", "left_semi"), "signatures")
+        open_rows = saved(rest.join(tested.where("same").select("a", "b"), ["a", "b"], "left_anti").select("band", "bucket", "key"), "open")
+        crowded = open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("bucket")
+        left = saved(open_rows.join(crowded, "bucket", "left_semi"), "left")
+        n = left.count()
+        # Another leader pays where it takes a class of copies out of a crowded bucket.
+        if not n or (before is not None and n > 0.9 * before):
+            break
+        before = n
+    found = tested.where("same").select("a", "b")
+    return found.unionByName(further_links(blocks(members, components(found)), signatures, texts, weights, threshold))
+
+
+def blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, i, j, chunk, band, key and label of the rows of buckets with several labels, dealt out so that any two rows of a
+    bucket with different labels meet in one block (bucket, i, j), one as chunk i and one as chunk j. Rows of the bucket's
+    main label meet only the others, so a bucket of one large class and few others takes few blocks."""
+    rows = saved(members.join(labels, "key", "left").select("band", "bucket", "key", F.coalesce("label", "key").alias("label")), "labelled")
+    each = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).where("n_labels > 1")
+    one = F.col("n") <= CROWD
+    parts = lambda n: F.ceil(n / CROWD)
+    n_main = F.when(one, 0).otherwise(parts(F.col("main.n"))).cast("long")
+    n_other = F.when(one, 1).otherwise(parts(F.col("n") - F.col("main.n"))).cast("long")
+    mixed = saved(mixed.select("bucket", F.col("main.label").alias("main"), n_main.alias("n_main"), n_other.alias("n_other")), "mixed")
+    is_main = (F.col("label") == F.col("main")) & (F.col("n_main") > 0)
+    at = F.xxhash64("key", F.lit(1))
+    chunk = F.when(is_main, F.col("n_other") + F.pmod(at, F.greatest("n_main", F.lit(1)))).otherwise(F.pmod(at, "n_other"))
+    to = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_other") - 1 + F.when(is_main, 0).otherwise(F.col("n_main"))))
+    dealt = rows.join(mixed, "bucket").withColumn("chunk", chunk).withColumn("to", to)
+    return dealt.select("bucket", F.least("chunk", "to").alias("i"), F.greatest("chunk", "to").alias("j"), "chunk", "band", "key", "label")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows in order of bucket, i and j, and where their blocks start and end; no block is cut."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        new = np.zeros(max(len(t) - 1, 0), dtype=bool)
+        for c in ("bucket", "i", "j"):
+            x = t[c].to_numpy()
+            new |= x[1:] != x[:-1]
+        at = [0, *(np.flatnonzero(new) + 1)]
+        if len(at) > 1:
+            yield t.slice(0, at[-1]).combine_chunks(), at
+        held = t.slice(at[-1])
+    if held is not None and len(held):
+        yield held.combine_chunks(), [0, len(held)]
+
+
+def _likely(t: pa.Table, at: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each block: the rows of pairs with different labels that agree in AGREE samples or more and share no earlier bucket,
+    those that agree most first."""
+    i, j, chunk, band, label = (t[c].to_numpy() for c in ("i", "j", "chunk", "band", "label"))
+    signature = t["signature"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES).view(np.uint32)
+    buckets = band_values(signature, ROWS, BANDS, SEED)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        x = a + np.flatnonzero(chunk[a:b] == i[a])
+        y = a + np.flatnonzero(chunk[a:b] == j[a])
+        apart = label[x][:, None] != label[y][None, :]
+        if i[a] == j[a]:
+            apart &= x[:, None] < y[None, :]
+        p, q = np.nonzero(apart)
+        if not len(p):
+            continue
+        agree = np.zeros((len(x), len(y)), dtype=np.int16)
+        for k in range(HASHES):
+            agree += signature[x, k][:, None] == signature[y, k][None, :]
+        n = agree[p, q]
+        p, q, n = x[p[n >= AGREE]], y[q[n >= AGREE]], n[n >= AGREE]
+        first = ~(buckets[p, : band[a]] == buckets[q, : band[a]]).any(axis=1)
+        order = np.argsort(-n[first], kind="stable")
+        yield p[first][order], q[first][order]
+
+
+def _shingles(texts: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingles of each text in order, and their weights."""
+    out = []
+    for a, b, s in chunks(texts, lower=True):
+        doc, g, n = sets(s, WORDS)
+        w = weights(g, n).astype(np.float64)
+        at = np.searchsorted(doc, np.arange(b - a + 1))
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            order = np.argsort(g[x:y])
+            out.append((g[x:y][order], w[x:y][order]))
+    return out
+
+
+def further_links(rows: DataFrame, signatures: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """rows: blocks(). Verified pairs (a, b) that connect what is linked in a block and has different labels. Signatures say which
+    rows have a likely partner, so only their texts are dealt out; a block compares them until its labels are connected."""
+    dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    signed = rows.join(signatures, "key").select(*rows.columns, "signature")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _runs(batches):
+            some = np.zeros(len(t), dtype=bool)
+            for p, q in _likely(t, at):
+                some[p] = some[q] = True
+            yield from t.filter(pa.array(some)).to_batches()
+
+    wanted = saved(dealt(signed).mapInArrow(likely, signed.schema), "likely")
+    read_ = wanted.join(texts, "key").select(*wanted.columns, "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _runs(batches):
+            key, label = t["key"].to_numpy(), t["label"].to_numpy()
+            sets_ = _shingles(t["text"].combine_chunks(), weights)
+            sums = [w.sum() for _, w in sets_]
+            found = []
+            for p, q in _likely(t, at):
+                up: dict[int, int] = {}
+
+                def top(x: int, up=up) -> int:
+                    while x in up:
+                        x = up[x]
+                    return x
+
+                for x, y in zip(p, q, strict=True):
+                    of, to = top(label[x]), top(label[y])
+                    if of == to:
+                        continue
+                    _, u, v = np.intersect1d(sets_[x][0], sets_[y][0], assume_unique=True, return_indices=True)
+                    common = np.minimum(sets_[x][1][u], sets_[y][1][v]).sum()
+                    if common / max(sums[x] + sums[y] - common, 1e-12) >= threshold:
+                        up[of] = to
+                        found.append((min(key[x], key[y]), max(key[x], key[y])))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return saved(dealt(read_).mapInArrow(compare, "a long, b long").distinct(), "further")
 
 
 def components(pairs: DataFrame) -> DataFrame:
