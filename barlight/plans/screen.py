@@ -30,21 +30,31 @@ def _rsi(bars, length=14, location="neutral", tolerance=0.0):
     return _last(I.rsi(bars, length), I.rsi_location(F.col("rsi"), location, tolerance))
 
 
-def _macd(bars, above_signal=True):
+def _macd(bars, above_signal=True, fast=12, slow=26, signal=9):
     m = F.col("macd") > F.col("signal")
-    return _last(I.macd(bars), m if above_signal else ~m)
+    return _last(I.macd(bars, fast, slow, signal), m if above_signal else ~m)
 
 
-def _relative_volume(bars, low=0.0, high=1e9):
-    return _last(I.relative_volume(bars), F.col("rvol").between(low, high))
+def _relative_volume(bars, low=0.0, high=1e9, average=30):
+    return _last(I.relative_volume(bars, average), F.col("rvol").between(low, high))
 
 
 def _aroon(bars, level="above_50", length=14):
     return _last(bars.withColumn("a", I.aroon(length)), I.aroon_level(F.col("a"), level))
 
 
-#: Rule -> (function, bars that it needs)
-RULES = {"sma": (_above_sma, 20), "rsi": (_rsi, 60), "macd": (_macd, 200), "relative_volume": (_relative_volume, 60), "aroon": (_aroon, 60)}
+def _macd_need(fast=12, slow=26, signal=9, **_):
+    return max(5 * max(fast, slow) + signal + 1, 200)
+
+
+#: Rule -> (function, bars that it needs with a configuration: the formulas of the survey's Appendix A, one bar evaluated)
+RULES = {
+    "sma": (_above_sma, lambda length=20, **_: length),
+    "rsi": (_rsi, lambda length=14, **_: length + 2),
+    "macd": (_macd, _macd_need),
+    "relative_volume": (_relative_volume, lambda average=30, **_: max(60, average + 1)),
+    "aroon": (_aroon, lambda length=14, **_: length + 2),
+}
 
 
 @dataclass
@@ -67,7 +77,7 @@ class Request:
     @property
     def depth(self) -> int:
         """Bars that the rules need, at most MAX_BARS."""
-        return min(B.MAX_BARS, max([1, *(RULES[r][1] for r in self.rules)]))
+        return min(B.MAX_BARS, max([1, *(RULES[r][1](**config) for r, config in self.rules.items())]))
 
 
 def explained(universe: DataFrame, bars: DataFrame, request: Request) -> DataFrame:

@@ -86,6 +86,14 @@ def screen_reasons(spark, sf_dir):
     return out.select("symbol", "reason", "passed_sma", "passed_rsi", "passed_macd")
 
 
+@query("screen_long_lengths")
+def screen_long(spark, sf_dir):
+    """Rules whose lengths need more bars than their defaults."""
+    request = screen.Request(rules={"sma": {"length": 200}, "rsi": {"length": 60}, "aroon": {"length": 60, "level": "above_50"}})
+    out = screen.explained(B.universe(spark, sf_dir), B.supplier_days(spark, sf_dir), request)
+    return out.select("symbol", "reason", "passed_sma", "passed_rsi", "passed_aroon")
+
+
 @query("agg_12_audit", f"{_STAGES} SELECT CAST(count(*) AS BIGINT) AS universe, CAST(count(price) AS BIGINT) AS with_bars, CAST(count(*) FILTER (reason = 'included') AS BIGINT) AS included FROM y")
 def agg_12(spark, sf_dir):
     out = screen.explained(B.universe(spark, sf_dir), B.supplier_days(spark, sf_dir), _REQUEST)
