@@ -292,16 +292,38 @@ def jn_15(spark, sf_dir):
     return e.join(a, "symbol", "full_outer").select("symbol", verdict.alias("verdict"))
 
 
-@query("jn_14_as_of", f"""WITH {B.event_sql(3600)}, t AS (SELECT event_id, event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS time FROM events WHERE event_type = 'purchase' OR event_id % 10 = 0)
-SELECT t.event_id, b.close FROM t ASOF LEFT JOIN event_bars b ON t.symbol = b.symbol AND t.time - 3600 >= b.time""")
+def _as_of_sql(where: str) -> str:
+    return f"""WITH {B.event_sql(3600)}, t AS (SELECT event_id, event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS time FROM events{where})
+SELECT t.event_id, b.close FROM t ASOF LEFT JOIN event_bars b ON t.symbol = b.symbol AND t.time - 3600 >= b.time"""
+
+
+def as_of(left, bars, seconds=3600):
+    """left (symbol, time and others) with the close of the last bar completed by then. Bars, few for each symbol, are carried on
+    over the gaps after them, so rows of left meet theirs in an equi-join that can split a symbol's rows; no window holds them."""
+    hour = (F.floor((F.col("time") - seconds) / seconds) * seconds).cast("long")
+    rows = left.withColumn("bar", hour)
+    until = rows.agg(F.max("bar").alias("until"))
+    following = F.lead("time").over(Window.partitionBy("symbol").orderBy("time"))
+    end = F.coalesce(following - seconds, F.greatest("time", "until"))
+    filled = bars.crossJoin(until).withColumn("end", end).select("symbol", F.explode(F.sequence("time", "end", F.lit(seconds).cast("long"))).alias("bar"), "close")
+    return rows.join(filled, ["symbol", "bar"], "left").drop("bar")
+
+
+def _event_times(spark, sf_dir):
+    return B.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), B.epoch(F.col("ts")).alias("time"))
+
+
+@query("jn_14_as_of", _as_of_sql(" WHERE event_type = 'purchase' OR event_id % 10 = 0"))
 def jn_14(spark, sf_dir):
-    """Each event with the close of the last hour completed before it: one union and a carried value, no range join."""
-    e, at = B.table(spark, sf_dir, "events"), B.epoch(F.col("ts"))
-    left = e.where("event_type = 'purchase' OR event_id % 10 = 0").select(F.col("event_type").alias("symbol"), (at - 3600).alias("time"), F.lit(1).alias("side"), "event_id", F.lit(None).cast("double").alias("close"))
-    right = B.event_bars(spark, sf_dir).select("symbol", "time", F.lit(0).alias("side"), F.lit(None).cast("long").alias("event_id"), "close")
-    w = Window.partitionBy("symbol").orderBy("time", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("close", F.last("close", ignorenulls=True).over(w))
-    return both.where("side = 1").select("event_id", "close")
+    """Purchases and every tenth other event, as in its SQL; jn_14_all_events takes all."""
+    left = _event_times(spark, sf_dir).where("symbol = 'purchase' OR event_id % 10 = 0")
+    return as_of(left, B.event_bars(spark, sf_dir)).select("event_id", "close")
+
+
+@query("jn_14_all_events", _as_of_sql(""))
+def jn_14_all(spark, sf_dir):
+    """Each event with the close of the last hour completed before it."""
+    return as_of(_event_times(spark, sf_dir), B.event_bars(spark, sf_dir)).select("event_id", "close")
 
 
 @query("agg_08_latest_signals", f"WITH {DAYS}, {B.latest_sql('supplier_days', 60)}, s AS (SELECT *, coalesce(close > 1.5 * {S.lag_sql('close')}, false) AS sig FROM c) SELECT symbol, CAST(coalesce(max(CASE WHEN sig AND back <= 5 THEN i END), 0) AS BIGINT) AS recent, CAST(coalesce(max(CASE WHEN sig THEN i END), 0) AS BIGINT) AS ever, CAST(count(*) FILTER (sig AND back <= 10) AS BIGINT) AS in_ten FROM s GROUP BY symbol")
@@ -343,8 +365,18 @@ def sc_05(spark, sf_dir):
 @query("sc_08_formats", """WITH p AS (SELECT p_partkey AS id, (p_retailprice + 0.003) * pow(10, p_partkey % 11 - 2) AS x FROM part) SELECT id, CASE WHEN x >= 1e12 THEN printf('%.2fT', x / 1e12) WHEN x >= 1e9 THEN printf('%.2fB', x / 1e9) WHEN x >= 1e6 THEN printf('%.2fM', x / 1e6) WHEN x >= 1e3 THEN printf('%.2fK', x / 1e3) WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE printf('%.2f', x) END AS compact,
 concat_ws(' | ', 'RSI (14)', CASE WHEN id % 2 = 0 THEN 'Oversold' END, 'Last ' || (id % 3 + 1) || CASE WHEN id % 3 = 0 THEN ' Candle' ELSE ' Candles' END) AS sticker, sha256('s' || id) AS digest FROM p WHERE id % 11 <> 1""")
 def sc_08(spark, sf_dir):
-    """Also SC-09, SC-10, SC-27 and PRJ-06: compact numbers, stickers and digests."""
-    p, k = B.table(spark, sf_dir, "part").where("p_partkey % 11 <> 1"), F.col("p_partkey")
+    """Also SC-09, SC-10, SC-27 and PRJ-06: compact numbers, stickers and digests, of the parts in its SQL."""
+    return _formats(B.table(spark, sf_dir, "part").where("p_partkey % 11 <> 1"))
+
+
+@query("sc_08_all_formats")
+def sc_08_all(spark, sf_dir):
+    """The formats of all parts."""
+    return _formats(B.table(spark, sf_dir, "part"))
+
+
+def _formats(p):
+    k = F.col("p_partkey")
     x = (F.col("p_retailprice") + 0.003) * F.pow(F.lit(10.0), k % 11 - 2)
     sticker = F.concat_ws(" | ", F.lit("RSI (14)"), F.when(k % 2 == 0, "Oversold"), F.concat(F.lit("Last "), k % 3 + 1, F.when(k % 3 == 0, " Candle").otherwise(" Candles")))
     return p.select(k.alias("id"), R.compact(x).alias("compact"), sticker.alias("sticker"), F.sha2(F.concat(F.lit("s"), k), 256).alias("digest"))
