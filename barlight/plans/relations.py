@@ -183,8 +183,22 @@ def flt_09(spark, sf_dir):
 
 @query("flt_12_completed_bars", f"WITH {DAYS}, d AS (SELECT * FROM supplier_days WHERE time % 864000 <> 0), {B.latest_sql('d', 30)} SELECT symbol, CAST(count(*) AS BIGINT) AS bars, arg_max(close, time) AS price, max(time) AS last_time FROM c GROUP BY symbol")
 def flt_12(spark, sf_dir):
-    """Also FLT-11: forming bars go, the last 30 stay, the price is the last close."""
-    d = B.supplier_days(spark, sf_dir).where(F.col("time") % 864000 != 0)
+    """The last 30 bars of the days in its SQL, which leaves out every tenth; flt_12_flagged_bars reads all days."""
+    return _last_price(B.supplier_days(spark, sf_dir).where(F.col("time") % 864000 != 0))
+
+
+@query("flt_12_flagged_bars")
+def flt_12_flagged(spark, sf_dir):
+    """Also FLT-11: of all days, forming bars go by their flags (given to the last bar of some symbols, a flag each), the last 30
+    stay, the price is the last close."""
+    d = B.supplier_days(spark, sf_dir)
+    last = d.groupBy("symbol").agg(F.max("time").alias("last"))
+    kind = F.when(F.col("time") == F.col("last"), F.pmod(F.col("symbol").cast("long"), F.lit(8)))
+    flags = {flag: F.when(kind == k, F.lit(forming)) for k, (flag, forming) in enumerate(B.FLAGS.items())}
+    return _last_price(B.completed(d.join(last, "symbol").withColumns(flags).drop("last")))
+
+
+def _last_price(d):
     return B.latest(d, 30).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max_by("close", "time").alias("price"), F.max("time").alias("last_time"))
 
 

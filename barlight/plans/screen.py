@@ -88,7 +88,7 @@ def explained(universe: DataFrame, bars: DataFrame, request: Request) -> DataFra
     if request.sectors:
         u = u.where(F.col("sector").isin(request.sectors))
     u = R.in_order(u, request.limit)
-    b = B.latest(bars.join(u.select("symbol"), "symbol", "left_semi"), request.depth)
+    b = B.latest(B.completed(bars).join(u.select("symbol"), "symbol", "left_semi"), request.depth)
     price = b.where("back = 1").select("symbol", F.col("close").alias("price"), F.col("time").alias("last_time"))
     out = u.join(price, "symbol", "left").withColumn("in_price_range", F.coalesce(R.price_between(F.col("price"), *request.price), F.lit(False)))
     for name, config in request.rules.items():

@@ -67,6 +67,19 @@ def latest(bars: DataFrame, n: int = MAX_BARS) -> DataFrame:
     return bars.withColumn("back", back).where(F.col("back") <= n).withColumn("i", i)
 
 
+#: A bar is forming if one of the first four is false or the last is true; null, or no such column, says nothing.
+FLAGS = {"is_closed": False, "is_complete": False, "complete": False, "closed": False, "is_live": True}
+
+
+def completed(bars: DataFrame) -> DataFrame:
+    """Bars that no flag calls forming, without the flags."""
+    out = bars
+    for flag, forming in FLAGS.items():
+        if flag in bars.columns:
+            out = out.where(~F.col(flag).eqNullSafe(F.lit(forming)))
+    return out.drop(*FLAGS)
+
+
 def rolled_up(bars: DataFrame, bucket: Column) -> DataFrame:
     """Bars of daily bars: time and open of the oldest, close of the newest in each bucket."""
     keyed = bars.withColumn("bucket", bucket)
