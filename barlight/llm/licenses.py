@@ -87,7 +87,7 @@ RULES = [
 ]
 
 #: Every known sentence holds one of these.
-HINT = r"(?i)licen[sc]e|copyright|warrant|redistribut|permission|public domain|free software|liable|licensed"
+HINT = r"(?i)licen[sc]e|copyright|warrant|redistribut|permission|public[^a-zA-Z0-9]+domain|free[^a-zA-Z0-9]+software|liable|licensed"
 
 
 def _sentences(text: Column) -> Column:
