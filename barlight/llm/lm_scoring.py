@@ -1,19 +1,26 @@
-"""LM scoring with a probabilistic suffix tree over bytes.
-
-Training texts are those whose crc32(doc_id as text) mod FOLDS is not HELD_OUT. One pass over them counts words and runs of
-DEPTH + 1 bytes of the text in lower case (A-Z) with words joined by one space and closed by an end sign; the counts are
-summed by Spark and grow with the corpus. Contexts of 1 to DEPTH bytes enter the tree if they make up at least the share
-P_MIN of all positions (so there are at most 1 / P_MIN of each length, which bounds what is collected and sent to tasks) and
-if their next-byte distribution diverges from that of the context without its first byte: count times Kullback-Leibler
-divergence over DIVERGENCE. The suffixes of a context in the tree are kept with it. Distributions are smoothed by their
-suffix's: (n + KAPPA * p) / (N + KAPPA). A text's score is the sum over its bytes and the end of log10 of the probability in
-the state of the longest suffix in the tree.
-
-The base score is that of an add-half unigram model of words and the end. Words of a share of at least 1 / FREQUENT of the
-training tokens (at most FREQUENT words) are looked up in the task; all others are joined with the word counts.
-
-Nulls: a null text is empty (only the end), a null doc_id counts as the empty text in crc32. Repeated rows get equal results,
-once each. An empty table gives an empty result. Words are told apart by a 64-bit hash.
+"""LM scoring with a probabilistic suffix tree over words.
+
+Training texts are those whose crc32(doc_id as text) mod FOLDS is not HELD_OUT. The root of the tree is the add-half unigram
+model of the base score: words in lower case (A-Z) and one end sign a text. A deeper state stands for the last 1 to DEPTH
+words (the start of the text counts as one, contexts don't reach beyond it). A branch (context, next word) enters the tree if
+it occurs MIN_COUNT times or more and diverges from what the shorter context says of the next word: its count times the log
+ratio of both probabilities is over DIVERGENCE. A context is retained if it has such a branch. Both bounds are absolute, so
+the tree grows with the corpus; it stays in Spark tables, and no part of it but the USUAL most frequent words and branches is
+collected or sent to tasks. Distributions are smoothed by their suffix's: with N occurrences of a context whose m branches
+have n_x each, p(x) = (n_x - DISCOUNT + w * p_suffix(x)) / (N + KAPPA), where w = N - sum of n_x + DISCOUNT * m + KAPPA and the
+first two terms are left out for words without a branch; so each distribution sums to 1 as the root's does. A text's
+score is the sum of log10 of the probability in the state of the longest retained suffix.
+
+The score of a position is a sum of independent lookups: the root's value of the word, the back-off weight of each context
+that is retained, and for each branch what it adds to the probability backed off to. So a scan of the texts looks up usual
+keys in the task and sends the others, those that a Bloom filter of bounded size lets through, to one join with the tables.
+Branches are counted level by level: deeper ones only where both of their parts one word shorter are branches, again by a
+Bloom filter. Where a filter is full, more rows are counted and joined, with the same results.
+
+Nulls: a null text is empty (only the end), a null doc_id counts as the empty text in crc32; doc_id can be of any type.
+Very long texts are scanned as others, alone in their chunk. Repeated rows get equal results, once each. An empty table gives
+an empty result. Other columns are not looked at, whatever their names. Words and runs are told apart by a 64-bit hash, rows
+by doc_id and a 64-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -21,19 +28,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from barlight.llm.exact_dedup import BUCKET, bitmaps
 from barlight.llm.tables import read, saved, small_batches
-from barlight.llm.textscan import Scan, chunks
+from barlight.llm.textscan import Scan, chunks, mix
 
 FOLDS, HELD_OUT = 5, 1
-DEPTH, P_MIN, MIN_COUNT, DIVERGENCE, KAPPA = 5, 5e-5, 20, 12.0, 12.0
-FREQUENT = 1_000_000
-END = 10
-SIGNS = 128
+DEPTH, MIN_COUNT, DIVERGENCE, DISCOUNT, KAPPA = 2, 2, 12.0, 0.5, 1.0
+#: So many words, and as many branches, are looked up in the task at most; the filter has at most so many bits.
+USUAL, FILTER_BITS = 1_500_000, 1 << 28
 U = np.uint64
+BEGIN, END = U(0x1B873593CC9E2D51), U(0x85EBCA6BC2B2AE35)
 HELD = 1 << 21
 
 
@@ -41,28 +51,56 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
-def stream(s: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the texts as the model sees them, with DEPTH ends before each text; which of them are scored; and where each text starts."""
-    size = s.end - s.start
-    docs = s.docs
-    doc = s.doc_of_words()
-    words = np.diff(s.tok_off)
-    # A text takes DEPTH ends, its words with a sign after each, and one end if it has no words.
-    length = DEPTH + np.bincount(doc, size + 1, minlength=docs).astype(np.int64) + (words == 0)
-    at = np.append(0, np.cumsum(length))
-    out = np.full(int(at[-1]), END, dtype=np.uint8)
-    scored = np.ones(len(out), dtype=bool)
-    for j in range(DEPTH):
-        scored[at[:-1] + j] = False
-    if len(size):
-        before = np.append(0, np.cumsum(size + 1))[:-1]
-        first = before - before[s.tok_off[:-1][doc]] + at[:-1][doc] + DEPTH
-        body = s.data[(s.data != 32) & ((s.data < 9) | (s.data > 13))]
-        out[np.arange(len(body)) + np.repeat(first - np.append(0, np.cumsum(size))[:-1], size)] = body
-        gap = first + size
-        last = np.append(doc[1:] != doc[:-1], True)
-        out[gap[~last]] = 32
-    return out, scored, at
+class Words:
+    """Of a chunk of texts: symbols (a start, the words and an end for each text), the text and place of each symbol, and
+    runs(d): a hash of each symbol with the d before it."""
+
+    def __init__(self, s: Scan):
+        n = np.diff(s.tok_off)
+        size = n + 2
+        last = np.cumsum(size) - 1
+        self.doc = np.repeat(np.arange(s.docs), size)
+        self.place = np.arange(int(size.sum())) - np.repeat(last - n - 1, size)
+        x = np.full(len(self.doc), BEGIN, dtype=U)
+        x[last] = END
+        x[(self.place > 0) & (self.place <= n[self.doc])] = s.word_hashes()
+        self._runs = [x]
+
+    def runs(self, d: int) -> np.ndarray:
+        while len(self._runs) <= d:
+            k, x, before = len(self._runs), self._runs[0], self._runs[-1]
+            out = x.copy()
+            out[1:] = run_of(before[:-1], x[1:], k)
+            self._runs.append(out)
+        return self._runs[d]
+
+    def before(self, d: int) -> np.ndarray:
+        """runs(d) of the symbol before."""
+        return np.append(U(0), self.runs(d)[:-1])
+
+    def predicted(self, d: int) -> np.ndarray:
+        """Whether a symbol has a context of d symbols in its text."""
+        return self.place >= max(d, 1)
+
+
+class Filter:
+    """A Bloom filter with two positions a key, which is a hash already."""
+
+    def __init__(self, keys: DataFrame, column: str, most: int = FILTER_BITS):
+        n = max(1, keys.count())
+        self.bits = min(most, BUCKET << max(0, (-(-16 * n // BUCKET) - 1).bit_length()))
+        low = F.lit(self.bits - 1).cast("long")
+        at = F.explode(F.array(F.col(column).bitwiseAND(low) + 1, F.shiftrightunsigned(column, 31).bitwiseAND(low) + 1))
+        self.map = np.zeros(self.bits // 8, dtype=np.uint8)
+        for r in bitmaps(keys.select(at.alias("at"))).collect():
+            self.map[(r.bucket - 1) * BUCKET // 8 : r.bucket * BUCKET // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        low = U(self.bits - 1)
+        out = np.ones(len(key), dtype=bool)
+        for at in (key & low, (key >> U(31)) & low):
+            out &= (self.map[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+        return out
 
 
 def merged(at: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,179 +111,245 @@ def merged(at: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return a[first], np.add.reduceat(c, first) if len(a) else c
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[list, list]] = [([], []), ([], [])]
-
-    def out(kind: int) -> pa.RecordBatch:
-        a, c = merged(*held[kind])
-        held[kind] = ([], [])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a.view(np.int64)), pa.array(c.astype(np.int64))], ["kind", "at", "n"])
-
-    for batch in batches:
-        for _, _, s in chunks(batch.column(0), lower=True):
-            x, scored, _ = stream(s)
-            x = x.astype(U)
-            code = x.copy()
-            for j in range(1, DEPTH + 1):
-                code[j:] |= x[:-j] << U(8 * j)
-            for kind, values in ((0, s.word_hashes()), (1, code[scored])):
-                a, c = np.unique(values, return_counts=True)
-                held[kind][0].append(a)
-                held[kind][1].append(c)
-                if sum(map(len, held[kind][0])) > HELD:
-                    a, c = merged(*held[kind])
-                    held[kind] = ([a], [c])
-                    if len(a) > HELD // 2:
-                        yield out(kind)
-    for kind in (0, 1):
-        if held[kind][0]:
-            yield out(kind)
-
-
-def counts(training: DataFrame) -> DataFrame:
-    """kind (0: words, 1: runs of bytes), at (hash or bytes), n: summed over all training texts. training: one column of texts."""
-    return saved(training.mapInArrow(_counted, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")), "counts")
+class Counts:
+    """Counts of keys, merged as they come in; rows() gives a batch of them when there are many."""
+
+    def __init__(self) -> None:
+        self.at, self.n = [], []
+
+    def add(self, values: np.ndarray) -> None:
+        a, c = np.unique(values, return_counts=True)
+        self.at.append(a)
+        self.n.append(c)
+
+    def full(self) -> bool:
+        if sum(map(len, self.at)) <= HELD:
+            return False
+        a, c = merged(self.at, self.n)
+        self.at, self.n = [a], [c]
+        return len(a) > HELD // 2
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        a, c = merged(self.at, self.n) if self.at else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
+        self.at, self.n = [], []
+        return a.view(np.int64), c.astype(np.int64)
+
+
+class Branches:
+    """Counts of branches by run, with context and word, merged as they come in."""
+
+    def __init__(self) -> None:
+        self.held: list[list[np.ndarray]] = []
+
+    def add(self, context: np.ndarray, word: np.ndarray, run: np.ndarray) -> None:
+        _, first, n = np.unique(run, return_index=True, return_counts=True)
+        self.held.append([context[first], word[first], run[first], n])
+
+    def _merge(self) -> list[np.ndarray]:
+        context, word, run, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.argsort(run, kind="stable")
+        first = np.flatnonzero(np.append(True, run[order][1:] != run[order][:-1]))
+        self.held = [[context[order][first], word[order][first], run[order][first], np.add.reduceat(n[order], first)]] if len(order) else []
+        return self.held[0] if self.held else [context, word, run, n]
+
+    def full(self) -> bool:
+        return sum(len(x[3]) for x in self.held) > HELD and len(self._merge()[3]) > HELD // 2
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        context, word, _, n = self._merge() if self.held else [np.zeros(0, dtype=np.int64)] * 4
+        self.held = []
+        return context, word, n
+
+
+def run_of(context: np.ndarray, word: np.ndarray, d: int) -> np.ndarray:
+    """The hash of a run from that of the d symbols before its last and the last one's."""
+    return mix(word + mix(context) * U(2 * d + 1))
+
+
+def counted(training: DataFrame, d: int, branch: Filter | None = None) -> DataFrame:
+    """context (a run of d symbols), word and n, summed over all training texts; at level 1 also the symbols, with context 0.
+    Deeper branches are counted where both runs of d symbols in them pass the filter. training: one column of texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, runs = Counts(), Branches()
+
+        def row(context, word, n):
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (context, word, n)], ["context", "word", "n"])
+
+        for batch in batches:
+            for _, _, s in chunks(batch.column(0), lower=True):
+                w = Words(s)
+                there = w.predicted(d)
+                if branch:
+                    known = branch(w.runs(d - 1))
+                    there &= known & np.append(False, known[:-1])
+                else:
+                    words.add(w.runs(0))
+                runs.add(w.before(d - 1)[there], w.runs(0)[there], w.runs(d)[there])
+                if words.full():
+                    at, n = words.rows()
+                    yield row(np.zeros(len(at), dtype=np.int64), at, n)
+                if runs.full():
+                    yield row(*runs.rows())
+        at, n = words.rows()
+        yield row(np.zeros(len(at), dtype=np.int64), at, n)
+        yield row(*runs.rows())
+
+    return training.mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
 
 class Tree:
-    """A probabilistic suffix tree: child[node, sign] goes one byte further back (0: none), log_p[node, sign] is log10 of the probability."""
-
-    def __init__(self, contexts: np.ndarray, nexts: np.ndarray, n: np.ndarray, depth: np.ndarray):
-        total = np.bincount(nexts[depth == 0], n[depth == 0], minlength=256)
-        usual = np.argsort(-total, kind="stable")[: SIGNS - 1]
-        self.sign = np.zeros(256, dtype=np.int64)
-        usual = usual[total[usual] > 0]
-        self.sign[usual] = np.arange(1, len(usual) + 1)
-        others = 256 - len(usual)
-        root = np.bincount(self.sign[nexts[depth == 0]], n[depth == 0], minlength=SIGNS)
-        known = np.zeros(SIGNS)
-        known[: len(usual) + 1] = 1
-        p = {0: {0: (root + 0.5 * known) / (root.sum() + 0.5 * known.sum())}}
-        keep = {0: {0}}
-        for d in range(1, DEPTH + 1):
-            mine = depth == d
-            ctx, nxt, c = contexts[mine], self.sign[nexts[mine]], n[mine]
-            order = np.argsort(ctx, kind="stable")
-            ctx, nxt, c = ctx[order], nxt[order], c[order]
-            first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(ctx) else []
-            p[d], keep[d] = {}, set()
-            for a, b in zip(first, np.append(first[1:], len(ctx)) if len(ctx) else [], strict=True):
-                of = int(ctx[a])
-                back = p[d - 1].get(of & ((1 << 8 * (d - 1)) - 1))
-                if back is None:
-                    continue
-                row = np.bincount(nxt[a:b], c[a:b], minlength=SIGNS)
-                size = row.sum()
-                q = row[row > 0] / size
-                if size * float((q * np.log(q / back[row > 0])).sum()) > DIVERGENCE:
-                    keep[d].add(of)
-                p[d][of] = (row + KAPPA * back) / (size + KAPPA)
-        for d in range(DEPTH, 1, -1):
-            keep[d - 1] |= {of & ((1 << 8 * (d - 1)) - 1) for of in keep[d]}
-        nodes = [(d, of) for d in range(DEPTH + 1) for of in sorted(keep[d])]
-        at = {x: i for i, x in enumerate(nodes)}
-        self.child = np.zeros((len(nodes), SIGNS), dtype=np.int32)
-        self.log_p = np.empty((len(nodes), SIGNS), dtype=np.float32)
-        for i, (d, of) in enumerate(nodes):
-            x = np.maximum(p[d][of], 1e-30)
-            x = np.append(x[0] / others, x[1:])
-            self.log_p[i] = np.log10(x)
-            if d and self.sign[of >> (8 * (d - 1))]:
-                self.child[at[d - 1, of & ((1 << 8 * (d - 1)) - 1)], self.sign[of >> (8 * (d - 1))]] = i
-
-    def scores(self, s: Scan) -> np.ndarray:
-        x, scored, at = stream(s)
-        x = self.sign[x]
-        child = self.child.reshape(-1)
-        node = np.zeros(len(x), dtype=np.int64)
-        best = node.copy()
-        alive = np.flatnonzero(scored)
-        for j in range(1, DEPTH + 1):
-            to = child[node[alive] * SIGNS + x[alive - j]]
-            go = to > 0
-            alive, to = alive[go], to[go]
-            node[alive] = to
-            best[alive] = to
-        value = np.where(scored, self.log_p.reshape(-1)[best * SIGNS + x], 0).astype(np.float64)
-        return np.add.reduceat(value, at[:-1]) if s.docs else np.zeros(0)
-
-
-def grown(table: DataFrame) -> Tree:
-    """The tree from counts()."""
-    runs = table.where("kind = 1")
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    level = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("at", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context")) for d in range(DEPTH + 1)])).alias("c")
-    each = runs.select(level, F.col("at").bitwiseAND(F.lit(255)).alias("next"), "n").groupBy("c.depth", "c.context", "next").agg(F.sum("n").alias("n"))
-    each = saved(each, "contexts")
-    often = each.groupBy("depth", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= max(MIN_COUNT, P_MIN * total)).select("depth", "context")
-    rows = each.join(often, ["depth", "context"], "left_semi").unionByName(each.where("depth = 0").join(often.where("depth = 0"), ["depth", "context"], "left_anti")).toPandas()
-    return Tree(rows["context"].to_numpy(np.int64), rows["next"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), rows["depth"].to_numpy(np.int64))
-
-
-def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The suffix tree as saved tables: words (at, c), and of each level d the branches (run, n, adds) and the contexts
+    (context, n, weight), adds and weight as log10."""
+
+    def __init__(self, training: DataFrame, depth: int = DEPTH):
+        begin = int(BEGIN.view(np.int64))
+        rows = saved(counted(training, 1), "counts")
+        symbols = saved(rows.where("context = 0").select(F.col("word").alias("at"), F.col("n").alias("c")), "words")
+        self.words = symbols.where(F.col("at") != begin)
+        n, v = self.words.agg(F.sum("c"), F.count(F.lit(1))).first()
+        self.total, self.distinct = n or 0, v
+        self.log_all = float(np.log10(self.total + 0.5 * (self.distinct + 1)))
+        self.branches: list[DataFrame] = []
+        self.contexts: list[DataFrame] = []
+        often = rows.where("context != 0").where(F.col("n") >= MIN_COUNT)
+        root = self.words.select("at", (F.log10(F.col("c") + 0.5) - self.log_all).alias("backed"))
+        found = often.join(symbols.select(F.col("at").alias("context"), F.col("c").alias("of")), "context").join(root, F.col("word") == F.col("at")).drop("at")
+        for d in range(1, depth + 1):
+            if d > 1:
+                rows = saved(counted(training, d, Filter(self.branches[-1], "run")).where(F.col("n") >= MIN_COUNT), "counts")
+                of = below.select(F.col("run").alias("context"), F.col("n").alias("of"), "suffix")
+                backed = below.select(F.col("run").alias("back"), F.col("lp").alias("backed"))
+                found = _hashed(rows.join(of, "context"), "suffix", "back", d - 1).join(backed, "back")
+            below = self._level(found, d)
+
+    def _level(self, found: DataFrame, d: int) -> DataFrame:
+        """Keeps the branches that diverge, of all found: context, word, n, of (count of the context), backed (log10 of what the
+        shorter context says) and from level 2 back, the same run without its first symbol. Returns run, suffix, n and lp of all."""
+        gain = F.col("n") * (F.log(F.col("n") / F.col("of")) - F.col("backed") * float(np.log(10)))
+        found = saved(_hashed(found, "context", "run", d).select("context", "run", F.col("back" if d > 1 else "word").alias("suffix"), "n", "of", "backed", (gain > DIVERGENCE).alias("kept")), "found")
+        left = F.first("of") - F.sum("n") + DISCOUNT * F.count(F.lit(1)) + KAPPA
+        contexts = found.where("kept").groupBy("context").agg(F.first("of").alias("n"), left.alias("left"))
+        contexts = saved(contexts.withColumn("weight", F.log10(F.col("left") / (F.col("n") + KAPPA))), "contexts")
+        rows = found.join(contexts.select("context", "left", "weight"), "context", "left")
+        p = (F.col("n") - DISCOUNT + F.col("left") * F.pow(F.lit(10.0), "backed")) / (F.col("of") + KAPPA)
+        lp = F.when(F.col("kept"), F.log10(p)).otherwise(F.col("backed") + F.coalesce("weight", F.lit(0.0)))
+        rows = saved(rows.select("run", "suffix", "n", "kept", lp.alias("lp"), (lp - F.col("backed") - F.coalesce("weight", F.lit(0.0))).alias("adds")), "level")
+        self.branches.append(rows.where("kept").select("run", "n", "adds"))
+        self.contexts.append(contexts)
+        return rows
+
+    def lookups(self) -> DataFrame:
+        """at, c (of words, else null), n (how often it occurs) and value, which the score takes besides the root's."""
+        none = F.lit(None).cast("long").alias("c")
+        out = self.words.select("at", "c", F.col("c").alias("n"), F.lit(0.0).alias("value"))
+        for branches, contexts in zip(self.branches, self.contexts, strict=True):
+            out = out.unionByName(contexts.select(F.col("context").alias("at"), none, "n", F.col("weight").alias("value")))
+            out = out.unionByName(branches.select(F.col("run").alias("at"), none, "n", F.col("adds").alias("value")))
+        return saved(out.groupBy("at").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.sum("value").alias("value")), "lookups")
+
+
+def _hashed(rows: DataFrame, context: str, name: str, d: int) -> DataFrame:
+    """rows with a column name: run_of() its columns context and word."""
+
+    @F.pandas_udf("long")
+    def hashed(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(run_of(a.to_numpy(np.int64).view(U), b.to_numpy(np.int64).view(U), d).view(np.int64))
+
+    return rows.withColumn(name, hashed(context, "word"))
+
+
+class Usual:
+    """Keys in order with their values; of() gives the place of each key asked for, and whether it is there."""
+
+    def __init__(self, rows):
+        at = rows["at"].to_numpy(np.int64).view(U)
+        order = np.argsort(at)
+        self.at = at[order]
+        self.known = rows["c"].notna().to_numpy()[order]
+        self.base = np.log10(rows["c"].fillna(0).to_numpy(np.float64)[order] + 0.5)
+        self.value = rows["value"].to_numpy(np.float64)[order]
+
+    def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.at):
+            return np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
+        i = np.minimum(np.searchsorted(self.at, key), len(self.at) - 1)
+        return i, self.at[i] == key
+
+
+def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df."""
     small_batches(df.sparkSession)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    training = rows.where(~held_out(F.col("doc_id")))
-    docs = training.count()
-    table = counts(training.select("text"))
-    words = table.where("kind = 0").select(F.col("at").alias("word"), F.col("n").alias("c"))
-    n_words, v = words.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total, distinct = (n_words or 0) + docs, v + (docs > 0)
-    least = max(1, -(-total // FREQUENT))
-    usual = words.where(F.col("c") >= least).toPandas()
-    order = np.argsort(usual["word"].to_numpy(np.int64).view(U))
-    usual_at = usual["word"].to_numpy(np.int64).view(U)[order]
-    usual_c = usual["c"].to_numpy(np.int64)[order]
-    tree = grown(table)
-    log_end = float(np.log10(docs + 0.5))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    tree = Tree(rows.where(~held_out(F.col("doc_id"))).select("text"), depth)
+    table = tree.lookups()
+    least = max(2, -(-tree.total // USUAL))
+    is_usual = (F.col("n") >= least) | (F.col("at") == int(BEGIN.view(np.int64))) | (F.col("at") == int(END.view(np.int64)))
+    usual = Usual(table.where(is_usual).select("at", "c", "value").toPandas())
+    others = table.where(~is_usual).select("at", "c", "value")
+    maybe = Filter(others, "at")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = np.log10(usual_c + 0.5)
+        unknown = float(np.log10(0.5))
         for batch in batches:
             for a, b, s in chunks(batch.column(2), lower=True):
-                h, doc, docs_ = s.word_hashes(), s.doc_of_words(), s.docs
-                hit = np.zeros(len(h), dtype=bool)
-                base, known = np.full(docs_, log_end), np.full(docs_, int(docs > 0))
-                if len(usual_at):
-                    i = np.minimum(np.searchsorted(usual_at, h), len(usual_at) - 1)
-                    hit = usual_at[i] == h
-                    base += np.bincount(doc[hit], value[i[hit]], minlength=docs_)
-                    known += np.bincount(doc[hit], minlength=docs_)
-                key = np.asarray(batch.column(0)[a:b])
-                ids = batch.column(1)[a:b]
-                zero = lambda n, kind=np.int64: np.zeros(n, dtype=kind)
-                # A row for each text, under a word that is none, and one for each word that is not usual.
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(zero(docs_, np.int32)), pa.array(key), pa.array(np.diff(s.tok_off) + 1), pa.array(known), pa.array(base), pa.array(tree.scores(s))], NAMES)
-                rare = h[~hit].view(np.int64)
-                n = len(rare)
-                yield pa.RecordBatch.from_arrays([pa.array(key[doc[~hit]]), pa.nulls(n, pa.int64()), pa.array(np.ones(n, dtype=np.int32)), pa.array(rare), pa.array(zero(n)), pa.array(zero(n)), pa.array(zero(n, np.float64)), pa.array(zero(n, np.float64))], NAMES)
-
-    parts = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(score, "key long, doc_id long, kind int, word long, n_tokens long, known long, base double, score double")
-    joined = parts.join(words.where(F.col("c") < least).withColumnRenamed("word", "of"), (F.col("word") == F.col("of")) & (F.col("kind") == 1), "left")
-    is_word = F.col("kind") == 1
-    sums = joined.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum(1 - F.col("kind")).alias("copies"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(is_word, F.col("c").isNotNull().cast("long")).otherwise(F.col("known"))).alias("known"),
-        F.sum(F.when(is_word, F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(F.col("base"))).alias("base"),
-        F.max(F.when(~is_word, F.col("score"))).alias("score"),
-    )
-    out = sums.select(
+                w, docs = Words(s), b - a
+                base, value, known = np.zeros(docs), np.zeros(docs), np.zeros(docs, dtype=np.int64)
+                asked, of = [], []
+                for d in range(depth + 1):
+                    # The start stands only before others, so what it is looked up for is its weight as a context.
+                    key, doc = w.runs(d), w.doc
+                    if d:
+                        some = w.predicted(d)
+                        key, doc = key[some], doc[some]
+                    i, hit = usual.of(key)
+                    value += np.bincount(doc[hit], usual.value[i[hit]], minlength=docs)
+                    other = ~hit & (w.place > 0 if not d else True)
+                    other[other] = maybe(key[other])
+                    asked.append(key[other])
+                    of.append(doc[other])
+                    if not d:
+                        word = w.place > 0
+                        there = hit & word
+                        base += np.bincount(doc[there], usual.base[i[there]], minlength=docs)
+                        known += np.bincount(doc[there], usual.known[i[there]], minlength=docs).astype(np.int64)
+                        base += np.bincount(doc[word & ~hit & ~other], minlength=docs) * unknown
+                n_words = len(asked[0])
+                asked, of = np.concatenate(asked), np.concatenate(of)
+                id_, hash_ = batch.column(0)[a:b], batch.column(1)[a:b]
+                at = pa.array(np.concatenate([np.arange(docs), of]))
+                n = len(of)
+                kind = np.concatenate([np.zeros(docs, dtype=np.int32), np.full(n_words, 1, dtype=np.int32), np.full(n - n_words, 2, dtype=np.int32)])
+                key = np.concatenate([np.arange(docs, dtype=np.int64), asked.view(np.int64)])
+                fill = lambda x, n=n: pa.array(np.concatenate([x, np.zeros(n, dtype=x.dtype)]))
+                yield pa.RecordBatch.from_arrays([id_.take(at), hash_.take(at), pa.array(kind), pa.array(key), fill(np.diff(s.tok_off) + 1), fill(known), fill(base), fill(value)], NAMES)
+
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *[T.StructField(n, k) for n, k in zip(NAMES[1:], (T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()), strict=True)]])
+    parts = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(score, schema)
+    # Keys that are not usual occur in few texts each, so no key of this join is hot; a partition of the tables is small.
+    joined = parts.join(others.select(F.col("at").alias("key"), "c", F.col("value").alias("more"), F.lit(True).alias("there")).hint("shuffle_hash"), "key", "left")
+    kind = F.col("kind")
+    each = joined.select(
+        "doc_id", "hash", kind, "n_tokens",
+        F.when(kind == 0, F.col("known")).when(kind == 1, F.col("c").isNotNull().cast("long")).otherwise(F.lit(0)).alias("known"),
+        F.when(kind == 0, F.col("base")).when(kind == 1, F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(F.lit(0.0)).alias("base"),
+        F.when(kind == 0, F.col("value")).otherwise(F.coalesce("more", F.lit(0.0))).alias("value"),
+    )
+    sums = each.groupBy("doc_id", "hash").agg(F.count(F.when(kind == 0, 1)).alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("value").alias("value"))
+    base = F.col("base") / F.col("copies") - F.col("n_tokens") * tree.log_all
+    return sums.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
         F.expr("known div copies").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies") - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))).alias("base_score"),
-        "score",
+        F.lit(tree.total).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (base + F.col("value") / F.col("copies")).alias("score"),
         F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
-    )
-    return out.drop("copy")
+    ).drop("copy")
 
 
-NAMES = ["key", "doc_id", "kind", "word", "n_tokens", "known", "base", "score"]
+NAMES = ["doc_id", "hash", "kind", "key", "n_tokens", "known", "base", "value"]
 
 
 def op10_lm_scoring(spark, sf_dir):
