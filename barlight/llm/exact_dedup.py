@@ -1,11 +1,15 @@
 """Exact dedup. Two passes with a Bloom filter: the first finds which filter positions more than one row falls on,
 the second sends only the rows on such positions through a shuffle; all others pass straight through.
 
-The filter has 16 bits a row, up to MAX_BITS (32 MB, the bound of what is broadcast). Beyond that it fills up and more
-rows are shuffled as candidates, with the same results. Copies are found by the SHA-256 of their text.
+The first pass has to bring equal positions together, so it shuffles two numbers a row (combined before where they repeat),
+never digests or rows. The filter has 16 bits a row, up to max_bits (by default 256 MB, enough for 134 million rows; the
+bound of what is broadcast). Beyond that it fills up and more rows are candidates, with the same results: the exact way for
+all of them is the join by digest that candidates take anyway. Copies are found by the SHA-256 of their text. Digests are
+made once, in a saved table; whole rows are read only to be passed on.
 
 Nulls: a null text counts as empty; rows without doc_id are ordered below all others. Of repeated rows (same text and
-doc_id) one stays. An empty table gives an empty result. Other columns pass through untouched, whatever their names.
+doc_id) one stays; where such rows differ in other columns, the one whose JSON has the least hash. Very long texts are only
+digested. An empty table gives an empty result. Other columns pass through untouched, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import Window
 from barlight.llm.tables import read, saved
 
 BUCKET = 32768
-MAX_BITS = 1 << 28
+MAX_BITS = 1 << 31
 
 
 def text_digest(text: Column) -> Column:
@@ -34,8 +38,8 @@ def bitmaps(at: DataFrame) -> DataFrame:
     return at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
 
 
-def filter_bits(n: int) -> int:
-    return min(MAX_BITS, BUCKET * max(1, -(-16 * n // BUCKET)))
+def filter_bits(n: int, max_bits: int = MAX_BITS) -> int:
+    return min(max_bits, BUCKET * max(1, -(-16 * n // BUCKET)))
 
 
 def all_positions(digests: DataFrame, bits: int) -> DataFrame:
@@ -53,20 +57,23 @@ def _is_set(bits: Column, at: Column) -> Column:
     return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1, F.lit(False))
 
 
-def marked(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row (all columns of df), id, digest and candidate: false if no other row can have the same text."""
-    rows = df.select(F.struct("*").alias("row")).select("row", F.col("row")[doc_id].alias("id"), text_digest(F.col("row")[text]).alias("digest"))
-    bits = filter_bits(rows.count())
-    rows = flagged(rows, bitmaps(repeated_positions(rows.select("digest"), bits)), bits)
-    return rows.select("row", "id", "digest", "candidate")
+def digests(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id and digest of each row of df, as a saved table."""
+    return saved(df.select(F.col(doc_id).alias("id"), text_digest(F.col(text)).alias("digest")), "digests")
+
 
+def again(ids: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
+    """The bitmaps of positions that two rows of ids or more fall on, and the filter's size: the first pass."""
+    bits = filter_bits(ids.count(), max_bits)
+    return saved(bitmaps(repeated_positions(ids.select("digest"), bits)), "repeated"), bits
 
-def flagged(rows: DataFrame, again: DataFrame, bits: int) -> DataFrame:
-    """rows with candidate: whether both filter positions of digest are set in the bitmaps again, which are of bounded size."""
+
+def flagged(rows: DataFrame, filled: DataFrame, bits: int) -> DataFrame:
+    """rows with candidate: whether both filter positions of digest are set in the bitmaps filled, which are of bounded size."""
     one, two = positions(F.col("digest"), bits)
     rows = rows.withColumns({"at1": one, "at2": two})
     for k in "12":
-        rows = rows.join(F.broadcast(again.select(F.col("bucket").alias(f"bucket{k}"), F.col("bits").alias(f"bits{k}"))), F.bitmap_bucket_number(f"at{k}") == F.col(f"bucket{k}"), "left")
+        rows = rows.join(F.broadcast(filled.select(F.col("bucket").alias(f"bucket{k}"), F.col("bits").alias(f"bits{k}"))), F.bitmap_bucket_number(f"at{k}") == F.col(f"bucket{k}"), "left")
     hit = _is_set(F.col("bits1"), F.col("at1")) & _is_set(F.col("bits2"), F.col("at2"))
     return rows.withColumn("candidate", hit).drop("at1", "at2", "bucket1", "bucket2", "bits1", "bits2")
 
@@ -77,9 +84,10 @@ def _groups(candidates: DataFrame) -> DataFrame:
     return each.groupBy(F.col("digest").alias("of")).agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.max(F.struct("id", "n"))["n"].alias("n_top"))
 
 
-def copy_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def copy_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """A row for each row of df: doc_id, keep_id, group_size, kept, text_sha256. Only digests are shuffled, and only of candidates."""
-    rows = marked(df, doc_id, text)
+    ids = digests(df, doc_id, text)
+    rows = flagged(ids, *again(ids, max_bits))
     alone = rows.where(~F.col("candidate")).select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
     candidates = rows.where("candidate").select("id", "digest")
     each = candidates.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
@@ -88,16 +96,19 @@ def copy_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return alone.unionByName(joined.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256")))
 
 
-def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without all but one row of each text: that of the largest doc_id."""
-    rows = marked(df, doc_id, text)
-    alone = rows.where(~F.col("candidate")).select("row.*")
-    candidates = rows.where("candidate")
-    top = candidates.join(saved(_groups(candidates.select("id", "digest")), "copy-groups"), (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep_id")))
-    one = top.where("n_top = 1").select("row.*")
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """df without all but one row of each text: that of the largest doc_id. Whole rows are shuffled only of texts that do repeat
+    (and of the few others that a second filter, over those alone, lets through)."""
+    ids = digests(df, doc_id, text)
+    groups = saved(_groups(flagged(ids, *again(ids, max_bits)).where("candidate").select("id", "digest")).where("group_size > 1"), "copy-groups")
+    bits = filter_bits(groups.count(), max_bits)
+    rows = df.select(F.struct("*").alias("row")).select("row", F.col("row")[doc_id].alias("id"), text_digest(F.col("row")[text]).alias("digest"))
+    rows = flagged(rows, bitmaps(all_positions(groups.select(F.col("of").alias("digest")), bits)), bits)
+    joined = rows.where("candidate").join(groups, F.col("digest") == F.col("of"), "left")
+    one = joined.where("of IS NULL OR (id <=> keep_id AND n_top = 1)").select("row.*")
     # Rows repeated with text and doc_id, which tables with a key do not have.
-    tied = top.where("n_top > 1").withColumn("rank", F.row_number().over(Window.partitionBy("digest", "id").orderBy(F.xxhash64("row")))).where("rank = 1").select("row.*")
-    return alone.unionByName(one).unionByName(tied)
+    tied = joined.where("id <=> keep_id AND n_top > 1").withColumn("rank", F.row_number().over(Window.partitionBy("digest", "id").orderBy(F.xxhash64(F.to_json("row"))))).where("rank = 1").select("row.*")
+    return rows.where(~F.col("candidate")).select("row.*").unionByName(one).unionByName(tied)
 
 
 def op1_exact_dedup(spark, sf_dir):

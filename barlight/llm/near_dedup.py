@@ -1,8 +1,8 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 Shingles are five words in lower case (texts of fewer words have one of all). A shingle weighs its count in the text times
-FLOOR + (1 - FLOOR) * min(1, ln(N / df) / ln(1 / RARE)): the inverse document frequency, cut off where fewer than the share
-RARE of all texts have the shingle, and mild enough that the edits in a large group of near copies do not outweigh what the
+FLOOR + (1 - FLOOR) * min(1, ln(N / df) / ln(1 / RARE)): a damped inverse document frequency (0.75 to 1), cut off where fewer
+than the share RARE of all texts have the shingle, and mild enough that the edits in a large group of near copies do not outweigh what the
 copies share. So only frequent shingles need a count, and there are at most (mean shingles a text) / RARE of them, however
 large the corpus. They are found exactly in two passes: blocks of texts report shingles that at least RARE / 2 of their
 texts have, which no frequent shingle can escape in all blocks; then those reported often enough are counted in all texts.
@@ -19,7 +19,8 @@ the start (by a 64-bit hash).
 
 Nulls: a null text is empty; texts without words are copies of each other. Rows without doc_id take part; class_id is the
 smallest doc_id of the class (null if none has one). One row of each class is kept, that of class_id, of repeated rows the
-first. An empty table gives an empty result. Other columns pass through.
+first (of those that differ in other columns, the one whose JSON has the least hash). Very long texts are scanned whole, in
+chunks of their own. An empty table gives an empty result. Other columns pass through, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -424,7 +425,7 @@ def judged(own: DataFrame) -> DataFrame:
     out = own.join(sizes, "class").withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))
     single = out.where("not kept or n_first = 1").select("row", "class_id", "class_size", "kept")
     # Rows that share the class's smallest doc_id, which tables with a key do not have.
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.xxhash64("row")))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.xxhash64(F.to_json("row"))))
     return single.unionByName(out.where("kept and n_first > 1").withColumn("kept", rank == 1).select("row", "class_id", "class_size", "kept"))
 
 
