@@ -9,8 +9,9 @@ The prefix is found in two steps, so that no task sees a whole leaf: token sums
 documents of the one range in which the budget ends. Only sums and that range's rows are shuffled.
 
 Nulls: a null level counts as '', a null text has no tokens, and rows without doc_id are ordered by the hash of the word
-null. Children with weight 0 or less get nothing. Documents without tokens are taken if the prefix reaches them. Ties of
-the hash go by doc_id; an empty table gives an empty result.
+null. Children with weight 0 or less get nothing, and no budget is kept for them. Documents without tokens are taken if the
+prefix reaches them; a very long one ends the prefix if it doesn't fit. Ties of the hash go by doc_id, repeated rows are
+documents of their own; an empty table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def n_words(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    """A level of the tree: what a row belongs to (SQL), and the weights by value; other values have the default."""
+    """A level of the tree: what a row belongs to (SQL), and the whole-numbered weights by value; other values have the default."""
 
     value: str
     weights: dict[str, int]
@@ -42,26 +43,34 @@ class Level:
         out = F.lit(self.default)
         for k, v in self.weights.items():
             out = F.when(of == k, F.lit(v)).otherwise(out)
-        return out.cast("double")
+        return out.cast("long")
 
 
 def shared_out(children: DataFrame, parent: list[str], key: str) -> DataFrame:
-    """children: rows with parent, key, cap, w and budget (the parent's). Adds got: budget by weight, at most cap, with what is left going to siblings."""
+    """children: rows with parent, key, cap, w (above 0) and budget (the parent's). Adds got: budget by weight, at most cap, with
+    what is left going to siblings. In whole tokens: those that rounding down leaves over go one each to the children with the
+    largest remainders (ties by key). Exact in 64-bit integers, as long as tokens times the sum of weights stay below 9e18."""
     ordered = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("w"), key)
     whole = Window.partitionBy(*parent)
     before = F.coalesce(F.sum("cap").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     weights = F.sum("w").over(ordered.rowsBetween(0, Window.unboundedFollowing))
-    full = F.col("cap").cast("double") * weights <= (F.col("budget") - before).cast("double") * F.col("w")
-    out = children.where("w > 0").withColumn("full", full)
+    out = children.withColumn("full", F.col("cap") * weights <= (F.col("budget") - before) * F.col("w"))
     rest = F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), F.lit(0))
-    open_weights = F.sum(F.when(~F.col("full"), F.col("w"))).over(whole)
-    return out.withColumn("got", F.when(F.col("full"), F.col("cap")).otherwise(F.floor(rest.cast("double") * F.col("w") / open_weights)).cast("long")).drop("full", "w", "budget")
+    out = out.withColumns({"rest": rest, "open": F.sum(F.when(~F.col("full"), F.col("w"))).over(whole)})
+    out = out.withColumns({"share": F.when(~F.col("full"), F.expr("(rest * w) div open")), "over": F.when(~F.col("full"), F.expr("(rest * w) % open"))})
+    left = F.col("rest") - F.sum("share").over(whole)
+    place = F.row_number().over(Window.partitionBy(*parent).orderBy(F.col("over").desc_nulls_last(), key))
+    got = F.when(F.col("full"), F.col("cap")).otherwise(F.col("share") + (place <= left).cast("long"))
+    return out.withColumn("got", got.cast("long")).drop("full", "w", "budget", "rest", "open", "share", "over")
 
 
-def budgets(leaves: DataFrame, levels: list[Level], budget: int | Column) -> DataFrame:
-    """leaves: l0.., supply, n, cap. Adds got, the leaf's tokens; leaves that get nothing because of their weight are left out."""
+def budgets(leaves: DataFrame, levels: list[Level], budget: int) -> DataFrame:
+    """leaves: l0.., supply, n, cap. Adds got, the leaf's tokens. Leaves with a weight of 0 or less anywhere above them get nothing
+    and are left out before any cap is summed, so that their share goes to siblings."""
     keys = [f"l{i}" for i in range(len(levels))]
-    above = leaves.agg(F.sum("cap").alias("cap")).select(F.lit(0).alias("root"), F.least(F.lit(budget).cast("long") if not isinstance(budget, Column) else budget, F.col("cap")).alias("budget"))
+    for key, level in zip(keys, levels, strict=True):
+        leaves = leaves.where(level.weight(F.col(key)) > 0)
+    above = leaves.agg(F.coalesce(F.sum("cap"), F.lit(0)).alias("cap")).select(F.lit(0).alias("root"), F.least(F.lit(budget).cast("long"), F.col("cap")).alias("budget"))
     for i, level in enumerate(levels):
         parent = ["root", *keys[:i]]
         below = leaves.withColumn("root", F.lit(0)).groupBy("root", *keys[: i + 1]).agg(F.sum("cap").alias("cap"))
@@ -129,10 +138,12 @@ def _fill(name: str, parent: str, level: str, weight: str, above: str) -> str:
     part = f"PARTITION BY {parent}" if parent else ""
     join = f"JOIN {above} a USING ({parent})" if parent else f"CROSS JOIN {above} a"
     return f"""
-{name}_c AS (SELECT {keys}, c.cap, {weight} AS w, a.budget FROM (SELECT {keys}, sum(cap)::BIGINT AS cap FROM leaves GROUP BY ALL) c {join}),
-{name}_f AS (SELECT *, cap::DOUBLE * sum(w) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
-  <= (budget - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE * w AS is_full FROM {name}_c),
-{name} AS (SELECT {keys}, CASE WHEN is_full THEN cap ELSE floor((budget - coalesce(sum(cap) FILTER (is_full) OVER ({part}), 0))::DOUBLE * w / sum(w) FILTER (NOT is_full) OVER ({part})) END::BIGINT AS budget FROM {name}_f)"""
+{name}_c AS (SELECT {keys}, c.cap, {weight} AS w, a.budget FROM (SELECT {keys}, sum(cap)::HUGEINT AS cap FROM leaves GROUP BY ALL) c {join}),
+{name}_f AS (SELECT *, cap * sum(w) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  <= (budget - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full FROM {name}_c),
+{name}_r AS (SELECT *, budget - coalesce(sum(cap) FILTER (is_full) OVER ({part}), 0) AS rest, sum(w) FILTER (NOT is_full) OVER ({part}) AS open_w FROM {name}_f),
+{name}_s AS (SELECT *, CASE WHEN NOT is_full THEN (rest * w) // open_w END AS share, CASE WHEN NOT is_full THEN (rest * w) % open_w END AS remainder FROM {name}_r),
+{name} AS (SELECT {keys}, CASE WHEN is_full THEN cap ELSE share + CASE WHEN row_number() OVER ({part} ORDER BY remainder DESC NULLS LAST, {level}) <= rest - sum(share) OVER ({part}) THEN 1 ELSE 0 END END::BIGINT AS budget FROM {name}_s)"""
 
 
 OP5_SQL = f"""
@@ -141,9 +152,9 @@ WITH docs AS (
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply, {MAX_EPOCHS} * sum(tokens)::BIGINT AS cap FROM docs GROUP BY ALL),
 root AS (SELECT least(floor(sum(supply)::DOUBLE * {BUDGET_SHARE})::BIGINT, sum(cap))::BIGINT AS budget FROM leaves),
-{_fill("b0", "", "domain", "CASE domain WHEN 'd0' THEN 4.0::DOUBLE WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 WHEN 'd3' THEN 1 ELSE 1 END", "root")},
-{_fill("b1", "domain", "lang", "CASE lang WHEN 'en' THEN 5.0::DOUBLE WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 1 ELSE 1 END", "b0")},
-{_fill("b2", "domain, lang", "source", "CASE source WHEN 'src0' THEN 2.0::DOUBLE ELSE 1 END", "b1")},
+{_fill("b0", "", "domain", "CASE domain WHEN 'd0' THEN 4::HUGEINT WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 WHEN 'd3' THEN 1 ELSE 1 END", "root")},
+{_fill("b1", "domain", "lang", "CASE lang WHEN 'en' THEN 5::HUGEINT WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 1 ELSE 1 END", "b0")},
+{_fill("b2", "domain, lang", "source", "CASE source WHEN 'src0' THEN 2::HUGEINT ELSE 1 END", "b1")},
 plan AS (SELECT domain, lang, source, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS epochs, CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS rest, budget >= cap AS is_all
   FROM leaves JOIN b2 USING (domain, lang, source)),
 run AS (SELECT d.doc_id, domain, lang, source, epochs, rest, is_all,
