@@ -1,17 +1,20 @@
 """Chat formatting with typed content parts.
 
 A turn holds a list of parts: text, image, audio or document. A visitor flattens them in order; text is escaped, each
-attachment becomes a placeholder <|kind:n|> (n counts within the conversation's turn), and its reference and expanded token
-count are recorded. The template writes each turn as
+attachment becomes a placeholder <|kind:n|>, where n counts the attachments of the conversation from 0, and its reference,
+turn (counted from 0 in the output) and expanded token count are recorded. Parts of another type become <|unknown:n|> with
+their type as reference and no tokens. The template writes each turn as
 
     <s>role LF text </s>
 
 and texts escape its control signs reversibly: a backslash becomes two, < becomes <\\ and [ becomes [\\, so that no text
 can hold <s>, </s>, <|, [INST] or [/INST]. In roles a line feed is written as backslash n. The loss mask covers the texts
-of assistant turns, as code-point spans of the output.
+of assistant turns, placeholders included, as code-point spans of the output.
 
-Nulls: a null text or role counts as empty, turns without number come first, rows without conv_id are one conversation.
-Turns of equal number go by role, then text; repeated rows are turns of their own. An empty table gives an empty result.
+A conversation is one row of output, so its turns come together in one task; turns without conv_id belong to none, and each
+is a conversation of its own, formatted without a shuffle. Nulls: a null text, role or list of parts counts as empty, turns
+without number come first. Turns of equal number go by role, then parts; repeated rows are turns of their own. Very long
+texts are not cut. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,8 +33,7 @@ from barlight.llm.tables import read, small_batches
 
 PART = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("seconds", T.DoubleType()), T.StructField("pages", T.LongType())])
 PARTS = T.ArrayType(PART)
-ATTACHMENT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("placeholder", T.StringType()), T.StructField("tokens", T.LongType())])
-TURN = T.StructType([T.StructField("role", T.StringType()), T.StructField("body", T.StringType()), T.StructField("attachments", T.ArrayType(ATTACHMENT))])
+ATTACHMENT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("placeholder", T.StringType()), T.StructField("turn", T.LongType()), T.StructField("tokens", T.LongType())])
 
 #: Tokens that attachments expand to: an image has one a square of PATCH pixels, audio so many a second, a document so many a page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25, 800
@@ -54,82 +56,76 @@ def unescaped_role(role: str) -> str:
 
 
 class Visitor:
-    """Flattens the parts of one turn."""
+    """Flattens the parts of a conversation's turns, one turn after the other."""
 
     def __init__(self) -> None:
         self.out: list[str] = []
+        self.turn = 0
         self.attachments: list[dict] = []
 
-    def visit(self, part) -> None:
-        kind = part["type"] or "text"
-        visit = getattr(self, f"visit_{kind}", None)
-        if visit is None:
-            raise ValueError(f"unknown content part: {kind}")
-        visit(part)
+    def body(self, parts) -> str:
+        """The flattened text of the next turn."""
+        self.out = []
+        for part in parts if parts is not None else ():
+            if part is not None:
+                getattr(self, f"visit_{part['type'] or 'text'}", self.visit_unknown)(part)
+        self.turn += 1
+        return "".join(self.out)
 
     def visit_text(self, part) -> None:
         self.out.append(escaped(part["text"] or ""))
 
-    def attach(self, kind: str, part, tokens: int) -> None:
+    def attach(self, kind: str, ref: str | None, tokens: int) -> None:
         placeholder = f"<|{kind}:{len(self.attachments)}|>"
         self.out.append(placeholder)
-        self.attachments.append({"kind": kind, "ref": part["ref"] or "", "placeholder": placeholder, "tokens": tokens})
+        self.attachments.append({"kind": kind, "ref": ref or "", "placeholder": placeholder, "turn": self.turn, "tokens": tokens})
 
     def visit_image(self, part) -> None:
-        self.attach("image", part, math.ceil(int(part["width"] or 0) / PATCH) * math.ceil(int(part["height"] or 0) / PATCH))
+        self.attach("image", part["ref"], math.ceil(number(part["width"]) / PATCH) * math.ceil(number(part["height"]) / PATCH))
 
     def visit_audio(self, part) -> None:
-        self.attach("audio", part, math.ceil(float(part["seconds"] or 0) * AUDIO_RATE))
+        self.attach("audio", part["ref"], math.ceil(number(part["seconds"]) * AUDIO_RATE))
 
     def visit_document(self, part) -> None:
-        self.attach("document", part, int(part["pages"] or 0) * PAGE_TOKENS)
+        self.attach("document", part["ref"], int(number(part["pages"])) * PAGE_TOKENS)
 
+    def visit_unknown(self, part) -> None:
+        self.attach("unknown", part["type"], 0)
 
-def _flat(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in rows:
-        bodies, attachments = [], []
-        for parts in pdf["parts"]:
-            v = Visitor()
-            for part in parts if parts is not None else ():
-                v.visit(part)
-            bodies.append("".join(v.out))
-            attachments.append(v.attachments)
-        yield pdf.drop(columns="parts").assign(body=bodies, attachments=attachments)
-
-
-def flattened(turns: DataFrame) -> DataFrame:
-    """turns: conv_id, turn, role, parts. Adds body (escaped, with placeholders) and attachments instead of parts."""
-    small_batches(turns.sparkSession)
-    kinds = {f.name: f.dataType for f in turns.schema.fields}
-    schema = T.StructType([T.StructField(n, kinds[n]) for n in ("conv_id", "turn", "role")]).add("body", T.StringType()).add("attachments", T.ArrayType(ATTACHMENT))
-    return turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "parts").mapInPandas(_flat, schema)
+
+def number(x) -> float:
+    """A size; one that is missing, negative or no number counts as 0."""
+    return float(x) if x is not None and 0 < x < math.inf else 0.0
 
 
-def _write(turns) -> tuple[str, list[int]]:
-    """The formatted conversation and the flat list of loss spans."""
-    out, spans, at = [], [], 0
-    for role, body in turns:
-        head = f"<s>{escaped_role(role)}\n"
-        if role == "assistant":
+def written(turns) -> tuple[str, list[int], list[dict]]:
+    """The formatted conversation, the flat list of loss spans, and the attachments in order."""
+    out, spans, at, visitor = [], [], 0, Visitor()
+    for turn in turns:
+        body = visitor.body(turn["parts"])
+        head = f"<s>{escaped_role(turn['role'])}\n"
+        if turn["role"] == "assistant":
             spans += [at + len(head), at + len(head) + len(body)]
         out += [head, body, "</s>"]
         at += len(head) + len(body) + 4
-    return "".join(out), spans
+    return "".join(out), spans, visitor.attachments
 
 
 def _formatted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in rows:
-        done = [_write([(t["role"], t["body"]) for t in turns]) for turns in pdf["turns"]]
-        yield pd.DataFrame({"conv_id": pdf["conv_id"], "formatted": [x for x, _ in done], "loss_spans": [s for _, s in done], "attachments": [[dict(a) for t in turns for a in t["attachments"]] for turns in pdf["turns"]]})
+        done = [written(turns) for turns in pdf["turns"]]
+        yield pd.DataFrame({"conv_id": pdf["conv_id"], "formatted": [x for x, _, _ in done], "loss_spans": [s for _, s, _ in done], "attachments": [a for _, _, a in done], "attachment_tokens": [sum(x["tokens"] for x in a) for _, _, a in done]})
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """A row for each conversation: conv_id, formatted, loss_spans (start and end in turn), attachments in order."""
-    flat = flattened(turns)
-    each = F.struct("turn", "role", "body", "attachments")
-    rows = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(each)).alias("turns"))
-    schema = T.StructType([T.StructField("conv_id", flat.schema["conv_id"].dataType), T.StructField("formatted", T.StringType()), T.StructField("loss_spans", T.ArrayType(T.LongType())), T.StructField("attachments", T.ArrayType(ATTACHMENT))])
-    return rows.mapInPandas(_formatted, schema)
+    """turns: conv_id, turn, role, parts. A row for each conversation: conv_id, formatted, loss_spans (start and end in turn),
+    attachments in order, and attachment_tokens, what they expand to in all."""
+    small_batches(turns.sparkSession)
+    each = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "parts").alias("said"))
+    grouped = each.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
+    alone = each.where("conv_id IS NULL").select("conv_id", F.array("said").alias("turns"))
+    schema = T.StructType([T.StructField("conv_id", turns.schema["conv_id"].dataType), T.StructField("formatted", T.StringType()), T.StructField("loss_spans", T.ArrayType(T.LongType())), T.StructField("attachments", T.ArrayType(ATTACHMENT)), T.StructField("attachment_tokens", T.LongType())])
+    return grouped.unionByName(alone).mapInPandas(_formatted, schema)
 
 
 def parsed(output: str) -> list[tuple[str, str]]:
@@ -141,15 +137,18 @@ def parsed(output: str) -> list[tuple[str, str]]:
     return out
 
 
+DIGESTS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"]
+
+
 def _digests(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in rows:
         out = []
-        for conv, text, spans in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_spans"], strict=True):
+        for conv, text, spans, attached, tokens in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_spans"], pdf["attachments"], pdf["attachment_tokens"], strict=True):
             turns = parsed(text)
             loss = "".join(unescaped(text[a:b]) for a, b in zip(spans[::2], spans[1::2], strict=True))
             said = "".join(f"{role}\n{body}\n" for role, body in turns)
-            out.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            out.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(attached), tokens))
+        yield pd.DataFrame(out, columns=DIGESTS).astype({"conv_id": "Int64"})
 
 
 def as_parts(rows: DataFrame) -> DataFrame:
@@ -162,18 +161,18 @@ def op8_chat_formatting(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
-    return formatted(as_parts(rows)).mapInPandas(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted(as_parts(rows)).mapInPandas(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long")
 
 
 OP8_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]', NULL), (-7, 1, 'assistant', '</s>[INST] ok [/INST]', NULL)),
 e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '<', '<\'), '[', '[\') AS body,
   replace(replace(replace(replace(role, '\', '\\'), '<', '<\'), '[', '[\'), chr(10), '\n') AS head FROM c)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(head) + length(body) + 8)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(head) + length(body) + 8)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
+FROM e GROUP BY conv_id, alone
 """
