@@ -2,13 +2,15 @@
 
 Two second-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained from
 labelled samples: random strings drawn by a seeded rule over usual alphabets, identifiers built by rule from common
-programming words, and as further ordinary samples the words of documents labelled as good (at most SAMPLE_DOCS documents, in
-the order of a hash of doc_id). A candidate (CANDIDATE, with a letter and a digit) becomes a span of kind model if its
-log-likelihood ratio a character is over a threshold, which leaves MAX_FALSE of the held-out ordinary candidates above it
-and is at least 0; candidates that overlap a span of the fixed patterns are left out.
-
-Spans are code points of the whole text, end exclusive. Nulls: a null text is empty; labels without doc_id are ignored.
-Repeated rows get equal results; an empty table gives an empty one. Other columns pass through.
+programming words, platform names, versions and dates, and as further ordinary samples the words of documents labelled as good
+(at most SAMPLE_DOCS documents, in the order of a hash of doc_id). Every candidate (CANDIDATE) of a text is scored: it becomes
+a span of kind model if its log-likelihood ratio a character is over a threshold, which leaves MAX_FALSE of the held-out
+ordinary candidates above it and is at least 0. Of a candidate that touches a span of the fixed patterns the rest is scored,
+where MIN_SIGNS or more are left. Strings of the form of a UUID are identifiers, not secrets.
+
+Spans are code points of the whole text, end exclusive. Nulls: a null text is empty; labels without doc_id are ignored, of
+several labels of a document the worst counts. Very long texts are scanned whole. Repeated rows get equal results; an empty
+table gives an empty one. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,33 +32,46 @@ ASSIGN = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[
 #: Equal to AKIA[A-Z0-9]+ and [0-9a-f]+ with matches below 18 and 16 characters dropped, as runs are matched whole.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIN_SIGNS = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_SIGNS},}}")
+UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
-SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 6000
-MAX_FALSE = 0.001
+SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 8000
+MAX_FALSE = 0.0005
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CODE = {c: i + 1 for i, c in enumerate(SIGNS)}
 N = len(SIGNS) + 1
 
 #: Common programming words that ordinary identifiers are built from.
 WORDS = "get set add remove update delete create find list map filter reduce index count size length name value key type node edge tree graph table column row field record user account order item price total number string array object class method function file path read write open close stream buffer queue stack cache store load save parse format render request response server client session token config option default error message event handler callback thread process task worker job batch window state context model view controller test case data time date start end first last next previous min max sum mean version release build deploy docker python java script module package import export main utils helper manager factory service provider adapter wrapper base abstract interface sha md5 utf8 base64 http2 ipv4 x86 win32 log4j oauth2 s3 ec2 v1 v2 2019 2020 2021 2022 2023 2024".split()
+#: Parts of platform names.
+MACHINES, SYSTEMS = "x86_64 i686 aarch64 arm64 armv7l riscv64 ppc64le s390x wasm32".split(), "unknown-linux-gnu unknown-linux-musl pc-windows-msvc apple-darwin manylinux2014 manylinux_2_17 musllinux_1_1 macosx_11_0 win_amd64 linux-android unknown-freebsd none-eabi".split()
 
 
 def random_strings(n: int, seed: int) -> list[str]:
     rng = np.random.default_rng(seed)
     alphabets = ["0123456789abcdef", "0123456789ABCDEF", SIGNS[:62], SIGNS[:62] + "+/", SIGNS[:62] + "_-", SIGNS[26:62], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
-    return ["".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(16, 65))) for i in range(n)]
+    return ["".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(MIN_SIGNS, 65))) for i in range(n)]
 
 
 def identifiers(n: int, seed: int) -> list[str]:
     rng = np.random.default_rng(seed)
+    pick = lambda words: str(rng.choice(words))
+    number = lambda digits=4: str(rng.integers(0, 10 ** int(rng.integers(1, digits + 1))))
     joins = [lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "".join(x.title() for x in w), lambda w: "_".join(w).upper(), lambda w: "".join(w)]
+    kinds = [
+        lambda w: w,
+        lambda w: [*w, number()],
+        lambda w: [pick(MACHINES), pick(SYSTEMS)],
+        lambda w: [w[0], *(number(2) for _ in range(3)), f"cp3{rng.integers(8, 14)}", pick(SYSTEMS), pick(MACHINES)],
+        lambda w: [*w[:2], *(number(2) for _ in range(3))],
+        lambda w: [f"{rng.integers(1990, 2040)}", f"{rng.integers(1, 13):02d}", f"{rng.integers(1, 29):02d}", *w[:1]],
+        lambda w: [f"{rng.integers(10**11, 10**14)}"],
+    ]
     out = []
     for i in range(n):
-        w = list(rng.choice(WORDS, rng.integers(3, 7)))
-        if i % 3 == 0:
-            w.append(str(rng.integers(0, 10 ** int(rng.integers(1, 5)))))
-        out.append(joins[i % len(joins)](w))
+        w = [str(x) for x in rng.choice(WORDS, rng.integers(3, 7))]
+        of = kinds[(i // 3) % len(kinds)] if i % 3 == 0 else kinds[i % 3 - 1]
+        out.append((joins[i % len(joins)] if of in kinds[:2] else joins[i % 2])(of(w)))
     return out
 
 
@@ -71,15 +86,24 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, labels:
     return out
 
 
-def _codes(x: str) -> list[int]:
-    return [0, 0, *(CODE.get(c, 0) for c in x), 0]
+#: By code point of the SIGNS' range: the code of a sign, 0 for others.
+TABLE = np.zeros(128, dtype=np.int64)
+TABLE[[ord(c) for c in SIGNS]] = range(1, N)
+
+
+def _codes(x: str) -> np.ndarray:
+    """The codes of a string with two ends before and one after; signs other than SIGNS count as ends."""
+    out = np.zeros(len(x) + 3, dtype=np.int64)
+    signs = np.frombuffer(x.encode("ascii", "replace"), dtype=np.uint8)
+    out[2:-1] = TABLE[signs & 127]
+    return out
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for kind, part in pdf.groupby("random"):
             c = np.zeros(0, dtype=np.int64)
-            runs = [np.array(_codes(x), dtype=np.int64) for x in part["text"]]
+            runs = [_codes(x) for x in part["text"]]
             if runs:
                 c = np.concatenate([(a[:-2] * N + a[1:-1]) * N + a[2:] for a in runs])
             at, n = np.unique(c, return_counts=True)
@@ -106,14 +130,14 @@ def fitted(samples: DataFrame) -> tuple[np.ndarray, float]:
         for pdf in batches:
             yield pd.DataFrame({"score": [ratio_of(ratio, x) for x in pdf["text"]]})
 
-    held = samples.where("held_out and not random and length(text) >= 16").select("text").mapInPandas(score, "score double")
-    top = held.agg(F.percentile_approx("score", 1 - MAX_FALSE, 10_000)).first()[0]
+    held = samples.where(F.col("held_out") & ~F.col("random") & (F.length("text") >= MIN_SIGNS)).select("text").mapInPandas(score, "score double")
+    top = held.agg(F.percentile_approx("score", 1 - MAX_FALSE, 100_000)).first()[0]
     return ratio, max(0.0, top if top is not None else 0.0)
 
 
 def ratio_of(ratio: np.ndarray, x: str) -> float:
     """Log-likelihood ratio a character, the end included."""
-    a = np.array(_codes(x), dtype=np.int64)
+    a = _codes(x)
     return float(ratio[(a[:-2] * N + a[1:-1]) * N + a[2:]].mean())
 
 
@@ -126,13 +150,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of start..end that no span touches."""
+    for a, _, b in spans:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 def model_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        x = m[0]
-        if any(c.isdigit() for c in x) and any(c.isalpha() for c in x) and not any(a < m.end() and m.start() < b for a, _, b in base) and ratio_of(ratio, x) > threshold:
-            out.append((m.start(), 3, m.end()))
-    return out
+    found = [(a, b) for m in CANDIDATE.finditer(text) if not UUID.fullmatch(m[0]) for a, b in outside(m.start(), m.end(), base) if b - a >= MIN_SIGNS]
+    if not found:
+        return []
+    # All candidates of a text at once: runs of three signs, summed by candidate.
+    codes = np.concatenate([_codes(text[a:b]) for a, b in found])
+    size = np.array([b - a + 3 for a, b in found])
+    end = np.cumsum(size)
+    value = np.append(ratio[(codes[:-2] * N + codes[1:-1]) * N + codes[2:]], [0.0, 0.0])
+    value[np.concatenate([end - 2, end - 1])] = 0
+    mean = np.add.reduceat(value, end - size) / (size - 2)
+    return [(a, 3, b) for (a, b), x in zip(found, mean, strict=True) if x > threshold]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -140,13 +180,12 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scanned(df: DataFrame, ratio: np.ndarray, threshold: float, text: str = "text") -> DataFrame:
-    """row (all columns of df), base and all_spans: arrays of kind, start, end."""
+    """row (all columns of df), base and all_spans: arrays of kind, start, end. Only the text goes to Python."""
     small_batches(df.sparkSession)
-    span = "array<struct<kind:string,start:long,end:long>>"
+    span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("base", T._parse_datatype_string(span)), T.StructField("spans", T._parse_datatype_string(span))])
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(T.StructType([T.StructField("base", span), T.StructField("spans", span)]))
     def scan(texts: pd.Series) -> pd.DataFrame:
         base, every = [], []
         named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
