@@ -3,7 +3,7 @@
 The model file's protobuf is parsed here; pieces, scores, types and the normaliser's settings are rebuilt as a tokenizer:
 the precompiled character map if there is one, white space as the marker U+2581 with or without a dummy prefix, pieces by
 unigram scores or, for models of BPE type, by merges ranked by score, unknown characters as byte pieces. Parity with the
-SentencePiece library is verified on PROBES whenever a backend is built; tests verify it on whole documents.
+SentencePiece library is verified on PROBES whenever texts are to be encoded or decoded; tests verify it on whole documents.
 
 As no piece has the marker after another sign (checked), words can be encoded one by one, which lets the library's cache
 work; models with such pieces are encoded without this split. Batches are encoded by the library's threads.
@@ -33,6 +33,8 @@ from barlight.llm.tables import read, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
+#: Threads that encode the batches of a task.
+THREADS = 2
 #: Piece types and model types of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -122,7 +124,7 @@ def backend(data: bytes):
         raise ValueError(f"model type {m.kind} is not supported")
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(MARKER))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARKER)])
@@ -207,11 +209,12 @@ def verified(data: bytes) -> Coder:
     return coder
 
 
-def encoded(df: DataFrame, data: bytes, text: str = "text", threads: int = 1) -> DataFrame:
-    """row (all columns of df), ids, and round_trip: whether decoding gives the text again (models that normalise texts need not)."""
+def encoded(df: DataFrame, data: bytes, text: str = "text", threads: int = THREADS, columns: list[str] | None = None) -> DataFrame:
+    """row (all columns of df, or those named), ids, and round_trip: whether decoding gives the text again (models that normalise
+    texts need not)."""
     small_batches(df.sparkSession, 500)
     verified(data)
-    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.struct(*(columns or ["*"])).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +244,14 @@ def decoded(df: DataFrame, data: bytes, ids: str = "ids") -> DataFrame:
 
 
 def model_bytes(path: str = MODEL) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
+    """The model file, read on the driver; tasks get its bytes."""
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError as e:
+        raise FileNotFoundError(f"no SentencePiece model at {path}; name one that the driver can read") from e
 
 
-def op7_sentencepiece(spark, sf_dir):
-    out = encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), model_bytes())
+def op7_sentencepiece(spark, sf_dir, model: str = MODEL):
+    out = encoded(read(spark, sf_dir, "documents"), model_bytes(model), columns=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
