@@ -1,20 +1,28 @@
-"""Suffix-array dedup with a sparse suffix array: passages of MIN_WORDS words or more that repeat across texts.
+"""Suffix-array dedup with sparse suffix arrays: passages of MIN_WORDS words or more that repeat across texts.
 
 Of each text only the suffixes at minimisers are retained: word positions whose KEY-word hash is the least of WINDOW
 neighbouring ones, so that the choice depends on the content alone and any passage of WINDOW + KEY - 1 words has one at the
-same place in every copy. The suffixes are sorted by the hashes of their first KEY and 2 * KEY words, as in prefix doubling,
-and, among equals, of the KEY words before, over range partitions (ties by text and position, so that a passage in a third of all texts is dealt over many tasks). Each
-is compared with its neighbours of other texts; the rows at the partitions' ends are compared in a second, small step.
-
-Neighbours that agree on KEY words are then extended left and right, word by word, to what is needed to tell whether the
-match has MIN_WORDS words and to reach the next minimiser, where the next match goes on. A text is joined once as itself and
-once as neighbour; each suffix has at most two neighbours, so both lists are bounded by the text's own length. The result
-holds the union of all matches of at least MIN_WORDS words.
-The tie-break by the words before keeps neighbours alike on the left as well.
-
-Texts that are equal as wholes are one text to the sort, and repeat each other from end to end. Nulls: a null text is empty;
-rows without doc_id take part. Repeated rows count as copies of each other. An empty table gives an empty result. Repeats
-within one text alone do not count. Words are compared as they are, by 64-bit hashes. Other columns pass through.
+same place in every copy. Suffixes whose first KEY words stand nowhere else are dropped (by a Bloom filter of bounded size
+over the keys that repeat). The others are sorted twice, over range partitions: by KEY words, then by hashes of longer
+and longer runs to the right (RIGHT words), then to the left (LEFT words); and the other way round. So the neighbours of a
+suffix are those that agree with it longest to the right in one array, and longest to the left in the other, also where
+thousands of texts share its first KEY words and only few the words around them. Ties go by text and position, so a passage
+in a third of all texts is dealt over many tasks. Each suffix is compared with its neighbours of other texts; the rows at the
+partitions' ends are compared in a second, small step. A passage is missed only where some texts agree longer to the right and
+others longer to the left with each of its minimisers, but none of them for MIN_WORDS words in all (recall is tested on
+crowds of texts around a passage, and against brute force on random edits).
+
+Neighbours that agree on KEY words are then extended left and right, word by word, by up to REACH words. A match that neither
+ends there nor goes on inside another match of the text is extended again, with twice the reach, until none is left. A text is
+joined once as itself and once as neighbour in each round. What a text asks of others is bounded by its own length: each of
+its suffixes asks at most four neighbours. What is asked of a text of few words that thousands of others repeat is not, so
+the asked positions of a text are dealt over several rows, ASKED at most in each.
+
+Texts that are equal as wholes are one text to the sort, and repeat each other from end to end. Texts are told apart by two
+64-bit hashes, and numbered by the first wherever it is unique. Nulls: a null text is empty; rows without doc_id take part.
+Repeated rows count as copies of each other. An empty table gives an empty result. Repeats within one text alone do not count.
+Words are compared as they are, by 64-bit hashes. Very long texts are scanned whole. Other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,10 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlight.llm.tables import read, saved, small_batches
+from barlight.llm.exact_dedup import all_positions, bitmaps, filter_bits, flagged
+from barlight.llm.tables import deleted, read, saved, small_batches
 from barlight.llm.textscan import Scan, chunks, mix, powers
 
 MIN_WORDS, KEY, WINDOW = 50, 24, 25
+#: Words to the right from a suffix on, and words to its left, by which suffixes of equal keys are sorted: 16 bits of a hash each.
+RIGHT, LEFT = (28, 34, 42, 50), (6, 12, 20, 26)
+REACH, ASKED = 50, 2000
 U = np.uint64
 
 
@@ -80,13 +92,18 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = s.word_hashes()
             doc = s.doc_of_words()
             left = s.tok_off[1:][doc] - np.arange(len(h))
-            key, twice = run_hashes(h, KEY), run_hashes(h, 2 * KEY)
+            key = run_hashes(h, KEY)
             at = minimisers(s, key, left >= KEY)
             ids = np.asarray(batch.column(0))[a:][doc[at]] if len(at) else np.zeros(0, dtype=np.int64)
-            further = np.where(left[at] >= 2 * KEY, twice[at], U(0))
             pos = at - s.tok_off[:-1][doc[at]]
-            before = np.where(pos >= KEY, key[np.maximum(at - KEY, 0)], U(0))
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(further.view(np.int64)), pa.array(before.view(np.int64))], ["key", "id", "pos", "further", "before"])
+            right, before = np.zeros(len(at), dtype=U), np.zeros(len(at), dtype=U)
+            for k in RIGHT:
+                part = np.where(left[at] >= k, run_hashes(h, k)[at] >> U(48), U(0))
+                right = (right << U(16)) | part
+            for k in LEFT:
+                part = np.where(pos >= k, run_hashes(h, k)[np.maximum(at - k, 0)] >> U(48), U(0))
+                before = (before << U(16)) | part
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(right.view(np.int64)), pa.array(before.view(np.int64))], ["key", "id", "pos", "right", "before"])
 
 
 PAIR = "id long, pos int, other long, other_pos int"
@@ -109,9 +126,9 @@ def neighbours_of(key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> list[np.
     return [ids[at], pos[at], ids[other], pos[other]]
 
 
-def matches(suffixes: DataFrame) -> DataFrame:
-    """PAIR rows: suffixes with their neighbours in the sorted array."""
-    ordered = suffixes.orderBy("key", "further", "before", "id", "pos")
+def matches(suffixes: DataFrame, order: list[str]) -> DataFrame:
+    """PAIR rows: suffixes with their neighbours in the array sorted by key and then by order."""
+    ordered = suffixes.orderBy("key", *order, "id", "pos").select("key", "id", "pos")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, edge, held = TaskContext.get().partitionId(), True, None
@@ -148,35 +165,31 @@ def matches(suffixes: DataFrame) -> DataFrame:
     return found.where("edge IS NULL").select("id", "pos", "other", "other_pos").unionByName(both)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For texts with requests (id, pos, own position): what the neighbour needs of them, the word hashes around the position."""
-    for batch in batches:
-        for a, b, s in chunks(batch.column(0)):
-            h = s.word_hashes().view(np.int64)
-            for i in range(a, b):
-                words = h[s.tok_off[i - a] : s.tok_off[i - a + 1]]
-                wants = batch.column(1)[i].as_py()
-                at = np.array([w["other_pos"] for w in wants])
-                left = np.minimum(at, MIN_WORDS)
-                lists = [words[p - x : p + 2 * KEY + MIN_WORDS] for p, x in zip(at, left, strict=True)]
-                off = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([w["id"] for w in wants], pa.int64()), pa.array([w["pos"] for w in wants], pa.int32()), pa.array(left.astype(np.int32)), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(lists)))], ["id", "pos", "left", "words"])
-
-
-def covered(words: np.ndarray, wants: Iterator[tuple[np.ndarray, int, int]]) -> list[tuple[int, int]]:
-    """Of a text: the union of its matches of MIN_WORDS words or more, as word ranges. wants: the neighbour's words, how many
-    of them are left of the position, and the text's own position."""
-    spans = []
-    for near, left, p in wants:
-        right = near[left:]
-        n = min(len(right), len(words) - p)
-        off = np.flatnonzero(right[:n] != words[p : p + n])
-        to = p + (int(off[0]) if len(off) else n)
-        m = min(left, p)
-        off = np.flatnonzero(near[left - m : left][::-1] != words[p - m : p][::-1])
-        of = p - (int(off[0]) if len(off) else m)
-        if to - of >= MIN_WORDS:
-            spans.append((of, to))
+def _contexts(reach: int):
+    """For texts with requests: what the asking text needs of them, the word hashes around the position."""
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, s in chunks(batch.column(1)):
+                h = s.word_hashes().view(np.int64)
+                for i in range(a, b):
+                    words = h[s.tok_off[i - a] : s.tok_off[i - a + 1]]
+                    flat = batch.column(2)[i].values
+                    at = flat.field("other_pos").to_numpy()
+                    left, right = np.minimum(at, reach), np.minimum(len(words) - at, KEY + reach)
+                    lists = [words[p - x : p + y] for p, x, y in zip(at, left, right, strict=True)]
+                    off = np.append(0, np.cumsum(left + right)).astype(np.int32)
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([flat.field("id"), flat.field("pos"), pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(at), pa.array(left.astype(np.int32)), pa.array(at > reach), pa.array(len(words) - at > KEY + reach), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(lists)))], WANT)
+
+    return contexts
+
+
+WANT = ["id", "pos", "other", "other_pos", "left", "more_left", "more_right", "words"]
+WANT_TYPES = "id long, pos int, other long, other_pos int, left int, more_left boolean, more_right boolean, words array<long>"
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -186,29 +199,57 @@ def covered(words: np.ndarray, wants: Iterator[tuple[np.ndarray, int, int]]) ->
     return [(a, b) for a, b in out]
 
 
-def contexts_of(wants: pa.ListArray, i: int) -> Iterator[tuple[np.ndarray, int, int]]:
+def covered(words: np.ndarray, wants: dict[str, np.ndarray], near: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Of a text: the union of its matches of MIN_WORDS words or more, as word ranges; and those that have to be extended
+    further: own position, other text, its position. wants: columns of WANT, near: the neighbour's words of each."""
+    spans, ends = [], []
+    for i, x in enumerate(near):
+        p, left = int(wants["pos"][i]), int(wants["left"][i])
+        right = x[left:]
+        n = min(len(right), len(words) - p)
+        off = np.flatnonzero(right[:n] != words[p : p + n])
+        to = p + (int(off[0]) if len(off) else n)
+        more_right = not len(off) and bool(wants["more_right"][i]) and p + n < len(words)
+        m = min(left, p)
+        off = np.flatnonzero(x[left - m : left][::-1] != words[p - m : p][::-1])
+        of = p - (int(off[0]) if len(off) else m)
+        more_left = not len(off) and bool(wants["more_left"][i]) and p > m
+        if to - of >= MIN_WORDS:
+            spans.append((of, to))
+            shift = int(wants["other_pos"][i]) - p
+            ends += [(to, to - KEY, int(wants["other"][i]), to - KEY + shift)] * more_right + [(of, of, int(wants["other"][i]), of + shift)] * more_left
+    out = joined_spans(spans)
+    edges = {x for span in out for x in span}
+    return out, sorted({x[1:] for x in ends if x[0] in edges})
+
+
+def contexts_of(column: pa.ListArray, i: int) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
     """The wants of row i, their words as views of the column's buffer."""
-    flat, off = wants.values, wants.offsets
+    flat, off = column.values, column.offsets
+    part = slice(off[i].as_py(), off[i + 1].as_py())
     words = flat.field("words")
     at, value = words.offsets.to_numpy(), words.values.to_numpy()
-    pos, left = flat.field("pos").to_numpy(), flat.field("left").to_numpy()
-    for j in range(off[i].as_py(), off[i + 1].as_py()):
-        yield value[at[j] : at[j + 1]], int(left[j]), int(pos[j])
+    wants = {c: flat.field(c).slice(part.start, part.stop - part.start).to_numpy(zero_copy_only=False) for c in WANT[1:-1]}
+    return wants, [value[at[j] : at[j + 1]] for j in range(part.start, part.stop)]
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans, and rows without first_word that ask for more."""
     for batch in batches:
         for a, b, s in chunks(batch.column(1)):
             h = s.word_hashes().view(np.int64)
             points = s.code_points()
             rows = []
             for i in range(a, b):
-                t = s.tok_off[i - a]
-                first = points[s.off[i - a]]
-                for x, y in covered(h[t : s.tok_off[i - a + 1]], contexts_of(batch.column(2), i)):
-                    rows.append((batch.column(0)[i].as_py(), x, y, int(points[s.start[t + x]] - first), int(points[s.end[t + y - 1]] - first)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "first_word", "end_word", "start", "end"])
+                id_, t, first = batch.column(0)[i].as_py(), s.tok_off[i - a], points[s.off[i - a]]
+                spans, further = covered(h[t : s.tok_off[i - a + 1]], *contexts_of(batch.column(2), i))
+                rows += [(id_, x, y, int(points[s.start[t + x]] - first), int(points[s.end[t + y - 1]] - first), None, None, None) for x, y in spans]
+                rows += [(id_, None, None, None, None, *x) for x in further]
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], SPAN)
+
+
+SPAN = ["id", "first_word", "end_word", "start", "end", "pos", "other", "other_pos"]
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,30 +266,77 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(start), pa.array(end)], ["id", "n_words", "start", "end"])
 
 
+def shared_suffixes(texts: DataFrame) -> DataFrame:
+    """The suffixes of texts, but for most of those whose key stands only once: a Bloom filter lets few of them through."""
+    suffixes = saved(texts.select("id", "text").mapInArrow(_suffixes, "key long, id long, pos int, right long, before long"), "suffixes")
+    keys = saved(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("digest")), "keys")
+    bits = filter_bits(keys.count())
+    likely = flagged(suffixes.withColumn("digest", F.col("key")), bitmaps(all_positions(keys, bits)), bits).where("candidate")
+    out = saved(likely.select(*suffixes.columns), "shared-suffixes")
+    deleted(suffixes, keys)
+    return out
+
+
+def extended(texts: DataFrame, pairs: DataFrame, reach: int) -> DataFrame:
+    """pairs: id, pos, other, other_pos. SPAN rows: the spans of texts that they extend to, and what has to be extended further."""
+    part = F.pmod(F.xxhash64("id", "pos"), F.col("parts"))
+    sizes = pairs.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("parts"))
+    asked = pairs.join(sizes, "other").groupBy(F.col("other").alias("of"), part.alias("part")).agg(F.collect_list(F.struct("id", "pos", "other_pos")).alias("wants"))
+    near = texts.join(asked, texts["id"] == asked["of"]).select("id", "text", "wants").mapInArrow(_contexts(reach), WANT_TYPES)
+    own = near.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct(*WANT[1:])).alias("wants"))
+    return saved(texts.join(own, texts["id"] == own["of"]).select("id", "text", "wants").mapInArrow(_extended, ", ".join(f"{c} long" for c in SPAN)), "extended")
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """texts: id (of distinct texts), text. Spans (id, first_word, end_word, start, end) that repeat in other texts."""
-    suffixes = texts.select("id", "text").mapInArrow(_suffixes, "key long, id long, pos int, further long, before long")
-    pairs = saved(matches(suffixes).distinct(), "matches")
-    asked = pairs.groupBy(F.col("other").alias("of")).agg(F.collect_list(F.struct("id", "pos", "other_pos")).alias("wants"))
-    near = texts.join(asked, texts["id"] == asked["of"]).select("text", "wants").mapInArrow(_contexts, "id long, pos int, left int, words array<long>")
-    own = near.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("pos", "left", "words")).alias("wants"))
-    return texts.join(own, texts["id"] == own["of"]).select("id", "text", "wants").mapInArrow(_extended, "id long, first_word long, end_word long, start long, end long")
+    """texts: id (of distinct texts), text. Spans (id, first_word, end_word, start, end) that repeat in other texts; spans of
+    different rounds may overlap."""
+    suffixes = shared_suffixes(texts)
+    pairs = saved(matches(suffixes, ["right", "before"]).unionByName(matches(suffixes, ["before", "right"])).distinct(), "matches")
+    reach, out = REACH, None
+    while True:
+        found = extended(texts, pairs, reach)
+        spans = found.where("first_word IS NOT NULL").select(*SPAN[:5])
+        out = spans if out is None else out.unionByName(spans)
+        pairs = found.where("first_word IS NULL").select("id", F.col("pos").cast("int").alias("pos"), "other", F.col("other_pos").cast("int").alias("other_pos"))
+        if pairs.isEmpty():
+            return out
+        reach *= 2
+
+
+def distinct_texts(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """df as row and the two hashes of its text; and a saved table of the hashes with id and n, how many rows have the text."""
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    sizes = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("h1").orderBy("h2"))
+    return rows, saved(sizes.select("h1", "h2", "n", F.when(place == 1, F.col("h1")).otherwise(F.col("h2")).alias("id")), "distinct")
+
+
+def merged_spans(spans):
+    """Spans in order with those that overlap or touch as one."""
+
+    def put(out, s):
+        last = F.try_element_at(out, F.lit(-1))
+        wider = F.struct(last["first_word"].alias("first_word"), F.greatest(last["end_word"], s["end_word"]).alias("end_word"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last["end_word"] >= s["first_word"], F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), wider)).otherwise(F.array_append(out, s))
+
+    return F.aggregate(F.sort_array(spans), F.array().cast(SPANS), put)
+
+
+SPANS = "array<struct<first_word:long,end_word:long,start:long,end:long>>"
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row (all columns of df), n_words, and spans: array of first_word, end_word, start, end (code points of the text)."""
     small_batches(df.sparkSession, 500)
-    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("id", F.xxhash64("text"))
-    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    texts = saved(rows.groupBy("id").agg(F.first("text").alias("text")), "distinct")
-    found = repeated_spans(texts).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word", "start", "end"))).alias("spans"))
-    whole = texts.select("id", "text").mapInArrow(_whole, "id long, n_words long, start long, end long")
+    rows, sizes = distinct_texts(df, text)
+    texts = rows.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    texts = saved(texts.join(sizes, ["h1", "h2"]).select("id", "text"), "texts")
+    found = repeated_spans(texts).groupBy("id").agg(F.collect_list(F.struct("first_word", "end_word", "start", "end")).alias("spans"))
+    whole = texts.mapInArrow(_whole, "id long, n_words long, start long, end long")
     copies = F.array(F.struct(F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), "start", "end"))
-    none = F.array().cast("array<struct<first_word:long,end_word:long,start:long,end:long>>")
-    info = whole.join(sizes, "id").join(found, "id", "left").select(F.col("id").alias("of"), "n_words", F.when((F.col("n") > 1) & (F.col("n_words") >= MIN_WORDS), copies).otherwise(F.coalesce("spans", none)).alias("spans"))
-    info = saved(info, "spans")
-    return rows.select("row", "id").join(info, F.col("id") == F.col("of")).select("row", "n_words", "spans")
+    info = whole.join(sizes, "id").join(found, "id", "left").select("h1", "h2", "n_words", F.when((F.col("n") > 1) & (F.col("n_words") >= MIN_WORDS), copies).otherwise(merged_spans(F.coalesce("spans", F.array().cast(SPANS)))).alias("spans"))
+    info = saved(info.withColumnsRenamed({"h1": "of1", "h2": "of2"}), "spans")
+    return rows.select("row", "h1", "h2").join(info, (F.col("h1") == F.col("of1")) & (F.col("h2") == F.col("of2"))).select("row", "n_words", "spans")
 
 
 def op4_suffix_dedup(spark, sf_dir):
