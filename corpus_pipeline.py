@@ -1,6 +1,9 @@
 """The corpus pipeline over the documents table: quality rules, exact dedup, near dedup, mixing, encoding.
 
 Each stage takes what its predecessor kept, all of it, and returns the columns of documents; the last returns token ids.
+Odd rows are treated as each operator's module says: a null or empty text has no words and fails the quality rules; rows
+without doc_id take part; very long texts are never cut; of repeated rows one stays; an empty table gives an empty result.
+Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and token ids."""
-    out = pieces.encoded(docs, pieces.model_bytes())
+    out = pieces.encoded(docs, pieces.model_bytes(), columns=["doc_id", "lang", "source"])
     return out.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
