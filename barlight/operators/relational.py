@@ -108,12 +108,14 @@ def normal_crypto(symbol: Column) -> Column:
 
 
 def compact(x: Column) -> Column:
-    """A number as 1.23K, 1.23M, 1.23B or 1.23T."""
+    """A number as 1.23K, 1.23M, 1.23B or 1.23T, rounded half up; whole numbers under a thousand have no decimals."""
     a, sign = F.abs(x), F.when(x < 0, "-").otherwise("")
-    out = F.when(a == F.floor(a), F.floor(a).cast("string")).otherwise(F.format_string("%.2f", a))
-    for size, mark in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
-        out = F.when(a >= size, F.concat(F.format_string("%.2f", a / size), F.lit(mark))).otherwise(out)
-    return F.concat(sign, out)
+    unit, mark = F.lit(1.0), F.lit("")
+    for size, name in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
+        unit, mark = F.when(a >= size, F.lit(size)).otherwise(unit), F.when(a >= size, F.lit(name)).otherwise(mark)
+    n = F.floor(a / unit * 100 + 0.5).cast("long")
+    two = F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.concat(sign, F.when((a < 1e3) & (a == F.floor(a)), F.floor(a).cast("string")).otherwise(two), mark)
 
 
 # Words of an industry's description that decide its sector, in this order, then major groups of its code.

@@ -24,20 +24,26 @@ def epoch(ts: Column) -> Column:
 
 
 def ohlcv(rows: DataFrame, symbol: Column, time: Column, price: Column, volume: Column, order: Column) -> DataFrame:
-    """Bars of raw trades: first, highest, lowest, last price in the order given, and the sum of volumes."""
+    """Bars of raw trades: first, highest, lowest, last price in the order given, and the sum of volumes. The order is one
+    number, unlike within a bar, so that all aggregates have buffers of fixed width and are made by hash, without a sort."""
     flat = rows.select(symbol.alias("symbol"), time.alias("time"), price.alias("p"), F.coalesce(volume, F.lit(0.0)).alias("v"), order.alias("k"))
     return flat.groupBy("symbol", "time").agg(F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("v").alias("volume"))
 
 
 def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a bar's rows the order is that of ship date, order and line: seconds of the day, 42 bits for the order, 4 for the line."""
     rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    return ohlcv(rows, F.col("l_suppkey").cast("string"), F.unix_date(F.to_date("l_shipdate")).cast("long") * 86400, price, F.col("l_quantity"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", price))
+    price, at = F.col("l_extendedprice") / F.col("l_quantity"), epoch(F.col("l_shipdate"))
+    order = F.shiftleft(at % 86400, 46) + F.shiftleft(F.col("l_orderkey").cast("long"), 4) + F.col("l_linenumber")
+    return ohlcv(rows, F.col("l_suppkey").cast("string"), F.unix_date(F.to_date("l_shipdate")).cast("long") * 86400, price, F.col("l_quantity"), order)
 
 
 def event_bars(spark: SparkSession, sf_dir: str, seconds: int = 3600, symbol: str = "event_type") -> DataFrame:
+    """Of a bar's events, of a day at most, the order is that of time in microseconds, then of the id's last 24 bits."""
     rows = table(spark, sf_dir, "events")
-    return ohlcv(rows, F.col(symbol).cast("string"), F.floor(epoch(F.col("ts")) / seconds).cast("long") * seconds, F.col("value"), F.lit(1.0), F.struct("ts", "event_id"))
+    ts = F.col("ts")
+    micros = (epoch(ts) % 86400) * 1_000_000 + ((F.date_part(F.lit("SECOND"), ts) - F.second(ts)) * 1_000_000).cast("long")
+    return ohlcv(rows, F.col(symbol).cast("string"), F.floor(epoch(ts) / seconds).cast("long") * seconds, F.col("value"), F.lit(1.0), F.shiftleft(micros, 24) + F.pmod(F.col("event_id").cast("long"), F.lit(1 << 24)))
 
 
 def sanitized(rows: DataFrame, sequence: str = "sequence") -> DataFrame:
@@ -47,17 +53,24 @@ def sanitized(rows: DataFrame, sequence: str = "sequence") -> DataFrame:
     return last.select("symbol", "time", "bar.*")
 
 
+def number(x: Column, default: float | None = None) -> Column:
+    """x as a finite number; the default where it is none."""
+    v = x.try_cast("double")
+    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return F.when(ok, v).otherwise(F.lit(default).cast("double"))
+
+
 def provider_rows(rows: DataFrame) -> DataFrame:
-    """Bars of provider objects t (ms), o, h, l, c, v: rows lacking t or a price go, a missing volume is 0."""
-    whole = rows.dropna(subset=["t", "o", "h", "l", "c"])
-    return whole.select("symbol", F.floor(F.col("t") / 1000).cast("long").alias("time"), *[F.col(c[0]).cast("double").alias(c) for c in PRICES], F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("volume"))
+    """Bars of provider objects t (ms), o, h, l, c, v: rows whose t or a price is missing or no number go, such a volume is 0."""
+    cells = rows.select("symbol", F.floor(number(F.col("t")) / 1000).cast("long").alias("time"), *[number(F.col(c[0])).alias(c) for c in PRICES], number(F.col("v"), 0.0).alias("volume"))
+    return cells.dropna(subset=["time", *PRICES])
 
 
 def kline_rows(rows: DataFrame) -> DataFrame:
-    """Bars of positional arrays of strings [t, o, h, l, c, v, ...]; shorter arrays go."""
-    whole = rows.where(F.size("row") >= 6)
-    cell = lambda i: F.col("row")[i].cast("double")
-    return whole.select("symbol", F.floor(cell(0) / 1000).cast("long").alias("time"), *[cell(i).alias(c) for i, c in enumerate([*PRICES, "volume"], 1)])
+    """Bars of positional arrays of strings [t, o, h, l, c, v, ...]; shorter arrays go, and those with a cell that is no number."""
+    cell = lambda i: number(F.get("row", F.lit(i)))
+    cells = rows.where(F.size("row") >= 6).select("symbol", F.floor(cell(0) / 1000).cast("long").alias("time"), *[cell(i).alias(c) for i, c in enumerate([*PRICES, "volume"], 1)])
+    return cells.dropna()
 
 
 def latest(bars: DataFrame, n: int = MAX_BARS) -> DataFrame:

@@ -17,7 +17,7 @@ def test_flagged_last_bars_go_and_all_days_stay(spark):
         rows = sorted(rows)[: -1 if int(symbol) % 8 < 5 else None][-30:]
         if rows:
             want[symbol] = (len(rows), rows[-1][1], rows[-1][0])
-    assert {r.symbol: (r.bars, r.price, r.last_time) for r in catalog.QUERIES["flt_12_flagged_bars"](spark, DATA).collect()} == want
+    assert {r.symbol: (r.bars, r.price, r.last_time) for r in catalog.QUERIES["flt_12_completed_bars"](spark, DATA).collect()} == want
 
 
 def test_screens_drop_forming_bars(spark):

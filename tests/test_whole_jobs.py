@@ -13,7 +13,7 @@ def test_every_event_has_its_bar(spark):
         bars.setdefault(r.symbol, []).append((r.time, r.close))
     events = B.table(spark, DATA, "events").select("event_id", "event_type", B.epoch(F.col("ts")).alias("t")).collect()
     want = {e.event_id: next((c for t, c in reversed(bars[e.event_type]) if t <= e.t - 3600), None) for e in events}
-    got = {r.event_id: r.close for r in catalog.QUERIES["jn_14_all_events"](spark, DATA).collect()}
+    got = {r.event_id: r.close for r in catalog.QUERIES["jn_14_as_of"](spark, DATA).collect()}
     assert got == want
 
 
@@ -26,5 +26,5 @@ def test_bars_carry_over_gaps_and_past_the_last(spark):
 
 def test_every_part_has_its_formats(spark):
     parts = [r.p_partkey for r in B.table(spark, DATA, "part").collect()]
-    got = {r.id: r for r in catalog.QUERIES["sc_08_all_formats"](spark, DATA).collect()}
+    got = {r.id: r for r in catalog.QUERIES["sc_08_formats"](spark, DATA).collect()}
     assert sorted(got) == sorted(parts) and all(r.compact and r.sticker and r.digest for r in got.values())
