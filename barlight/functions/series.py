@@ -1,6 +1,9 @@
-"""Series over the bars of a symbol. Fixed frames are window functions on one partitioning by symbol; recursive series are
-folds over a symbol's sorted array of at most MAX_BARS bars. A missing value is null; a frame with one, or a short frame,
-gives null."""
+"""Series over the bars of a symbol, as window functions on one partitioning by symbol. A missing value is null; a frame with
+one, or a short frame, gives null.
+
+Recursive averages are running sums of values scaled up by their age: a state s = b * s before + a * x is b ** i times the
+running sum of a * x / b ** i. So they are windows as the others are, without arrays and without a loop; with at most
+MAX_BARS = 500 bars and lengths of 2 or more, b ** -i stays below 1e239. They count bars by column i, from 1."""
 
 from __future__ import annotations
 
@@ -92,32 +95,64 @@ def direction(x: Column, kind: str, eps: float = 1e-9) -> Column:
     return {"rising": now > eps, "falling": now < -eps, "turning_up": (before <= eps) & (now > eps), "turning_down": (before >= -eps) & (now < -eps)}[kind]
 
 
-# Folds.
+# Recursive series.
 
 
-def scan(values: Column, step: Callable[[Column, Column, Column], Column], of: str = "double") -> Column:
-    """All states of a fold. step(state before, value, position from 0); the state before the first value is null."""
-    return F.aggregate(values, F.array().cast(f"array<{of}>"), lambda out, v: F.concat(out, F.array(step(F.try_element_at(out, F.lit(-1)), v, F.size(out)).cast(of))))
+def running(x: Column) -> Column:
+    return F.sum(x).over(by().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def ema(values: Column, n: int) -> Column:
-    a = 2.0 / (n + 1)
-    return scan(values, lambda s, v, i: F.when(s.isNull(), v).otherwise(a * v + (1 - a) * s))
+def _since(start: Column | int) -> Column:
+    return F.col("i") - (F.lit(start) if isinstance(start, int) else start)
 
 
-def rma(values: Column, n: int) -> Column:
-    """Wilder's average: the running mean for the first n values."""
-    return scan(values, lambda s, v, i: F.when(i == 0, v).when(i < n, (s * i + v) / (i + 1)).otherwise((s * (n - 1) + v) / n))
+def _power(b: float, k: Column) -> Column:
+    return F.pow(F.lit(b), k.cast("double"))
 
 
-def recursive_sum(values: Column, n: int) -> Column:
-    return scan(values, lambda s, v, i: F.coalesce(s, F.lit(0.0)) * (1 - 1.0 / n) + v)
+def ema(x: Column, n: int, start: Column | int = 1) -> Column:
+    """From bar start on, where it is x itself; null before."""
+    if n == 1:
+        return x
+    a, j = 2.0 / (n + 1), _since(start)
+    scaled = F.when(j == 0, x).when(j > 0, a * x * _power(1 / (1 - a), j))
+    return F.when(j >= 0, _power(1 - a, j) * running(scaled))
 
 
-def seeded_rma(values: Column, n: int) -> Column:
+def rma(x: Column, n: int, start: Column | int = 1) -> Column:
+    """Wilder's average: the running mean for the first n values."""
+    if n == 1:
+        return x
+    a, j = 1.0 / n, _since(start)
+    scaled = F.when(j < 0, None).when(j < n, x * a).otherwise(a * x * _power(1 / (1 - a), j - n + 1))
+    mean = running(F.when(j >= 0, x)) / (j + 1)
+    return F.when(j < 0, None).when(j < n, mean).otherwise(_power(1 - a, j - n + 1) * running(scaled))
+
+
+def seeded_rma(x: Column, n: int) -> Column:
     """Wilder's average that starts with the mean of the first n values, null before."""
-    seed = F.aggregate(F.slice(values, 1, n), F.lit(0.0), lambda s, v: s + v) / n
-    return scan(values, lambda s, v, i: F.when(i == n - 1, seed).when(i >= n, (s * (n - 1) + v) / n))
+    return F.when(F.col("i") >= n, rma(x, n))
+
+
+def recursive_sum(x: Column, n: int) -> Column:
+    """s - s / n + x, from the first value on."""
+    if n == 1:
+        return x
+    j, b = _since(1), 1 - 1.0 / n
+    return _power(b, j) * running(x * _power(1 / b, j))
+
+
+def first_position(x: Column) -> Column:
+    """The position of the first bar with a value up to the current one."""
+    return F.min(F.when(x.isNotNull(), F.col("i"))).over(by().rowsBetween(Window.unboundedPreceding, 0))
+
+
+# Folds over a symbol's sorted array of at most MAX_BARS bars, for state machines.
+
+
+def scan(values: Column, step: Callable[[Column, Column, Column], Column], of: str = "double") -> Column:
+    """All states of a fold. step(state before, value, position from 0); the state before the first value is null."""
+    return F.aggregate(values, F.array().cast(f"array<{of}>"), lambda out, v: F.concat(out, F.array(step(F.try_element_at(out, F.lit(-1)), v, F.size(out)).cast(of))))
 
 
 def arrays(bars: DataFrame, **columns: Column) -> DataFrame:

@@ -11,29 +11,25 @@ KEEP = ["open", "high", "low", "close", "volume", "back"]
 
 
 def folded(bars: DataFrame, inputs: dict[str, Column], outputs, keep: list[str] = KEEP) -> DataFrame:
-    """bars with recursive series: inputs are arrays by name, outputs(name -> array column) gives the new arrays."""
+    """bars with the states of a state machine: inputs are arrays by name, outputs(name -> array column) gives the new arrays."""
     a = S.arrays(bars, **{k: F.col(k) for k in keep}, **inputs)
     new = outputs({k: F.col(k) for k in inputs})
     return S.rows(a.withColumns(new), *keep, *new)
 
 
 def with_ema(bars: DataFrame, x: Column, lengths: dict[str, int]) -> DataFrame:
-    return folded(bars.withColumn("_x", x), {"x": F.col("_x")}, lambda a: {k: S.ema(a["x"], n) for k, n in lengths.items()})
+    return bars.withColumn("_x", x).withColumns({k: S.ema(F.col("_x"), n) for k, n in lengths.items()}).drop("_x")
 
 
-def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
+def rsi(bars: DataFrame, n: int = 14, name: str = "rsi") -> DataFrame:
     """Wilder's RSI; the first value needs n + 1 bars, and a window without losses gives 100."""
     move = F.col("close") - S.back(F.col("close"))
-    moves = bars.withColumns({"_gain": F.greatest(move, F.lit(0.0)), "_loss": F.greatest(-move, F.lit(0.0))})
-
-    def value(a):
-        # The first bar has no move.
-        tail = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
-        pair = F.zip_with(S.rma(tail(a["gain"]), n), S.rma(tail(a["loss"]), n), lambda up, down: F.when(down == 0, 100.0).otherwise(100 - 100 / (1 + up / F.when(down != 0, down))))
-        late = F.transform(pair, lambda v, i: F.when(i >= n - 1, v))
-        return {"rsi": F.concat(F.array(F.lit(None).cast("double")), late)}
-
-    return folded(moves, {"gain": F.coalesce("_gain", F.lit(0.0)), "loss": F.coalesce("_loss", F.lit(0.0))}, value)
+    b = bars.withColumns({"_gain": F.greatest(move, F.lit(0.0)), "_loss": F.greatest(-move, F.lit(0.0))})
+    # The first bar has no move.
+    b = b.withColumns({"_up": S.rma(F.col("_gain"), n, 2), "_down": S.rma(F.col("_loss"), n, 2)})
+    # Sums of losses that are none leave no rest of rounding, so a window without losses is exactly 0.
+    value = F.when(F.col("_down") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("_up", "_down")))
+    return b.withColumn(name, F.when(F.col("i") > n, value)).drop("_gain", "_loss", "_up", "_down")
 
 
 def rsi_location(x: Column, place: str, near: float = 0.0) -> Column:
@@ -69,21 +65,11 @@ def aroon_level(x: Column, level: str, near: float = 0.0) -> Column:
 
 def wavetrend(bars: DataFrame, channel: int = 10, average: int = 21, signal: int = 4) -> DataFrame:
     b = bars.withColumn("_x", S.source("hlc3"))
-
-    def value(a):
-        esa = S.ema(a["x"], channel)
-        return {"esa": esa}
-
-    e = folded(b, {"x": F.col("_x")}, value, [*KEEP])
-    e = e.withColumn("_gap", S.source("hlc3") - F.col("esa")).withColumn("_far", F.abs("_gap"))
-
-    def second(a):
-        d = S.ema(a["far"], channel)
-        ci = F.zip_with(a["gap"], d, lambda g, y: F.when(y > 0, g / (0.015 * F.when(y > 0, y))))
-        return {"wt1": S.ema(ci, average)}
-
-    w = folded(e, {"gap": F.col("_gap"), "far": F.col("_far")}, second)
-    return w.withColumn("wt2", S.sma(F.col("wt1"), signal))
+    b = b.withColumn("esa", S.ema(F.col("_x"), channel)).withColumn("_gap", F.col("_x") - F.col("esa"))
+    b = b.withColumn("_far", F.abs("_gap")).withColumn("_d", S.ema(F.col("_far"), channel))
+    b = b.withColumn("_ci", F.when(F.col("_d") > 0, F.col("_gap") / (0.015 * F.when(F.col("_d") > 0, F.col("_d")))))
+    b = b.withColumn("_first", S.first_position(F.col("_ci"))).withColumn("wt1", S.ema(F.col("_ci"), average, F.col("_first")))
+    return b.withColumn("wt2", S.sma(F.col("wt1"), signal)).drop("_x", "_gap", "_far", "_d", "_ci", "_first", "esa")
 
 
 def trend_strength(bars: DataFrame, n: int = 11) -> DataFrame:
@@ -91,13 +77,13 @@ def trend_strength(bars: DataFrame, n: int = 11) -> DataFrame:
     was = lambda c: F.coalesce(S.back(F.col(c)), F.lit(0.0))
     h, l = F.col("high"), F.col("low")
     up, down, close = h - was("high"), was("low") - l, was("close")
-    m = bars.withColumns({"_tr": F.greatest(h - l, F.abs(h - close), F.abs(l - close)), "_plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "_minus": F.when((down > up) & (down > 0), down).otherwise(0.0)})
-    f = folded(m, {k: F.col(f"_{k}") for k in ("tr", "plus", "minus")}, lambda a: {f"s_{k}": S.recursive_sum(a[k], n) for k in a})
+    f = bars.withColumns({"_tr": F.greatest(h - l, F.abs(h - close), F.abs(l - close)), "_plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "_minus": F.when((down > up) & (down > 0), down).otherwise(0.0)})
+    f = f.withColumns({f"s{k}": S.recursive_sum(F.col(k), n) for k in ("_tr", "_plus", "_minus")})
     share = lambda c: F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("s_tr")), F.lit(0.0))
     f = f.withColumns({"di_plus": share("s_plus"), "di_minus": share("s_minus")})
     p, q = F.col("di_plus"), F.col("di_minus")
     f = f.withColumn("dx", F.coalesce(F.try_divide(F.abs(p - q) * 100.0, p + q), F.lit(0.0)))
-    return f.withColumn("adx", S.sma(F.col("dx"), n))
+    return f.withColumn("adx", S.sma(F.col("dx"), n)).drop("_tr", "_plus", "_minus", "s_tr", "s_plus", "s_minus")
 
 
 def trend_state(x: Column) -> Column:

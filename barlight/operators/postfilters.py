@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from barlight.functions import series as S
 from barlight.functions.candles import touch
 from barlight.operators import states
-from barlight.operators.indicators import KEEP, folded
 
 SPAN = 5
 
@@ -82,8 +81,7 @@ def dead(bars: DataFrame, lookback: int = 200, runs: int = 3, bounce: float = 20
     the last close above the last swing high recovers it. Symbols of fewer than 12 bars have none."""
     high, low = states.pivots(SPAN)
     marked = bars.withColumns({"_tr": S.true_range(), "_ph": high, "_pl": low})
-    keep = [*KEEP, "_ph", "_pl"]
-    b = folded(marked, {"close2": F.col("close"), "tr": F.col("_tr")}, lambda a: {"line": S.ema(a["close2"], trend), "atr": states.backfilled_atr(a["tr"], 14)}, keep)
+    b = marked.withColumns({"line": S.ema(F.col("close"), trend), "atr": states.backfilled_atr(F.col("_tr"), 14)})
     recent = F.col("back") <= lookback
     tops = lower_run(marked.where("_ph").select("symbol", "i", F.col("high").alias("price"), recent.alias("recent")), "high")
     lows = lower_run(marked.where("_pl").select("symbol", "i", F.col("low").alias("price"), recent.alias("recent")), "low")

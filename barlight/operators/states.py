@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions import series as S
@@ -11,9 +11,9 @@ from barlight.operators.indicators import folded
 
 def backfilled_atr(ranges: Column, n: int) -> Column:
     """Wilder's average of true ranges; bars before the n-th carry its seed, a shorter series its running mean."""
-    seed = F.aggregate(F.slice(ranges, 1, n), F.lit(0.0), lambda s, v: s + v) / n
-    long = F.size(ranges) > n
-    return S.scan(ranges, lambda s, v, i: F.when(long & (i < n), seed).when(i == 0, v).when(i < n, (s * i + v) / (i + 1)).otherwise((s * (n - 1) + v) / n))
+    every = Window.partitionBy("symbol")
+    seed = F.avg(F.when(F.col("i") <= n, ranges)).over(every)
+    return F.when((F.count(ranges).over(every) > n) & (F.col("i") <= n), seed).otherwise(S.rma(ranges, n))
 
 
 def pivots(span: int) -> tuple[Column, Column]:
@@ -31,8 +31,7 @@ def volatility_stop(bars: DataFrame, n: int = 20, factor: float = 2.0) -> DataFr
     of = "struct<hi:double,lo:double,stop:double,up:boolean>"
 
     def value(a):
-        atr = S.seeded_rma(a["tr"], n)
-        given = F.arrays_zip(a["x"].alias("x"), F.zip_with(atr, a["tr"], lambda r, t: F.coalesce(r * factor, t)).alias("d"))
+        given = F.arrays_zip(a["x"].alias("x"), a["d"].alias("d"))
 
         def step(s, v, i):
             x, d = v["x"], v["d"]
@@ -46,5 +45,6 @@ def volatility_stop(bars: DataFrame, n: int = 20, factor: float = 2.0) -> DataFr
 
         return {"state": S.scan(given, step, of)}
 
-    out = folded(bars.withColumns({"_tr": S.true_range(), "_x": F.col("close")}), {"tr": F.col("_tr"), "x": F.col("_x")}, value)
+    b = bars.withColumn("_tr", S.true_range()).withColumn("_d", F.coalesce(S.seeded_rma(F.col("_tr"), n) * factor, F.col("_tr")))
+    out = folded(b.withColumn("_x", F.col("close")), {"x": F.col("_x"), "d": F.col("_d")}, value)
     return out.withColumns({"stop": F.col("state.stop"), "up": F.col("state.up")}).drop("state")

@@ -66,9 +66,8 @@ def win_01(spark, sf_dir):
 SELECT symbol, time, {rounded_sql({"ema": "ema", "rma": "rma", "recursive_sum": "total"})} FROM c JOIN e USING (symbol, i) JOIN r USING (symbol, i) JOIN a USING (symbol, i)""",
 )
 def win_02(spark, sf_dir):
-    a = S.arrays(days(spark, sf_dir, 120), close=F.col("close"), volume=F.col("volume"))
-    a = a.select("symbol", "time", S.ema(F.col("close"), 14).alias("ema"), S.rma(F.col("close"), 14).alias("rma"), S.recursive_sum(F.col("volume"), 11).alias("recursive_sum"))
-    return rounded(S.rows(a, "ema", "rma", "recursive_sum").drop("i"), "symbol", "time")
+    a = days(spark, sf_dir, 120).select("symbol", "time", S.ema(F.col("close"), 14).alias("ema"), S.rma(F.col("close"), 14).alias("rma"), S.recursive_sum(F.col("volume"), 11).alias("recursive_sum"))
+    return rounded(a, "symbol", "time")
 
 
 @query(
@@ -111,9 +110,8 @@ FROM t JOIN r USING (symbol, i) JOIN seed USING (symbol) JOIN n USING (symbol)""
 def win_15(spark, sf_dir):
     t = days(spark, sf_dir, 120).withColumn("tr", S.true_range())
     t = t.withColumn("range_volatility", F.sum(F.when(F.col("low") != 0, (F.col("high") - F.col("low")) / F.abs("low") * 100 / 14)).over(S.frame(-13, 0)))
-    a = S.arrays(t, tr=F.col("tr"), range_volatility=F.col("range_volatility"))
-    a = a.withColumns({"wilder_atr": states.backfilled_atr(F.col("tr"), 14), "strict_atr": S.seeded_rma(F.col("tr"), 14)})
-    return rounded(S.rows(a, "tr", "wilder_atr", "strict_atr", "range_volatility").drop("i"), "symbol", "time")
+    t = t.withColumns({"wilder_atr": states.backfilled_atr(F.col("tr"), 14), "strict_atr": S.seeded_rma(F.col("tr"), 14)})
+    return rounded(t.select("symbol", "time", "tr", "wilder_atr", "strict_atr", "range_volatility"), "symbol", "time")
 
 
 @query(

@@ -23,15 +23,20 @@ def test_moving_average_needs_full_frames(spark):
     assert values(make(spark, [1, 2, 3, 4]).withColumn("m", S.sma(F.col("close"), 3)), "m") == [None, None, 2.0, 3.0]
 
 
-def test_ema_restarts_after_a_gap(spark):
-    df = spark.createDataFrame([([1.0, 2.0, None, 4.0],)], "x array<double>").select(S.ema(F.col("x"), 3).alias("e"))
-    assert df.first().e == [1.0, 1.5, None, 4.0]
-
-
-def test_wilder_average_by_hand(spark):
-    df = spark.createDataFrame([([3.0, 5.0, 7.0, 10.0],)], "x array<double>")
-    r = df.select(S.rma(F.col("x"), 3).alias("a"), S.seeded_rma(F.col("x"), 3).alias("b"), states.backfilled_atr(F.col("x"), 3).alias("c")).first()
-    assert r.a == [3, 4, 5, pytest.approx(20 / 3)] and r.b == [None, None, 5, pytest.approx(20 / 3)] and r.c == [5, 5, 5, pytest.approx(20 / 3)]
+@pytest.mark.parametrize("n", [1, 2, 3, 14, 200])
+def test_recursive_averages_by_recursion(spark, n):
+    x = [3.0 + (k * 37 % 11) - (k * 5 % 7) / 3 for k in range(500)]
+    got = make(spark, x).withColumns({"e": S.ema(F.col("close"), n), "late": S.ema(F.col("close"), n, 4), "r": S.rma(F.col("close"), n), "s": S.recursive_sum(F.col("close"), n), "seeded": S.seeded_rma(F.col("close"), n), "back": states.backfilled_atr(F.col("close"), n)}).orderBy("time").collect()
+    e = r = late = total = None
+    seed = sum(x[:n]) / n
+    for i, (v, row) in enumerate(zip(x, got, strict=True)):
+        e = v if e is None else 2 / (n + 1) * v + (1 - 2 / (n + 1)) * e
+        late = None if i < 3 else v if late is None else 2 / (n + 1) * v + (1 - 2 / (n + 1)) * late
+        r = v if r is None else (r * i + v) / (i + 1) if i < n else (r * (n - 1) + v) / n
+        total = (total or 0.0) * (1 - 1 / n) + v
+        want = (e, late, r, total, r if i >= n - 1 else None, seed if i < n else r)
+        for g, w in zip((row.e, row.late, row.r, row.s, row.seeded, row.back), want, strict=True):
+            assert g == (None if w is None else pytest.approx(w, rel=1e-9))
 
 
 def test_rsi_without_losses_is_100(spark):
