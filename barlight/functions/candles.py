@@ -83,6 +83,19 @@ def matches(kind: str) -> Column:
     return reduce(lambda a, b: a | b, (F.col(p) for p in FAMILIES[kind]), color)
 
 
+def with_confirmation(bars: DataFrame, kind: str, ahead: int, name: str, only: list[str] | None = None) -> DataFrame:
+    """bars with a column: whether a bar from the current one to the one ahead bars later confirms in the way of a type, by color or
+    by one of its family's patterns (of those, the ones named, if any; names of other families don't count)."""
+    allowed = [p for p in FAMILIES[kind] if not only or p in only]
+    found = patterns()
+    now = Bar()
+    color = now.up if "bullish" in kind else now.down
+    if kind.startswith("strong"):
+        color = color & (now.body > now.range * 0.6)
+    match = reduce(lambda a, b: a | b, (found[p] for p in allowed), color)
+    return bars.withColumn(f"{name}_m", match).withColumn(name, confirmed(F.col(f"{name}_m"), ahead)).drop(f"{name}_m")
+
+
 def confirmed(match: Column, ahead: int) -> Column:
     """Whether a bar from the current one to the one ahead bars later matches."""
     return F.max(match).over(frame(0, ahead))

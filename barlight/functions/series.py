@@ -53,9 +53,20 @@ def lwma(x: Column, n: int) -> Column:
     return weighted(x, list(range(1, n + 1)))
 
 
-def alma(x: Column, n: int) -> Column:
+def alma_weights(n: int) -> list[float]:
     m, s = 0.85 * (n - 1), n / 6.0
-    return weighted(x, [math.exp(-((j - m) ** 2) / (2 * s * s)) for j in range(n)])
+    return [math.exp(-((j - m) ** 2) / (2 * s * s)) for j in range(n)]
+
+
+def alma(x: Column, n: int) -> Column:
+    return weighted(x, alma_weights(n))
+
+
+def average(x: Column, n: int, kind: str = "sma", volume: Column | None = None) -> Column:
+    """An average by name."""
+    if kind == "vwma":
+        return vwma(x, volume if volume is not None else F.col("volume"), n)
+    return {"sma": sma, "ema": ema, "rma": seeded_rma, "lwma": lwma, "wma": wma, "alma": alma}[kind](x, n)
 
 
 def vwma(x: Column, volume: Column, n: int) -> Column:
@@ -112,18 +123,18 @@ def _power(b: float, k: Column) -> Column:
 
 def ema(x: Column, n: int, start: Column | int = 1) -> Column:
     """From bar start on, where it is x itself; null before."""
-    if n == 1:
-        return x
     a, j = 2.0 / (n + 1), _since(start)
+    if n == 1:
+        return F.when(j >= 0, x)
     scaled = F.when(j == 0, x).when(j > 0, a * x * _power(1 / (1 - a), j))
     return F.when(j >= 0, _power(1 - a, j) * running(scaled))
 
 
 def rma(x: Column, n: int, start: Column | int = 1) -> Column:
     """Wilder's average: the running mean for the first n values."""
-    if n == 1:
-        return x
     a, j = 1.0 / n, _since(start)
+    if n == 1:
+        return F.when(j >= 0, x)
     scaled = F.when(j < 0, None).when(j < n, x * a).otherwise(a * x * _power(1 / (1 - a), j - n + 1))
     mean = running(F.when(j >= 0, x)) / (j + 1)
     return F.when(j < 0, None).when(j < n, mean).otherwise(_power(1 - a, j - n + 1) * running(scaled))

@@ -11,32 +11,104 @@ from barlight.functions.candles import touch
 ACTIONS = ["touch", "close_above", "close_below", "stay_above", "stay_below"]
 
 
+def regression_of(bars: DataFrame, within: Column, width: float = 2.0, p: str = "") -> DataFrame:
+    """regression() over those bars that within is true for; columns named p_... if p is given."""
+    q = f"{p}_" if p else ""
+    all_bars = Window.partitionBy("symbol")
+    x, i = F.when(within, F.col("close")), F.when(within, F.col("i").cast("double"))
+    out = bars.withColumns({f"{q}slope": F.regr_slope(x, i).over(all_bars), f"{q}intercept": F.regr_intercept(x, i).over(all_bars), f"{q}_var": F.var_pop(x).over(all_bars), f"{q}r": F.corr(x, i).over(all_bars)})
+    slope, r = F.col(f"{q}slope"), F.col(f"{q}r")
+    middle = F.col(f"{q}intercept") + slope * F.col("i")
+    dev = F.sqrt(F.greatest(F.col(f"{q}_var") * (1 - r * r), F.lit(0.0)) + slope * slope)
+    return out.withColumns({f"{q}middle": middle, f"{q}upper": middle + width * dev, f"{q}lower": middle - width * dev}).drop(f"{q}_var")
+
+
 def regression(bars: DataFrame, width: float = 2.0) -> DataFrame:
     """The least-squares line over all bars given, with bands. The deviation is taken one bar off the line, which adds one
     squared slope to the residuals' variance. Three aggregates of one window, no second pass."""
-    all_bars = Window.partitionBy("symbol")
-    x, i = F.col("close"), F.col("i").cast("double")
-    out = bars.withColumns({"slope": F.regr_slope(x, i).over(all_bars), "intercept": F.regr_intercept(x, i).over(all_bars), "_var": F.var_pop(x).over(all_bars), "r": F.corr(x, i).over(all_bars)})
-    middle = F.col("intercept") + F.col("slope") * F.col("i")
-    dev = F.sqrt(F.greatest(F.col("_var") * (1 - F.col("r") * F.col("r")), F.lit(0.0)) + F.col("slope") * F.col("slope"))
-    return out.withColumns({"middle": middle, "upper": middle + width * dev, "lower": middle - width * dev}).drop("_var")
+    return regression_of(bars, F.lit(True), width)
 
 
-def filled_mean(x: Column, n: int) -> Column:
-    """The mean of the last n bars, bars before the first counting as the current one."""
+def filled(x: Column, n: int, kind: str = "sma", volume: Column | None = None) -> Column:
+    """A filter of the last n bars in which bars before the first count as the current one: a plain mean, one weighted by age
+    (lwma: the newest most; alma: a bell near the newest) or by volume (vwma); ema and rma have no frame to fill."""
+    if kind in ("ema", "rma"):
+        return {"ema": S.ema, "rma": S.rma}[kind](x, n)
     f = S.frame(1 - n, 0)
-    return (F.sum(x).over(f) + (n - F.count(x).over(f)) * x) / n
-
-
-def weighted(bars: DataFrame, n: int = 200, width: float = 1.0) -> DataFrame:
-    """The channel of filtered deviations with the plain-mean filter: the line of the last bar's middle and slope, drawn back."""
+    if kind == "sma":
+        return (F.sum(x).over(f) + (n - F.count(x).over(f)) * x) / n
+    if kind == "vwma":
+        v = F.coalesce(volume if volume is not None else F.col("volume"), F.lit(0.0))
+        missing = n - F.count(x).over(f)
+        return F.coalesce(F.try_divide(F.sum(x * v).over(f) + missing * x * v, F.sum(v).over(f) + missing * v), x)
+    weights = [n - k for k in range(n)] if kind == "lwma" else S.alma_weights(n)
+    return sum(F.coalesce(S.back(x, k) if k else x, x) * w for k, w in enumerate(weights)) / sum(weights)
+
+
+def weighted(bars: DataFrame, n: int = 200, width: float = 1.0, kind: str = "sma") -> DataFrame:
+    """The channel of filtered deviations, of any filter: the line of the last bar's middle and slope, drawn back. The slope is the
+    correlation of the deviations with their age, times their filtered size, over half the length."""
     half = (n + 1) // 2
-    b = bars.withColumn("_f", filled_mean(F.col("close"), n)).withColumn("_dev", F.col("close") - F.col("_f"))
-    b = b.withColumns({"_mean": filled_mean(F.col("_dev"), n), "_sd": F.sqrt(F.greatest(filled_mean(F.col("_dev") * F.col("_dev"), n), F.lit(0.0)))})
-    end = F.struct((F.col("_f") + width * F.col("_mean")).alias("m"), (width * F.col("_mean") / half).alias("s"), (width * F.col("_sd")).alias("d"), F.col("i").alias("n"))
+    b = bars.withColumn("_f", filled(F.col("close"), n, kind)).withColumn("_dev", F.col("close") - F.col("_f"))
+    square = F.col("_dev") * F.col("_dev")
+    b = b.withColumns({"_s1": filled(F.col("_dev"), n), "_s2": filled(square, n), "_sd": width * F.sqrt(F.greatest(filled(square, n, kind), F.lit(0.0)))})
+    pull = F.when(F.col("_s2") > 0, F.col("_s1") / F.sqrt(F.when(F.col("_s2") > 0, F.col("_s2"))) * F.col("_sd")).otherwise(0.0)
+    end = F.struct((F.col("_f") + pull).alias("m"), (pull / half).alias("s"), F.col("_sd").alias("d"), F.col("i").alias("n"))
     b = b.withColumn("_end", F.max(F.when(F.col("back") == 1, end)).over(Window.partitionBy("symbol")))
     middle, d = F.col("_end.m") - F.col("_end.s") * (F.col("_end.n") - F.col("i")), F.col("_end.d")
-    return b.withColumns({"middle": middle, "upper": middle + d, "lower": middle - d, "q1": middle - d / 2, "q3": middle + d / 2}).drop("_f", "_dev", "_mean", "_sd", "_end")
+    return b.withColumns({"middle": middle, "upper": middle + d, "lower": middle - d, "q1": middle - d / 2, "q3": middle + d / 2}).drop("_f", "_dev", "_s1", "_s2", "_sd", "_end")
+
+
+def zone_overlap(low: Column, high: Column, kind: str = "wick") -> Column:
+    """Whether a bar's whole range (wick), its body, or either meets a zone."""
+    top, bottom = F.greatest("open", "close"), F.least("open", "close")
+    wick, body = (F.col("low") <= high) & (F.col("high") >= low), (bottom <= high) & (top >= low)
+    return {"wick": wick, "body": body, "both": wick | body}[kind]
+
+
+def zone_action(low: Column, high: Column, kind: str, side: str = "top") -> Column:
+    """entered: the close is in the zone and the close before was not; rejected: the bar met the zone and closed on the inner
+    side of it (below a top zone, above a bottom zone); breach: it closed beyond the zone on the outer side."""
+    c, inside = F.col("close"), lambda x: (x >= low) & (x <= high)
+    inner, outer = (c < low, c > high) if side == "top" else (c > high, c < low)
+    return {"entered": inside(c) & ~F.coalesce(inside(S.back(c)), F.lit(False)), "rejected": zone_overlap(low, high) & inner, "breach": outer}[kind]
+
+
+def breach(line: Column, kind: str = "wick", way: str = "any") -> Column:
+    """Whether a bar's wick or body goes through a line, upward (it starts below and ends above), downward, or either way."""
+    o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    up = {"wick": (o <= line) & (h > line), "body": (o <= line) & (c > line)}
+    down = {"wick": (o >= line) & (l < line), "body": (o >= line) & (c < line)}
+    ways = {"up": up, "down": down}
+    of = lambda w: ways[w]["wick"] | ways[w]["body"] if kind == "both" else ways[w][kind]
+    return of("up") | of("down") if way == "any" else of(way)
+
+
+def liquidity_elevated(n: int = 20, volume: float = 1.15, spread: float = 1.2) -> Column:
+    """Whether a bar has much more volume than the mean of positive ones before it (three at least), or a much wider range."""
+    f = S.frame(-n, -1)
+    positive = F.when(F.col("volume") > 0, F.col("volume"))
+    wide = F.col("high") - F.col("low")
+    much = (F.count(positive).over(f) >= 3) & (F.col("volume") >= volume * F.avg(positive).over(f))
+    return F.coalesce(much, F.lit(False)) | F.coalesce((F.count(wide).over(f) >= 3) & (wide >= spread * F.avg(wide).over(f)), F.lit(False))
+
+
+def line_at(x1: Column, y1: Column, x2: Column, y2: Column, x: Column) -> Column:
+    """The value at x of the line through two points; of a line without width its first value."""
+    return F.when(x2 == x1, y1).otherwise(y1 + (y2 - y1) * (x - x1) / F.nullif(x2 - x1, F.lit(0)))
+
+
+def mintick(price: Column, crypto: Column, given: float | None = None) -> Column:
+    """The tick that lines are rounded to: as given, else by price for stocks, none for coins."""
+    if given:
+        return F.lit(given)
+    return F.when(~crypto, F.when(price < 1, 0.0001).otherwise(0.01))
+
+
+def line_to_tick(x: Column, tick: float, line: str) -> Column:
+    """Upper lines are rounded up, lower lines down, others to the nearest."""
+    up, down = F.ceil(F.round(x / tick, 9)) * tick, F.floor(F.round(x / tick, 9)) * tick
+    return up if line in ("upper", "top", "q3") else down if line in ("lower", "bottom", "q1") else to_tick(x, tick)
 
 
 def to_tick(x: Column, tick: float | None) -> Column:

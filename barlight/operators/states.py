@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions import series as S
-from barlight.operators.indicators import folded
+from barlight.operators.indicators import KEEP, folded
 
 
 def backfilled_atr(ranges: Column, n: int) -> Column:
@@ -26,7 +26,7 @@ def pivots(span: int) -> tuple[Column, Column]:
     return F.coalesce(high, F.lit(False)), F.coalesce(low, F.lit(False))
 
 
-def volatility_stop(bars: DataFrame, n: int = 20, factor: float = 2.0) -> DataFrame:
+def volatility_stop(bars: DataFrame, n: int = 20, factor: float = 2.0, keep: list[str] = KEEP) -> DataFrame:
     """A trailing stop at the extreme since the last turn less (plus) the distance: factor times ATR, the true range before there is one."""
     of = "struct<hi:double,lo:double,stop:double,up:boolean>"
 
@@ -46,5 +46,5 @@ def volatility_stop(bars: DataFrame, n: int = 20, factor: float = 2.0) -> DataFr
         return {"state": S.scan(given, step, of)}
 
     b = bars.withColumn("_tr", S.true_range()).withColumn("_d", F.coalesce(S.seeded_rma(F.col("_tr"), n) * factor, F.col("_tr")))
-    out = folded(b.withColumn("_x", F.col("close")), {"x": F.col("_x"), "d": F.col("_d")}, value)
+    out = folded(b.withColumn("_x", F.col("close")), {"x": F.col("_x"), "d": F.col("_d")}, value, keep)
     return out.withColumns({"stop": F.col("state.stop"), "up": F.col("state.up")}).drop("state")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barlight.functions import candles as K
 from barlight.functions import series as S
 from barlight.operators import channels, postfilters
 from barlight.operators import relational as R
 from barlight.plans import screen
-from barlight.plans.features import _LRC, _MACD, _RSI, BARS, REC, TR, _pivot_sql, _touch_sql, days
+from barlight.plans.features import _ADX, _LRC, _MACD, _O, _PAT, _RSI, _WT, BARS, REC, TR, _age_sql, _pivot_sql, _touch_sql, days
 from barlight.plans.registry import query
 from barlight.sources import bars as B
 from barlight.streaming import bars as stream
@@ -66,11 +67,11 @@ def post_06(spark, sf_dir):
     return postfilters.dead(days(spark, sf_dir))
 
 
-_REQUEST = screen.Request(rules={"sma": {}, "rsi": {"location": "neutral", "tolerance": 10}, "macd": {}}, price=(500.0, 9000.0))
+_REQUEST = screen.Request(rules={"sma": {"rule": "below"}, "rsi": {"location": "neutral", "tolerance": 10}, "macd": {}}, price=(100.0, 9000.0))
 _STAGES = f"""{REC}{BARS}{B.UNIVERSE}, {B.latest_sql('supplier_days', 200)}, avgs AS (SELECT symbol, close, time, back, {S.sma_sql("close", 20)} AS sma FROM c), {_RSI}, {_MACD},
-x AS (SELECT u.symbol, u.ordinal, u.name, u.exchange, u.sector, m.close AS price, m.time AS last_time, coalesce(m.close > m.sma, false) AS a, coalesce(q.rsi BETWEEN 20 AND 80, false) AS b, coalesce(z.macd > z.signal, false) AS d
+x AS (SELECT u.symbol, u.ordinal, u.name, u.exchange, u.sector, m.close AS price, m.time AS last_time, coalesce(m.close < m.sma, false) AS a, coalesce(q.rsi BETWEEN 20 AND 80, false) AS b, coalesce(z.macd > z.signal, false) AS d
   FROM universe u LEFT JOIN avgs m ON m.symbol = u.symbol AND m.back = 1 LEFT JOIN rsi q ON q.symbol = u.symbol AND q.back = 1 LEFT JOIN macd z ON z.symbol = u.symbol AND z.back = 1),
-y AS (SELECT *, CASE WHEN price IS NULL THEN 'excluded:no_data' WHEN NOT price BETWEEN 500 AND 9000 THEN 'excluded:price_range' WHEN NOT a THEN 'excluded:sma' WHEN NOT b THEN 'excluded:rsi' WHEN NOT d THEN 'excluded:macd' ELSE 'included' END AS reason FROM x)"""
+y AS (SELECT *, CASE WHEN price IS NULL THEN 'excluded:no_data' WHEN NOT price BETWEEN 100 AND 9000 THEN 'excluded:price_range' WHEN NOT a THEN 'excluded:sma' WHEN NOT b THEN 'excluded:rsi' WHEN NOT d THEN 'excluded:macd' ELSE 'included' END AS reason FROM x)"""
 
 
 @query("screen_single", f"{_STAGES} SELECT symbol, ordinal, name, exchange, sector, price, last_time, 'sma+rsi+macd' AS matched FROM y WHERE reason = 'included'")
@@ -106,7 +107,7 @@ _MONTH = "(year(CAST(make_timestamp(time * 1000000) AS DATE)) * 12 + month(CAST(
 @query(
     "screen_gate_entry",
     f"""WITH {BARS}{B.UNIVERSE}, mo AS (SELECT symbol, min(time) AS time, arg_max(close, time) AS close FROM (SELECT *, {_MONTH} AS k FROM supplier_days) GROUP BY symbol, k), {B.latest_sql('mo', 20, 'g')},
-gm AS (SELECT symbol, close, back, {S.sma_sql("close", 20)} AS sma FROM g), gate AS (SELECT symbol FROM gm WHERE back = 1 AND close > sma),
+gm AS (SELECT symbol, close, back, {S.sma_sql("close", 20)} AS sma FROM g), gate AS (SELECT symbol FROM gm WHERE back = 1 AND close < sma),
 {B.latest_sql('supplier_days', 60)}, v AS (SELECT symbol, time, close, back, volume / ({S.sma_sql("volume", 30, 1)}) AS rvol FROM c)
 SELECT symbol, ordinal, close AS price, time AS last_time FROM v JOIN universe USING (symbol) WHERE back = 1 AND rvol BETWEEN 0.3 AND 1000 AND symbol IN (SELECT symbol FROM gate)""",
 )
@@ -114,10 +115,128 @@ def screen_gate_entry(spark, sf_dir):
     """Also JN-02: months decide who enters, days who stays."""
     d, u = B.supplier_days(spark, sf_dir), B.universe(spark, sf_dir)
     months = B.rolled_up(d, R.calendar_bucket(F.col("time"), 1, "mo"))
-    out = screen.gated(u, months, screen.Request(rules={"sma": {}}), d, screen.Request(rules={"relative_volume": {"low": 0.3, "high": 1000.0}}))
+    out = screen.gated(u, months, screen.Request(rules={"sma": {"rule": "below"}}, seconds=30 * 86400), d, screen.Request(rules={"relative_volume": {"low": 0.3, "high": 1000.0}}))
     return out.select("symbol", "ordinal", "price", "last_time")
 
 
+def _explained(name: str, request: screen.Request, ctes: str, flags: dict[str, str], logic: str | None = None, doc: str = ""):
+    """Registers a screen that says of every instrument what each rule says. flags: by rule, SQL of (symbol, passed)."""
+    cases = f"WHEN NOT ({logic}) THEN 'excluded:rules'" if logic else " ".join(f"WHEN NOT {r} THEN 'excluded:{r}'" for r in flags)
+    joins = " ".join(f"LEFT JOIN ({q}) t{k} ON t{k}.symbol = u.symbol" for k, q in enumerate(flags.values()))
+    sql = f"""{REC}{BARS}{B.UNIVERSE}, {B.latest_sql('supplier_days', request.depth)}{", " + ctes if ctes else ""},
+said AS (SELECT u.symbol, m.close AS price, {', '.join(f'coalesce(t{k}.passed, false) AS {r}' for k, r in enumerate(flags))} FROM universe u LEFT JOIN (SELECT symbol, close FROM c WHERE back = 1) m ON m.symbol = u.symbol {joins})
+SELECT symbol, {', '.join(f'{r} AS passed_{r}' for r in flags)}, CASE WHEN price IS NULL THEN 'excluded:no_data' {cases} ELSE 'included' END AS reason FROM said"""
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        out = screen.explained(B.universe(spark, sf_dir), B.supplier_days(spark, sf_dir), request)
+        return out.select("symbol", *[f"passed_{r}" for r in flags], "reason")
+
+    run.__doc__ = doc
+
+
+def _any(table: str, condition: str, window: int = 1) -> str:
+    return f"SELECT symbol, bool_or(coalesce({condition}, false) AND back <= {window}) AS passed FROM {table} GROUP BY symbol"
+
+
+_explained(
+    "screen_momentum",
+    screen.Request({"rsi": {"location": "overbought", "tolerance": 10, "window": 5}, "turn": {"rule_of": "rsi", "direction": "turning_up", "window": 3}, "macd": {"rule": "bullish_cross", "tolerance": 1.0, "window": 5}}, logic=("any", ["macd", ("all", ["rsi", "turn"])])),
+    f"{_RSI}, rl AS (SELECT *, {S.lag_sql('rsi')} AS r1, {S.lag_sql('rsi', 2)} AS r2 FROM rsi), {_MACD}, ml AS (SELECT *, {S.lag_sql('near')} AS n1 FROM macd)",
+    {"rsi": _any("rsi", "rsi >= 60", 5), "turn": _any("rl", "r1 - r2 <= 1e-9 AND rsi - r1 > 1e-9", 3), "macd": _any("ml", "m1 <= s1 + n1 AND macd > signal - near", 5)},
+    "macd OR (rsi AND turn)",
+    "ENG-08: groups of rules; windows of any of the last bars; two rules of one kind.",
+)
+_explained(
+    "screen_trend_strength",
+    screen.Request({"adx": {"conditions": ("bullish", "strong"), "threshold": 20.0, "window": 3}, "ema": {"length": 20, "rule": "above", "tolerance": 1.0}, "weak": {"rule_of": "adx", "conditions": ("weak",)}, "cross_": {"rule_of": "adx", "conditions": ("bullish_cross",), "window": 10}, "state": {"rule_of": "adx", "conditions": ("state_up",)}}, logic=("any", ["adx", ("not", ["ema", "weak"]), "cross_", "state"])),
+    f"{_ADX}, al AS (SELECT *, {S.lag_sql('dip')} AS p1, {S.lag_sql('dim')} AS m1 FROM adx), {S.ema_sql('e', 'c', {'ema': ('close', 20)})}, em AS (SELECT symbol, i, back, close, ema FROM c JOIN e USING (symbol, i))",
+    {"adx": _any("adx", "dip > dim AND adx >= 20", 3), "ema": _any("em", "close >= ema - abs(ema) * 0.01"), "weak": _any("adx", "adx < dip AND adx < dim"), "cross_": _any("al", "p1 <= m1 AND dip > dim", 10), "state": _any("adx", "trend_value > 4 AND trend_value <= 10")},
+    "adx OR NOT (ema OR weak) OR cross_ OR state",
+    "AX conditions in a screen.",
+)
+_explained(
+    "screen_wavetrend",
+    screen.Request({"zone": {"rule_of": "wavetrend", "clauses": (("zone", "oversold"), ("direction", "rising")), "inner": 20.0, "window": 10}, "cross_up": {"rule_of": "wavetrend", "clauses": (("cross", "bullish"), ("compare", "above_zero")), "logic": "any", "window": 2}, "either": {"rule_of": "wavetrend", "clauses": (("cross", "any"), ("zone", "overbought")), "logic": "any"}}),
+    f"{_WT}, wl AS (SELECT *, {S.lag_sql('wt1')} AS p1, {S.lag_sql('wt2')} AS p2 FROM w)",
+    {"zone": _any("wl", "wt1 <= -20 AND wt1 - p1 > 1e-9", 10), "cross_up": _any("wl", "coalesce(p1 <= p2 AND wt1 > wt2, false) OR wt1 > 0", 2), "either": _any("wl", "coalesce(p1 <= p2 AND wt1 > wt2, false) OR coalesce(p1 >= p2 AND wt1 < wt2, false) OR wt1 >= 53")},
+    None,
+    "WT-01 to WT-05: clauses of zones, crossings, directions and comparisons.",
+)
+_RV = f"rv AS (SELECT *, CASE WHEN {S.sma_sql('volume', 30, 1)} > 0 THEN volume / ({S.sma_sql('volume', 30, 1)}) END AS rvol, {S.sma_sql('volume', 30)} AS mean FROM c), rvl AS (SELECT *, {S.lag_sql('rvol')} AS p, {S.lag_sql('volume')} AS v1, max(rvol) {_O(4, 0)} AS top FROM rv)"
+_explained(
+    "screen_volume",
+    screen.Request({"rvol": {"rule_of": "relative_volume", "rule": "above", "low": 1.2, "window": 3}, "crossed": {"rule_of": "relative_volume", "rule": "crossed_above", "low": 1.0, "window": 4}, "top": {"rule_of": "relative_volume", "rule": "highest", "window": 5}, "more": {"rule_of": "relative_volume", "rule": "increased_volume"}, "average": {"rule_of": "current_volume", "rule": "above_average"}, "percent": {"rule_of": "current_volume", "rule": "between_average_percent", "low": 50, "high": 120, "window": 2}}, logic=("any", ["rvol", ("all", ["crossed", "average"]), ("not", ["percent", "top"])])),
+    _RV,
+    {"rvol": _any("rvl", "rvol >= 1.2", 3), "crossed": _any("rvl", "p <= 1 AND rvol > 1", 4), "top": _any("rvl", "rvol >= top", 5), "more": _any("rvl", "volume > v1"), "average": _any("rvl", "volume > mean"), "percent": _any("rvl", "floor(100 * volume / mean + 0.5) BETWEEN 50 AND 120", 2)},
+    "rvol OR (crossed AND average) OR NOT (percent OR top)",
+    "VH-02, VH-08: the rules of relative and current volume.",
+)
+_AR = f"ar AS (SELECT symbol, i, back, CASE WHEN i >= 15 THEN 100.0 * (arg_max(i, row(high, -i)) {_O(14, 0)} - arg_min(i, row(low, i)) {_O(14, 0)}) / 14 END AS x FROM c), arl AS (SELECT *, {S.lag_sql('x')} AS x1, {S.lag_sql('x', 2)} AS x2 FROM ar)"
+_explained(
+    "screen_aroon",
+    screen.Request({"level": {"rule_of": "aroon", "level": "above_50", "window": 4}, "turning": {"rule_of": "aroon", "level": "below_-50", "direction": "turning_up", "extreme": 30.0, "window": 30}, "sma": {"length": 10, "rule": "touch", "tolerance": 5.0, "window": 2}}),
+    f"{_AR}, sm AS (SELECT symbol, i, back, close, {S.sma_sql('close', 10)} AS m FROM c)",
+    {"level": _any("ar", "x >= 50", 4), "turning": _any("arl", "x <= -50 AND x1 - x2 <= 1e-9 AND x - x1 > 1e-9 AND x1 <= -30", 30), "sma": _any("sm", "abs(close - m) <= abs(m) * 0.05", 2)},
+    None,
+    "RH-02: levels and turns of the oscillator within a window.",
+)
+_VOLA = f"vr AS (SELECT *, close / nullif({S.lag_sql('close')}, 0) - 1 AS ret, CASE WHEN low <> 0 THEN {TR} * 100 / abs(low) END AS daily FROM c), vv AS (SELECT *, sum(CASE WHEN low <> 0 THEN (high - low) / abs(low) * 100 / 14 END) {_O(13, 0)} AS range_avg, CASE WHEN count(ret) {_O(19, 0)} = 20 THEN stddev_pop(ret) {_O(19, 0)} * 100 END AS realised FROM vr)"
+_explained(
+    "screen_volatility",
+    screen.Request({"range_": {"rule_of": "volatility", "mode": "range_avg", "low": 10.0, "high": 500.0}, "daily": {"rule_of": "volatility", "mode": "daily", "low": 1.0, "high": 20.0, "tolerance": 5.0, "window": 3}, "returns": {"rule_of": "volatility", "mode": "returns_std", "high": 60.0}}),
+    _VOLA,
+    {"range_": _any("vv", "range_avg BETWEEN 10 AND 500"), "daily": _any("vv", "daily BETWEEN -4 AND 25", 3), "returns": _any("vv", "realised <= 60")},
+)
+_CONF = f"pf AS (SELECT *, close > open OR {' OR '.join(K.FAMILIES['bullish'])} AS ok FROM p), pc AS (SELECT *, max(ok) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS confirmed FROM pf)"
+_explained(
+    "screen_patterns",
+    screen.Request({"pattern": {"names": ("bullish_pin_bar", "bullish_engulfing", "tweezer_bottom"), "window": 20, "confirmation": {"type": "bullish", "window": 2}}, "doji": {"rule_of": "pattern", "names": ("doji",), "window": 5}}),
+    f"{_PAT}, {_CONF}",
+    {"pattern": _any("pc", "(bullish_pin_bar OR bullish_engulfing OR tweezer_bottom) AND confirmed", 20), "doji": _any("p", "doji", 5)},
+    None,
+    "Patterns with a confirmation that may come some bars later.",
+)
+_explained(
+    "screen_channel_lines",
+    screen.Request({"middle": {"rule_of": "lrc", "lines": (("middle", "close_above"),), "window": 1}, "lower": {"rule_of": "lrc", "lines": (("lower", "stay_above"), ("upper", "close_above")), "strength": "ignore", "window": 4}, "two": {"rule_of": "lrc", "lines": (("middle", "close_below"),), "window": 2, "tolerance": 1.0}}),
+    f"w AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i) AS j FROM c WHERE back <= 100), l AS (SELECT *, regr_slope(close, i) OVER q AS slope, regr_intercept(close, i) OVER q AS icpt, var_pop(close) OVER q AS var, corr(close, i) OVER q AS r FROM w WINDOW q AS (PARTITION BY symbol)), lrc AS (SELECT *, icpt + slope * i AS middle, sqrt(greatest(var * (1 - r * r), 0) + slope * slope) AS dev FROM l)",
+    {"middle": f"SELECT symbol, {_age_sql('close > middle')} = 1 AS passed FROM lrc GROUP BY symbol", "lower": f"SELECT symbol, {_age_sql('low > middle - 2 * dev OR close > middle + 2 * dev')} = 4 AS passed FROM lrc GROUP BY symbol", "two": f"SELECT symbol, {_age_sql('close < middle - abs(middle) * 0.01')} = 2 AS passed FROM lrc GROUP BY symbol"},
+    None,
+    "CHN-04 in a screen: runs of an exact age.",
+)
+_explained(
+    "screen_correlation_lines",
+    screen.Request({"order_": {"rule_of": "vlr", "tree": ("order", "below"), "window": 3}, "tree": {"rule_of": "vlr", "tree": ("any", [("all", [("compare", "r1", "<", "r2"), ("direction", "r1", "falling")]), ("not", [("zone", "r3", -0.5, 0.5)])])}, "cross_": {"rule_of": "vlr", "tree": ("cross", "r1", "r2", "above"), "window": 15}, "early": {"rule_of": "vlr", "tree": ("any", [("reversal", "early", "bullish"), ("reversal", "exact", "bearish")]), "window": 60}}, logic=("any", ["order_", "tree", "cross_", "early"])),
+    f"r AS (SELECT symbol, i, back, {', '.join(f'CASE WHEN i >= {n} THEN -corr(close, i) {_O(n - 1, 0)} END AS r{k}' for k, n in ((1, 12), (2, 24), (3, 36)))} FROM c), vl AS (SELECT *, {S.lag_sql('r1')} AS p1, {S.lag_sql('r1', 2)} AS q1, {S.lag_sql('r2')} AS p2 FROM r)",
+    {
+        "order_": _any("vl", "r1 < r2 AND r2 < r3", 3), "tree": _any("vl", "coalesce(r1 < r2 AND r1 - p1 < -1e-9, false) OR NOT coalesce(r3 BETWEEN -0.5 AND 0.5, false)"), "cross_": _any("vl", "p1 <= p2 AND r1 > r2", 15),
+        "early": _any("vl", "coalesce(p1 >= 0.7 AND p1 < 0.8 AND p1 - q1 >= -1e-9 AND r1 - p1 < -1e-9, false) OR coalesce(p1 <= -0.8 AND p1 >= -1 AND p1 - q1 <= 1e-9 AND r1 - p1 > 1e-9, false)", 60),
+    },
+    "order_ OR tree OR cross_ OR early",
+    "VL-01 to VL-10: a tree of clauses on the correlation lines.",
+)
+_explained(
+    "screen_waves",
+    screen.Request({"wave": {"rule_of": "ema_wave", "rule": "above", "window": 5}, "spike": {"rule_of": "ema_wave", "rule": "any_spike", "cutoff": 3.0, "window": 5}, "candles": {"rule_of": "linreg_candles", "position": "above", "close": "bullish", "window": 1}, "on_": {"rule_of": "linreg_candles", "position": "on", "window": 2}}),
+    f"h AS (SELECT symbol, time, i, back, (high + low + close) / 3 AS x FROM c), {S.ema_sql('e', 'h', {'a': ('x', 5), 'b': ('x', 25), 'cc': ('x', 50)})}, g AS (SELECT h.symbol, h.i, h.back, x - a AS ga, x - b AS gb, x - cc AS gc FROM h JOIN e USING (symbol, i)), "
+    + f"w AS (SELECT symbol, i, back, {S.sma_sql('ga', 4)} AS wa, {S.sma_sql('gb', 4)} AS wb, {S.sma_sql('gc', 4)} AS wc FROM g), b AS (SELECT symbol, i, back, "
+    + ", ".join(f"CASE WHEN i >= 11 THEN regr_intercept({x}, i) {_O(10, 0)} + regr_slope({x}, i) {_O(10, 0)} * i END AS b{x[0]}" for x in ("open", "high", "low", "close"))
+    + f" FROM c), sg AS (SELECT *, {S.sma_sql('bc', 11)} AS signal FROM b)",
+    {"wave": _any("w", "wa > 0 AND wb > 0 AND wc > 0", 5), "spike": _any("w", "coalesce(wb / nullif(wa, 0) > 3, false) OR coalesce(wc / nullif(wb, 0) > 3, false)", 5), "candles": f"SELECT symbol, {_age_sql('bl > signal AND bc - bo > 1e-6')} = 1 AS passed FROM sg GROUP BY symbol", "on_": f"SELECT symbol, {_age_sql('bl <= signal AND bh >= signal')} = 2 AS passed FROM sg GROUP BY symbol"},
+    None,
+    "RH-05, RH-06: waves and virtual candles.",
+)
+
+
+@query("screen_post_filters")
+def screen_post(spark, sf_dir):
+    """POST-01 and PL-03: dead trends go first, then rules, then channel respect, confluence and the trend channel; tested by parts."""
+    request = screen.Request({"dead_assets": {"kinds": ("strong", "slow")}, "sma": {"length": 50, "rule": "touch", "tolerance": 50.0, "window": 10}, "channel_respect": {"least": 1}, "trend": {"broken": True}, "confluence": {"kind": "clustered", "tolerance": 20.0}})
+    out = screen.explained(B.universe(spark, sf_dir), B.supplier_days(spark, sf_dir), request)
+    return out.select("symbol", *[f"passed_{r}" for r in request.rules], "reason", F.concat_ws("+", "matched").alias("matched"))
+
+
 @query("str_01_closed_bars", f"WITH {B.event_sql(3600)} SELECT symbol, time, open, high, low, close, volume FROM event_bars WHERE time + 3600 <= (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) - 3600 FROM events)")
 def str_01(spark, sf_dir):
     """Also STR-03 to STR-05: a stream's bars, each once its window is closed; repeated events count once."""

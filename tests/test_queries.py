@@ -41,7 +41,14 @@ def test_runs_without_sql(spark, name):
     assert catalog.QUERIES[name](spark, DATA).columns
 
 
-def test_entry_imports():
+@pytest.mark.parametrize("name", [n for n in sorted(catalog.QUERIES) if n.startswith("screen_")])
+def test_screens_say_something(spark, name):
+    assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_entry_imports(spark):
     import __spark_entry__ as e
 
+    assert e.entry(spark).count() > 0
+
     assert set(e.oracle_sql()) <= set(e.queries()) and math.isfinite(len(e.queries()))

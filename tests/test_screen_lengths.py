@@ -15,5 +15,6 @@ def test_long_lengths_have_their_bars(spark, rules):
 
 def test_depth_follows_the_configuration():
     depth = lambda **rules: screen.Request(rules=rules).depth
+    assert depth(sma={"length": 200, "window": 3, "confirmation": {"type": "bullish", "window": 2}}) == 204 and depth(float={}) == 1
     assert depth(sma={"length": 200}) == 200 and depth(rsi={"length": 60}) == 62 and depth(aroon={}) == 16
     assert depth(macd={}) == 200 and depth(macd={"slow": 80}) == 410 and depth(sma={"length": 900}) == 500
