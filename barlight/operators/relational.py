@@ -178,3 +178,21 @@ def last_within(signal: Column, w: int) -> tuple[Column, Column]:
 def by_preference(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first in the order given."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def prefiltered(wanted: DataFrame, seen: DataFrame, least: int) -> DataFrame:
+    """wanted (symbol, ...) without symbols that are not in seen (symbol, distinct), if there are at least so many wanted and any
+    seen at all; otherwise all of them. The two counts are one row each."""
+    counts = wanted.agg(F.count(F.lit(1)).alias("n")).crossJoin(seen.agg(F.count(F.lit(1)).alias("m")))
+    applies = counts.select(((F.col("n") >= least) & (F.col("m") > 0)).alias("applies"))
+    marked = wanted.join(seen.withColumn("there", F.lit(True)), "symbol", "left").crossJoin(F.broadcast(applies))
+    return marked.where(~F.col("applies") | F.col("there").isNotNull()).select(*wanted.columns)
+
+
+def split_by_day(rows: DataFrame, train: int, validation: int) -> DataFrame:
+    """rows (day, ...) with part: train for the first days that occur, validation for the next ones, null after. Only the distinct
+    days, some hundreds a year, are ranked; Spark decides by their size how to join them."""
+    rank = F.row_number().over(Window.orderBy("day"))
+    days = rows.select("day").distinct().withColumn("k", rank)
+    part = F.when(F.col("k") <= train, "train").when(F.col("k") <= train + validation, "validation")
+    return rows.join(days, "day").withColumn("part", part).drop("k")

@@ -1,6 +1,6 @@
 """The engine's queries by name, with their DuckDB SQL."""
 
-from barlight.plans import features, registry, relations, screens  # noqa: F401
+from barlight.plans import features, registry, relations, scalars, screens  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
