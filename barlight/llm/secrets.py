@@ -43,6 +43,8 @@ N = len(SIGNS) + 1
 
 #: Common programming words that ordinary identifiers are built from.
 WORDS = "get set add remove update delete create find list map filter reduce index count size length name value key type node edge tree graph table column row field record user account order item price total number string array object class method function file path read write open close stream buffer queue stack cache store load save parse format render request response server client session token config option default error message event handler callback thread process task worker job batch window state context model view controller test case data time date start end first last next previous min max sum mean version release build deploy docker python java script module package import export main utils helper manager factory service provider adapter wrapper base abstract interface sha md5 utf8 base64 http2 ipv4 x86 win32 log4j oauth2 s3 ec2 v1 v2 2019 2020 2021 2022 2023 2024".split()
+#: Ordinary words of other languages, so that long compounds don't look random.
+OTHERS = "zeit arbeit leben mensch kinder stadt strasse wasser schule sprache wissenschaft gesellschaft verbindung entwicklung regierung geschichte zusammenarbeit freundschaft krankenhaus versicherung rechnung bestellung fahrzeug flugzeug bahnhof wirtschaft umgebung schwierigkeit temps travail enfant ville monde gouvernement histoire environnement développement entreprise connaissance aujourd toujours beaucoup quelques heureusement trabajo tiempo mundo ciudad gobierno historia desarrollo conocimiento empresa siempre muchos pequeño ejemplo importante international communication organization understanding responsibility environment government knowledge establishment characteristic neighbourhood straightforward".split()
 #: Parts of platform names.
 MACHINES, SYSTEMS = "x86_64 i686 aarch64 arm64 armv7l riscv64 ppc64le s390x wasm32".split(), "unknown-linux-gnu unknown-linux-musl pc-windows-msvc apple-darwin manylinux2014 manylinux_2_17 musllinux_1_1 macosx_11_0 win_amd64 linux-android unknown-freebsd none-eabi".split()
 
@@ -66,6 +68,9 @@ def identifiers(n: int, seed: int) -> list[str]:
         lambda w: [*w[:2], *(number(2) for _ in range(3))],
         lambda w: [f"{rng.integers(1990, 2040)}", f"{rng.integers(1, 13):02d}", f"{rng.integers(1, 29):02d}", *w[:1]],
         lambda w: [f"{rng.integers(10**11, 10**14)}"],
+        lambda w: [str(rng.choice(list("=-_+/"))) * int(rng.integers(MIN_SIGNS, 80))],
+        lambda w: ["".join(str(x) for x in rng.choice(OTHERS, rng.integers(1, 4)))],
+        lambda w: ["".join(str(x) for x in rng.choice(OTHERS, rng.integers(1, 4))).title()],
     ]
     out = []
     for i in range(n):
