@@ -124,13 +124,16 @@ def backend(data: bytes):
         raise ValueError(f"model type {m.kind} is not supported")
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ "), "")]
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(MARKER))
-    tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARKER)])
+    steps.append(normalizers.Replace(" ", MARKER))
+    if m.squeeze:  # at the end markers in the text itself go as well
+        steps.append(normalizers.Replace(Regex(f"{MARKER}+$"), ""))
+    tokenizer.normalizer = normalizers.Sequence(steps)
     if not any(MARKER in p.lstrip(MARKER) for p in m.pieces):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARKER}*[^{MARKER}]+|{MARKER}+"), "isolated")
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
+    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix or m.squeeze else [])])
     return tokenizer
 
 
@@ -153,6 +156,7 @@ class Coder:
             self.words = backend(data)
             self.words.normalizer = normalizers_none()
             self.words.pre_tokenizer = pre_tokenizers.Sequence([])
+        self.squeeze = m.squeeze
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARKER, " ").encode() for p, t in zip(m.pieces, m.types, strict=True)]
 
     def marked(self, text: str) -> str:
@@ -176,12 +180,19 @@ class Coder:
         return [b"".join(map(self.known.__getitem__, x)) for x in words]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """As the backend does; bytes that are no UTF-8 go through the backend itself."""
+        """A text starts without the marker that was put before it; where spaces are squeezed, each piece loses one until there is
+        text. Bytes that are no UTF-8 go through the backend itself."""
         out = []
         for x in ids:
+            found = list(map(self.bytes.__getitem__, x))
+            at = 0
+            while at < len(found) and (self.squeeze or self.prefix and not at):
+                found[at] = found[at].removeprefix(b" ")
+                if found[at]:
+                    break
+                at += 1
             try:
-                text = b"".join(map(self.bytes.__getitem__, x)).decode()
-                out.append(text[1:] if self.prefix and text[:1] == " " else text)
+                out.append(b"".join(found).decode())
             except UnicodeDecodeError:
                 out.append(self.backend.decode(x, skip_special_tokens=False))
         return out
