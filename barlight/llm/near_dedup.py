@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlight.llm.exact_dedup import all_positions, bitmaps, filter_bits, flagged, repeated_positions
-from barlight.llm.tables import read, saved, small_batches
+from barlight.llm.tables import deleted, read, saved, small_batches
 from barlight.llm.textscan import Scan, chunks, grams, mix
 
 WORDS, THRESHOLD = 5, 0.8
@@ -258,7 +258,8 @@ def links(members: DataFrame, sketches: DataFrame, signatures: DataFrame, weight
         tested = now if tested is None else tested.unionByName(now)
         open_rows = saved(rest.join(tested.where("same").select("a", "b"), ["a", "b"], "left_anti").select("band", "bucket", "key"), "open")
         crowded = open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("bucket")
-        left = saved(open_rows.join(crowded, "bucket", "left_semi"), "left")
+        was, left = left, saved(open_rows.join(crowded, "bucket", "left_semi"), "left")
+        deleted(leaders, rest, open_rows, *([was] if was is not members else []))
         n = left.count()
         # Another leader pays where it takes a class of copies out of a crowded bucket.
         if not n or (before is not None and n > 0.9 * before):
@@ -399,6 +400,7 @@ def components(pairs: DataFrame) -> DataFrame:
         step = saved(step, "step")
         jump = step.select(F.col("key").alias("to"), F.col("label").alias("further"))
         done = saved(step.join(jump, step["label"] == jump["to"], "left").select("key", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        deleted(step, labels)
         labels = done.select("key", "label")
         if done.where("label != was").isEmpty():
             return labels
