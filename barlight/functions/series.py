@@ -101,6 +101,13 @@ def crossed_above(a: Column, b: Column) -> Column:
     return (back(a) <= back(b)) & (a > b)
 
 
+def crossed(a: Column, b: Column, strict: bool = False) -> Column:
+    """Whether a crosses b, up or down; strictly, from beyond it and not from on it."""
+    if strict:
+        return ((back(a) < back(b)) & (a > b)) | ((back(a) > back(b)) & (a < b))
+    return crossed_above(a, b) | crossed_above(b, a)
+
+
 def direction(x: Column, kind: str, eps: float = 1e-9) -> Column:
     now, before = x - back(x), back(x) - back(x, 2)
     return {"rising": now > eps, "falling": now < -eps, "turning_up": (before <= eps) & (now > eps), "turning_down": (before >= -eps) & (now < -eps)}[kind]

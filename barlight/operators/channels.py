@@ -127,7 +127,42 @@ def age(match: Column) -> Column:
     return (F.coalesce(F.min(F.when(~F.coalesce(match, F.lit(False)), F.col("back"))), F.max("back") + 1) - 1).cast("long")
 
 
-TREND_SCHEMA = "symbol string, direction string, broken boolean, break_index long, start_index long, created_at long, slope double, top double, middle double, bottom double"
+AREAS = ["top_line", "middle_line", "bottom_line", "top_zone", "bottom_zone"]
+
+
+def trend_areas(bars: DataFrame, found: DataFrame, rules: dict[str, str], window: int = 1, tolerance: float = 0.0) -> DataFrame:
+    """A row for each symbol of found, the latest trend channels: passed, whether every rule (an action by area, or "disabled") has
+    held for just window bars up to the last. Bars before the channel began or after it broke are not eligible, so a broken channel
+    has no run; if all rules are disabled it passes. Lines take touch, close_above, close_below, stay_above and stay_below, zones
+    entered, rejected and breach. The channel's lines at a bar are those of its last one, moved back by its slope."""
+    if unknown := set(rules) - set(AREAS):
+        raise ValueError(f"unknown areas: {sorted(unknown)}")
+    b = bars.join(found, "symbol")
+    end = F.coalesce("break_index", F.max("i").over(Window.partitionBy("symbol")))
+    b = b.withColumn("_ago", end - F.col("i"))
+    line = lambda k: F.col(k) - F.col("slope") * F.col("_ago")
+    b = b.withColumns({k: line(k) for k in ("top", "middle", "bottom")}).withColumn("eligible", (F.col("i") >= F.col("start_index")) & (F.col("_ago") >= 0))
+    active = {a: kind for a, kind in rules.items() if kind != "disabled"}
+    hits = {}
+    for area, kind in active.items():
+        side, what = area.split("_")
+        if what == "line":
+            hits[area] = action(side, kind, tolerance)
+        else:
+            near = 2 * F.col("edge")
+            low, high = (F.col("top") - near, F.col("top")) if side == "top" else (F.col("bottom"), F.col("bottom") + near)
+            hits[area] = zone_action(low, high, kind, side)
+    if not hits:
+        return found.select("symbol", F.lit(bool(rules)).alias("passed"))
+    b = b.withColumns({f"_{a}": F.coalesce(h, F.lit(False)) & F.col("eligible") for a, h in hits.items()})
+    runs = b.groupBy("symbol").agg(*[age(F.col(f"_{a}")).alias(a) for a in hits])
+    every = F.lit(True)
+    for a in hits:
+        every = every & (F.col(a) == window)
+    return runs.select("symbol", every.alias("passed"))
+
+
+TREND_SCHEMA = "symbol string, direction string, broken boolean, break_index long, start_index long, created_at long, slope double, top double, middle double, bottom double, edge double"
 
 
 def trend(bars: DataFrame, span: int = 8, width: float = 6.0, zone: float = 1 / 7, period: int = 10, mintick: float | None = None) -> DataFrame:
@@ -173,7 +208,7 @@ def trend(bars: DataFrame, span: int = 8, width: float = 6.0, zone: float = 1 /
                     continue
                 off, edge = (-1 if top else 1) * atr * width, atr * width * zone
                 ends = {"top": max(y2, y2 + off) + edge, "middle": y2 + off / 2, "bottom": min(y2, y2 + off) - edge}
-                now[top] = {"direction": "down" if top else "up", "slope": slope, "start_index": x1 + 1, "created_at": t + 1, "broken": False, "break_index": None, **{k: tick(v) for k, v in ends.items()}}
+                now[top] = {"direction": "down" if top else "up", "slope": slope, "start_index": x1 + 1, "created_at": t + 1, "broken": False, "break_index": None, "edge": edge, **{k: tick(v) for k, v in ends.items()}}
                 last = dict(now[top])
             for top in (True, False):
                 if c := now[top]:

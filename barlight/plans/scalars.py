@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from barlight.functions import scalars as X
 from barlight.functions import series as S
-from barlight.operators import channels, states
+from barlight.operators import channels, indicators, states
 from barlight.operators import relational as R
-from barlight.plans.features import BARS, _O, _pivot_sql, days
+from barlight.plans import screen
+from barlight.plans.features import _MACD, _RSI, BARS, REC, _O, _alma_weights, _filled, _pivot_sql, _weighted_sql, days, rounded, rounded_sql
 from barlight.plans.registry import query
 from barlight.sources import bars as B
+from barlight.sources import shared
 
 _RAW = "CASE id % 8 WHEN 0 THEN ' x:c' || id || 'usd' WHEN 1 THEN 'C' || id || '/USD' WHEN 2 THEN 'c' || id || '-USD' WHEN 3 THEN 'c-' || id || '_usd' WHEN 4 THEN 'C' || id || ':USD' WHEN 5 THEN '-usd' WHEN 6 THEN 'C' || id || '-USDT' ELSE 's' || id || ' ' END"
 
@@ -177,3 +179,95 @@ def chn_01(spark, sf_dir):
     k, x = F.col("p_partkey"), F.col("p_retailprice") / 7
     line = lambda name: channels.line_to_tick(x, 0.05, name).alias(name)
     return B.table(spark, sf_dir, "part").select(k.alias("id"), line("upper"), line("lower"), line("middle"), channels.mintick(x, k % 3 == 0).alias("tick"), channels.line_at(F.lit(1), F.lit(10.0), F.lit(5), x, k).alias("at"))
+
+
+_SRC = {"hl2": "(high + low) / 2", "ohlc4": "(open + high + low + close) / 4", "hlcc4": "(high + low + 2 * close) / 4"}
+
+
+@query(
+    "win_08_named_averages",
+    f"""{REC}{BARS}{B.latest_sql('supplier_days', 120)}, x AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _SRC.items())} FROM c), {S.ema_sql('e', 'x', {'ema': ('hl2', 9)})}, {S.rma_sql('r', 'x', {'rma': ('ohlc4', 9)})}
+SELECT symbol, time, {rounded_sql({"sma": S.sma_sql("hlcc4", 9), "wma": _weighted_sql("hl2", list(range(9, 0, -1))), "lwma": _weighted_sql("open", list(range(1, 10))), "alma": _weighted_sql("high", _alma_weights(9)), "vwma": f"CASE WHEN i >= 9 AND sum(greatest(volume, 0)) {_O(8, 0)} > 0 THEN sum(low * greatest(volume, 0)) {_O(8, 0)} / sum(greatest(volume, 0)) {_O(8, 0)} END", "ema": "ema", "rma": "CASE WHEN i >= 9 THEN rma END"})} FROM x JOIN e USING (symbol, i) JOIN r USING (symbol, i)""",
+)
+def win_08(spark, sf_dir):
+    """Also WIN-35: averages by name over prices by name."""
+    of = {"sma": "hlcc4", "wma": "hl2", "lwma": "open", "alma": "high", "vwma": "low", "ema": "hl2", "rma": "ohlc4"}
+    return rounded(days(spark, sf_dir, 120).select("symbol", "time", *[S.average(S.source(x), 9, kind).alias(kind) for kind, x in of.items()]), "symbol", "time")
+
+
+def _filled_sql(weights: list[float]) -> str:
+    total = " + ".join(f"{float(w)!r}::DOUBLE * " + (f"coalesce({S.lag_sql('close', k)}, close)" if k else "close") for k, w in enumerate(weights))
+    return f"({total}) / {float(sum(weights))!r}::DOUBLE"
+
+
+@query(
+    "win_30_filters",
+    f"""WITH {BARS}{B.latest_sql('supplier_days', 60)} SELECT symbol, time, {rounded_sql({"sma": _filled("close", 9), "lwma": _filled_sql(list(range(9, 0, -1))), "alma": _filled_sql(_alma_weights(9)), "vwma": f"(sum(close * volume) {_O(8, 0)} + greatest(9 - i, 0) * close * volume) / (sum(volume) {_O(8, 0)} + greatest(9 - i, 0) * volume)"})} FROM c""",
+)
+def win_30(spark, sf_dir):
+    """Filters in which bars before the first count as the current one."""
+    return rounded(days(spark, sf_dir, 60).select("symbol", "time", *[channels.filled(F.col("close"), 9, kind).alias(kind) for kind in ("sma", "lwma", "alma", "vwma")]), "symbol", "time")
+
+
+@query(
+    "ind_16_weighted_filters",
+    f"""WITH {BARS}{B.latest_sql('supplier_days', 100)}, f AS (SELECT *, {_filled_sql(list(range(20, 0, -1)))} AS f FROM c), d AS (SELECT symbol, i, back, close - f AS close, f FROM f),
+q AS (SELECT symbol, i, back, close * close AS close FROM d), w AS (SELECT symbol, i, {_filled_sql(list(range(20, 0, -1)))} AS m2 FROM q), g AS (SELECT *, {_filled("close", 20)} AS s1, {_filled("close * close", 20)} AS s2 FROM d),
+z AS (SELECT g.symbol, g.back, f, sqrt(m2) AS sd, CASE WHEN s2 > 0 THEN s1 / sqrt(s2) * sqrt(m2) ELSE 0 END AS pull FROM g JOIN w USING (symbol, i))
+SELECT symbol, {rounded_sql({"middle": "f + pull", "upper": "f + pull + sd", "lower": "f + pull - sd"})} FROM z WHERE back = 1""",
+)
+def ind_16_filters(spark, sf_dir):
+    """Also TH-10: the channel of deviations from another filter than the plain mean."""
+    c = channels.weighted(days(spark, sf_dir, 100), 20, kind="lwma").where("back = 1")
+    return rounded(c.select("symbol", "middle", "upper", "lower"), "symbol")
+
+
+@query(
+    "win_22_crossings",
+    f"WITH {BARS}{B.latest_sql('supplier_days', 60)}, m AS (SELECT *, {S.sma_sql('close', 5)} AS a, {S.sma_sql('close', 20)} AS b FROM c), l AS (SELECT *, {S.lag_sql('a')} AS a1, {S.lag_sql('b')} AS b1 FROM m) SELECT symbol, time, coalesce((a1 <= b1 AND a > b) OR (a1 >= b1 AND a < b), false) AS either, coalesce((a1 < b1 AND a > b) OR (a1 > b1 AND a < b), false) AS strict FROM l",
+)
+def win_22(spark, sf_dir):
+    """Crossings in either direction, from a line on or from beyond it."""
+    m = days(spark, sf_dir, 60).withColumns({"a": S.sma(F.col("close"), 5), "b": S.sma(F.col("close"), 20)})
+    a, b = F.col("a"), F.col("b")
+    return m.select("symbol", "time", F.coalesce(S.crossed(a, b), F.lit(False)).alias("either"), F.coalesce(S.crossed(a, b, strict=True), F.lit(False)).alias("strict"))
+
+
+@query("flt_01_manual_symbols", f"WITH {B.UNIVERSE}, {BARS}p AS (SELECT symbol, arg_max(close, time) AS price FROM supplier_days GROUP BY symbol) SELECT symbol, ordinal, price FROM universe JOIN p USING (symbol) WHERE symbol IN ('3', '1', '7', '9999')")
+def flt_01(spark, sf_dir):
+    """Also FLT-10 and PL-02: symbols given by hand short-cut the universe; rules of another scope don't count."""
+    request = screen.Request({"sma": {"length": 400, "timeframe": "secondary"}}, symbols=["3", "1", "7", "9999"]).scoped("primary")
+    return screen.screened(B.universe(spark, sf_dir), B.supplier_days(spark, sf_dir), request).select("symbol", "ordinal", "price")
+
+
+@query(
+    "ind_20_snapshots",
+    f"""{REC}{BARS}{B.latest_sql('supplier_days', 200)}, {_RSI}, {_MACD}, snap AS (SELECT c.symbol, c.close, rsi.rsi, macd.macd, macd.signal FROM c JOIN rsi ON rsi.symbol = c.symbol AND rsi.back = 1 JOIN macd ON macd.symbol = c.symbol AND macd.back = 1 WHERE c.back = 1)
+SELECT symbol, rsi BETWEEN 20 AND 80 AS rsi, macd > signal AS macd, rsi BETWEEN 20 AND 80 AND macd > signal AS passed FROM snap""",
+)
+def ind_20(spark, sf_dir):
+    """Rules on a table of the last values of indicators, computed before: no bar is read again."""
+    b = indicators.macd(indicators.rsi(days(spark, sf_dir, 200)))
+    stored = b.where("back = 1").select("symbol", "close", "rsi", "macd", "signal")
+    return screen.on_snapshots(stored, {"rsi": {"location": "neutral", "tolerance": 10}, "macd": {"rule": "above_signal"}})
+
+
+@query("snk_07_reports", f"WITH {B.UNIVERSE} SELECT exchange, CAST(count(*) AS BIGINT) AS n, '| ' || exchange || ' | ' || count(*) || ' |' AS line FROM universe GROUP BY exchange")
+def snk_07(spark, sf_dir):
+    """A report written as JSON, CSV and Markdown, read back from each."""
+    rows = B.universe(spark, sf_dir).groupBy("exchange").agg(F.count(F.lit(1)).alias("n"))
+    at = shared.reported(rows, shared.scratch(spark))
+    lines = spark.read.text(at["md"]).select(F.regexp_extract("value", r"^\| (.*) \| \d+ \|$", 1).alias("exchange"), F.col("value").alias("line"))
+    csv = spark.read.option("header", True).schema("exchange string, n long").csv(at["csv"])
+    return spark.read.schema("exchange string, n long").json(at["json"]).join(csv, ["exchange", "n"]).join(lines, "exchange").select("exchange", "n", "line")
+
+
+@query("chn_05_trend_areas")
+def chn_05(spark, sf_dir):
+    """Also TH-02 to TH-04 and LIM-10: actions on the latest trend channel's lines and zones, up to its break; tested by hand."""
+    b = days(spark, sf_dir)
+    found = channels.trend(b, 8, mintick=0.01)
+    out = found.select("symbol", "direction", "broken")
+    for area, kind in (("middle_line", "stay_above"), ("bottom_zone", "rejected"), ("top_line", "close_below")):
+        out = out.join(channels.trend_areas(b, found, {area: kind}).withColumnRenamed("passed", area), "symbol")
+    return out

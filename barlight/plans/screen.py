@@ -211,3 +211,21 @@ def any_of(universe: DataFrame, bars: DataFrame, request: Request) -> DataFrame:
     return explained(universe, bars, request).where(ok).select("symbol")
 
 
+
+
+def on_snapshots(stored: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """Rules on one row of stored values for each symbol (close, and rsi, stochrsi's k, sma, ema, macd and signal, aroon as far as
+    asked for): a boolean of each rule by its name, and passed."""
+    c = F.col("close")
+    of = {
+        "rsi": lambda location="neutral", tolerance=0.0: indicators.rsi_location(F.col("rsi"), location, tolerance),
+        "stochrsi": lambda rule="oversold": {"oversold": F.col("k") <= 20, "overbought": F.col("k") >= 80}[rule],
+        "aroon": lambda level="above_50", tolerance=0.0: indicators.aroon_level(F.col("aroon"), level, tolerance),
+        "macd": lambda rule="above_signal": {"above_signal": F.col("macd") > F.col("signal"), "below_signal": F.col("macd") < F.col("signal"), "above_zero": F.col("macd") > 0, "below_zero": F.col("macd") < 0}[rule],
+        "sma": lambda rule="above": c > F.col("sma") if rule == "above" else c < F.col("sma"),
+        "ema": lambda rule="above": c > F.col("ema") if rule == "above" else c < F.col("ema"),
+    }
+    if unknown := set(rules) - set(of):
+        raise ValueError(f"no stored values for: {sorted(unknown)}")
+    said = {n: F.coalesce(of[n](**config), F.lit(False)) for n, config in rules.items()}
+    return stored.select("symbol", *[v.alias(n) for n, v in said.items()], reduce(lambda a, b: a & b, said.values(), F.lit(True)).alias("passed"))

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.sources.bars import epoch
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; one of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barlight-")
-    return f"{folder.rstrip('/')}/barlight-stream-{uuid.uuid4().hex}"
+from barlight.sources.shared import scratch
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def walks(n, length, seed):
 
 
 def frame(spark, found):
-    rows = [(s, 86400 * i, *bar, 10.0) for s, bars in found.items() for i, bar in enumerate(bars)]
+    rows = [(s, 86400 * i, *map(float, bar), 10.0) for s, bars in found.items() for i, bar in enumerate(bars)]
     return B.latest(spark.createDataFrame(rows, "symbol string, time long, open double, high double, low double, close double, volume double"))
 
 
@@ -116,3 +116,17 @@ def test_failed_recoveries_by_hand(spark):
     rows = {"A": [(c, c + 0.5, c - 0.5, c) for c in fall], "B": [(c, c + 0.5, c - 0.5, c) for c in [*up, *up]]}
     kinds = {r.symbol: r.kind for r in postfilters.dead(frame(spark, rows)).collect()}
     assert kinds == {"A": "failed", "B": "none"}
+
+
+def test_trend_areas(spark):
+    """A rising channel whose last bars close above the middle line; a broken one has no run after its break."""
+    b = frame(spark, {"A": [(100 + k, 101 + k, 99 + k, 100.0 + k) for k in range(20)], "B": [(100, 101, 99, 100.0)] * 20})
+    rows = [("A", "up", False, None, 5, 5, 1.0, 130.0, 118.5, 107.0, 1.0), ("B", "up", True, 10, 5, 5, 0.0, 110.0, 99.0, 90.0, 5.0)]
+    found = spark.createDataFrame(rows, channels.TREND_SCHEMA)
+    passed = lambda rules, window=1: {r.symbol: r.passed for r in channels.trend_areas(b, found, rules, window).collect()}
+    assert passed({"middle_line": "close_above"}, 16) == {"A": True, "B": False} and passed({"middle_line": "close_above"}, 15)["A"] is False
+    assert passed({"middle_line": "disabled"}) == {"A": True, "B": True} and passed({}) == {"A": False, "B": False}
+    assert passed({"middle_line": "close_above", "top_line": "close_below"}, 16)["A"] is True
+    assert passed({"bottom_zone": "rejected"})["B"] is False and passed({"top_zone": "breach"})["A"] is False
+    with pytest.raises(ValueError, match="areas"):
+        channels.trend_areas(b, found, {"side": "touch"})
