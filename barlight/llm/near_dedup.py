@@ -6,6 +6,7 @@ than the share RARE of all texts have the shingle, and mild enough that the edit
 copies share. So only frequent shingles need a count, and there are at most (mean shingles a text) / RARE of them, however
 large the corpus. They are found exactly in two passes: blocks of texts report shingles that at least RARE / 2 of their
 texts have, which no frequent shingle can escape in all blocks; then those reported often enough are counted in all texts.
+(A task of fewer than 2 / RARE texts reports all its shingles, so inputs should not be dealt in smaller pieces.)
 
 Each text gets HASHES samples; a band is the joint hash of ROWS of them (BANDS fixed subsets). Texts that share a band's
 value are candidates: all are compared with a leader, by exact weighted Jaccard over whole texts. The leader is the text that
