@@ -2,8 +2,8 @@
 
 Two second-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained from
 labelled samples: random strings drawn by a seeded rule over usual alphabets, identifiers built by rule from common
-programming words, platform names, versions and dates, and as further ordinary samples the words of documents labelled as good
-(at most SAMPLE_DOCS documents, in the order of a hash of doc_id). Every candidate (CANDIDATE) of a text is scored: it becomes
+programming words, platform names, versions and dates, and as further ordinary samples the words of documents labelled as good,
+also in capitals (at most SAMPLE_DOCS documents, in the order of a hash of doc_id). Every candidate (CANDIDATE) of a text is scored: it becomes
 a span of kind model if its log-likelihood ratio a character is over a threshold, which leaves MAX_FALSE of the held-out
 ordinary candidates above it and is at least 0. Of a candidate that touches a span of the fixed patterns the rest is scored,
 where MIN_SIGNS or more are left. Strings of the form of a UUID are identifiers, not secrets.
@@ -87,6 +87,8 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, labels:
     if docs is not None and labels is not None:
         good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").alias("q")).where("q = 1").orderBy(F.xxhash64("of"), "of").limit(SAMPLE_DOCS)
         words = docs.join(F.broadcast(good), docs["doc_id"] == good["of"]).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_-]{5,}"), F.lit(0))).alias("text"))
+        # Shouted words are as ordinary as others.
+        words = words.select(F.explode(F.array("text", F.upper("text"))).alias("text"))
         out = out.unionByName(words.select("text", F.lit(False).alias("random"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held_out")))
     return out
 
