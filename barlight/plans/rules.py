@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions import candles as K
@@ -97,9 +97,9 @@ def macd(b: DataFrame, p: str, fast=12, slow=26, signal=9, rule="above_signal",
     m, s = F.col(f"{p}_macd"), F.col(f"{p}_signal")
     b = b.withColumn(f"{p}_near", F.greatest(F.abs(m), F.abs(s)) * tolerance / 100)
     near = F.col(f"{p}_near")
-    b = b.withColumns({f"{p}_up": (S.back(m) <= S.back(s) + S.back(near)) & (m > s - near), f"{p}_down": (S.back(m) >= S.back(s) - S.back(near)) & (m < s + near)})
+    b = b.withColumns({f"{p}_up": (S.back(m) <= S.back(s) + S.back(near)) & (m > s - near), f"{p}_down": (S.back(m) >= S.back(s) - S.back(near)) & (m < s + near), f"{p}_more": m - s > S.back(m - s), f"{p}_less": m - s < S.back(m - s)})
     rules = {"above_signal": m > s, "below_signal": m < s, "above_zero": m > 0, "below_zero": m < 0, "bullish_cross": F.col(f"{p}_up"), "bearish_cross": F.col(f"{p}_down")}
-    return b, _chosen(rule, rules | {"histogram_above_zero": rules["above_signal"], "histogram_below_zero": rules["below_signal"]}), m - s
+    return b, _chosen(rule, rules | {"histogram_above_zero": rules["above_signal"], "histogram_below_zero": rules["below_signal"], **{f"histogram_{d}_{w}_zero": F.col(f"{p}_{c}") & (m > s if w == "above" else m < s) for d, c in (("rising", "more"), ("falling", "less")) for w in ("above", "below")}}), m - s
 
 
 def wavetrend(b: DataFrame, p: str, clauses=(("zone", "oversold"),), logic="all", outer=60.0, inner=53.0, channel=10, average=21, signal=4) -> Found:
@@ -116,13 +116,19 @@ def wavetrend(b: DataFrame, p: str, clauses=(("zone", "oversold"),), logic="all"
     return b, joined([_chosen(v, kinds[kind]) for kind, v in clauses], logic), one
 
 
-def adx(b: DataFrame, p: str, conditions=("bullish",), length=11, threshold=20.0) -> Found:
-    """Conditions on the directional lines, all of which must hold."""
+def adx(b: DataFrame, p: str, conditions=("bullish",), length=11, threshold=20.0, distance=1.0, bars=3) -> Found:
+    """Conditions on the directional lines, all of which must hold. bullish_started and bearish_started: the line has been ahead for
+    bars bars at most; ..._active: for so many at least."""
     b = _new(b, lambda d: indicators.trend_strength(d, length), p)
     up, down, x = F.col(f"{p}_di_plus"), F.col(f"{p}_di_minus"), F.col(f"{p}_adx")
     b = b.withColumns({f"{p}_bull": S.crossed_above(up, down), f"{p}_bear": S.crossed_above(down, up), f"{p}_both": S.crossed_above(x, up) & (x > down) | S.crossed_above(x, down) & (x > up), f"{p}_rise": S.direction(x, "rising"), f"{p}_fall": S.direction(x, "falling")})
     state = indicators.trend_state(up - down)
+    run = lambda ahead: F.col("i") - F.coalesce(F.max(F.when(~F.coalesce(ahead, F.lit(False)), F.col("i"))).over(S.by().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    b = b.withColumns({f"{p}_run_up": run(up > down), f"{p}_run_down": run(down > up)})
+    long = {k: F.col(f"{p}_run_{k}") for k in ("up", "down")}
     of = {
+        **{f"{name}_{what}": ok for name, k in (("bullish", "up"), ("bearish", "down")) for what, ok in (("started", long[k].between(1, bars)), ("active", long[k] >= bars))},
+        "adx_near_plus": F.abs(x - up) <= distance, "adx_near_minus": F.abs(x - down) <= distance, "background_bullish": state.isin("up", "rising", "top"), "background_bearish": state.isin("down", "falling", "bottom"),
         "bullish": up > down, "bearish": down > up, "bullish_cross": F.col(f"{p}_bull"), "bearish_cross": F.col(f"{p}_bear"), "strong": x >= threshold, "weak": (x < up) & (x < down), "adx_below_threshold": x < threshold,
         "adx_above_both": (x > up) & (x > down), "adx_crossed_above_both": F.col(f"{p}_both"), "adx_rising": F.col(f"{p}_rise"), "adx_falling": F.col(f"{p}_fall"), "adx_above_plus": x > up, "adx_above_minus": x > down, "adx_below_plus": x < up, "adx_below_minus": x < down,
         **{f"state_{s}": state == s for s in ("top", "rising", "up", "neutral", "down", "falling", "bottom")},
@@ -134,11 +140,13 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
     """Correlation lines r1 to r3. tree: a clause (kind, ...), or (all | any | not, [trees]).
 
     order: below or above (r1, r2, r3); reversal: exact or early, bullish or bearish; compare: line, sign, number or line;
-    zone: line, low, high; direction: line, direction; cross: line, line, above or below."""
+    zone: line, low, high; direction: line, direction; cross: line, line, above or below; both: line, above or below (it comes to
+    be beyond both others); crossings: how many pairs of lines cross at a bar at least. A sign may be "near", within slack."""
     b = b.withColumn(f"{p}_s", S.source(source))
     b = b.withColumns({f"{p}_r{k}": S.pearson(F.col(f"{p}_s"), first + step * (k - 1)) for k in (1, 2, 3)})
     line = lambda name: F.col(f"{p}_{name}")
     made: dict[str, Column] = {}
+    made2: dict[str, Column] = {}
 
     def stored(c: Column) -> Column:
         made[f"{p}_c{len(made)}"] = c
@@ -158,7 +166,7 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
         if kind == "compare":
             name, sign, other = args
             x, y = line(name), line(other) if isinstance(other, str) else F.lit(float(other))
-            return {"<": x < y + slack, "<=": x <= y + slack, ">": x > y - slack, ">=": x >= y - slack}[sign]
+            return {"<": x < y + slack, "<=": x <= y + slack, ">": x > y - slack, ">=": x >= y - slack, "near": F.abs(x - y) <= slack}[sign]
         if kind == "zone":
             return line(args[0]).between(args[1], args[2])
         if kind == "direction":
@@ -166,6 +174,15 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
         if kind == "cross":
             x, y = line(args[0]), line(args[1])
             return stored(S.crossed_above(x, y) if args[2] == "above" else S.crossed_above(y, x))
+        if kind == "both":
+            x, *others = line(args[0]), *(line(n) for n in ("r1", "r2", "r3") if n != args[0])
+            beyond = (x > F.greatest(*others)) if args[1] == "above" else (x < F.least(*others))
+            b_name = stored(beyond)
+            made2[f"{p}_d{len(made2)}"] = F.coalesce(b_name, F.lit(False)) & ~F.coalesce(S.back(b_name), F.lit(True))
+            return F.col(f"{p}_d{len(made2) - 1}")
+        if kind == "crossings":
+            pairs = [(r[0], r[1]), (r[0], r[2]), (r[1], r[2])]
+            return stored(sum(F.coalesce(S.crossed(x, y), F.lit(False)).cast("int") for x, y in pairs) >= args[0])
         raise ValueError(f"unknown clause: {kind}")
 
     def hit(t) -> Column:
@@ -174,7 +191,9 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
         return clause(*t)
 
     out = hit(tree)
-    return b.withColumns(made) if made else b, out, line("r1")
+    for more in (made, made2):
+        b = b.withColumns(more) if more else b
+    return b, out, line("r1")
 
 
 def volume_spikes(b: DataFrame, p: str, rule="either", length=100, times=1.5) -> Found:
@@ -183,10 +202,11 @@ def volume_spikes(b: DataFrame, p: str, rule="either", length=100, times=1.5) ->
     return b, _chosen(rule, {"bullish": up, "bearish": down, "either": up | down}), F.col("volume")
 
 
-def relative_volume(b: DataFrame, p: str, rule="between", low=0.0, high=1e9, average=30, window=1) -> Found:
+def relative_volume(b: DataFrame, p: str, rule="between", low=0.0, high=1e9, average=30, window=1, lines=("ma2",)) -> Found:
+    """entry: each of the regression lines named crosses above 0 or is there already, and one crosses now."""
     b = _new(b, lambda d: indicators.relative_volume(d, average), p)
     x, v = F.col(f"{p}_rvol"), F.col("volume")
-    b = b.withColumns({f"{p}_up": S.crossed_above(x, F.lit(float(low))), f"{p}_down": S.crossed_above(F.lit(float(low)), x), f"{p}_entry": S.crossed_above(F.col(f"{p}_ma2"), F.lit(0.0)), f"{p}_top": x >= F.max(x).over(S.frame(1 - max(window, 2), 0)), f"{p}_alert": S.crossed_above(v, F.lit(2e8)), f"{p}_more": v > S.back(v)})
+    b = b.withColumns({f"{p}_up": S.crossed_above(x, F.lit(float(low))), f"{p}_down": S.crossed_above(F.lit(float(low)), x), f"{p}_entry": joined([S.crossed_above(F.col(f"{p}_{m}"), F.lit(0.0)) for m in lines], "any") & joined([F.col(f"{p}_{m}") > 0 for m in lines], "all"), f"{p}_top": x >= F.max(x).over(S.frame(1 - max(window, 2), 0)), f"{p}_alert": S.crossed_above(v, F.lit(2e8)), f"{p}_more": v > S.back(v)})
     return b, _chosen(rule, {"between": x.between(low, high), "above": x >= low, "below": x <= high, "crossed_above": F.col(f"{p}_up"), "crossed_below": F.col(f"{p}_down"), "highest": F.col(f"{p}_top"), "anomaly": v - F.col(f"{p}_ma2") > F.col(f"{p}_sd21"), "entry": F.col(f"{p}_entry"), "volume_alert": F.col(f"{p}_alert"), "increased_volume": F.col(f"{p}_more")}), x
 
 
@@ -211,7 +231,7 @@ def volatility_stop(b: DataFrame, p: str, rule="uptrend", length=20, factor=2.0,
     up, stop, c = F.col(f"{p}_upward"), F.col(f"{p}_stop"), F.col("close")
     v = v.withColumns({f"{p}_was": S.back(up), f"{p}_rise": S.direction(stop, "rising"), f"{p}_fall": S.direction(stop, "falling"), f"{p}_c_up": S.crossed_above(c, stop), f"{p}_c_down": S.crossed_above(stop, c)})
     was, near = F.col(f"{p}_was"), F.abs(c - stop) <= F.abs(stop) * tolerance / 100
-    of = {"uptrend": up, "downtrend": ~up, "turned_up": up & ~was, "turned_down": ~up & was, "price_above": c > stop, "price_below": c < stop, "near_stop": near, "stop_rising": F.col(f"{p}_rise"), "stop_falling": F.col(f"{p}_fall"), "price_crossed_above": F.col(f"{p}_c_up"), "price_crossed_below": F.col(f"{p}_c_down")}
+    of = {"uptrend": up, "downtrend": ~up, "turned_up": up & ~was, "turned_down": ~up & was, "reversed": up != was, "price_above": c > stop, "price_below": c < stop, "near_stop": near, "stop_rising": F.col(f"{p}_rise"), "stop_falling": F.col(f"{p}_fall"), "price_crossed_above": F.col(f"{p}_c_up"), "price_crossed_below": F.col(f"{p}_c_down")}
     return v, _chosen(rule, of), stop
 
 

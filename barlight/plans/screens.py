@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barlight.functions import candles as K
@@ -139,6 +141,9 @@ def _any(table: str, condition: str, window: int = 1) -> str:
     return f"SELECT symbol, bool_or(coalesce({condition}, false) AND back <= {window}) AS passed FROM {table} GROUP BY symbol"
 
 
+#: The same tables under names that the other indicators' do not have.
+_ADX_BESIDE = re.sub(r"\bm\b", "moves", _ADX)
+
 _explained(
     "screen_momentum",
     screen.Request({"rsi": {"location": "overbought", "tolerance": 10, "window": 5}, "turn": {"rule_of": "rsi", "direction": "turning_up", "window": 3}, "macd": {"rule": "bullish_cross", "tolerance": 1.0, "window": 5}}, logic=("any", ["macd", ("all", ["rsi", "turn"])])),
@@ -229,6 +234,25 @@ _explained(
 )
 
 
+_explained(
+    "screen_rule_options",
+    screen.Request(
+        {
+            "hist": {"rule_of": "macd", "rule": "histogram_rising_above_zero", "window": 2}, "sinking": {"rule_of": "macd", "rule": "histogram_falling_below_zero", "window": 2}, "started": {"rule_of": "adx", "conditions": ("bullish_started",), "bars": 5}, "active": {"rule_of": "adx", "conditions": ("bearish_active", "background_bearish"), "bars": 2},
+            "near": {"rule_of": "adx", "conditions": ("adx_near_plus",), "distance": 5.0, "window": 10}, "all_lines": {"rule_of": "vlr", "tree": ("both", "r1", "above"), "window": 15}, "crossings": {"rule_of": "vlr", "tree": ("crossings", 2), "window": 60},
+        },
+        logic=("any", ["hist", "sinking", "started", "active", "near", "all_lines", "crossings"]),
+    ),
+    f"{_MACD}, mh AS (SELECT *, macd - signal AS h, {S.lag_sql('macd - signal')} AS h1 FROM macd), {_ADX_BESIDE}, au AS (SELECT *, i - coalesce(max(CASE WHEN NOT (dip > dim) THEN i END) OVER (PARTITION BY symbol ORDER BY i), 0) AS run_up, i - coalesce(max(CASE WHEN NOT (dim > dip) THEN i END) OVER (PARTITION BY symbol ORDER BY i), 0) AS run_down FROM adx), "
+    + f"vr AS (SELECT symbol, i, back, {', '.join(f'CASE WHEN i >= {n} THEN -corr(close, i) {_O(n - 1, 0)} END AS r{k}' for k, n in ((1, 12), (2, 24), (3, 36)))} FROM c), vo AS (SELECT *, CASE WHEN r2 IS NOT NULL OR r3 IS NOT NULL THEN coalesce(r1 > greatest(r2, r3), false) ELSE false END AS over_, {', '.join(f'{S.lag_sql(x)} AS {x}p' for x in ('r1', 'r2', 'r3'))} FROM vr), vb AS (SELECT *, {S.lag_sql('over_')} AS was, {' + '.join(f'CAST(coalesce(({x}p <= {y}p AND {x} > {y}) OR ({x}p >= {y}p AND {x} < {y}), false) AS INT)' for x, y in (('r1', 'r2'), ('r1', 'r3'), ('r2', 'r3')))} AS n FROM vo)",
+    {
+        "hist": _any("mh", "h > h1 AND macd > signal", 2), "sinking": _any("mh", "h < h1 AND macd < signal", 2), "started": _any("au", "run_up BETWEEN 1 AND 5"), "active": _any("au", "run_down >= 2 AND trend_value < -4"), "near": _any("au", "abs(adx - dip) <= 5", 10), "all_lines": _any("vb", "over_ AND NOT coalesce(was, true)", 15), "crossings": _any("vb", "n >= 2", 60),
+    },
+    "hist OR sinking OR started OR active OR near OR all_lines OR crossings",
+    "AX-03 to AX-05, RH-03, VL-09: backgrounds, histogram colors, crossings of several lines.",
+)
+
+
 @query("screen_post_filters")
 def screen_post(spark, sf_dir):
     """POST-01 and PL-03: dead trends go first, then rules, then channel respect, confluence and the trend channel; tested by parts."""
