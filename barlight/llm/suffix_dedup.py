@@ -21,7 +21,7 @@ the asked positions of a text are dealt over several rows, ASKED at most in each
 Texts that are equal as wholes are one text to the sort, and repeat each other from end to end. Texts are told apart by two
 64-bit hashes, and numbered by the first wherever it is unique. Nulls: a null text is empty; rows without doc_id take part.
 Repeated rows count as copies of each other. An empty table gives an empty result. Repeats within one text alone do not count.
-Words are compared as they are, by 64-bit hashes. Very long texts are scanned whole. Other columns pass through, whatever
+Words are compared as they are, by 64-bit hashes in the arrays and by 32 bits of them in extensions. Very long texts are scanned whole. Other columns pass through, whatever
 their names.
 """
 
@@ -165,13 +165,18 @@ def matches(suffixes: DataFrame, order: list[str]) -> DataFrame:
     return found.where("edge IS NULL").select("id", "pos", "other", "other_pos").unionByName(both)
 
 
+def short(s: Scan) -> np.ndarray:
+    """32 bits of each word's hash: enough to extend matches that already agree on KEY words."""
+    return (s.word_hashes() >> U(32)).astype(np.uint32).view(np.int32)
+
+
 def _contexts(reach: int):
     """For texts with requests: what the asking text needs of them, the word hashes around the position."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, s in chunks(batch.column(1)):
-                h = s.word_hashes().view(np.int64)
+                h = short(s)
                 for i in range(a, b):
                     words = h[s.tok_off[i - a] : s.tok_off[i - a + 1]]
                     flat = batch.column(2)[i].values
@@ -186,7 +191,7 @@ def _contexts(reach: int):
 
 
 WANT = ["id", "pos", "other", "other_pos", "left", "more_left", "more_right", "words"]
-WANT_TYPES = "id long, pos int, other long, other_pos int, left int, more_left boolean, more_right boolean, words array<long>"
+WANT_TYPES = "id long, pos int, other long, other_pos int, left int, more_left boolean, more_right boolean, words array<int>"
 
 
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -237,7 +242,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans, and rows without first_word that ask for more."""
     for batch in batches:
         for a, b, s in chunks(batch.column(1)):
-            h = s.word_hashes().view(np.int64)
+            h = short(s)
             points = s.code_points()
             rows = []
             for i in range(a, b):
@@ -291,7 +296,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """texts: id (of distinct texts), text. Spans (id, first_word, end_word, start, end) that repeat in other texts; spans of
     different rounds may overlap."""
     suffixes = shared_suffixes(texts)
-    pairs = saved(matches(suffixes, ["right", "before"]).unionByName(matches(suffixes, ["before", "right"])).distinct(), "matches")
+    both = [matches(suffixes, ["right", "before"]), matches(suffixes, ["before", "right"])]
+    pairs = saved(both[0].unionByName(both[1]).distinct(), "matches")
+    deleted(suffixes, *both)
     reach, out = REACH, None
     while True:
         found = extended(texts, pairs, reach)
