@@ -13,14 +13,19 @@ score is the sum of log10 of the probability in the state of the longest retaine
 
 The score of a position is a sum of independent lookups: the root's value of the word, the back-off weight of each context
 that is retained, and for each branch what it adds to the probability backed off to. So a scan of the texts looks up usual
-keys in the task and sends the others, those that a Bloom filter of bounded size lets through, to one join with the tables.
+keys in the task and sends the others, those that a Bloom filter of bounded size lets through, to where the tables are.
 Branches are counted level by level: deeper ones only where both of their parts one word shorter are branches, again by a
-Bloom filter. Where a filter is full, more rows are counted and joined, with the same results.
+Bloom filter. Where a filter is full, more keys are counted and looked up, with the same results.
+
+Keys are hashes, and what is counted or looked up is dealt out by ranges of them, PART_BYTES of text to a range, so that a
+range is of bounded size whatever the corpus. Tasks send a range's keys as packed numbers in one row, Spark shuffles the rows
+by range, and each range is counted or looked up as numpy arrays. A key that is in a third of all texts is summed in each
+task before it is sent.
 
 Nulls: a null text is empty (only the end), a null doc_id counts as the empty text in crc32; doc_id can be of any type.
 Very long texts are scanned as others, alone in their chunk. Repeated rows get equal results, once each. An empty table gives
-an empty result. Other columns are not looked at, whatever their names. Words and runs are told apart by a 64-bit hash, rows
-by doc_id and a 64-bit hash of their text.
+an empty result. Other columns are not looked at, whatever their names. Words are told apart by a 64-bit hash, runs by 48 bits
+of one, rows by their place in a block of rows.
 """
 
 from __future__ import annotations
@@ -28,23 +33,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlight.llm.exact_dedup import BUCKET, bitmaps
-from barlight.llm.tables import read, saved, small_batches
+from barlight.llm.tables import deleted, read, saved, small_batches
 from barlight.llm.textscan import Scan, chunks, mix
 
 FOLDS, HELD_OUT = 5, 1
 DEPTH, MIN_COUNT, DIVERGENCE, DISCOUNT, KAPPA = 2, 2, 12.0, 0.5, 1.0
 #: So many words, and as many branches, are looked up in the task at most; the filter has at most so many bits.
-USUAL, FILTER_BITS = 1_500_000, 1 << 28
+USUAL, FILTER_BITS = 500_000, 1 << 27
 U = np.uint64
 BEGIN, END = U(0x1B873593CC9E2D51), U(0x85EBCA6BC2B2AE35)
-HELD = 1 << 21
+#: Runs, and the symbols that they are made of, are counted by the upper 48 bits of their hashes.
+SHORT = U(0xFFFFFFFFFFFF0000)
+#: Keys that a task holds before it sends them, and text to a range of keys.
+HELD, PART_BYTES = 1 << 19, 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,7 +61,7 @@ def held_out(doc_id: Column) -> Column:
 
 class Words:
     """Of a chunk of texts: symbols (a start, the words and an end for each text), the text and place of each symbol, and
-    runs(d): a hash of each symbol with the d before it."""
+    runs(d): a hash of each symbol with the d before it, of 48 bits (the upper ones) from d = 1 on."""
 
     def __init__(self, s: Scan):
         n = np.diff(s.tok_off)
@@ -68,15 +76,18 @@ class Words:
 
     def runs(self, d: int) -> np.ndarray:
         while len(self._runs) <= d:
-            k, x, before = len(self._runs), self._runs[0], self._runs[-1]
+            k, x, before = len(self._runs), self.short(0), self.short(len(self._runs) - 1)
             out = x.copy()
             out[1:] = run_of(before[:-1], x[1:], k)
             self._runs.append(out)
         return self._runs[d]
 
+    def short(self, d: int) -> np.ndarray:
+        return self.runs(d) & SHORT
+
     def before(self, d: int) -> np.ndarray:
-        """runs(d) of the symbol before."""
-        return np.append(U(0), self.runs(d)[:-1])
+        """runs(d) of the symbol before, of 48 bits."""
+        return np.append(U(0), self.short(d)[:-1])
 
     def predicted(self, d: int) -> np.ndarray:
         """Whether a symbol has a context of d symbols in its text."""
@@ -84,13 +95,13 @@ class Words:
 
 
 class Filter:
-    """A Bloom filter with two positions a key, which is a hash already."""
+    """A Bloom filter with two positions a key, which is a hash already; only its upper 48 bits count."""
 
     def __init__(self, keys: DataFrame, column: str, most: int = FILTER_BITS):
         n = max(1, keys.count())
         self.bits = min(most, BUCKET << max(0, (-(-16 * n // BUCKET) - 1).bit_length()))
         low = F.lit(self.bits - 1).cast("long")
-        at = F.explode(F.array(F.col(column).bitwiseAND(low) + 1, F.shiftrightunsigned(column, 31).bitwiseAND(low) + 1))
+        at = F.explode(F.array(F.shiftrightunsigned(column, 16).bitwiseAND(low) + 1, F.shiftrightunsigned(column, 36).bitwiseAND(low) + 1))
         self.map = np.zeros(self.bits // 8, dtype=np.uint8)
         for r in bitmaps(keys.select(at.alias("at"))).collect():
             self.map[(r.bucket - 1) * BUCKET // 8 : r.bucket * BUCKET // 8] = np.frombuffer(r.bits, dtype=np.uint8)
@@ -98,83 +109,108 @@ class Filter:
     def __call__(self, key: np.ndarray) -> np.ndarray:
         low = U(self.bits - 1)
         out = np.ones(len(key), dtype=bool)
-        for at in (key & low, (key >> U(31)) & low):
+        for at in ((key >> U(16)) & low, (key >> U(36)) & low):
             out &= (self.map[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
         return out
 
 
-def merged(at: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    a, c = np.concatenate(at), np.concatenate(n)
-    order = np.argsort(a, kind="stable")
-    a, c = a[order], c[order]
-    first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, dtype=np.int64)
-    return a[first], np.add.reduceat(c, first) if len(a) else c
-
-
-class Counts:
-    """Counts of keys, merged as they come in; rows() gives a batch of them when there are many."""
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> U(32)) * U(parts)) >> U(32)
 
-    def __init__(self) -> None:
-        self.at, self.n = [], []
 
-    def add(self, values: np.ndarray) -> None:
-        a, c = np.unique(values, return_counts=True)
-        self.at.append(a)
-        self.n.append(c)
+def part_column(key: str, parts: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(parts), 32).cast("int")
 
-    def full(self) -> bool:
-        if sum(map(len, self.at)) <= HELD:
-            return False
-        a, c = merged(self.at, self.n)
-        self.at, self.n = [a], [c]
-        return len(a) > HELD // 2
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        a, c = merged(self.at, self.n) if self.at else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
-        self.at, self.n = [], []
-        return a.view(np.int64), c.astype(np.int64)
+def slices(key: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """Of sorted keys: each range that has some, and where it starts and ends."""
+    part = part_of(key, parts)
+    ends = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        if a < b:
+            yield int(part[a]), int(a), int(b)
 
 
 class Branches:
-    """Counts of branches by run, with context and word, merged as they come in."""
+    """Counts of branches (context, word), merged in the order of their run when there are many."""
 
-    def __init__(self) -> None:
-        self.held: list[list[np.ndarray]] = []
+    def __init__(self, d: int) -> None:
+        self.d, self.held = d, []
+
+    def run(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return run_of(context, word, self.d) if self.d else word
 
     def add(self, context: np.ndarray, word: np.ndarray, run: np.ndarray) -> None:
         _, first, n = np.unique(run, return_index=True, return_counts=True)
-        self.held.append([context[first], word[first], run[first], n])
+        self.put([context[first], word[first], n.astype(np.uint32)])
 
-    def _merge(self) -> list[np.ndarray]:
-        context, word, run, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        order = np.argsort(run, kind="stable")
-        first = np.flatnonzero(np.append(True, run[order][1:] != run[order][:-1]))
-        self.held = [[context[order][first], word[order][first], run[order][first], np.add.reduceat(n[order], first)]] if len(order) else []
-        return self.held[0] if self.held else [context, word, run, n]
+    def put(self, columns: list[np.ndarray]) -> None:
+        self.held.append(columns)
 
     def full(self) -> bool:
-        return sum(len(x[3]) for x in self.held) > HELD and len(self._merge()[3]) > HELD // 2
+        return sum(len(x[2]) for x in self.held) > HELD
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        context, word, _, n = self._merge() if self.held else [np.zeros(0, dtype=np.int64)] * 4
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """run, context, word and n in the order of run; nothing is held any more."""
+        if not self.held:
+            return np.zeros(0, dtype=U), np.zeros(0, dtype=U), np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+        context, word, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held = []
-        return context, word, n
+        run = self.run(context, word)
+        order = np.argsort(run)
+        run = run[order]
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else order
+        n = np.add.reduceat(n[order], first, dtype=np.int64) if len(run) else n.astype(np.int64)
+        order = order[first]
+        return run[first], context[order], word[order], n
 
 
 def run_of(context: np.ndarray, word: np.ndarray, d: int) -> np.ndarray:
     """The hash of a run from that of the d symbols before its last and the last one's."""
-    return mix(word + mix(context) * U(2 * d + 1))
+    return mix(word + mix(context) * U(2 * d + 1)) & SHORT
 
 
-def counted(training: DataFrame, d: int, branch: Filter | None = None) -> DataFrame:
-    """context (a run of d symbols), word and n, summed over all training texts; at level 1 also the symbols, with context 0.
-    Deeper branches are counted where both runs of d symbols in them pass the filter. training: one column of texts."""
+def packed(context: np.ndarray, word: np.ndarray, n: np.ndarray, d: int) -> tuple[bytes, bytes, bytes]:
+    """Of branches 6 bytes of context and word and one byte of the count (larger ones are several branches); of words all."""
+    if not d:
+        return b"", word.tobytes(), n.astype(np.uint32).tobytes()
+    if (n > 255).any():
+        times = -(-n // 255)
+        context, word = np.repeat(context, times), np.repeat(word, times)
+        last = np.cumsum(times) - 1
+        rest = n - (times - 1) * 255
+        n = np.full(len(word), 255)
+        n[last] = rest
+    six = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    return six(context), six(word), n.astype(np.uint8).tobytes()
+
+
+def unpacked(context, word, n, d: int) -> list[np.ndarray]:
+    if not d:
+        word = np.frombuffer(word, dtype=U)
+        return [np.zeros(len(word), dtype=U), word, np.frombuffer(n, dtype=np.uint32)]
+
+    def eight(x) -> np.ndarray:
+        out = np.zeros((len(x) // 6, 8), dtype=np.uint8)
+        out[:, 2:] = np.frombuffer(x, dtype=np.uint8).reshape(-1, 6)
+        return out.reshape(-1).view(U)
+
+    return [eight(memoryview(context)), eight(memoryview(word)), np.frombuffer(n, dtype=np.uint8).astype(np.uint32)]
+
+
+def counted(training: DataFrame, d: int, parts: int, branch: Filter | None = None) -> DataFrame:
+    """run, its context (a run of d symbols), word and n, summed over all training texts, of branches with MIN_COUNT; at level 1 also all
+    symbols, with context 0. Deeper branches are counted where both runs of d symbols in them pass the filter. training: one
+    column of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs = Counts(), Branches()
+        words, runs = Branches(0), Branches(d)
 
-        def row(context, word, n):
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (context, word, n)], ["context", "word", "n"])
+        def sent(held: Branches) -> Iterator[pa.RecordBatch]:
+            run, context, word, n = held.merged()
+            rows = [(p, held.d, *packed(context[a:b], word[a:b], n[a:b], held.d)) for p, a, b in slices(run, parts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], ["part", "level", *PACKED])
 
         for batch in batches:
             for _, _, s in chunks(batch.column(0), lower=True):
@@ -184,27 +220,39 @@ def counted(training: DataFrame, d: int, branch: Filter | None = None) -> DataFr
                     known = branch(w.runs(d - 1))
                     there &= known & np.append(False, known[:-1])
                 else:
-                    words.add(w.runs(0))
-                runs.add(w.before(d - 1)[there], w.runs(0)[there], w.runs(d)[there])
+                    x = w.runs(0)
+                    words.add(np.zeros(len(x), dtype=U), x, x)
+                runs.add(w.before(d - 1)[there], w.short(0)[there], w.runs(d)[there])
                 if words.full():
-                    at, n = words.rows()
-                    yield row(np.zeros(len(at), dtype=np.int64), at, n)
+                    yield from sent(words)
                 if runs.full():
-                    yield row(*runs.rows())
-        at, n = words.rows()
-        yield row(np.zeros(len(at), dtype=np.int64), at, n)
-        yield row(*runs.rows())
+                    yield from sent(runs)
+        yield from sent(words)
+        yield from sent(runs)
+
+    def total(table: pa.Table) -> pa.Table:
+        held = Branches(table["level"][0].as_py())
+        for row in zip(*(table[c] for c in PACKED), strict=True):
+            held.put(unpacked(*(x.as_buffer() for x in row), held.d))
+        run, context, word, n = held.merged()
+        some = n >= (MIN_COUNT if held.d else 1)
+        return pa.table({"run": run[some].view(np.int64), "context": context[some].view(np.int64), "word": word[some].view(np.int64), "n": n[some]})
 
-    return training.mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+    sent = training.mapInArrow(count, "part int, level int, " + ", ".join(f"{c} binary" for c in PACKED))
+    return sent.groupBy("part", "level").applyInArrow(total, "run long, context long, word long, n long")
+
+
+PACKED = ["contexts", "words", "ns"]
+KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
 
 
 class Tree:
     """The suffix tree as saved tables: words (at, c), and of each level d the branches (run, n, adds) and the contexts
     (context, n, weight), adds and weight as log10."""
 
-    def __init__(self, training: DataFrame, depth: int = DEPTH):
+    def __init__(self, training: DataFrame, parts: int, depth: int = DEPTH):
         begin = int(BEGIN.view(np.int64))
-        rows = saved(counted(training, 1), "counts")
+        rows = saved(counted(training, 1, parts), "counts")
         symbols = saved(rows.where("context = 0").select(F.col("word").alias("at"), F.col("n").alias("c")), "words")
         self.words = symbols.where(F.col("at") != begin)
         n, v = self.words.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -212,30 +260,36 @@ class Tree:
         self.log_all = float(np.log10(self.total + 0.5 * (self.distinct + 1)))
         self.branches: list[DataFrame] = []
         self.contexts: list[DataFrame] = []
-        often = rows.where("context != 0").where(F.col("n") >= MIN_COUNT)
-        root = self.words.select("at", (F.log10(F.col("c") + 0.5) - self.log_all).alias("backed"))
-        found = often.join(symbols.select(F.col("at").alias("context"), F.col("c").alias("of")), "context").join(root, F.col("word") == F.col("at")).drop("at")
+        often = rows.where("context != 0")
+        short = F.col("at").bitwiseAND(int(SHORT.view(np.int64)))
+        root = self.words.groupBy(short.alias("word")).agg((F.log10(F.max("c") + 0.5) - self.log_all).alias("backed"))
+        sizes = symbols.groupBy(short.alias("context")).agg(F.max("c").alias("of"), F.max_by("at", "c").alias("symbol"))
+        found = often.join(sizes, "context").join(root, "word").withColumn("suffix", F.col("word"))
         for d in range(1, depth + 1):
             if d > 1:
-                rows = saved(counted(training, d, Filter(self.branches[-1], "run")).where(F.col("n") >= MIN_COUNT), "counts")
-                of = below.select(F.col("run").alias("context"), F.col("n").alias("of"), "suffix")
-                backed = below.select(F.col("run").alias("back"), F.col("lp").alias("backed"))
-                found = _hashed(rows.join(of, "context"), "suffix", "back", d - 1).join(backed, "back")
-            below = self._level(found, d)
-
-    def _level(self, found: DataFrame, d: int) -> DataFrame:
-        """Keeps the branches that diverge, of all found: context, word, n, of (count of the context), backed (log10 of what the
-        shorter context says) and from level 2 back, the same run without its first symbol. Returns run, suffix, n and lp of all."""
+                deleted(rows)
+                rows = saved(counted(training, d, parts, Filter(self.branches[-1], "run")), "counts")
+                # The context without its first symbol, and what it says of the word.
+                of = below.select(F.col("run").alias("context"), F.col("n").alias("of"), F.col("suffix").alias("shorter"))
+                backed = below.select(F.col("context").alias("shorter"), "word", F.col("lp").alias("backed"), F.col("run").alias("suffix"))
+                found = rows.join(of, "context").join(backed, ["shorter", "word"]).withColumn("symbol", F.col("context"))
+            below = self._level(found)
+        deleted(rows)
+
+    def _level(self, found: DataFrame) -> DataFrame:
+        """Keeps the branches that diverge, of all found: run, context, word, suffix (the run without its first symbol), n, of
+        (count of the context), symbol (by which the context is looked up) and backed (log10 of what the shorter context says).
+        Returns run, context, word, suffix, n and lp of those kept; as both parts of a deeper branch are branches, no others count."""
         gain = F.col("n") * (F.log(F.col("n") / F.col("of")) - F.col("backed") * float(np.log(10)))
-        found = saved(_hashed(found, "context", "run", d).select("context", "run", F.col("back" if d > 1 else "word").alias("suffix"), "n", "of", "backed", (gain > DIVERGENCE).alias("kept")), "found")
+        found = saved(found.where(gain > DIVERGENCE).select("run", "context", "word", "suffix", "symbol", "n", "of", "backed"), "found")
         left = F.first("of") - F.sum("n") + DISCOUNT * F.count(F.lit(1)) + KAPPA
-        contexts = found.where("kept").groupBy("context").agg(F.first("of").alias("n"), left.alias("left"))
+        contexts = found.groupBy("context").agg(F.first("symbol").alias("at"), F.first("of").alias("n"), left.alias("left"))
         contexts = saved(contexts.withColumn("weight", F.log10(F.col("left") / (F.col("n") + KAPPA))), "contexts")
-        rows = found.join(contexts.select("context", "left", "weight"), "context", "left")
-        p = (F.col("n") - DISCOUNT + F.col("left") * F.pow(F.lit(10.0), "backed")) / (F.col("of") + KAPPA)
-        lp = F.when(F.col("kept"), F.log10(p)).otherwise(F.col("backed") + F.coalesce("weight", F.lit(0.0)))
-        rows = saved(rows.select("run", "suffix", "n", "kept", lp.alias("lp"), (lp - F.col("backed") - F.coalesce("weight", F.lit(0.0))).alias("adds")), "level")
-        self.branches.append(rows.where("kept").select("run", "n", "adds"))
+        rows = found.join(contexts.select("context", "left", "weight"), "context")
+        lp = F.log10((F.col("n") - DISCOUNT + F.col("left") * F.pow(F.lit(10.0), "backed")) / (F.col("of") + KAPPA))
+        rows = saved(rows.select("run", "context", "word", "suffix", "n", lp.alias("lp"), (lp - F.col("backed") - F.col("weight")).alias("adds")), "level")
+        deleted(found)
+        self.branches.append(rows.select("run", "n", "adds"))
         self.contexts.append(contexts)
         return rows
 
@@ -244,30 +298,22 @@ class Tree:
         none = F.lit(None).cast("long").alias("c")
         out = self.words.select("at", "c", F.col("c").alias("n"), F.lit(0.0).alias("value"))
         for branches, contexts in zip(self.branches, self.contexts, strict=True):
-            out = out.unionByName(contexts.select(F.col("context").alias("at"), none, "n", F.col("weight").alias("value")))
+            out = out.unionByName(contexts.select("at", none, "n", F.col("weight").alias("value")))
             out = out.unionByName(branches.select(F.col("run").alias("at"), none, "n", F.col("adds").alias("value")))
-        return saved(out.groupBy("at").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.sum("value").alias("value")), "lookups")
-
-
-def _hashed(rows: DataFrame, context: str, name: str, d: int) -> DataFrame:
-    """rows with a column name: run_of() its columns context and word."""
-
-    @F.pandas_udf("long")
-    def hashed(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(run_of(a.to_numpy(np.int64).view(U), b.to_numpy(np.int64).view(U), d).view(np.int64))
-
-    return rows.withColumn(name, hashed(context, "word"))
+        out = saved(out.groupBy("at").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.sum("value").alias("value")), "lookups")
+        deleted(self.words, *self.branches, *self.contexts)
+        return out
 
 
 class Usual:
-    """Keys in order with their values; of() gives the place of each key asked for, and whether it is there."""
+    """Keys in order with their counts as words (0: none) and values; of() gives the place of each key asked for, and whether it
+    is there."""
 
     def __init__(self, rows):
         at = rows["at"].to_numpy(np.int64).view(U)
         order = np.argsort(at)
         self.at = at[order]
-        self.known = rows["c"].notna().to_numpy()[order]
-        self.base = np.log10(rows["c"].fillna(0).to_numpy(np.float64)[order] + 0.5)
+        self.c = rows["c"].fillna(0).to_numpy(np.int64)[order]
         self.value = rows["value"].to_numpy(np.float64)[order]
 
     def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,79 +323,122 @@ class Usual:
         return i, self.at[i] == key
 
 
+class Asked:
+    """A block of rows: what is known of each, and the keys that still have to be looked up for them."""
+
+    def __init__(self) -> None:
+        self.rows: list[list] = []
+        self.keys: list[list[np.ndarray]] = []
+        self.n = self.size = 0
+
+    def add(self, columns: list, key: np.ndarray, row: np.ndarray, is_word: np.ndarray) -> None:
+        self.rows.append(columns)
+        self.keys.append([key, row + self.n, is_word])
+        self.n += len(columns[1])
+        self.size += len(key)
+
+    def batches(self, block: int, parts: int) -> Iterator[pa.RecordBatch]:
+        """A row with the known columns as lists, and a row for each range with the keys in it."""
+        known = [pa.concat_arrays(list(c)) for c in zip(*self.rows, strict=True)]
+        whole = [pa.ListArray.from_arrays(pa.array([0, self.n], pa.int32()), x) for x in known]
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int32()), *whole, *[pa.nulls(1, pa.binary())] * 3], BLOCK)
+        key, row, is_word = (np.concatenate(x) for x in zip(*self.keys, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, row, is_word = key[order], row[order].astype(np.int32), is_word[order]
+        sent = [(block, p, key[a:b].tobytes(), row[a:b].tobytes(), is_word[a:b].tobytes()) for p, a, b in slices(key, parts)]
+        if sent:
+            at, part, *packed = zip(*sent, strict=True)
+            none = [pa.nulls(len(sent), x.type) for x in whole]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(part, pa.int32()), *none, *[pa.array(x, pa.binary()) for x in packed]], BLOCK)
+        self.__init__()
+
+
+BLOCK = ["block", "part", "doc_id", "n_tokens", "known", "base", "value", "keys", "rows", "words"]
+
+
 def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tree = Tree(rows.where(~held_out(F.col("doc_id"))).select("text"), depth)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // PART_BYTES
+    tree = Tree(rows.where(~held_out(F.col("doc_id"))).select("text"), parts, depth)
     table = tree.lookups()
     least = max(2, -(-tree.total // USUAL))
     is_usual = (F.col("n") >= least) | (F.col("at") == int(BEGIN.view(np.int64))) | (F.col("at") == int(END.view(np.int64)))
     usual = Usual(table.where(is_usual).select("at", "c", "value").toPandas())
     others = table.where(~is_usual).select("at", "c", "value")
     maybe = Filter(others, "at")
+    unknown = float(np.log10(0.5))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unknown = float(np.log10(0.5))
+        asked, block = Asked(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for a, b, s in chunks(batch.column(2), lower=True):
+            for a, b, s in chunks(batch.column(1), lower=True):
                 w, docs = Words(s), b - a
                 base, value, known = np.zeros(docs), np.zeros(docs), np.zeros(docs, dtype=np.int64)
-                asked, of = [], []
+                keys, of, level = [], [], []
                 for d in range(depth + 1):
-                    # The start stands only before others, so what it is looked up for is its weight as a context.
-                    key, doc = w.runs(d), w.doc
-                    if d:
-                        some = w.predicted(d)
-                        key, doc = key[some], doc[some]
+                    some = w.predicted(d) if d else slice(None)
+                    key, doc = w.runs(d)[some], w.doc[some]
                     i, hit = usual.of(key)
                     value += np.bincount(doc[hit], usual.value[i[hit]], minlength=docs)
-                    other = ~hit & (w.place > 0 if not d else True)
+                    # The start stands only before others: it is looked up as a context, not as a word.
+                    other = ~hit if d else ~hit & (w.place > 0)
                     other[other] = maybe(key[other])
-                    asked.append(key[other])
-                    of.append(doc[other])
                     if not d:
                         word = w.place > 0
                         there = hit & word
-                        base += np.bincount(doc[there], usual.base[i[there]], minlength=docs)
-                        known += np.bincount(doc[there], usual.known[i[there]], minlength=docs).astype(np.int64)
-                        base += np.bincount(doc[word & ~hit & ~other], minlength=docs) * unknown
-                n_words = len(asked[0])
-                asked, of = np.concatenate(asked), np.concatenate(of)
-                id_, hash_ = batch.column(0)[a:b], batch.column(1)[a:b]
-                at = pa.array(np.concatenate([np.arange(docs), of]))
-                n = len(of)
-                kind = np.concatenate([np.zeros(docs, dtype=np.int32), np.full(n_words, 1, dtype=np.int32), np.full(n - n_words, 2, dtype=np.int32)])
-                key = np.concatenate([np.arange(docs, dtype=np.int64), asked.view(np.int64)])
-                fill = lambda x, n=n: pa.array(np.concatenate([x, np.zeros(n, dtype=x.dtype)]))
-                yield pa.RecordBatch.from_arrays([id_.take(at), hash_.take(at), pa.array(kind), pa.array(key), fill(np.diff(s.tok_off) + 1), fill(known), fill(base), fill(value)], NAMES)
-
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *[T.StructField(n, k) for n, k in zip(NAMES[1:], (T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()), strict=True)]])
-    parts = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(score, schema)
-    # Keys that are not usual occur in few texts each, so no key of this join is hot; a partition of the tables is small.
-    joined = parts.join(others.select(F.col("at").alias("key"), "c", F.col("value").alias("more"), F.lit(True).alias("there")).hint("shuffle_hash"), "key", "left")
-    kind = F.col("kind")
-    each = joined.select(
-        "doc_id", "hash", kind, "n_tokens",
-        F.when(kind == 0, F.col("known")).when(kind == 1, F.col("c").isNotNull().cast("long")).otherwise(F.lit(0)).alias("known"),
-        F.when(kind == 0, F.col("base")).when(kind == 1, F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(F.lit(0.0)).alias("base"),
-        F.when(kind == 0, F.col("value")).otherwise(F.coalesce("more", F.lit(0.0))).alias("value"),
-    )
-    sums = each.groupBy("doc_id", "hash").agg(F.count(F.when(kind == 0, 1)).alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("value").alias("value"))
-    base = F.col("base") / F.col("copies") - F.col("n_tokens") * tree.log_all
-    return sums.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "n_tokens",
-        F.expr("known div copies").alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("value") / F.col("copies")).alias("score"),
-        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
-    ).drop("copy")
-
-
-NAMES = ["doc_id", "hash", "kind", "key", "n_tokens", "known", "base", "value"]
+                        base += np.bincount(doc[there], np.log10(usual.c[i[there]] + 0.5), minlength=docs) + np.bincount(doc[word & ~hit & ~other], minlength=docs) * unknown
+                        known += np.bincount(doc[there], usual.c[i[there]] > 0, minlength=docs).astype(np.int64)
+                    keys.append(key[other])
+                    of.append(doc[other])
+                    level.append(np.full(len(keys[-1]), d == 0))
+                asked.add([batch.column(0)[a:b], *map(pa.array, (np.diff(s.tok_off) + 1, known, base, value))], *map(np.concatenate, (keys, of, level)))
+                if asked.size > HELD:
+                    yield from asked.batches(block, parts)
+                    block += 1
+        if asked.n:
+            yield from asked.batches(block, parts)
+
+    def looked_up(wanted: pa.Table, found: pa.Table) -> pa.Table:
+        at = found["at"].to_numpy().view(U)
+        order = np.argsort(at)
+        c, v = (found[x].to_numpy()[order] for x in ("c", "value"))
+        at, is_known, log_c = at[order], ~np.isnan(c), np.log10(np.nan_to_num(c) + 0.5)
+        out = []
+        for keys, rows_, words in zip(wanted["keys"], wanted["rows"], wanted["words"], strict=True):
+            key, row, word = (np.frombuffer(x.as_buffer(), dtype=k) for x, k in ((keys, U), (rows_, np.int32), (words, bool)))
+            i = np.minimum(np.searchsorted(at, key), max(len(at) - 1, 0))
+            hit = at[i] == key if len(at) else np.zeros(len(key), dtype=bool)
+            known, base, value = np.zeros(len(key)), np.where(word, unknown, 0.0), np.zeros(len(key))
+            known[hit], base[hit], value[hit] = is_known[i[hit]] & word[hit], np.where(word[hit], log_c[i[hit]], 0.0), v[i[hit]]
+            to, of = np.unique(row, return_inverse=True)
+            out.append((to.tobytes(), *(np.bincount(of, x, minlength=len(to)).tobytes() for x in (known, base, value))))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({"block": wanted["block"], **{n: pa.array(x, pa.binary()) for n, x in zip(("rows", "knowns", "bases", "values"), columns, strict=True)}})
+
+    def summed(block: pa.Table, found: pa.Table) -> pa.Table:
+        doc_ids, n_tokens, *known = (block[c].combine_chunks().flatten() for c in BLOCK[2:7])
+        sums = [x.to_numpy().astype(np.float64) for x in known]
+        for row in zip(*(found[c] for c in ("rows", "knowns", "bases", "values")), strict=True):
+            at = np.frombuffer(row[0].as_buffer(), dtype=np.int32)
+            for total, x in zip(sums, row[1:], strict=True):
+                total[at] += np.frombuffer(x.as_buffer(), dtype=np.float64)
+        return pa.table({"doc_id": doc_ids, "n_tokens": n_tokens, "n_known": sums[0].astype(np.int64), "base": sums[1], "value": sums[2]})
+
+    kind = rows.schema["doc_id"].dataType
+    lists = [T.StructField(n, T.ArrayType(k)) for n, k in zip(BLOCK[2:7], (kind, T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()), strict=True)]
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), *lists, *[T.StructField(n, T.BinaryType()) for n in BLOCK[7:]]])
+    sent = saved(rows.select("doc_id", "text").mapInArrow(score, schema), "asked")
+    wanted = sent.where("part IS NOT NULL").select("part", "block", "keys", "rows", "words")
+    table = others.select(part_column("at", parts).alias("part"), "at", F.col("c").cast("double").alias("c"), "value")
+    found = wanted.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(looked_up, "block long, rows binary, knowns binary, bases binary, values binary")
+    blocks = sent.where("part IS NULL").select("block", *BLOCK[2:7])
+    out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("value", T.DoubleType())])
+    sums = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(summed, out)
+    base = F.col("base") - F.col("n_tokens") * tree.log_all
+    return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("value")).alias("score"))
 
 
 def op10_lm_scoring(spark, sf_dir):
