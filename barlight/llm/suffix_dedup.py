@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.llm.exact_dedup import all_positions, bitmaps, filter_bits, flagged
-from barlight.llm.tables import deleted, read, saved, small_batches
+from barlight.llm.tables import deleted, read, released, saved, small_batches
 from barlight.llm.textscan import Scan, chunks, mix, powers
 
 MIN_WORDS, KEY, WINDOW = 50, 24, 25
@@ -299,9 +299,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     both = [matches(suffixes, ["right", "before"]), matches(suffixes, ["before", "right"])]
     pairs = saved(both[0].unionByName(both[1]).distinct(), "matches")
     deleted(suffixes, *both)
+    released(texts.sparkSession)
     reach, out = REACH, None
     while True:
         found = extended(texts, pairs, reach)
+        released(texts.sparkSession)
         spans = found.where("first_word IS NOT NULL").select(*SPAN[:5])
         out = spans if out is None else out.unionByName(spans)
         pairs = found.where("first_word IS NULL").select("id", F.col("pos").cast("int").alias("pos"), "other", F.col("other_pos").cast("int").alias("other_pos"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,13 @@ def deleted(*tables: DataFrame) -> None:
             path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """To be called after a large step. Spark removes the files of shuffles that no query can need any more when the driver's garbage
+    is collected; this asks for it now, so that a chain of steps does not hold the shuffles of all of them on the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of a bounded number of rows, so that very long texts do not pile up in one batch. The setting is read when
     a query runs, so it stays lowered."""
