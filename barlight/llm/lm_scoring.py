@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlight.llm.exact_dedup import BUCKET, bitmaps
-from barlight.llm.tables import deleted, read, saved, small_batches
+from barlight.llm.tables import deleted, read, released, saved, small_batches
 from barlight.llm.textscan import Scan, chunks, mix
 
 FOLDS, HELD_OUT = 5, 1
 DEPTH, MIN_COUNT, DIVERGENCE, DISCOUNT, KAPPA = 2, 2, 12.0, 0.5, 1.0
 #: So many words, and as many branches, are looked up in the task at most; the filter has at most so many bits.
-USUAL, FILTER_BITS = 500_000, 1 << 27
+USUAL, FILTER_BITS = 1_500_000, 1 << 27
 U = np.uint64
 BEGIN, END = U(0x1B873593CC9E2D51), U(0x85EBCA6BC2B2AE35)
 #: Runs, and the symbols that they are made of, are counted by the upper 48 bits of their hashes.
@@ -118,10 +118,6 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> U(32)) * U(parts)) >> U(32)
 
 
-def part_column(key: str, parts: int) -> Column:
-    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(parts), 32).cast("int")
-
-
 def slices(key: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     """Of sorted keys: each range that has some, and where it starts and ends."""
     part = part_of(key, parts)
@@ -253,6 +249,7 @@ class Tree:
     def __init__(self, training: DataFrame, parts: int, depth: int = DEPTH):
         begin = int(BEGIN.view(np.int64))
         rows = saved(counted(training, 1, parts), "counts")
+        released(training.sparkSession)
         symbols = saved(rows.where("context = 0").select(F.col("word").alias("at"), F.col("n").alias("c")), "words")
         self.words = symbols.where(F.col("at") != begin)
         n, v = self.words.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -269,6 +266,7 @@ class Tree:
             if d > 1:
                 deleted(rows)
                 rows = saved(counted(training, d, parts, Filter(self.branches[-1], "run")), "counts")
+                released(training.sparkSession)
                 # The context without its first symbol, and what it says of the word.
                 of = below.select(F.col("run").alias("context"), F.col("n").alias("of"), F.col("suffix").alias("shorter"))
                 backed = below.select(F.col("context").alias("shorter"), "word", F.col("lp").alias("backed"), F.col("run").alias("suffix"))
@@ -289,6 +287,7 @@ class Tree:
         lp = F.log10((F.col("n") - DISCOUNT + F.col("left") * F.pow(F.lit(10.0), "backed")) / (F.col("of") + KAPPA))
         rows = saved(rows.select("run", "context", "word", "suffix", "n", lp.alias("lp"), (lp - F.col("backed") - F.col("weight")).alias("adds")), "level")
         deleted(found)
+        released(rows.sparkSession)
         self.branches.append(rows.select("run", "n", "adds"))
         self.contexts.append(contexts)
         return rows
@@ -302,6 +301,7 @@ class Tree:
             out = out.unionByName(branches.select(F.col("run").alias("at"), none, "n", F.col("adds").alias("value")))
         out = saved(out.groupBy("at").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.sum("value").alias("value")), "lookups")
         deleted(self.words, *self.branches, *self.contexts)
+        released(out.sparkSession)
         return out
 
 
@@ -401,11 +401,32 @@ def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int
         if asked.n:
             yield from asked.batches(block, parts)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The table's rows by range: keys, counts (0: no word) and values as packed numbers."""
+        held: list[list[np.ndarray]] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            at, c, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(at)
+            at, c, v = at[order], c[order], v[order]
+            rows_ = [(p, at[a:b].tobytes(), c[a:b].tobytes(), v[a:b].tobytes()) for p, a, b in slices(at, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows_, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "ats", "cs", "vs"])
+
+        for batch in batches:
+            if len(batch):
+                at, c, v = (batch.column(i).fill_null(0).to_numpy() for i in range(3))
+                held.append([at.view(U), c, v])
+            if sum(len(x[0]) for x in held) > HELD:
+                yield from sent()
+        if held:
+            yield from sent()
+
     def looked_up(wanted: pa.Table, found: pa.Table) -> pa.Table:
-        at = found["at"].to_numpy().view(U)
+        at, c, v = (np.frombuffer(b"".join(x.as_buffer() for x in found[n]), dtype=k) for n, k in (("ats", U), ("cs", np.int64), ("vs", np.float64)))
         order = np.argsort(at)
-        c, v = (found[x].to_numpy()[order] for x in ("c", "value"))
-        at, is_known, log_c = at[order], ~np.isnan(c), np.log10(np.nan_to_num(c) + 0.5)
+        at, c, v = at[order], c[order], v[order]
+        is_known, log_c = c > 0, np.log10(c + 0.5)
         out = []
         for keys, rows_, words in zip(wanted["keys"], wanted["rows"], wanted["words"], strict=True):
             key, row, word = (np.frombuffer(x.as_buffer(), dtype=k) for x, k in ((keys, U), (rows_, np.int32), (words, bool)))
@@ -414,7 +435,8 @@ def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int
             known, base, value = np.zeros(len(key)), np.where(word, unknown, 0.0), np.zeros(len(key))
             known[hit], base[hit], value[hit] = is_known[i[hit]] & word[hit], np.where(word[hit], log_c[i[hit]], 0.0), v[i[hit]]
             to, of = np.unique(row, return_inverse=True)
-            out.append((to.tobytes(), *(np.bincount(of, x, minlength=len(to)).tobytes() for x in (known, base, value))))
+            known, base, value = (np.bincount(of, x, minlength=len(to)) for x in (known, base, value))
+            out.append((to.tobytes(), known.astype(np.int32).tobytes(), base.tobytes(), value.tobytes()))
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.table({"block": wanted["block"], **{n: pa.array(x, pa.binary()) for n, x in zip(("rows", "knowns", "bases", "values"), columns, strict=True)}})
 
@@ -423,8 +445,8 @@ def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int
         sums = [x.to_numpy().astype(np.float64) for x in known]
         for row in zip(*(found[c] for c in ("rows", "knowns", "bases", "values")), strict=True):
             at = np.frombuffer(row[0].as_buffer(), dtype=np.int32)
-            for total, x in zip(sums, row[1:], strict=True):
-                total[at] += np.frombuffer(x.as_buffer(), dtype=np.float64)
+            for total, x, k in zip(sums, row[1:], (np.int32, np.float64, np.float64), strict=True):
+                total[at] += np.frombuffer(x.as_buffer(), dtype=k)
         return pa.table({"doc_id": doc_ids, "n_tokens": n_tokens, "n_known": sums[0].astype(np.int64), "base": sums[1], "value": sums[2]})
 
     kind = rows.schema["doc_id"].dataType
@@ -432,7 +454,7 @@ def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), *lists, *[T.StructField(n, T.BinaryType()) for n in BLOCK[7:]]])
     sent = saved(rows.select("doc_id", "text").mapInArrow(score, schema), "asked")
     wanted = sent.where("part IS NOT NULL").select("part", "block", "keys", "rows", "words")
-    table = others.select(part_column("at", parts).alias("part"), "at", F.col("c").cast("double").alias("c"), "value")
+    table = others.mapInArrow(pack, "part int, ats binary, cs binary, vs binary")
     found = wanted.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(looked_up, "block long, rows binary, knowns binary, bases binary, values binary")
     blocks = sent.where("part IS NULL").select("block", *BLOCK[2:7])
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("value", T.DoubleType())])
