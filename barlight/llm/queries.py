@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their DuckDB SQL where there is one."""
 
-from barlight.llm import chat, exact_dedup, licenses, lm_scoring, mixing, near_dedup, pieces, quality, secrets, suffix_dedup
+from barlight.llm import chat, exact_dedup, licenses, lm_scoring, mixing, near_dedup, pieces, quality, secrets, sharding, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_license_scans": licenses.op9_license_scans,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op13_sharding": sharding.op13_sharding,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL, "op9_license_scans": licenses.OP9_SQL}
