@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their DuckDB SQL where there is one."""
 
-from barlight.llm import chat, exact_dedup, importance, licenses, lm_scoring, mixing, near_dedup, pieces, quality, secrets, sharding, suffix_dedup
+from barlight.llm import alignment, chat, exact_dedup, importance, licenses, lm_scoring, mixing, near_dedup, pieces, quality, secrets, sharding, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_license_scans": licenses.op9_license_scans,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op11_cross_alignment": alignment.op11_cross_alignment,
     "op12_importance_resampling": importance.op12_importance_resampling,
     "op13_sharding": sharding.op13_sharding,
 }
