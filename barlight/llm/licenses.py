@@ -142,12 +142,16 @@ def _pattern(sentence: str) -> str:
 KNOWN = "/ (" + "|".join(_pattern(x) for x in sorted(SENTENCES.values(), key=lambda x: (-len(x), x))) + ") /"
 
 
+#: Possessive, as Java's patterns otherwise call themselves once for each break of a run and overflow the stack on long ones.
+RUN_OF_BREAKS = " *+(?:/ *+)++"
+
+
 def normalised(text: Column) -> Column:
     """The words of a text, with / at each break, at the start and at the end."""
     kept = F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^a-z0-9.!?:;\n]+", " ")
     broken = F.regexp_replace(kept, r"[.!?:;]+(?:[ \n]|$)|\n", BREAK)
     words = F.regexp_replace(broken, "[^a-z0-9/]+", " ")
-    return F.regexp_replace(F.concat(F.lit(BREAK), words, F.lit(BREAK)), " *(?:/ *)+", BREAK)
+    return F.regexp_replace(F.concat(F.lit(BREAK), words, F.lit(BREAK)), RUN_OF_BREAKS, BREAK)
 
 
 def sentence_ids(text: Column) -> Column:

@@ -101,3 +101,11 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, row string, licenses long")
     got = L.scanned(df)
     assert sorted(r.licenses for r in got.collect()) == [["MIT"], ["MIT"], ["Unlicense"]] and got.select("row.*").columns == df.columns and L.scanned(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("filler", ["\n", ". ", "/", " / ", "! \n", "a. ", "license / ", "\t \n"])
+def test_long_runs_of_breaks(spark, filler):
+    texts = [filler * 1_000_000 + "\nReleased under the MIT License.", "Released under the MIT License.\n" + filler * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = L.scanned(spark.createDataFrame([(0, "x. Released under the MIT License.")], "doc_id long, text string")).first().licenses
+    assert [r.licenses for r in L.scanned(df).orderBy("row.doc_id").collect()] == [want, want] and want
