@@ -8,10 +8,9 @@ seeded hash, as long as their tokens fit.
 The prefix is found in two steps, so that no task sees a whole leaf: token sums of about sqrt(n) hash ranges, then single
 documents of the one range in which the budget ends. Only sums and that range's rows are shuffled.
 
-Nulls: a null level counts as '', a null text has no tokens, and rows without doc_id are ordered by the hash of the word
-null. Children with weight 0 or less get nothing, and no budget is kept for them. Documents without tokens are taken if the
-prefix reaches them; a very long one ends the prefix if it doesn't fit. Ties of the hash go by doc_id, repeated rows are
-documents of their own; an empty table gives an empty result. Other columns pass through, whatever their names.
+Nulls: a null level counts as '', a null text has no tokens, and rows without doc_id are ordered by a hash of their text. Children with weight 0 or less get nothing, and no budget is kept for them. Documents without tokens are taken if the
+prefix reaches them; a very long one ends the prefix if it doesn't fit. Ties of the hash go by doc_id, then by a hash of the
+whole row, so that the result does not depend on partitioning; repeated rows are documents of their own; an empty table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,8 +78,9 @@ def budgets(leaves: DataFrame, levels: list[Level], budget: int) -> DataFrame:
     return leaves.join(above.withColumnRenamed("budget", "got").drop("root"), keys)
 
 
-def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def order_key(seed: int, epoch: Column, doc_id: Column, text: Column) -> Column:
+    """Of rows without doc_id the text decides."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")))))))
 
 
 def planned(df: DataFrame, levels: list[Level], budget_share: float, max_epochs: int, seed: int, doc_id: str, text: str) -> DataFrame:
@@ -97,18 +97,18 @@ def planned(df: DataFrame, levels: list[Level], budget_share: float, max_epochs:
         ),
         "plan",
     )
-    keyed = rows.join(plan.where("not `all`"), keys).withColumn("h", order_key(seed, F.col("epochs"), F.col("id")))
+    keyed = rows.join(plan.where("not `all`"), keys).withColumn("h", order_key(seed, F.col("epochs"), F.col("id"), F.col("row")[text]))
     keyed = keyed.withColumn("range", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * F.col("ranges") / 4294967296.0).cast("long"))
     sums = keyed.groupBy(*keys, "rest", "range").agg(F.sum("tokens").alias("tokens"))
     upto = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("range"))
     ends = sums.withColumn("upto", upto).where("upto > rest").groupBy(*keys).agg(F.min(F.struct("range", (F.col("upto") - F.col("tokens")).alias("before"))).alias("end"))
     plan = saved(plan.join(ends, keys, "left").select(*keys, "epochs", "rest", "ranges", "all", F.col("end.range").alias("end_range"), F.col("end.before").alias("before")), "ends")
-    flagged = rows.join(plan, keys, "left").withColumn("h", order_key(seed, F.col("epochs"), F.col("id")))
+    flagged = rows.join(plan, keys, "left").withColumn("h", order_key(seed, F.col("epochs"), F.col("id"), F.col("row")[text]))
     flagged = flagged.withColumn("range", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * F.col("ranges") / 4294967296.0).cast("long"))
     at_end = F.coalesce(~F.col("all") & (F.col("range") == F.col("end_range")), F.lit(False))
     copies = F.when(F.col("epochs").isNull(), 0).when(F.col("all"), F.col("epochs")).otherwise(F.col("epochs") + F.when(F.col("end_range").isNull() | (F.col("range") < F.col("end_range")), 1).otherwise(0))
     clear = flagged.where(~at_end).select("row", "id", *keys, copies.cast("long").alias("copies"))
-    running = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("h", "id", F.xxhash64(F.to_json("row"))).rowsBetween(Window.unboundedPreceding, 0))
     last = flagged.where(at_end).withColumn("sum", F.col("before") + running)
     return clear.unionByName(last.select("row", "id", *keys, (F.col("epochs") + (F.col("sum") <= F.col("rest")).cast("int")).cast("long").alias("copies")))
 
@@ -148,7 +148,7 @@ def _fill(name: str, parent: str, level: str, weight: str, above: str) -> str:
 
 OP5_SQL = f"""
 WITH docs AS (
-  SELECT doc_id, 'd' || coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})', 1) AS BIGINT) % 4, 0) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  SELECT doc_id, 'd' || coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})', 1) AS BIGINT) % 4, 0) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, text,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply, {MAX_EPOCHS} * sum(tokens)::BIGINT AS cap FROM docs GROUP BY ALL),
 root AS (SELECT least(floor(sum(supply)::DOUBLE * {BUDGET_SHARE})::BIGINT, sum(cap))::BIGINT AS budget FROM leaves),
@@ -158,7 +158,7 @@ root AS (SELECT least(floor(sum(supply)::DOUBLE * {BUDGET_SHARE})::BIGINT, sum(c
 plan AS (SELECT domain, lang, source, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS epochs, CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS rest, budget >= cap AS is_all
   FROM leaves JOIN b2 USING (domain, lang, source)),
 run AS (SELECT d.doc_id, domain, lang, source, epochs, rest, is_all,
-  sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, 'null')), doc_id) AS upto
+  sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), doc_id) AS upto
   FROM docs d JOIN plan USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, (epochs + CASE WHEN NOT is_all AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM run
 """

@@ -48,7 +48,7 @@ def planned(rows, levels, share, epochs, seed):
             supply = sum(size[i] for i in mine)
             used += tokens
             n, rest = divmod(tokens, supply) if supply else (0, 0)
-            key = lambda i, n=n: (hashlib.md5(f"{seed}:{n}:{'null' if rows[i][0] is None else rows[i][0]}".encode()).hexdigest(), rows[i][0])
+            key = lambda i, n=n: (hashlib.md5(f"{seed}:{n}:{'null' + hashlib.md5((rows[i][1] or '').encode()).hexdigest() if rows[i][0] is None else rows[i][0]}".encode()).hexdigest(), rows[i][0])
             upto = 0
             for i in sorted(mine, key=key):
                 upto += size[i]
@@ -87,3 +87,13 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row string, copies long")
     out = M.mixed(df, LEVELS, 1.0, 2, 7)
     assert out.columns == df.columns and out.count() >= 2 and M.mixed(df.where("false"), LEVELS, 1.0).count() == 0
+
+
+def test_rows_without_id_do_not_depend_on_partitioning(spark):
+    rows = [(None, " ".join(["w"] * (1 + i * 7 % 23)) + f" {i // 2}", "en", "a", i) for i in range(40)] + [(3, "same text", "en", "a", i) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n int")
+    found = [sorted(map(tuple, M.mixed(df.orderBy(o).repartition(n, "n"), LEVELS, 0.4).collect()), key=repr) for n, o in ((1, "n"), (3, "text"), (8, "n"))]
+    assert found[0] == found[1] == found[2] and 0 < len(found[0]) < len(rows)
+    plain = [r[:4] for r in rows if r[0] is None]
+    got = {r["row"].text: r.copies for r in M.planned(df.where("doc_id IS NULL"), LEVELS, 0.4, 4, 7, "doc_id", "text").collect()}
+    assert [got[r[1]] for r in plain] == planned(plain, LEVELS, 0.4, 4, 7)
