@@ -59,6 +59,11 @@ def weighted(bars: DataFrame, n: int = 200, width: float = 1.0, kind: str = "sma
     return b.withColumns({"middle": middle, "upper": middle + d, "lower": middle - d, "q1": middle - d / 2, "q3": middle + d / 2}).drop("_f", "_dev", "_s1", "_s2", "_sd", "_end")
 
 
+#: What rules may ask of a channel's line and zone.
+LINE_RULES = ["touched", "closed_above", "closed_below", "on_line", "breach"]
+ZONE_RULES = ["entered", "rejected", "breach"]
+
+
 def zone_overlap(low: Column, high: Column, kind: str = "wick") -> Column:
     """Whether a bar's whole range (wick), its body, or either meets a zone."""
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
@@ -66,22 +71,38 @@ def zone_overlap(low: Column, high: Column, kind: str = "wick") -> Column:
     return {"wick": wick, "body": body, "both": wick | body}[kind]
 
 
-def zone_action(low: Column, high: Column, kind: str, side: str = "top") -> Column:
-    """entered: the close is in the zone and the close before was not; rejected: the bar met the zone and closed on the inner
-    side of it (below a top zone, above a bottom zone); breach: it closed beyond the zone on the outer side."""
-    c, inside = F.col("close"), lambda x: (x >= low) & (x <= high)
-    inner, outer = (c < low, c > high) if side == "top" else (c > high, c < low)
-    return {"entered": inside(c) & ~F.coalesce(inside(S.back(c)), F.lit(False)), "rejected": zone_overlap(low, high) & inner, "breach": outer}[kind]
+def breach(line: Column, kind: str = "wick", way: str = "any", below: Column | None = None) -> Column:
+    """Whether a bar's wick or body is above a line (up), below it (down), or either (any); of a zone, line is its upper end and
+    below its lower one."""
+    under = line if below is None else below
+    top, bottom = F.greatest("open", "close"), F.least("open", "close")
+    up, down = {"wick": F.col("high") > line, "body": top > line}, {"wick": F.col("low") < under, "body": bottom < under}
+    of = lambda x: x["wick"] | x["body"] if kind == "both" else x[kind]
+    return {"up": of(up), "down": of(down), "any": of(up) | of(down)}[way]
+
+
+def _way(side: str | None, breach_direction: str) -> str:
+    return breach_direction if breach_direction in ("up", "down") else side or "any"
 
 
-def breach(line: Column, kind: str = "wick", way: str = "any") -> Column:
-    """Whether a bar's wick or body goes through a line, upward (it starts below and ends above), downward, or either way."""
-    o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    up = {"wick": (o <= line) & (h > line), "body": (o <= line) & (c > line)}
-    down = {"wick": (o >= line) & (l < line), "body": (o >= line) & (c < line)}
-    ways = {"up": up, "down": down}
-    of = lambda w: ways[w]["wick"] | ways[w]["body"] if kind == "both" else ways[w][kind]
-    return of("up") | of("down") if way == "any" else of(way)
+def zone_rule(low: Column, high: Column, action: str, side: str | None = None, tolerance: float = 0.0, touch_type: str = "wick", breach_type: str | None = None, breach_direction: str = "any") -> Column:
+    """entered: the bar meets the zone, widened by tolerance percent of each end. rejected: it does and closes on the inner side, below a
+    zone at the top (side up), above one at the bottom (side down). breach: it is beyond the outer end by more than the tolerance."""
+    lo, hi = low - F.abs(low) * tolerance / 100, high + F.abs(high) * tolerance / 100
+    if action == "breach":
+        return breach(hi, breach_type or touch_type, _way(side, breach_direction), lo)
+    inner = {"up": F.col("close") < low, "down": F.col("close") > high, None: F.lit(False)}[side]
+    return {"entered": zone_overlap(lo, hi, touch_type), "rejected": zone_overlap(lo, hi, touch_type) & inner}[action]
+
+
+def line_rule(line: Column, action: str, side: str | None = None, tolerance: float = 0.0, touch_type: str = "wick", breach_type: str | None = None, breach_direction: str = "any") -> Column:
+    """touched (from below at a top line, from above at a bottom one), closed_above and closed_below by more than the tolerance,
+    on_line: the close is within it. breach: wick or body is beyond the line itself."""
+    if action == "breach":
+        return breach(line, breach_type or touch_type, _way(side, breach_direction))
+    lo, hi = line - F.abs(line) * tolerance / 100, line + F.abs(line) * tolerance / 100
+    c = F.col("close")
+    return {"touched": touch(lo, hi, touch_type, side), "closed_above": c > hi, "closed_below": c < lo, "on_line": c.between(lo, hi)}[action]
 
 
 def liquidity_elevated(n: int = 20, volume: float = 1.15, spread: float = 1.2) -> Column:
@@ -125,100 +146,3 @@ def action(line: str, kind: str, tolerance: float = 0.0, tick: float | None = No
 def age(match: Column) -> Column:
     """Within groupBy("symbol"): for how many bars up to the last one match has held."""
     return (F.coalesce(F.min(F.when(~F.coalesce(match, F.lit(False)), F.col("back"))), F.max("back") + 1) - 1).cast("long")
-
-
-AREAS = ["top_line", "middle_line", "bottom_line", "top_zone", "bottom_zone"]
-
-
-def trend_areas(bars: DataFrame, found: DataFrame, rules: dict[str, str], window: int = 1, tolerance: float = 0.0) -> DataFrame:
-    """A row for each symbol of found, the latest trend channels: passed, whether every rule (an action by area, or "disabled") has
-    held for just window bars up to the last. Bars before the channel began or after it broke are not eligible, so a broken channel
-    has no run; if all rules are disabled it passes. Lines take touch, close_above, close_below, stay_above and stay_below, zones
-    entered, rejected and breach. The channel's lines at a bar are those of its last one, moved back by its slope."""
-    if unknown := set(rules) - set(AREAS):
-        raise ValueError(f"unknown areas: {sorted(unknown)}")
-    b = bars.join(found, "symbol")
-    end = F.coalesce("break_index", F.max("i").over(Window.partitionBy("symbol")))
-    b = b.withColumn("_ago", end - F.col("i"))
-    line = lambda k: F.col(k) - F.col("slope") * F.col("_ago")
-    b = b.withColumns({k: line(k) for k in ("top", "middle", "bottom")}).withColumn("eligible", (F.col("i") >= F.col("start_index")) & (F.col("_ago") >= 0))
-    active = {a: kind for a, kind in rules.items() if kind != "disabled"}
-    hits = {}
-    for area, kind in active.items():
-        side, what = area.split("_")
-        if what == "line":
-            hits[area] = action(side, kind, tolerance)
-        else:
-            near = 2 * F.col("edge")
-            low, high = (F.col("top") - near, F.col("top")) if side == "top" else (F.col("bottom"), F.col("bottom") + near)
-            hits[area] = zone_action(low, high, kind, side)
-    if not hits:
-        return found.select("symbol", F.lit(bool(rules)).alias("passed"))
-    b = b.withColumns({f"_{a}": F.coalesce(h, F.lit(False)) & F.col("eligible") for a, h in hits.items()})
-    runs = b.groupBy("symbol").agg(*[age(F.col(f"_{a}")).alias(a) for a in hits])
-    every = F.lit(True)
-    for a in hits:
-        every = every & (F.col(a) == window)
-    return runs.select("symbol", every.alias("passed"))
-
-
-TREND_SCHEMA = "symbol string, direction string, broken boolean, break_index long, start_index long, created_at long, slope double, top double, middle double, bottom double, edge double"
-
-
-def trend(bars: DataFrame, span: int = 8, width: float = 6.0, zone: float = 1 / 7, period: int = 10, mintick: float | None = None) -> DataFrame:
-    """The channel of the last two pivots on one side, until price leaves it; a row for each symbol that ever had one.
-
-    Pivots and true ranges are window columns; the channel's life, in which each bar moves the line ends, runs bar by bar in
-    one group of at most MAX_BARS rows a symbol. A channel opens only while no other is open; its lines pass through the
-    pivots, are rounded to the tick once, and move on by one slope a bar; it breaks when a bar is beyond its lines.
-    """
-    from barlight.operators.states import pivots
-
-    high, low = pivots(span)
-    marked = bars.withColumns({"tr": S.true_range(), "ph": high, "pl": low}).select("symbol", "i", "high", "low", "tr", "ph", "pl")
-
-    def life(pdf):
-        import math
-
-        import pandas as pd
-
-        pdf = pdf.sort_values("i", ignore_index=True)
-        highs, lows, tr = (pdf[c].to_numpy() for c in ("high", "low", "tr"))
-        n = len(pdf)
-        tick = (lambda v: math.floor(math.nextafter(v / mintick + 0.5, math.inf)) * mintick) if mintick else (lambda v: v)
-        atr, seen, now = None, {True: [], False: []}, {True: None, False: None}
-        last = None
-        seed = float(tr[:period].mean())
-        for t in range(n):
-            if n <= period:
-                atr = float(tr[: t + 1].mean())
-            else:
-                atr = seed if t < period else (atr * (period - 1) + tr[t]) / period
-            at = t - span  # the pivot that this bar confirms
-            fresh = {top: at >= 0 and bool(pdf["ph" if top else "pl"].iat[at]) for top in (False, True)}
-            for top in (True, False):
-                if fresh[top]:
-                    seen[top] = [*seen[top][-1:], (at, float((highs if top else lows)[at]))]
-            for top in (True, False):
-                if not fresh[top] or len(seen[top]) < 2 or now[True] or now[False]:
-                    continue
-                (x1, y1), (x2, y2) = seen[top]
-                slope = (y2 - y1) / (x2 - x1)
-                if (slope > 0 if top else slope < 0) or atr * width <= 1e-9:
-                    continue
-                off, edge = (-1 if top else 1) * atr * width, atr * width * zone
-                ends = {"top": max(y2, y2 + off) + edge, "middle": y2 + off / 2, "bottom": min(y2, y2 + off) - edge}
-                now[top] = {"direction": "down" if top else "up", "slope": slope, "start_index": x1 + 1, "created_at": t + 1, "broken": False, "break_index": None, "edge": edge, **{k: tick(v) for k, v in ends.items()}}
-                last = dict(now[top])
-            for top in (True, False):
-                if c := now[top]:
-                    for k in ("top", "middle", "bottom"):
-                        c[k] += c["slope"]
-                    if lows[t] > c["top"] or highs[t] < c["bottom"]:
-                        last = {**c, "broken": True, "break_index": t + 1}
-                        now[top] = None
-        found = now[True] or now[False] or last
-        rows = [{"symbol": pdf["symbol"].iat[0], **found}] if found and n >= max(2 * span + 1, 5) else []
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in TREND_SCHEMA.split(", ")]).astype({"break_index": "Int64"})
-
-    return marked.groupBy("symbol").applyInPandas(life, TREND_SCHEMA)

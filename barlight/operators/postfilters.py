@@ -1,4 +1,4 @@
-"""Filters on structure: how often price respected a channel, whether two lines support it together, whether its trend is dead."""
+"""Filters on structure: how often price respected a channel, whether it swept liquidity, whether its trend is dead."""
 
 from __future__ import annotations
 
@@ -32,113 +32,6 @@ def respects(bars: DataFrame, line: str, tolerance: float = 1.0, gap: int = 3, n
     return a.select("symbol", F.aggregate(F.arrays_zip("hit", "away"), start, step)["n"].cast("long").alias(name))
 
 
-#: What a confluence is of: a line or a zone of a channel. Bullish confluences look at lower lines by default, others at upper ones.
-KINDS = ["bullish", "bearish", "breakout", "role_reversal", "clustered"]
-LENGTHS = {"lrc": 100, "regression": 200, "sma": 20}
-
-
-def check_confluence(sources=("lrc", "regression"), lookback: int = 4, tolerance: float = 1.0) -> None:
-    if len(sources) != 2 or any(_source(x)[0] not in LENGTHS for x in sources):
-        raise ValueError(f"confluence: two sources of {sorted(LENGTHS)}")
-    if not 1 <= lookback <= 4:
-        raise ValueError("confluence: lookback is 1 to 4 bars")
-    if tolerance < 0:
-        raise ValueError("confluence: tolerance is 0 or more")
-
-
-def _source(source) -> tuple[str, int, float]:
-    """Name, length and width of a source, given as a name or as a dict."""
-    own = {"name": source} if isinstance(source, str) else dict(source)
-    name = own["name"]
-    return name, own.get("length", LENGTHS.get(name, 0)), own.get("width", 2.0)
-
-
-def default_selections(kind: str) -> tuple[str, str]:
-    """What is looked at of each source where a request doesn't say or says something unknown."""
-    return {"bullish": ("lower", "lower"), "clustered": ("lower", "lower"), "role_reversal": ("upper", "lower")}.get(kind, ("upper", "upper"))
-
-
-def selections(bars: DataFrame, sources, chosen: tuple[str, str]) -> tuple[DataFrame, tuple[str, str]]:
-    """bars with the chosen line of each of two sources, as columns one and two."""
-    out = bars
-    for k, (source, line) in enumerate(zip(sources, chosen, strict=True)):
-        name, length, width = _source(source)
-        p = f"_s{k}"
-        if name == "sma":
-            out = out.withColumn(p, S.sma(F.col("close"), length))
-        else:
-            before = set(out.columns)
-            made = channels.regression_of(out, F.col("back") <= length, width, p) if name == "lrc" else channels.weighted(out, length, width).withColumnsRenamed({c: f"{p}_{c}" for c in ("middle", "upper", "lower", "q1", "q3")})
-            x = F.col(f"{p}_{line}") if name != "lrc" else F.when(F.col("back") <= length, F.col(f"{p}_{line}"))
-            out = made.withColumn(p, x).select(*[c for c in made.columns if c in before], F.col(p))
-    return out.withColumnsRenamed({"_s0": "one", "_s1": "two"}), ("one", "two")
-
-
-def confluence(bars: DataFrame, first: str, second: str, kind: str = "bullish", lookback: int = 4, tolerance: float = 1.0) -> DataFrame:
-    """A row for each symbol: scenario, the first way in which two lines (columns, null where they don't reach) come together on the
-    last bars, and the bars of the match, counted back from the last; all null if there is none.
-
-    bullish: both lines hold as support within four bars, the second within the lookback, and price has closed above it since; or
-    the second lies below the first, held, and the last close is still near it. bearish: the same upside down. breakout: a bar
-    closes above both lines, of which at least one was broken within the lookback. role_reversal: the first line was broken
-    upward and then held as support, above the second. clustered: both hold within the lookback and lie close to each other.
-
-    What holds at each bar is a column; the pairs of bars are at most lookback by four of the last seven, in one array."""
-    all_bars, ahead = Window.partitionBy("symbol"), S.by().rowsBetween(0, Window.unboundedFollowing)
-    down = kind == "bearish"
-    slack = lambda x: F.greatest(F.abs(F.col(x)), F.lit(1.0)) * tolerance / 100
-    hold = lambda x: touch(F.col(x) - slack(x), F.col(x) + slack(x), "both", "up" if down else "down")
-    c, x, y = F.col("close"), F.col(first), F.col(second)
-    beyond = (lambda a, b: a < b) if down else (lambda a, b: a > b)
-    not_short = (lambda a, b: a <= b) if down else (lambda a, b: a >= b)
-    edge = y - slack(second) if down else y + slack(second)
-    b = bars.withColumns({"above": beyond(c, y), "hold1": hold(first), "hold2": hold(second), "broke1": (S.back(c) <= S.back(x)) & (c > x), "broke2": (S.back(c) <= S.back(y)) & (c > y)})
-    age = F.coalesce(F.min(F.when(~F.coalesce("above", F.lit(False)), F.col("back"))).over(all_bars), F.max("back").over(all_bars) + 1) - 1
-    hits = F.sum(F.coalesce(F.col("above"), F.lit(False)).cast("int")).over(ahead)
-    near = F.max(F.when(F.col("back") == 1, not_short(c, y) & ((c >= edge) if down else (c <= edge)))).over(all_bars)
-    run = F.when((hits > 0) & (hits == F.least(age, F.col("back"))), hits)
-    close_by = F.abs(x - y) <= F.greatest(F.greatest(F.abs(x), F.abs(y), F.lit(1.0)) * tolerance / 100, F.lit(1e-9))
-    no = lambda v: F.coalesce(v, F.lit(False))
-    b = b.withColumns({"run": run, "near": near, "below": beyond(x, y), "kept1": not_short(c, x), "kept2": F.min(not_short(c, y)).over(ahead), "both": (c > x) & (c > y), "clustered": close_by})
-    flags = ["hold1", "hold2", "near", "below", "kept1", "kept2", "broke1", "broke2", "both", "clustered"]
-    tail = b.where(F.col("back") <= 7).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("back", "run", *[no(F.col(f)).alias(f) for f in flags]))).alias("t"))
-    t = F.col("t")
-    late = lambda z: z["back"] <= lookback
-
-    def found(name: str, s: Column, f: Column) -> Column:
-        return F.struct(F.lit(name).alias("scenario"), s["back"].alias("second_back"), f["back"].alias("first_back"))
-
-    def pairs(name: str, ok) -> Column:
-        """The pairs (second, first) that match, the latest second first."""
-        each = F.transform(F.filter(t, late), lambda s: F.transform(F.filter(t, lambda f: ok(s, f)), lambda f: found(name, s, f)))
-        return F.try_element_at(F.flatten(each), F.lit(1))
-
-    def held(s: Column, f: Column) -> Column:
-        return s["hold2"] & f["hold1"] & (f["back"] >= s["back"]) & (f["back"] <= s["back"] + 3) & (f["back"] <= 4)
-
-    def stays(s: Column, f: Column) -> Column:
-        # Closes from the first bar to the one before the second do not cross the first line.
-        return F.forall(t, lambda z: ~((z["back"] <= f["back"]) & (z["back"] > s["back"])) | z["kept1"])
-
-    if kind in ("bullish", "bearish"):
-        away = pairs("held_together", lambda s, f: held(s, f) & no(s["run"].between(1, 4)))
-        rest = pairs("held_one_beyond", lambda s, f: held(s, f) & s["below"] & s["near"] & stays(s, f) & s["kept2"])
-        match = F.coalesce(away, rest)
-    elif kind == "breakout":
-        match = pairs("breakout", lambda s, f: (s["broke2"] | s["broke1"]) & s["both"] & (f["back"] == s["back"]) & F.forall(t, lambda z: ~(z["back"] < s["back"]) | z["both"]))
-    elif kind == "role_reversal":
-        match = pairs("role_reversal", lambda s, f: s["hold1"] & f["broke1"] & (f["back"] > s["back"]) & s["kept1"] & s["below"])
-    else:
-        match = pairs("clustered", lambda s, f: held(s, f) & s["clustered"])
-    out = tail.select("symbol", match.alias("m"))
-    return out.select("symbol", "m.scenario", "m.second_back", "m.first_back")
-
-
-def supported(bars: DataFrame, first: str, second: str, lookback: int = 4, tolerance: float = 1.0) -> DataFrame:
-    """A row for each symbol: whether two lines support its last bars together."""
-    return confluence(bars, first, second, "bullish", lookback, tolerance).select("symbol", F.col("scenario").isNotNull().alias("supported"))
-
-
 def liquidity_sweep() -> Column:
     h, l, c = F.col("high"), F.col("low"), F.col("close")
     return F.coalesce(((l < S.back(l)) & (c > S.back(l))) | ((h > S.back(h)) & (c < S.back(h))), F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions import candles as K
 from barlight.functions import series as S
-from barlight.operators import channels, indicators, states
+from barlight.operators import channels, indicators, states, trend
 from barlight.plans.registry import query
 from barlight.sources import bars as B
 
@@ -420,7 +420,7 @@ def ind_16(spark, sf_dir):
 @query("ind_17_trend_channel")
 def ind_17(spark, sf_dir):
     """The latest channel of pivots of each symbol, with its lines at the last bar; a state machine, tested by its rules."""
-    return channels.trend(days(spark, sf_dir), 8, mintick=0.01)
+    return trend.trend(days(spark, sf_dir), 8, mintick=0.01)
 
 
 @query("ind_18_float", f"""WITH {B.UNIVERSE} SELECT symbol, shares_outstanding, coalesce(shares_outstanding BETWEEN 1000 * 0.95 AND 6000 * 1.05, false) AS passed FROM universe""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions import scalars as X
 from barlight.functions import series as S
-from barlight.operators import channels, indicators, states
+from barlight.operators import channels, indicators, states, trend
 from barlight.operators import relational as R
 from barlight.plans import screen
 from barlight.plans.features import _MACD, _RSI, BARS, REC, _O, _alma_weights, _filled, _pivot_sql, _weighted_sql, days, rounded, rounded_sql
@@ -159,18 +159,22 @@ def lim_06(spark, sf_dir):
 
 @query(
     "chn_07_zone_actions",
-    f"""WITH {BARS}{B.latest_sql('supplier_days', 120)}, z AS (SELECT *, {S.sma_sql('close', 20)} AS m FROM c), t AS (SELECT *, m * 1.05 AS lo, m * 1.3 AS hi FROM z), l AS (SELECT *, {S.lag_sql('close')} BETWEEN lo AND hi AS was, coalesce(count(CASE WHEN volume > 0 THEN 1 END) {_O(20, 1)} >= 3 AND volume >= 1.15 * avg(CASE WHEN volume > 0 THEN volume END) {_O(20, 1)}, false) OR coalesce(count(*) {_O(20, 1)} >= 3 AND high - low >= 1.2 * avg(high - low) {_O(20, 1)}, false) AS elevated FROM t)
-SELECT symbol, time, close BETWEEN lo AND hi AND NOT coalesce(was, false) AS entered, low <= hi AND high >= lo AND close < lo AS rejected, close > hi AS breach,
-  (open <= m AND high > m) OR (open >= m AND low < m) AS wick, open <= m AND close > m AS body_up, low <= hi AND high >= lo AS overlap,
-  elevated FROM l WHERE m IS NOT NULL""",
+    f"""WITH {BARS}{B.latest_sql('supplier_days', B.MAX_BARS)}, z AS (SELECT *, {S.sma_sql('close', 20)} AS m, greatest(open, close) AS top, least(open, close) AS bottom FROM c), t AS (SELECT *, m * 1.05 AS lo, m * 1.3 AS hi FROM z), l AS (SELECT *, coalesce(count(CASE WHEN volume > 0 THEN 1 END) {_O(20, 1)} >= 3 AND volume >= 1.15 * avg(CASE WHEN volume > 0 THEN volume END) {_O(20, 1)}, false) OR coalesce(count(*) {_O(20, 1)} >= 3 AND high - low >= 1.2 * avg(high - low) {_O(20, 1)}, false) AS elevated FROM t)
+SELECT symbol, time, bottom <= hi * 1.1 AND top >= lo * 0.9 AS entered, low <= hi AND high >= lo AND close < lo AS rejected, low <= hi AND high >= lo AND close > hi AS rejected_below, greatest(top, high) > hi * 1.02 AS breach, bottom < lo * 0.9 AS breach_down,
+  high > m * 1.2 OR low < m * 0.5 AS wick, top > m AS body_up, low <= hi AND high >= lo AS overlap, elevated,
+  close > m * 1.2 AS closed_above, close < m - m * 0.2 AS closed_below, close BETWEEN m * 0.8 AND m * 1.2 AS on_line, bottom < m AS line_breach FROM l WHERE m IS NOT NULL""",
 )
 def chn_07(spark, sf_dir):
-    """Also CHN-08, CHN-10 and TH-05: a zone over a mean, breaches of the mean, and elevated liquidity."""
-    b = days(spark, sf_dir, 120).withColumns({"m": S.sma(F.col("close"), 20), "elevated": channels.liquidity_elevated()})
+    """Also CHN-06, CHN-08, CHN-10 and TH-05: rules on a zone over a mean and on the mean, breaches, and elevated liquidity."""
+    b = days(spark, sf_dir).withColumns({"m": S.sma(F.col("close"), 20), "elevated": channels.liquidity_elevated()})
     b = b.withColumns({"lo": F.col("m") * 1.05, "hi": F.col("m") * 1.3})
     lo, hi, m = F.col("lo"), F.col("hi"), F.col("m")
-    b = b.withColumns({k: channels.zone_action(lo, hi, k) for k in ("entered", "rejected", "breach")})
-    return b.where("m IS NOT NULL").select("symbol", "time", "entered", "rejected", "breach", channels.breach(m, "wick").alias("wick"), channels.breach(m, "body", "up").alias("body_up"), channels.zone_overlap(lo, hi).alias("overlap"), "elevated")
+    zone, line = channels.zone_rule, channels.line_rule
+    return b.where("m IS NOT NULL").select(
+        "symbol", "time", zone(lo, hi, "entered", "up", 10.0, "body").alias("entered"), zone(lo, hi, "rejected", "up").alias("rejected"), zone(lo, hi, "rejected", "down").alias("rejected_below"), zone(lo, hi, "breach", "up", 2.0, breach_type="both").alias("breach"),
+        zone(lo, hi, "breach", "up", 10.0, "body", breach_direction="down").alias("breach_down"), channels.breach(m * 1.2, "wick", below=m * 0.5).alias("wick"), channels.breach(m, "body", "up").alias("body_up"), channels.zone_overlap(lo, hi).alias("overlap"), "elevated",
+        line(m, "closed_above", "up", 20.0).alias("closed_above"), line(m, "closed_below", "up", 20.0).alias("closed_below"), line(m, "on_line", None, 20.0).alias("on_line"), line(m, "breach", "up", breach_type="body", breach_direction="down").alias("line_breach"),
+    )
 
 
 @query("chn_01_ticks", "WITH p AS (SELECT p_partkey AS id, p_retailprice / 7 AS x FROM part) SELECT id, ceil(round(x / 0.05, 9)) * 0.05 AS upper, floor(round(x / 0.05, 9)) * 0.05 AS lower, floor(x / 0.05 + 0.5) * 0.05 AS middle, CASE WHEN id % 3 = 0 THEN NULL WHEN x < 150 THEN 0.01 ELSE 0.01 END AS tick, 10 + (x - 10) * (id - 1) / 4.0 AS at FROM p")
@@ -264,10 +268,10 @@ def snk_07(spark, sf_dir):
 
 @query("chn_05_trend_areas")
 def chn_05(spark, sf_dir):
-    """Also TH-02 to TH-04 and LIM-10: actions on the latest trend channel's lines and zones, up to its break; tested by hand."""
+    """Also TH-02 to TH-04, CHN-11 and LIM-10: for how many bars rules on the latest trend channel's lines and zones have held, up to
+    its break; held against plain loops in tests."""
     b = days(spark, sf_dir)
-    found = channels.trend(b, 8, mintick=0.01)
-    out = found.select("symbol", "direction", "broken")
-    for area, kind in (("middle_line", "stay_above"), ("bottom_zone", "rejected"), ("top_line", "close_below")):
-        out = out.join(channels.trend_areas(b, found, {area: kind}).withColumnRenamed("passed", area), "symbol")
-    return out
+    rules = [{"area": "middle_line", "action": "closed_above"}, {"area": "bottom_zone", "action": "entered", "touch_type": "both", "tolerance": 20.0}, {"area": "top_line", "action": "closed_below", "tolerance": 10.0}, {"area": "top_zone", "action": "breach", "touch_type": "body"}]
+    found = trend.states_of(b, 8, mintick=trend.by_price())
+    below = trend.areas(b, found, {"middle_line": "closed_below"}).select("symbol", "passed")
+    return found.select("symbol", "direction", "broken").join(trend.areas(b, found, rules).drop("passed"), "symbol").join(below, "symbol")

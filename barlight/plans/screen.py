@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.functions import candles as K
-from barlight.operators import channels, indicators, postfilters
+from barlight.operators import channels, confluence, indicators, postfilters, trend
 from barlight.operators import relational as R
 from barlight.plans.rules import RULES
 from barlight.sources import bars as B
@@ -30,10 +30,9 @@ def _respect(b: DataFrame, length=100, line="middle", least=2, most=None, tolera
     return postfilters.respects(c, line, tolerance, min(max(gap, 3), 5)).select("symbol", ((n >= least) & (F.lit(True) if most is None else n <= most)).alias("passed"), n.cast("double").alias("value"))
 
 
-def _confluence(b: DataFrame, sources=("lrc", "regression"), kind="bullish", lookback=4, tolerance=1.0, selections=None) -> DataFrame:
-    c, names = postfilters.selections(b, sources, selections or postfilters.default_selections(kind))
-    found = postfilters.confluence(c, *names, kind, lookback, tolerance)
-    return found.select("symbol", F.col("scenario").isNotNull().alias("passed"), F.col("second_back").cast("double").alias("value"))
+def _confluence(b: DataFrame, **config) -> DataFrame:
+    found = confluence.confluence(b, **config)
+    return found.select("symbol", "passed", F.col("second_back").cast("double").alias("value"))
 
 
 def _dead(b: DataFrame, kinds=("strong", "slow", "failed", "flat"), recovery=False, **config) -> DataFrame:
@@ -42,14 +41,20 @@ def _dead(b: DataFrame, kinds=("strong", "slow", "failed", "flat"), recovery=Fal
     return postfilters.dead(b, **config).select("symbol", (~found | (F.col("recovered") if recovery else F.lit(False))).alias("passed"), F.lit(None).cast("double").alias("value"))
 
 
-def _trend(b: DataFrame, direction=None, span=8, mintick=0.01, broken=False) -> DataFrame:
-    """The latest pivot channel, of a direction if one is asked for, still open unless broken ones are asked for."""
-    right = F.lit(True) if direction is None else F.col("direction") == direction
-    return channels.trend(b, span, mintick=mintick).select("symbol", (right & (F.col("broken") == broken)).alias("passed"), F.col("middle").alias("value"))
+def _trend(b: DataFrame, direction=None, span=8, mintick="price", broken=None, areas=None, asset="stocks", **more) -> DataFrame:
+    """The latest pivot channel, of a direction if one is asked for, open or broken if that is, and with rules on its areas. Lines are
+    rounded to a tick, that of the last price if none is given."""
+    found = trend.states_of(b, span, mintick=trend.by_price(asset) if mintick == "price" else mintick, **more)
+    right = (F.lit(True) if direction is None else F.col("direction") == direction) & (F.lit(True) if broken is None else F.col("broken") == broken)
+    out = found.select("symbol", right.alias("passed"), F.col("middle").alias("value"))
+    if areas is not None:
+        held = trend.areas(b, found, areas).select("symbol", F.col("passed").alias("held"))
+        out = out.join(held, "symbol").select("symbol", (F.col("passed") & F.col("held")).alias("passed"), "value")
+    return out
 
 
 WHOLE = {"channel_respect": _respect, "confluence": _confluence, "dead_assets": _dead, "trend": _trend}
-WHOLE_NEED = {"channel_respect": lambda length=100, **_: length, "confluence": lambda **_: 400, "dead_assets": lambda **_: B.MAX_BARS, "trend": lambda **_: B.MAX_BARS}
+WHOLE_NEED = {"channel_respect": lambda length=100, **_: length, "confluence": confluence.need, "dead_assets": lambda **_: B.MAX_BARS, "trend": lambda **_: B.MAX_BARS}
 
 
 def _kind(name: str, config: dict) -> str:
@@ -67,7 +72,7 @@ class Request:
     """What to screen for. rules: settings by name; a name is that of its rule unless rule_of gives it. Besides its own settings a
     rule takes window (any of the last bars, or for rules of exact age a run of just so many), confirmation (a type of candle and
     how many bars ahead it may come) and timeframe (the scope in which it counts). logic: a tree (all | any | not, [names or
-    trees]); without it all rules must pass. Unknown rules and impossible settings are errors before any data is read; an unknown
+    trees]); rules that it does not name, or all without one, must pass too. Unknown rules and impossible settings are errors before any data is read; an unknown
     rule is no empty result."""
 
     rules: dict[str, dict] = field(default_factory=dict)
@@ -98,12 +103,15 @@ class Request:
             if confirmation and (confirmation.get("type") not in K.FAMILIES or int(confirmation.get("window", 1)) < 0):
                 raise ValueError(f"{name}: confirmation needs a type of {sorted(K.FAMILIES)} and a window of 0 or more")
             if kinds[name] == "confluence":
-                postfilters.check_confluence(**{k: own[k] for k in ("sources", "lookback", "tolerance") if k in own})
+                confluence.check(**own)
+            if kinds[name] == "trend" and own.get("areas") is not None:
+                trend.area_rules(own["areas"])
             if kinds[name] == "dead_assets" and (not set(own.get("kinds", ("flat",))) or own.get("lookback", 200) < 20 or own.get("window", 20) < 1):
                 raise ValueError(f"{name}: at least one kind of dead trend, and a lookback of 20 bars or more")
-        for name in _names(self.logic):
-            if name not in self.rules:
-                raise ValueError(f"logic: no rule {name}")
+        check_logic(self.logic)
+        named = set(_names(self.logic))
+        if unknown := sorted(named - set(self.rules)):
+            raise ValueError(f"logic: no rule {unknown[0]}")
 
     def scoped(self, timeframe: str) -> Request:
         """The request with those rules that count in a scope (rules that name none count in all)."""
@@ -123,6 +131,16 @@ class Request:
         return min(B.MAX_BARS, max(needs))
 
 
+def check_logic(logic) -> None:
+    """A tree is the name of a rule, or all, any or not with a list of trees, of which there is at least one."""
+    if logic is None or isinstance(logic, str):
+        return
+    if not isinstance(logic, (tuple, list)) or len(logic) != 2 or logic[0] not in ("all", "any", "not") or not isinstance(logic[1], (tuple, list)) or not logic[1]:
+        raise ValueError(f"logic: {logic!r} is no rule, and not all, any or not with a list of rules")
+    for part in logic[1]:
+        check_logic(part)
+
+
 def _names(logic) -> list[str]:
     if logic is None:
         return []
@@ -173,7 +191,8 @@ def explained(universe: DataFrame, bars: DataFrame, request: Request) -> DataFra
     of = lambda kinds: {n: c for n, c in request.rules.items() if _kind(n, c) in kinds}
     out = u.join(judged(b, of(RULES)), "symbol", "left").withColumn("in_price_range", F.coalesce(R.price_between(F.col("price"), *request.price), F.lit(False)))
     for name, config in of(WHOLE).items():
-        found = WHOLE[_kind(name, config)](b, **_split(config)[0])
+        own = _split(config)[0] | ({"asset": request.asset} if _kind(name, config) == "trend" else {})
+        found = WHOLE[_kind(name, config)](b, **own)
         out = out.join(found.withColumnsRenamed({"passed": f"passed_{name}", "value": f"value_{name}"}), "symbol", "left")
     for name, config in of(COLUMN_RULES).items():
         column = "shares_outstanding" if _kind(name, config) == "shares_outstanding" else config.get("column", "shares_outstanding")
@@ -184,7 +203,8 @@ def explained(universe: DataFrame, bars: DataFrame, request: Request) -> DataFra
     before = {n: c for n, c in passed.items() if _kind(n, request.rules[n]) == "dead_assets"}
     rest = {n: c for n, c in passed.items() if n not in before}
     stages = {"no_data": F.col("price").isNotNull(), "price_range": F.col("in_price_range")}
-    stages |= {"rules": _logic(request.logic, passed)} if request.logic else {**before, **rest}
+    # Rules that the tree does not name must pass besides it.
+    stages |= {**{n: c for n, c in {**before, **rest}.items() if n not in _names(request.logic)}, **({"rules": _logic(request.logic, passed)} if request.logic else {})}
     out = out.withColumn("reason", R.first_exclusion(stages))
     matched = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in passed.items()])) if passed else F.array().cast("array<string>")
     evidence = F.map_from_arrays(F.array(*map(F.lit, request.rules)), F.array(*[F.col(f"value_{n}") for n in request.rules])) if passed else F.lit(None)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions import candles as K
 from barlight.functions import series as S
-from barlight.operators import channels, postfilters
+from barlight.operators import channels, confluence, postfilters
 from barlight.operators import relational as R
 from barlight.plans import screen
 from barlight.plans.features import _ADX, _LRC, _MACD, _O, _PAT, _RSI, _WT, BARS, REC, TR, _age_sql, _pivot_sql, _touch_sql, days
@@ -33,11 +33,60 @@ def post_02(spark, sf_dir):
     return postfilters.respects(channels.regression(days(spark, sf_dir, 100)), "middle", 1.0, 3)
 
 
-@query("post_03_confluence")
+#: What a confluence query looks at: the middle of one regression channel and a band of another; percent of tolerance.
+_FIRST, _SECOND, _NEAR = 60, 30, 8.0
+#: Each of the last dates counts as a last one.
+_DATES = 20
+
+
+def _lines(name: str, n: int) -> str:
+    """The regression over the last n bars of c, and its deviation."""
+    return f"""{name}0 AS (SELECT symbol, regr_slope(close, i) AS slope, regr_intercept(close, i) AS icpt, var_pop(close) AS v, corr(close, i) AS r FROM c WHERE back <= {n} GROUP BY symbol),
+{name} AS (SELECT c.symbol, c.i, icpt + slope * c.i AS middle, 2 * sqrt(greatest(v * (1 - r * r), 0) + slope * slope) AS dev FROM c JOIN {name}0 USING (symbol) WHERE back <= {n})"""
+
+
+def _confluence_sql() -> str:
+    """By joins of a symbol's last bars with each other, a row for each pair that matches."""
+    held = lambda k, way: "coalesce(" + " OR ".join(_touch_sql(f"(low{k} - s{k})", f"(high{k} + s{k})", way).values()) + ", false)"
+    shows = {
+        ("bullish", 0, 0, "dual_support"): "s.sup2 AND s.run2 BETWEEN 1 AND 4 AND f.sup1",
+        ("bullish", 0, 1, "stacked_support"): "s.sup2 AND s.mid2 < s.mid1 AND l.near2 AND f.sup1 AND NOT EXISTS (SELECT 1 FROM t z WHERE z.symbol = s.symbol AND z.back <= f.back AND z.back > s.back AND NOT coalesce(z.close >= z.low1, false)) AND NOT EXISTS (SELECT 1 FROM t z WHERE z.symbol = s.symbol AND z.back <= s.back AND NOT coalesce(z.close >= z.low2, false))",
+        ("bearish", 1, 0, "stacked_resistance"): "s.res2 AND s.mid2 > s.mid1 AND f.res1 AND l.close < l.low1",
+        ("bearish", 1, 1, "clustered_resistance"): f"s.res2 AND abs(s.mid1 - s.mid2) <= greatest(abs(s.mid1), abs(s.mid2), 1) * {_NEAR} / 100 AND s.run1 BETWEEN 1 AND 4 AND l.close <= l.high1 + l.s1 AND f.res1",
+        ("breakout", 2, 0, "dual_resistance_break"): "s.broke2 AND s.run2 BETWEEN 1 AND 4 AND f.broke1",
+        ("breakout", 2, 1, "support_then_resistance_break"): "s.broke2 AND s.run2 BETWEEN 1 AND 3 AND f.sup1",
+        ("breakout", 2, 2, "resistance_break_then_support"): "s.sup2 AND l.near2 AND f.broke1 AND NOT EXISTS (SELECT 1 FROM t z WHERE z.symbol = s.symbol AND z.back <= f.back AND NOT coalesce(z.close > z.high1, false))",
+        ("role_reversal", 3, 0, "role_reversal"): "s.sup2 AND l.near2 AND f.broke1 AND NOT EXISTS (SELECT 1 FROM t z WHERE z.symbol = s.symbol AND z.back <= f.back AND NOT coalesce(z.close > z.high1, false))",
+    }
+    pairs = " UNION ALL ".join(f"SELECT s.symbol, '{kind}' AS kind, {m} AS m, s.back AS second_back, {k} AS k, f.back AS first_back, '{name}' AS scenario FROM t s JOIN t f ON f.symbol = s.symbol AND f.back >= s.back JOIN t l ON l.symbol = s.symbol AND l.back = 1 WHERE {ok}" for (kind, m, k, name), ok in shows.items())
+    run = lambda ok: f"(SELECT CASE WHEN count(*) FILTER (WHERE {ok}) > 0 AND max(CASE WHEN {ok} THEN z.back END) = count(*) FILTER (WHERE {ok}) THEN count(*) FILTER (WHERE {ok}) END FROM t0 z WHERE z.symbol = t0.symbol AND z.back <= t0.back)"
+    kinds = ", ".join(f"max(CASE WHEN kind = '{k}' THEN scenario END) AS {k}" for k in ("bullish", "bearish", "breakout", "role_reversal"))
+    return f"""WITH {BARS}{B.latest_sql('supplier_days').replace('c AS (', 'whole AS (', 1)}, c AS (SELECT symbol || '@' || k AS symbol, time, open, high, low, close, i, back - k AS back FROM whole, range({_DATES}) d(k) WHERE back - k BETWEEN 1 AND {_FIRST}),
+{_lines("one", _FIRST)}, {_lines("two", _SECOND)},
+v AS (SELECT c.*, one.middle AS low1, one.middle AS high1, two.middle - two.dev * 0.4 AS low2, two.middle + two.dev * 0.2 AS high2, lag(close) OVER o AS c1, lag(one.middle) OVER o AS p1, lag(two.middle + two.dev * 0.2) OVER o AS p2 FROM c JOIN one USING (symbol, i) JOIN two USING (symbol, i) WINDOW o AS (PARTITION BY c.symbol ORDER BY c.i)),
+w AS (SELECT *, (low1 + high1) / 2 AS mid1, (low2 + high2) / 2 AS mid2, greatest(abs((low1 + high1) / 2), 1) * {_NEAR} / 100 AS s1, greatest(abs((low2 + high2) / 2), 1) * {_NEAR} / 100 AS s2 FROM v),
+t0 AS (SELECT *, {held(1, 'down')} AS sup1, {held(2, 'down')} AS sup2, {held(1, 'up')} AS res1, {held(2, 'up')} AS res2, coalesce(c1 <= p1 AND close > high1, false) AS broke1, coalesce(c1 <= p2 AND close > high2, false) AS broke2, close >= low2 AND close <= high2 + s2 AS near2 FROM w WHERE back <= 4),
+t AS (SELECT *, {run('z.close > z.high2')} AS run2, {run('z.close < z.low1')} AS run1 FROM t0),
+p AS ({pairs}),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY second_back, k, first_back DESC) AS nr, row_number() OVER (PARTITION BY symbol, kind <> 'role_reversal' ORDER BY m, second_back, k, first_back DESC) AS nr_any FROM p),
+of_kinds AS (SELECT symbol, {kinds} FROM r WHERE nr = 1 GROUP BY symbol),
+of_any AS (SELECT symbol, scenario AS any_scenario, second_back, first_back FROM r WHERE nr_any = 1 AND kind <> 'role_reversal')
+SELECT symbol, bullish, bearish, breakout, role_reversal, any_scenario, CAST(second_back AS BIGINT) AS second_back, CAST(first_back AS BIGINT) AS first_back FROM (SELECT DISTINCT symbol FROM t) LEFT JOIN of_kinds USING (symbol) LEFT JOIN of_any USING (symbol)"""
+
+
+@query("post_03_confluence", _confluence_sql())
 def post_03(spark, sf_dir):
-    """Also JN-12: support of two lines together, the regression channel's lower line and a mean below price."""
-    c = channels.regression(days(spark, sf_dir, 100)).withColumn("mean", S.sma(F.col("close"), 20) * 0.9)
-    return postfilters.supported(c.where("mean IS NOT NULL"), "lower", "mean", 4, 10.0)
+    """CF-02 to CF-10, JN-12 and POST-05: all kinds of confluence of a line and a zone, with the bars of the match, by symbol and last date."""
+    ends = days(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(_DATES - 1))).alias("k"))
+    ends = ends.withColumns({"symbol": F.concat_ws("@", "symbol", "k"), "back": F.col("back") - F.col("k")}).where(F.col("back").between(1, _FIRST))
+    b = channels.regression_of(ends, F.col("back") <= _FIRST, p="a")
+    b = channels.regression_of(b, F.col("back") <= _SECOND, p="b")
+    dev = F.col("b_middle") - F.col("b_lower")
+    within = lambda x, n: F.when(F.col("back") <= n, x)
+    b = b.withColumns({"low1": within(F.col("a_middle"), _SECOND), "high1": within(F.col("a_middle"), _SECOND), "low2": within(F.col("b_middle") - dev * 0.4, _SECOND), "high2": within(F.col("b_middle") + dev * 0.2, _SECOND)})
+    kinds = ["bullish", "bearish", "breakout", "role_reversal"]
+    found = confluence.matches(b, [*kinds, "any"], 4, _NEAR)
+    return found.select("symbol", *[F.col(f"{k}.scenario").alias(k) for k in kinds], F.col("any.scenario").alias("any_scenario"), F.col("any.second_back").cast("long").alias("second_back"), F.col("any.first_back").cast("long").alias("first_back"))
 
 
 @query("post_04_liquidity_sweep", f"WITH {BARS}{B.latest_sql('supplier_days', 120)}, l AS (SELECT *, {S.lag_sql('low')} AS l1, {S.lag_sql('high')} AS h1 FROM c) SELECT symbol, time, coalesce((low < l1 AND close > l1) OR (high > h1 AND close < h1), false) AS sweep FROM l")

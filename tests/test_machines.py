@@ -1,10 +1,10 @@
-"""Trend channels and confluences against plain loops over random walks."""
+"""Trend channels and failed recoveries against plain loops over random walks."""
 
 import math
 import random
 
 import pytest
-from barlight.operators import channels, postfilters
+from barlight.operators import postfilters, trend
 from barlight.sources import bars as B
 
 
@@ -57,7 +57,7 @@ def trend_by_hand(bars, span, width=6.0, zone=1 / 7, period=10):
 @pytest.mark.parametrize("span", [3, 8])
 def test_trend_channels(spark, span):
     found = walks(25, 260, 4)
-    got = {r.symbol: r for r in channels.trend(frame(spark, found), span).collect()}
+    got = {r.symbol: r for r in trend.trend(frame(spark, found), span).collect()}
     kinds = set()
     for s, bars in found.items():
         want = trend_by_hand(bars, span)
@@ -70,45 +70,6 @@ def test_trend_channels(spark, span):
     assert len(kinds) >= 3
 
 
-def bullish_by_hand(bars, one, two, lookback, tolerance):
-    n = len(bars)
-
-    def holds(i, line):
-        x = line[i]
-        slack = max(abs(x), 1.0) * tolerance / 100
-        lo, hi, mid = x - slack, x + slack, x
-        o, h, l, c = bars[i]
-        top, bottom = max(o, c), min(o, c)
-        wick = l < bottom and l <= hi and bottom >= lo and bottom >= mid
-        body = bottom <= hi and top >= lo and bottom >= mid
-        return wick or body
-
-    c = [b[3] for b in bars]
-    pairs = [(s, f) for s in range(n - 1, max(-1, n - 1 - lookback), -1) if holds(s, two) for f in range(s, s - 4, -1) if f >= n - 4 and f >= 0 and holds(f, one)]
-    for s, f in pairs:
-        # From the first close above the second line on, all closes are above it, for one to four bars.
-        above = [i for i in range(s, n) if c[i] > two[i]]
-        if above and all(c[i] > two[i] for i in range(above[0], n)) and 1 <= n - above[0] <= 4:
-            return "held_together", n - s, n - f
-    slack = max(abs(two[-1]), 1.0) * tolerance / 100
-    for s, f in pairs:
-        if two[s] < one[s] and two[-1] <= c[-1] <= two[-1] + slack and all(c[i] >= one[i] for i in range(f, s)) and all(c[i] >= two[i] for i in range(s, n)):
-            return "held_one_beyond", n - s, n - f
-    return None, None, None
-
-
-def test_bullish_confluence(spark):
-    rng = random.Random(8)
-    found = walks(150, 14, 9)
-    lines = {s: ([min(b[2] for b in bars[-5:]) + rng.uniform(-1, 3)] * 14, [min(b[2] for b in bars[-5:]) + rng.uniform(-1, 3)] * 14) for s, bars in found.items()}
-    given = spark.createDataFrame([(s, a[0], b[0]) for s, (a, b) in lines.items()], "symbol string, one double, two double")
-    got = {r.symbol: (r.scenario, r.second_back, r.first_back) for r in postfilters.confluence(frame(spark, found).join(given, "symbol"), "one", "two", "bullish", 4, 1.5).collect()}
-    want = {s: bullish_by_hand(bars, *lines[s], 4, 1.5) for s, bars in found.items()}
-    assert len({w[0] for w in want.values()}) >= 2
-    assert {s: g[0] for s, g in got.items()} == {s: w[0] for s, w in want.items()}
-    assert got == want
-
-
 def test_failed_recoveries_by_hand(spark):
     """A low that is bounced off by a fifth and fallen through within twenty bars is a failed recovery."""
     up = [100.0 + k for k in range(60)]
@@ -116,17 +77,3 @@ def test_failed_recoveries_by_hand(spark):
     rows = {"A": [(c, c + 0.5, c - 0.5, c) for c in fall], "B": [(c, c + 0.5, c - 0.5, c) for c in [*up, *up]]}
     kinds = {r.symbol: r.kind for r in postfilters.dead(frame(spark, rows)).collect()}
     assert kinds == {"A": "failed", "B": "none"}
-
-
-def test_trend_areas(spark):
-    """A rising channel whose last bars close above the middle line; a broken one has no run after its break."""
-    b = frame(spark, {"A": [(100 + k, 101 + k, 99 + k, 100.0 + k) for k in range(20)], "B": [(100, 101, 99, 100.0)] * 20})
-    rows = [("A", "up", False, None, 5, 5, 1.0, 130.0, 118.5, 107.0, 1.0), ("B", "up", True, 10, 5, 5, 0.0, 110.0, 99.0, 90.0, 5.0)]
-    found = spark.createDataFrame(rows, channels.TREND_SCHEMA)
-    passed = lambda rules, window=1: {r.symbol: r.passed for r in channels.trend_areas(b, found, rules, window).collect()}
-    assert passed({"middle_line": "close_above"}, 16) == {"A": True, "B": False} and passed({"middle_line": "close_above"}, 15)["A"] is False
-    assert passed({"middle_line": "disabled"}) == {"A": True, "B": True} and passed({}) == {"A": False, "B": False}
-    assert passed({"middle_line": "close_above", "top_line": "close_below"}, 16)["A"] is True
-    assert passed({"bottom_zone": "rejected"})["B"] is False and passed({"top_zone": "breach"})["A"] is False
-    with pytest.raises(ValueError, match="areas"):
-        channels.trend_areas(b, found, {"side": "touch"})

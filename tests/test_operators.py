@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlight.functions import series as S
-from barlight.operators import channels, indicators, postfilters, states
+from barlight.operators import channels, indicators, postfilters, states, trend
 from barlight.operators import relational as R
 from barlight.plans import screen
 from barlight.sources import bars as B
@@ -60,9 +60,9 @@ def test_volatility_stop_turns(spark):
 
 def test_trend_channel_of_rising_lows(spark):
     wave = [100 + k * 0.5 + (6 if k % 10 < 5 else -6) * (1 - abs(k % 5 - 2) / 3) for k in range(80)]
-    out = channels.trend(make(spark, wave), 3).collect()
+    out = trend.trend(make(spark, wave), 3).collect()
     assert len(out) == 1 and out[0].bottom < out[0].middle < out[0].top
-    assert channels.trend(make(spark, [1, 2, 3]), 3).count() == 0
+    assert trend.trend(make(spark, [1, 2, 3]), 3).count() == 0
 
 
 def test_respect_counts_separate_touches(spark):
@@ -70,13 +70,6 @@ def test_respect_counts_separate_touches(spark):
     assert postfilters.respects(b, "line", 1.0, 3).first().respects == 2
 
 
-def test_confluence_of_two_held_lines(spark):
-    b = make(spark, [20, 20, 20, 20, 20, 20, 20, 10.4]).withColumns({"a": F.lit(10.0), "b": F.lit(9.9), "open": F.col("close") + 0.2})
-    assert postfilters.supported(b, "a", "b", 4, 5.0).first().supported is True
-    far = make(spark, [20] * 8).withColumns({"a": F.lit(10.0), "b": F.lit(9.9)})
-    assert postfilters.supported(far, "a", "b", 4, 5.0).first().supported is False
-
-
 def test_short_series_are_never_dead(spark):
     assert postfilters.dead(make(spark, range(11, 0, -1))).first().kind == "none"
 

@@ -72,50 +72,14 @@ def test_post_filters_in_a_screen(universe, bars):
     assert r["A"].passed_dead_assets and r["A"].passed_channel_respect and not r["A"].passed_trend and r["C"].reason == "excluded:no_data"
 
 
-def line_bars(spark, closes, one, two, spread=1.0):
-    b = make(spark, closes, spread=spread)
-    lines = spark.createDataFrame([(86400 * k, float(x), float(y)) for k, (x, y) in enumerate(zip(one, two, strict=True))], "time long, one double, two double")
-    return b.join(lines, "time")
-
-
-def scenario(spark, kind, closes, one, two, tolerance=1.0, lookback=4, spread=1.0):
-    return postfilters.confluence(line_bars(spark, closes, one, two, spread), "one", "two", kind, lookback, tolerance).first()
-
-
-def test_breakout_of_two_lines(spark):
-    flat = [10.0] * 6
-    r = scenario(spark, "breakout", [*flat, 13.0, 13.0], [11] * 8, [12] * 8)
-    assert r.scenario == "breakout" and r.second_back == 2 and r.first_back == 2
-    assert scenario(spark, "breakout", [*flat, 13.0, 11.5], [11] * 8, [12] * 8).scenario is None
-    assert scenario(spark, "breakout", [13.0] * 8, [11] * 8, [12] * 8).scenario is None
-
-
-def test_bearish_confluence_mirrors_bullish(spark):
-    up = [20.0] * 7 + [10.4]
-    bull = postfilters.confluence(make(spark, up).withColumns({"one": F.lit(10.0), "two": F.lit(9.9), "open": F.col("close") + 0.2}), "one", "two", "bullish", 4, 5.0).first()
-    mirrored = make(spark, [-x for x in up]).withColumns({"one": F.lit(-10.0), "two": F.lit(-9.9), "open": F.col("close") - 0.2})
-    bear = postfilters.confluence(mirrored, "one", "two", "bearish", 4, 5.0).first()
-    assert bull.scenario == bear.scenario and bull.scenario is not None and (bull.second_back, bull.first_back) == (bear.second_back, bear.first_back)
-
-
-def test_role_reversal_and_clusters(spark):
-    # The first line is broken upward and then holds from above, over the second one.
-    b = line_bars(spark, [9.0, 9.0, 9.0, 9.0, 12.0, 10.3], [10] * 6, [8] * 6, 0.4).withColumn("open", F.col("close") + 0.2)
-    r = postfilters.confluence(b, "one", "two", "role_reversal", 4, 1.0).first()
-    assert r.scenario == "role_reversal" and (r.second_back, r.first_back) == (1, 2)
-    b = make(spark, [20.0] * 7 + [10.4]).withColumns({"one": F.lit(10.0), "two": F.lit(10.05), "open": F.col("close") + 0.2})
-    assert postfilters.confluence(b, "one", "two", "clustered", 4, 5.0).first().scenario == "clustered"
-    assert postfilters.confluence(b.withColumn("two", F.lit(8.0)), "one", "two", "clustered", 4, 5.0).first().scenario is None
-
-
 def test_zones_breaches_and_ticks(spark):
     b = make(spark, [10, 12, 15, 11, 12], spread=0.5)
-    zone = lambda kind, side: values(b.withColumn("x", F.coalesce(channels.zone_action(F.lit(11.5), F.lit(13.0), kind, side), F.lit(False))), "x")
-    assert zone("entered", "top") == [False, True, False, False, True] and zone("breach", "top") == [False, False, True, False, False]
-    assert zone("breach", "bottom") == [True, False, False, True, False] and zone("rejected", "top") == [False, False, False, True, False]
+    zone = lambda kind, side: values(b.withColumn("x", channels.zone_rule(F.lit(11.5), F.lit(13.0), kind, side)), "x")
+    assert zone("entered", "up") == [False, True, False, True, True] and zone("breach", "up") == [False, False, True, False, False]
+    assert zone("breach", "down") == [True, False, False, True, False] and zone("rejected", "up") == [False, False, False, True, False]
     b = b.withColumn("open", F.col("close") - 1)
     cut = lambda kind, way: values(b.withColumn("x", channels.breach(F.lit(11.5), kind, way)), "x")
-    assert cut("body", "up") == [False, True, False, False, True]
+    assert cut("body", "up") == [False, True, True, False, True] and cut("wick", "down") == [True, False, False, True, False]
     one = spark.range(1).select(channels.line_to_tick(F.lit(1.234), 0.01, "upper").alias("u"), channels.line_to_tick(F.lit(1.236), 0.01, "lower").alias("l"), channels.line_to_tick(F.lit(1.236), 0.01, "middle").alias("m"), channels.mintick(F.lit(0.5), F.lit(False)).alias("t"), channels.mintick(F.lit(5.0), F.lit(True)).alias("n"), channels.line_at(F.lit(1), F.lit(10.0), F.lit(3), F.lit(20.0), F.lit(4)).alias("y")).first()
     assert (one.u, one.l, one.m) == (pytest.approx(1.24), pytest.approx(1.23), pytest.approx(1.24)) and one.t == 0.0001 and one.n is None and one.y == 25.0
 
