@@ -4,8 +4,8 @@ Both tokenizers spell the same bytes. The transducer reads tokens in turn: its s
 it does, the residual, always an end of the leading side's last token. It takes the next token of the other side; that token
 overlaps the leading one, which is a link, and leaves a residual of either side or none, which closes a group. Steps depend on
 residual and token only, so they are kept by (state, token). Texts are cut where both tokenizers always end a token, between a
-graphic sign and a space (see BREAK); from there on the transducer starts anew, so what it makes of such a stretch is kept too,
-up to KEPT of them in a task.
+graphic sign and a space, and between a letter and a stop (see BREAK and SIGN); from there on the transducer starts anew, so
+what it makes of such a stretch is kept too, up to KEPT of them in a task.
 
 Texts are encoded once: per text the saved table has the counts, the groups' digest and the text's id pairs with their numbers,
 packed. Pairs are counted over the corpus from there: summed up in each task, then by a shuffle. To look the counts up again, the most
@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,17 @@ from barlight.llm.tables import deleted, read, saved
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: Stretches whose alignment a task keeps, the longest that are kept, and steps of the transducer that are kept.
-KEPT, KEPT_CHARS, STEPS = 200_000, 100, 2_000_000
+KEPT, KEPT_CHARS, STEPS = 250_000, 100, 200_000
+#: New stretches that are encoded at once; the libraries' results take many times their text.
+AT_ONCE = 2_000
 #: Pairs that every task gets.
 USUAL = 500_000
 #: Bytes of text that are worked on at once.
 CHUNK = 4 << 20
 #: A space after a graphic sign: no token of either tokenizer goes across.
-BREAK = re.compile("(?<=[!-~À-ᙿ])(?= )")
+BREAK = "(?<=[!-~À-ᙿ])(?= )"
+#: A sign after a letter: a place to cut if neither vocabulary has an entry with both, which is checked.
+SIGN, SIGN_INSIDE = "(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])", "[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]"
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,50 +63,61 @@ class Transducer:
 
     def __init__(self, spelled: tuple[list[bytes], list[bytes]]):
         self.spelled = spelled
+        self.wide = max(map(len, spelled))
+        self.clear()
+
+    def clear(self) -> None:
         self.states: list[tuple[int, bytes]] = [(0, b"")]
         self.known: dict[tuple[int, bytes], int] = {(0, b""): 0}
-        self.steps: dict[tuple[int, int], int] = {}
+        #: The side that each state reads next, and the state after a token, by state times wide plus token.
+        self.reads: list[int] = [0]
+        self.steps: dict[int, int] = {}
 
     def _state(self, side: int, residual: bytes) -> int:
         state = (side, residual) if residual else (0, b"")
         if state not in self.known:
             self.known[state] = len(self.states)
             self.states.append(state)
+            self.reads.append(1 - side)
         return self.known[state]
 
     def step(self, state: int, token: int) -> int:
         """The state after the next token: of the first side without a residual, else of the side that lags."""
-        if (state, token) not in self.steps:
-            side, residual = self.states[state]
-            if not residual:
-                to = self._state(0, self.spelled[0][token])
-            else:
-                found = self.spelled[1 - side][token]
-                short = min(len(found), len(residual))
-                if found[:short] != residual[:short]:
-                    raise ValueError(f"tokens differ at {residual!r} and {found!r}")
-                to = self._state(side, residual[short:]) if short < len(residual) else self._state(1 - side, found[short:])
-            self.steps[state, token] = to
-        return self.steps[state, token]
+        side, residual = self.states[state]
+        if not residual:
+            to = self._state(0, self.spelled[0][token])
+        else:
+            found = self.spelled[1 - side][token]
+            short = min(len(found), len(residual))
+            if found[:short] != residual[:short]:
+                raise ValueError(f"tokens differ at {residual!r} and {found!r}")
+            to = self._state(side, residual[short:]) if short < len(residual) else self._state(1 - side, found[short:])
+        self.steps[state * self.wide + token] = to
+        return to
 
     def run(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], str, int]:
         """Of tokens that spell the same bytes: the links as pairs of ids, the groups as text, and their number."""
         if len(self.steps) > STEPS:
-            self.__init__(self.spelled)
-        tokens, at, first, last = (a, b), [0, 0], [0, 0], [-1, -1]
-        links, groups, state = [], [], 0
-        while at[0] < len(a) or at[1] < len(b):
-            begins = state == 0
-            side = 0 if begins else 1 - self.states[state][0]
-            token = tokens[side][at[side]]
-            at[side] += 1
-            last[side] = token
-            state = self.step(state, token)
-            if not begins:
-                links.append((last[0], last[1]))
+            self.clear()
+        steps, reads, wide = self.steps, self.reads, self.wide
+        links, groups, state, i, j, first_a, first_b, n_a, n_b = [], [], 0, 0, 0, 0, 0, len(a), len(b)
+        while i < n_a or j < n_b:
             if state == 0:
-                groups.append(",".join(map(str, a[first[0] : at[0]])) + "|" + ",".join(map(str, b[first[1] : at[1]])))
-                first = at[:]
+                token = a[i]
+                i += 1
+            elif reads[state]:
+                token = b[j]
+                j += 1
+                links.append((a[i - 1], token))
+            else:
+                token = a[i]
+                i += 1
+                links.append((token, b[j - 1]))
+            to = steps.get(state * wide + token)
+            state = self.step(state, token) if to is None else to
+            if state == 0:
+                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+                first_a, first_b = i, j
         return links, ";".join(groups), len(groups)
 
 
@@ -125,6 +142,8 @@ class Aligner:
         of_b = [bytes([int(p[3:5], 16)]) if t == pieces.BYTE else p.replace(pieces.MARKER, " ").encode() for p, t in zip(model.pieces, model.types, strict=True)]
         self.spelled, self.wide = (spelled, of_b), len(of_b)
         self.transducer = Transducer(self.spelled)
+        crosses = any(re.search(SIGN_INSIDE, x.decode(errors="replace")) for x in chain(*self.spelled))
+        self.cut = re.compile(BREAK if crosses else f"{BREAK}|{SIGN}")
         self.clear()
 
     def clear(self) -> None:
@@ -133,43 +152,61 @@ class Aligner:
         self.numbers = np.zeros((0, 5), np.int64)
         self.pairs: list[bytes] = []
         self.groups: list[str] = []
+        self.hits = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the half of the stretches that came up most often."""
+        usual = np.sort(np.argsort(-self.hits, kind="stable")[: KEPT // 2])
+        places = np.full(len(self.numbers), -1, np.int64)
+        places[usual] = np.arange(len(usual))
+        self.known = {s: int(places[k]) for s, k in self.known.items() if places[k] >= 0}
+        self.pairs, self.groups = [self.pairs[k] for k in usual], [self.groups[k] for k in usual]
+        self.numbers, self.hits = self.numbers[usual], self.hits[usual] // 2
 
     def learn(self, stretches: list[str]) -> None:
         """Encodes and aligns stretches that are not known yet."""
         of_a = self.a.encode_batch_fast(stretches, add_special_tokens=False)
         of_b = self.b.encode_batch_fast(stretches, add_special_tokens=False)
-        numbers = []
+        numbers, wide, spelled = [], self.wide, self.spelled[1].__getitem__
         for stretch, x, y in zip(stretches, of_a, of_b, strict=True):
-            a, b, whole = x.ids, y.ids, stretch.encode()
-            good = b"".join(map(self.spelled[0].__getitem__, a)) == whole == b"".join(map(self.spelled[1].__getitem__, b))
-            links, groups, n = self.transducer.run(a, b) if good else ([], "", 0)
+            a, b, links, groups, n = x.ids, y.ids, [], "", 0
+            # The transducer compares the first side's bytes with the second's as it goes.
+            good = b"".join(map(spelled, b)) == stretch.encode()
+            try:
+                links, groups, n = self.transducer.run(a, b) if good else (links, groups, n)
+            except (ValueError, IndexError):
+                good = False
             self.known[stretch] = len(self.numbers) + len(numbers)
             numbers.append((len(a), len(b), n, len(links), good))
-            self.pairs.append(np.array([i * self.wide + j for i, j in links], np.int64).tobytes())
+            self.pairs.append(array("q", [i * wide + j for i, j in links]).tobytes())
             self.groups.append(groups)
         self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64).reshape(-1, 5)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(numbers), np.int64)])
 
     def align(self, texts: list[str]) -> list[tuple[int, int, int, int, str, bytes, bytes]]:
         """Of each text: tokens of both sides, groups, links, the groups' digest, its id pairs in order and their numbers, packed."""
         if len(self.numbers) > KEPT:
-            self.clear()
-        cut = [BREAK.split(" " + x) if x else [] for x in texts]
-        new = list({s for x in cut for s in x if s not in self.known})
-        self.learn(new)
+            self.forget()
+        cut = [self.cut.split(" " + x) if x else [] for x in texts]
+        new = list(set(chain.from_iterable(cut)) - self.known.keys())
+        for k in range(0, len(new), AT_ONCE):
+            self.learn(new[k : k + AT_ONCE])
         out = []
         for x in cut:
-            at = list(map(self.known.__getitem__, x))
-            sums = self.numbers[at].sum(axis=0) if at else np.zeros(5, np.int64)
-            if not at or sums[4] < len(at):
+            places = list(map(self.known.__getitem__, x))
+            at = np.array(places, np.int64)
+            sums = self.numbers[at].sum(axis=0)
+            np.add.at(self.hits, at, 1)
+            if not len(at) or sums[4] < len(at):
                 out.append((0, 0, 0, 0, "", b"", b""))
                 continue
-            digest = hashlib.sha256(";".join(map(self.groups.__getitem__, at)).encode()).hexdigest()
-            pair, n = np.unique(np.frombuffer(b"".join(map(self.pairs.__getitem__, at)), np.int64), return_counts=True)
+            digest = hashlib.sha256(";".join(map(self.groups.__getitem__, places)).encode()).hexdigest()
+            pair, n = np.unique(np.frombuffer(b"".join(map(self.pairs.__getitem__, places)), np.int64), return_counts=True)
             out.append((*map(int, sums[:4]), digest, pair.astype(np.uint32 if self.narrow else np.int64).tobytes(), n.astype(np.int32).tobytes()))
         for s in new:
             if len(s) > KEPT_CHARS:
                 k = self.known.pop(s)
-                self.pairs[k], self.groups[k] = b"", ""
+                self.pairs[k], self.groups[k], self.hits[k] = b"", "", 0
         return out
 
     @property
@@ -237,10 +274,10 @@ def pair_counts(table: DataFrame, wide: int, narrow: bool) -> DataFrame:
             pair, n, _ = _unpacked(batch.column(0), batch.column(1), narrow)
             waiting.append((pair, n))
             held += len(pair)
-            if held > 4 * USUAL:
+            if held > 2 * USUAL:
                 waiting = [summed()]
                 held = len(waiting[0][0])
-                if held > 2 * USUAL:
+                if held > USUAL:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in waiting[0]], ["pair", "n"])
                     waiting, held = [], 0
         if waiting:
