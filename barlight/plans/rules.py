@@ -136,21 +136,82 @@ def adx(b: DataFrame, p: str, conditions=("bullish",), length=11, threshold=20.0
     return b, joined([_chosen(c, of) for c in conditions], "all"), x
 
 
-def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source="close", slack=0.0) -> Found:
-    """Correlation lines r1 to r3. tree: a clause (kind, ...), or (all | any | not, [trees]).
+#: Names of the correlation lines, their zones, crossings by name, and named trees.
+LINE_NAMES = {"red": "r1", "green": "r2", "blue": "r3"}
+PAIRS = {f"{x}_{way}_{y}": (LINE_NAMES[x], LINE_NAMES[y], way) for x, y in (("red", "green"), ("red", "blue"), ("green", "blue")) for way in ("below", "above")}
+EXACT, EARLY = 0.8, 0.7
+PRESETS = {
+    "bullish_extreme": ("all", [("zone", "red", "positive_extreme"), ("zone", "green", "positive_extreme"), ("zone", "blue", "positive")]),
+    "bearish_extreme": ("all", [("zone", "red", "negative_extreme"), ("zone", "green", "negative_extreme"), ("zone", "blue", "negative")]),
+    "extreme_watch": ("any", [("preset", "bullish_extreme"), ("preset", "bearish_extreme")]),
+    "bullish_order": ("order", "above"),
+    "bearish_order": ("order", "below"),
+    "order_watch": ("any", [("order", "above"), ("order", "below")]),
+    "legacy_reversal": ("any", [("reversal", at, way) for at in ("exact", "early") for way in ("bullish", "bearish")]),
+}
+
+
+def zone_by_name(x: Column, name: str, slack: float = 0.0) -> Column:
+    """Whether a correlation line is in a zone, widened by slack."""
+    of = {
+        "positive_extreme": x >= EXACT - slack, "positive_early": (x >= EARLY - slack) & (x < EXACT + slack), "positive": x > -slack,
+        "negative_extreme": x <= -EXACT + slack, "negative_early": (x > -EXACT - slack) & (x <= -EARLY + slack), "negative": x < slack, "neutral": F.abs(x) <= slack,
+    }
+    words = {"bullish_exact": "positive_extreme", "downtrend_extreme": "positive_extreme", "bullish_early": "positive_early", "bearish_exact": "negative_extreme", "uptrend_extreme": "negative_extreme", "bearish_early": "negative_early", "above_zero": "positive", "below_zero": "negative", "near_zero": "neutral"}
+    return _chosen(words.get(name, name), of)
 
-    order: below or above (r1, r2, r3); reversal: exact or early, bullish or bearish; compare: line, sign, number or line;
-    zone: line, low, high; direction: line, direction; cross: line, line, above or below; both: line, above or below (it comes to
-    be beyond both others); crossings: how many pairs of lines cross at a bar at least. A sign may be "near", within slack."""
+
+def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source="close", slack=0.0) -> Found:
+    """Correlation lines r1 to r3, also called red, green and blue. tree: a clause (kind, ...), or (all | any | not, [trees]).
+
+    order: below or above (r1, r2, r3); reversal: exact or early, bullish or bearish; compare: line, sign, number or line; zone:
+    line, and low and high or a name; direction: line, direction; cross: line, line, above or below; pair: a crossing by name, as
+    red_below_green or red_above_both; both: line, above or below (it comes to be beyond both others); crossings: how many pairs of
+    lines cross at a bar at least; crossed: names of pairs, how many of them at least, and within how many bars; sequence:
+    red_first, green_first, blue_first or sequential, bullish (lines that fall through zero) or bearish (that rise through it), and
+    within how many bars: by the first crossing of each line in them. preset: a tree by name. within: a number of bars, and a tree
+    that holds at any of them. A sign may be "near", within slack."""
     b = b.withColumn(f"{p}_s", S.source(source))
     b = b.withColumns({f"{p}_r{k}": S.pearson(F.col(f"{p}_s"), first + step * (k - 1)) for k in (1, 2, 3)})
-    line = lambda name: F.col(f"{p}_{name}")
-    made: dict[str, Column] = {}
-    made2: dict[str, Column] = {}
+    made = 0
+
+    def line(name: str) -> Column:
+        return F.col(f"{p}_{LINE_NAMES.get(name, name)}")
 
     def stored(c: Column) -> Column:
-        made[f"{p}_c{len(made)}"] = c
-        return F.col(f"{p}_c{len(made) - 1}")
+        """c as a column, as windows can't stand in windows."""
+        nonlocal b, made
+        made += 1
+        b = b.withColumn(f"{p}_c{made}", c)
+        return F.col(f"{p}_c{made}")
+
+    def within(n: int, c: Column) -> Column:
+        return F.max(F.coalesce(stored(c), F.lit(False))).over(S.frame(1 - n, 0))
+
+    def crossed(x: Column, y: Column, way: str) -> Column:
+        return S.crossed_above(x, y) if way == "above" else S.crossed_above(y, x)
+
+    def beyond_both(name: str, way: str) -> Column:
+        x, *others = line(name), *(line(n) for n in LINE_NAMES.values() if n != LINE_NAMES.get(name, name))
+        beyond = stored((x > F.greatest(*others)) if way == "above" else (x < F.least(*others)))
+        return F.coalesce(beyond, F.lit(False)) & ~F.coalesce(S.back(beyond), F.lit(True))
+
+    def pair(name: str) -> Column:
+        if name.endswith("_both"):
+            x, way, _ = name.split("_")
+            return stored(beyond_both(x, way))
+        x, y, way = PAIRS[name] if name in PAIRS else _chosen(name, dict.fromkeys([*PAIRS, "red_below_both", "red_above_both"]))
+        return stored(crossed(line(x), line(y), way))
+
+    def sequence(which: str, way: str, n: int) -> Column:
+        at = []
+        for name in LINE_NAMES:
+            cross = stored(crossed(line(name), F.lit(0.0), "below" if way == "bullish" else "above"))
+            at.append(stored(F.min(F.when(cross, F.col("i"))).over(S.frame(1 - n, 0))))
+        red, green, blue = at
+        first = lambda x, *others: x.isNotNull() & reduce(lambda u, v: u & v, [y.isNull() | (x <= y) for y in others])
+        of = {"red_first": first(red, green, blue), "green_first": first(green, red, blue), "blue_first": first(blue, red, green), "sequential": (red <= green) & (green <= blue), "any": F.lit(True)}
+        return _chosen(which, of)
 
     def clause(kind: str, *args) -> Column:
         r = [line(f"r{k}") for k in (1, 2, 3)]
@@ -158,7 +219,7 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
             return (r[0] < r[1] + slack) & (r[1] < r[2] + slack) if args[0] == "below" else (r[0] > r[1] - slack) & (r[1] > r[2] - slack)
         if kind == "reversal":
             at, way = args
-            low, high = (0.8, 1.0) if at == "exact" else (0.7, 0.8)
+            low, high = (EXACT, 1.0) if at == "exact" else (EARLY, EXACT)
             was = S.back(r[0])
             inside = (was >= low) & ((was <= high) if at == "exact" else (was < high))
             mirrored = (was <= -low) & ((was >= -high) if at == "exact" else (was > -high))
@@ -168,21 +229,27 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
             x, y = line(name), line(other) if isinstance(other, str) else F.lit(float(other))
             return {"<": x < y + slack, "<=": x <= y + slack, ">": x > y - slack, ">=": x >= y - slack, "near": F.abs(x - y) <= slack}[sign]
         if kind == "zone":
-            return line(args[0]).between(args[1], args[2])
+            return zone_by_name(line(args[0]), args[1], slack) if isinstance(args[1], str) else line(args[0]).between(args[1], args[2])
         if kind == "direction":
             return stored(S.direction(line(args[0]), args[1]))
         if kind == "cross":
-            x, y = line(args[0]), line(args[1])
-            return stored(S.crossed_above(x, y) if args[2] == "above" else S.crossed_above(y, x))
+            return stored(crossed(line(args[0]), line(args[1]), args[2]))
+        if kind == "pair":
+            return pair(args[0])
         if kind == "both":
-            x, *others = line(args[0]), *(line(n) for n in ("r1", "r2", "r3") if n != args[0])
-            beyond = (x > F.greatest(*others)) if args[1] == "above" else (x < F.least(*others))
-            b_name = stored(beyond)
-            made2[f"{p}_d{len(made2)}"] = F.coalesce(b_name, F.lit(False)) & ~F.coalesce(S.back(b_name), F.lit(True))
-            return F.col(f"{p}_d{len(made2) - 1}")
+            return stored(beyond_both(*args))
         if kind == "crossings":
             pairs = [(r[0], r[1]), (r[0], r[2]), (r[1], r[2])]
             return stored(sum(F.coalesce(S.crossed(x, y), F.lit(False)).cast("int") for x, y in pairs) >= args[0])
+        if kind == "crossed":
+            names, least, n = args
+            return stored(sum(within(n, pair(x)).cast("int") for x in names)) >= least
+        if kind == "sequence":
+            return sequence(*args)
+        if kind == "within":
+            return stored(within(args[0], hit(args[1])))
+        if kind == "preset":
+            return hit(_chosen(args[0], PRESETS))
         raise ValueError(f"unknown clause: {kind}")
 
     def hit(t) -> Column:
@@ -191,11 +258,17 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
         return clause(*t)
 
     out = hit(tree)
-    for more in (made, made2):
-        b = b.withColumns(more) if more else b
     return b, out, line("r1")
 
 
+def bars_of(tree) -> int:
+    """How many bars a tree of vlr looks back over."""
+    kind, *args = tree
+    if kind in ("all", "any", "not"):
+        return max([1, *(bars_of(x) for x in args[0])])
+    return {"within": lambda: args[0] - 1 + bars_of(args[1]), "crossed": lambda: args[2], "sequence": lambda: args[2]}.get(kind, lambda: 1)()
+
+
 def volume_spikes(b: DataFrame, p: str, rule="either", length=100, times=1.5) -> Found:
     b = _new(b, lambda d: indicators.volume_spikes(d, length, times), p)
     up, down = F.col(f"{p}_bullish"), F.col(f"{p}_bearish")
@@ -303,7 +376,7 @@ RULES = {
     "macd": Rule(macd, lambda fast=12, slow=26, signal=9, **_: max(5 * max(fast, slow) + signal + 1, 200)),
     "wavetrend": Rule(wavetrend, lambda **_: 120),
     "adx": Rule(adx, lambda **_: 200),
-    "vlr": Rule(vlr, lambda first=12, step=12, **_: first + 2 * step + 3),
+    "vlr": Rule(vlr, lambda first=12, step=12, tree=("order", "below"), **_: first + 2 * step + 2 + bars_of(tree)),
     "volume": Rule(volume_spikes, lambda length=100, **_: length + 2),
     "relative_volume": Rule(relative_volume, lambda average=30, **_: max(60, average + 1)),
     "current_volume": Rule(current_volume, lambda length=30, **_: length),

@@ -268,7 +268,31 @@ _explained(
         "early": _any("vl", "coalesce(p1 >= 0.7 AND p1 < 0.8 AND p1 - q1 >= -1e-9 AND r1 - p1 < -1e-9, false) OR coalesce(p1 <= -0.8 AND p1 >= -1 AND p1 - q1 <= 1e-9 AND r1 - p1 > 1e-9, false)", 60),
     },
     "order_ OR tree OR cross_ OR early",
-    "VL-01 to VL-10: a tree of clauses on the correlation lines.",
+    "VL-02 to VL-08: a tree of clauses on the correlation lines.",
+)
+_SEQ, _NAMES = 40, ["red_below_green", "red_below_blue", "green_below_blue"]
+_explained(
+    "screen_line_sequences",
+    screen.Request(
+        {n: {"rule_of": "vlr", "tree": t} for n, t in {
+            **{w: ("sequence", w, way, _SEQ) for w, way in (("red_first", "bullish"), ("green_first", "bullish"), ("blue_first", "bearish"), ("sequential", "bullish"))},
+            "crossed": ("crossed", _NAMES, 2, 12), "apart": ("within", 3, ("pair", "red_above_both")), "joined": ("all", [("within", 10, ("pair", "red_below_green")), ("within", 20, ("zone", "green", "negative"))]),
+            "ordered": ("within", 2, ("preset", "order_watch")), "early": ("within", 30, ("zone", "red", "bearish_early")),
+        }.items()},
+        logic=("any", ["green_first", ("all", ["red_first", "sequential", "crossed", ("not", ["blue_first", "apart", "joined", "ordered", "early"])])]),
+    ),
+    f"r AS (SELECT symbol, i, back, {', '.join(f'CASE WHEN i >= {n} THEN -corr(close, i) {_O(n - 1, 0)} END AS r{k}' for k, n in ((1, 12), (2, 24), (3, 36)))} FROM c), vl AS (SELECT *, {', '.join(f'{S.lag_sql(x)} AS p{x[1]}' for x in ('r1', 'r2', 'r3'))} FROM r), "
+    + "ev AS (SELECT symbol, " + ", ".join(f"min(CASE WHEN back <= {_SEQ} AND p{k} {'>=' if w == 'd' else '<='} 0 AND r{k} {'<' if w == 'd' else '>'} 0 THEN i END) AS {w}{k}" for w in "du" for k in (1, 2, 3)) + " FROM vl GROUP BY symbol), "
+    + "cr AS (SELECT symbol, " + ", ".join(f"coalesce(bool_or(p{x} >= p{y} AND r{x} < r{y} AND back <= 12), false)::INT AS x{x}{y}" for x, y in ((1, 2), (1, 3), (2, 3))) + " FROM vl GROUP BY symbol)",
+    {
+        "red_first": "SELECT symbol, d1 IS NOT NULL AND (d2 IS NULL OR d1 <= d2) AND (d3 IS NULL OR d1 <= d3) AS passed FROM ev", "green_first": "SELECT symbol, d2 IS NOT NULL AND (d1 IS NULL OR d2 <= d1) AND (d3 IS NULL OR d2 <= d3) AS passed FROM ev",
+        "blue_first": "SELECT symbol, u3 IS NOT NULL AND (u1 IS NULL OR u3 <= u1) AND (u2 IS NULL OR u3 <= u2) AS passed FROM ev", "sequential": "SELECT symbol, coalesce(d1 <= d2 AND d2 <= d3, false) AS passed FROM ev",
+        "crossed": "SELECT symbol, x12 + x13 + x23 >= 2 AS passed FROM cr", "apart": _any("vl", "coalesce(r1 > greatest(r2, r3) AND r3 IS NOT NULL, false) AND NOT p1 > greatest(p2, p3)", 3),
+        "joined": "SELECT symbol, bool_or(coalesce(p1 >= p2 AND r1 < r2, false) AND back <= 10) AND bool_or(coalesce(r2 < 0, false) AND back <= 20) AS passed FROM vl GROUP BY symbol",
+        "ordered": _any("vl", "(r1 > r2 AND r2 > r3) OR (r1 < r2 AND r2 < r3)", 2), "early": _any("vl", "r1 > -0.8 AND r1 <= -0.7", 30),
+    },
+    "green_first OR (red_first AND sequential AND crossed AND NOT (blue_first OR apart OR joined OR ordered OR early))",
+    "VL-01, VL-03, VL-07, VL-09 and VL-10: named zones, presets, pairs and the order in which lines cross zero, each within its own bars.",
 )
 _explained(
     "screen_waves",
