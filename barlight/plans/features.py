@@ -151,13 +151,13 @@ def win_24(spark, sf_dir):
 @query(
     "win_26_bars_of_a_day",
     f"""WITH {B.event_sql(3600)}, r AS (SELECT symbol, time, close, row_number() OVER (PARTITION BY symbol, time // 86400 ORDER BY time) AS bar_of_day FROM event_bars)
-SELECT symbol, time, CAST(bar_of_day AS BIGINT) AS bar_of_day, last_value(CASE WHEN bar_of_day % 4 = 0 THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time) AS sampled FROM r""",
+SELECT symbol, time, CAST(bar_of_day AS BIGINT) AS bar_of_day, last_value(CASE WHEN bar_of_day % 4 = 1 THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time) AS sampled FROM r""",
 )
 def win_26(spark, sf_dir):
     """The count of bars within the UTC day, and every fourth close carried forward (an as-of lookup within the series)."""
     bar = F.row_number().over(Window.partitionBy("symbol", F.floor(F.col("time") / 86400)).orderBy("time"))
     r = B.event_bars(spark, sf_dir).withColumn("bar_of_day", bar.cast("long"))
-    sampled = F.last(F.when(F.col("bar_of_day") % 4 == 0, F.col("close")), ignorenulls=True).over(S.by().rowsBetween(Window.unboundedPreceding, 0))
+    sampled = F.last(F.when(F.col("bar_of_day") % 4 == 1, F.col("close")), ignorenulls=True).over(S.by().rowsBetween(Window.unboundedPreceding, 0))
     return r.select("symbol", "time", "bar_of_day", sampled.alias("sampled"))
 
 

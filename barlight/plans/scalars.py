@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions import scalars as X
 from barlight.functions import series as S
-from barlight.operators import channels, indicators, states, trend
+from barlight.operators import channels, filters, indicators, states, trend
 from barlight.operators import relational as R
 from barlight.plans import screen
 from barlight.plans.features import _MACD, _RSI, BARS, REC, _O, _alma_weights, _filled, _pivot_sql, _weighted_sql, days, rounded, rounded_sql
@@ -213,6 +213,50 @@ def win_30(spark, sf_dir):
     return rounded(days(spark, sf_dir, 60).select("symbol", "time", *[channels.filled(F.col("close"), 9, kind).alias(kind) for kind in ("sma", "lwma", "alma", "vwma")]), "symbol", "time")
 
 
+def _period_sql() -> str:
+    """Frames of another length at each bar as joins, averages with a memory by recursion."""
+    age = "b.i - j.i"
+    bell = "exp(-pow(n - 1 - k - 0.85 * (n - 1), 2) / (2 * pow(n / 6.0, 2)))"
+    return f"""WITH RECURSIVE {B.event_sql()}, {B.latest_sql('event_bars', B.MAX_BARS)}, b AS (SELECT *, CAST(1 + i * 7 % 13 AS BIGINT) AS n FROM c),
+f AS (SELECT b.symbol, b.i, b.n, k, coalesce(j.close, b.close) AS x, coalesce(j.volume, b.volume) AS v FROM b JOIN range(13) r(k) ON k < n LEFT JOIN c j ON j.symbol = b.symbol AND j.i = b.i - k),
+w AS (SELECT symbol, i, avg(x) AS sma, sum((n - k) * x) / sum(n - k) AS lwma, sum(x * v) / sum(v) AS vwma, sum(x * {bell}) / sum({bell}) AS alma FROM f GROUP BY symbol, i),
+e AS (SELECT symbol, i, close AS ema, close AS rma FROM b WHERE i = 1
+  UNION ALL SELECT b.symbol, b.i, e.ema + (b.close - e.ema) * 2.0 / (b.n + 1), (e.rma * (b.n - 1) + b.close) / b.n FROM e JOIN b ON b.symbol = e.symbol AND b.i = e.i + 1)
+SELECT symbol, CAST(i AS BIGINT) AS i, {rounded_sql({k: k for k in ('sma', 'lwma', 'vwma', 'alma', 'ema', 'rma')}, 7)} FROM w JOIN e USING (symbol, i)"""
+
+
+@query("win_30_period_filters", _period_sql())
+def win_30_periods(spark, sf_dir):
+    """Also TH-10: filters over a number of bars that differs by bar."""
+    b = B.latest(B.event_bars(spark, sf_dir))
+    for kind in filters.KINDS:
+        b = filters.by_period(b, F.col("close"), 1 + F.col("i") * 7 % 13, kind, kind)
+    return rounded(b.select("symbol", F.col("i").cast("long").alias("i"), *filters.KINDS), "symbol", "i", digits=7)
+
+
+def _day_sql(step: int) -> str:
+    so_far = "OVER (PARTITION BY symbol, day ORDER BY i ROWS UNBOUNDED PRECEDING)"
+    return f"""d{step} AS (SELECT symbol, time, i - 1 AS place, row_number() OVER (PARTITION BY symbol ORDER BY i) AS i, day, close FROM days WHERE (bar_of_day - 1) % {step} = 0),
+p{step} AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY i) AS n, avg(close) {so_far} AS f FROM d{step}), q{step} AS (SELECT *, close - f AS d FROM p{step}),
+g{step} AS (SELECT *, avg(d) {so_far} AS m, avg(d * d) {so_far} AS s FROM q{step}), h{step} AS (SELECT *, CASE WHEN n > 1 AND s > 0 THEN m / sqrt(s) * sqrt(s) / ((n + 1) // 2) ELSE 0 END AS slope FROM g{step}),
+l{step} AS (SELECT h.symbol, h.time, h.slope, sqrt(h.s) AS dev, h.f + h.slope * (h.place - coalesce(z.place, 0)) AS middle FROM h{step} h LEFT JOIN h{step} z ON z.symbol = h.symbol AND z.i = h.i - (h.n + 1) // 2),
+t{step} AS (SELECT w.symbol, w.time, w.back, w.day, l.middle AS tracer, l.slope, l.dev FROM days w ASOF LEFT JOIN l{step} l ON l.symbol = w.symbol AND w.time >= l.time),
+o{step} AS (SELECT t.symbol, t.time, {step} AS step, t.tracer, e.tracer - e.slope * (t.back - 1) AS middle, e.dev AS dev FROM t{step} t JOIN t{step} e ON e.symbol = t.symbol AND e.back = 1 AND e.day = t.day)"""
+
+
+@query(
+    "ind_16_day_channel",
+    f"""WITH {B.event_sql()}, {B.latest_sql('event_bars', B.MAX_BARS)}, days AS (SELECT *, time // 86400 AS day, row_number() OVER (PARTITION BY symbol, time // 86400 ORDER BY time) AS bar_of_day FROM c),
+{_day_sql(1)}, {_day_sql(3)}, o AS (SELECT * FROM o1 UNION ALL SELECT * FROM o3)
+SELECT symbol, time, CAST(step AS BIGINT) AS step, {rounded_sql({'tracer': 'tracer', 'middle': 'middle', 'upper': 'middle + dev', 'lower': 'middle - dev', 'q1': 'middle - dev / 2', 'q3': 'middle + dev / 2'}, 7)} FROM o""",
+)
+def ind_16_days(spark, sf_dir):
+    """The filtered regression over the bars of the UTC day, of every bar and of every third."""
+    b = B.latest(B.event_bars(spark, sf_dir))
+    both = [filters.day_channel(b, step=k).withColumn("step", F.lit(k).cast("long")) for k in (1, 3)]
+    return rounded(both[0].unionByName(both[1]).drop("back"), "symbol", "time", "step", digits=7)
+
+
 @query(
     "ind_16_weighted_filters",
     f"""WITH {BARS}{B.latest_sql('supplier_days', 100)}, f AS (SELECT *, {_filled_sql(list(range(20, 0, -1)))} AS f FROM c), d AS (SELECT symbol, i, back, close - f AS close, f FROM f),
