@@ -4,7 +4,7 @@ Both tokenizers spell the same bytes. The transducer reads tokens in turn: its s
 it does, the residual, always an end of the leading side's last token. It takes the next token of the other side; that token
 overlaps the leading one, which is a link, and leaves a residual of either side or none, which closes a group. Steps depend on
 residual and token only, so they are kept by (state, token). Texts are cut where both tokenizers always end a token, between a
-graphic sign and a space, and between a letter and a stop (see BREAK and SIGN); from there on the transducer starts anew, so
+graphic sign and a space, and between a letter and a stop (see stretches_of); from there on the transducer starts anew, so
 what it makes of such a stretch is kept too, up to KEPT of them in a task.
 
 Texts are encoded once: per text the saved table has the counts, the groups' digest and the text's id pairs with their numbers,
@@ -38,7 +38,7 @@ from barlight.llm.tables import deleted, read, saved
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: Stretches whose alignment a task keeps, the longest that are kept, and steps of the transducer that are kept.
-KEPT, KEPT_CHARS, STEPS = 250_000, 100, 200_000
+KEPT, KEPT_CHARS, STEPS = 350_000, 100, 200_000
 #: New stretches that are encoded at once; the libraries' results take many times their text.
 AT_ONCE = 2_000
 #: Pairs that every task gets.
@@ -46,9 +46,24 @@ USUAL = 500_000
 #: Bytes of text that are worked on at once.
 CHUNK = 4 << 20
 #: A space after a graphic sign: no token of either tokenizer goes across.
-BREAK = "(?<=[!-~À-ᙿ])(?= )"
-#: A sign after a letter: a place to cut if neither vocabulary has an entry with both, which is checked.
-SIGN, SIGN_INSIDE = "(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])", "[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]"
+GRAPHIC = "[!-~À-ᙿ]"
+#: A stop after a letter: a place to cut if neither vocabulary has an entry with both, which is checked.
+LETTER, STOP = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,;:!?]"
+
+
+def kinds_of_signs(stops: bool) -> np.ndarray:
+    """By code point, up to the first beyond all of the above: 1 graphic, 2 space, 4 letter and 8 stop (if they count), added up."""
+    signs = list(map(chr, range(0x1681)))
+    kinds = ((GRAPHIC, 1), (" ", 2), *(((LETTER, 4), (STOP, 8)) if stops else ()))
+    return np.array([sum(n for pattern, n in kinds if re.match(pattern, c)) for c in signs], np.uint8)
+
+
+def stretches_of(text: str, kinds: np.ndarray) -> list[str]:
+    """A text, cut before spaces that follow a graphic sign and before stops that follow a letter."""
+    kind = kinds[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), len(kinds) - 1)]
+    left, right = kind[:-1], kind[1:] >> 1
+    at = (np.flatnonzero(left & right & 5) + 1).tolist()
+    return [text[i:j] for i, j in zip([0, *at], [*at, len(text)], strict=True)]
 
 
 def byte_letters() -> dict[str, int]:
@@ -142,8 +157,7 @@ class Aligner:
         of_b = [bytes([int(p[3:5], 16)]) if t == pieces.BYTE else p.replace(pieces.MARKER, " ").encode() for p, t in zip(model.pieces, model.types, strict=True)]
         self.spelled, self.wide = (spelled, of_b), len(of_b)
         self.transducer = Transducer(self.spelled)
-        crosses = any(re.search(SIGN_INSIDE, x.decode(errors="replace")) for x in chain(*self.spelled))
-        self.cut = re.compile(BREAK if crosses else f"{BREAK}|{SIGN}")
+        self.kinds = kinds_of_signs(not any(re.search(LETTER + STOP, x.decode(errors="replace")) for x in chain(*self.spelled)))
         self.clear()
 
     def clear(self) -> None:
@@ -187,7 +201,7 @@ class Aligner:
         """Of each text: tokens of both sides, groups, links, the groups' digest, its id pairs in order and their numbers, packed."""
         if len(self.numbers) > KEPT:
             self.forget()
-        cut = [self.cut.split(" " + x) if x else [] for x in texts]
+        cut = [stretches_of(" " + x, self.kinds) if x else [] for x in texts]
         new = list(set(chain.from_iterable(cut)) - self.known.keys())
         for k in range(0, len(new), AT_ONCE):
             self.learn(new[k : k + AT_ONCE])

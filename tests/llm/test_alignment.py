@@ -92,6 +92,14 @@ def test_transducer_steps():
         t.run([1], [0])
 
 
+def test_cuts():
+    """Against the same rule as a pattern."""
+    rule = A.re.compile(f"(?<={A.GRAPHIC})(?= )|(?<={A.LETTER})(?={A.STOP})")
+    for text in [x for x in TEXTS if x] + ["a", "  a. b,c;d: e!f? (g.) 1.2, é.ß! \u0250. \u1680 x \U0001f600. y", "a.b " * 50]:
+        assert A.stretches_of(text, A.kinds_of_signs(True)) == rule.split(text)
+        assert A.stretches_of(text, A.kinds_of_signs(False)) == A.re.split(f"(?<={A.GRAPHIC})(?= )", text)
+
+
 def test_missing_files():
     with pytest.raises(FileNotFoundError, match="no tokenizer"):
         A.file_bytes("/nowhere/a.json")
