@@ -9,6 +9,7 @@ from barlight.functions import series as S
 from barlight.operators import relational as R
 from barlight.plans.registry import query
 from barlight.sources import bars as B
+from barlight.sources import shared, store
 
 DAYS = B.SUPPLIER_DAYS
 NY = "timezone('America/New_York', timezone('UTC', make_timestamp(time * 1000000)))"
@@ -102,6 +103,34 @@ def src_13(spark, sf_dir):
     return B.latest(B.supplier_days(spark, sf_dir), 5).select("symbol", "time", "close")
 
 
+_WEEKS = 8
+
+
+@query("src_14_stored_weeks", f"""WITH {DAYS}, u AS (SELECT CAST(make_timestamp(max(time) * 1000000) AS DATE) AS last_day FROM supplier_days), d AS (SELECT last_day - CAST(k AS INTEGER) AS day FROM u, range(200) r(k)),
+s AS (SELECT min(day) AS first_day FROM (SELECT day FROM d WHERE isodow(day) < 6 ORDER BY day DESC LIMIT {5 * _WEEKS + 8})),
+w AS (SELECT *, date_trunc('week', make_timestamp(time * 1000000)) AS bucket FROM supplier_days, s WHERE make_timestamp(time * 1000000) >= first_day),
+g AS (SELECT symbol, min(time) AS time, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, sum(volume) AS volume FROM w GROUP BY symbol, bucket)
+SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= {_WEEKS}""")
+def src_14(spark, sf_dir):
+    """Also PL-09: weeks rolled up from a store by date, of which only the days that so many weeks need are read."""
+    folder = shared.scratch(spark)
+    days = B.supplier_days(spark, sf_dir)
+    store.put(days, folder)
+    until = days.agg(F.date_from_unix_date((F.max("time") / 86400).cast("int"))).first()[0]
+    return store.latest_of(spark, folder, _WEEKS, 1, "w", until=until).drop("i", "back")
+
+
+@query("src_19_stored_days", f"WITH {DAYS} SELECT symbol, time, close, volume FROM (SELECT * FROM supplier_days WHERE CAST(symbol AS BIGINT) % 3 > 0) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 20")
+def src_19(spark, sf_dir):
+    """The last bars of requested symbols from a store by date, newest first; the store is filled in two batches, the second of which
+    writes some bars again."""
+    folder, days = shared.scratch(spark), B.supplier_days(spark, sf_dir)
+    store.put(days.where(F.pmod("time", F.lit(86400 * 5)) > 0).withColumn("volume", F.lit(0.0)), folder)
+    store.put(days, folder)
+    asked = days.select("symbol").distinct().where(F.col("symbol").cast("long") % 3 > 0)
+    return store.latest(spark, folder, 20, asked).select("symbol", "time", "close", "volume")
+
+
 @query("src_15_snapshots", """WITH g AS (SELECT user_id AS symbol, arg_max(value, row(ts, event_id)) FILTER (event_type = 'view') AS minute, arg_max(value, row(ts, event_id)) FILTER (event_type = 'click') AS day, arg_max(value, row(ts, event_id)) AS previous FROM events GROUP BY user_id)
 SELECT symbol, coalesce(minute, day, previous) AS price, CASE WHEN minute IS NOT NULL THEN 'min' WHEN day IS NOT NULL THEN 'day' ELSE 'prevDay' END AS origin FROM g""")
 def src_15(spark, sf_dir):
