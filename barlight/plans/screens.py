@@ -15,6 +15,7 @@ from barlight.plans.features import _ADX, _LRC, _MACD, _O, _PAT, _RSI, _WT, BARS
 from barlight.plans.registry import query
 from barlight.sources import bars as B
 from barlight.streaming import bars as stream
+from barlight.streaming import machines
 
 _CLEAR = "greatest(abs(x) * 0.02, abs(x) * 0.001, 1e-6)"
 
@@ -344,3 +345,28 @@ def str_01(spark, sf_dir):
 def str_08(spark, sf_dir):
     """Micro-batches of partial bars, merged when read."""
     return stream.upserted_bars(stream.events(spark, sf_dir))
+
+
+_TICKS = """t AS (SELECT event_type AS symbol, ts, event_id AS id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL)"""
+
+
+@query(
+    "str_09_machines",
+    f"""WITH RECURSIVE {_TICKS}, m AS (
+  SELECT symbol, i, value AS ema, value AS rma, 0.0::DOUBLE AS spread, value AS last, value AS hi, value AS lo, value AS stop, true AS up FROM t WHERE i = 1
+  UNION ALL
+  SELECT symbol, i, ema, rma, spread, x, CASE WHEN (x >= cand) = up THEN h ELSE x END, CASE WHEN (x >= cand) = up THEN l ELSE x END, CASE WHEN (x >= cand) = up THEN cand WHEN x >= cand THEN x - 2 * spread ELSE x + 2 * spread END, x >= cand
+  FROM (SELECT *, CASE WHEN up THEN greatest(stop, h - 2 * spread) ELSE least(stop, l + 2 * spread) END AS cand
+    FROM (SELECT t.symbol, t.i, t.value AS x, ema + (value - ema) * 2 / 15 AS ema, rma + (value - rma) / 14 AS rma, spread + (abs(value - last) - spread) / 14 AS spread, greatest(hi, value) AS h, least(lo, value) AS l, stop, up FROM m JOIN t ON t.symbol = m.symbol AND t.i = m.i + 1)))
+SELECT symbol, CAST(i AS BIGINT) AS seen, round(ema, 6) + 0.0 AS ema, round(rma, 6) + 0.0 AS rma, round(stop, 6) + 0.0 AS stop, up FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) = 1""",
+)
+def str_09(spark, sf_dir):
+    """Averages and a stop carried on by a stream's keyed state over four batches, as one fold over all ticks gives them."""
+    e = B.table(spark, sf_dir, "events").where("value IS NOT NULL")
+    ticks = e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("value").cast("double").alias("value"))
+    at = F.unix_seconds("ts")
+    first, last = ticks.agg(F.min(at), F.max(at)).first()
+    cuts = [first + (last - first) * k // 4 for k in (1, 2, 3)]
+    slices = [at < cuts[0], at.between(cuts[0], cuts[1] - 1), at.between(cuts[1], cuts[2] - 1), at >= cuts[2]]
+    out = machines.in_batches(ticks, slices, idle="3650 days").groupBy("symbol").agg(F.max(F.struct("seen", "ema", "rma", "stop", "up")).alias("m"))
+    return out.select("symbol", "m.seen", *[(F.round(F.col(f"m.{k}"), 6) + 0.0).alias(k) for k in ("ema", "rma", "stop")], "m.up")
