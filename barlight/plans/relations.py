@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlight.functions import series as S
+from barlight.operators import payloads
 from barlight.operators import relational as R
 from barlight.plans.registry import query
 from barlight.sources import bars as B
@@ -282,11 +283,42 @@ def sc_14(spark, sf_dir):
 
 @query("flt_17_aligned_payloads", f"WITH {B.event_sql(300)} SELECT symbol, bool_and(time % 1800 = 0) AS aligned, bool_and({_SESSION}) AS in_session, CAST(max(time) AS BIGINT) AS last_time FROM event_bars GROUP BY symbol")
 def flt_17(spark, sf_dir):
-    """Also PL-10 to PL-12: whether every bar of a payload is on its anchor and in session."""
+    """Whether every bar of a payload is on its anchor and in session."""
     t = F.col("time")
     return B.event_bars(spark, sf_dir, 300).groupBy("symbol").agg(F.min(t % 1800 == 0).alias("aligned"), F.min(R.in_session(t)).alias("in_session"), F.max("time").alias("last_time"))
 
 
+_NOW = 30_000
+
+
+@query(
+    "src_21_cached_payloads",
+    f"""WITH {B.event_sql()}, d AS (SELECT *, time // 86400 AS day, row_number() OVER (PARTITION BY symbol, time // 86400 ORDER BY time DESC) AS back FROM event_bars),
+g AS (SELECT symbol, day, CAST(count(*) AS BIGINT) AS n, arg_max(close, time) AS last_close, max(time) AS last_time, CAST(count(*) FILTER (WHERE {_SESSION}) AS BIGINT) AS regular, CAST(min(CASE WHEN back <= 5 THEN time END) AS BIGINT) AS first_kept, bool_and((hour({NY}) * 60 + minute({NY}) - 570) % CASE WHEN day % 2 = 0 THEN 30 ELSE 60 END = 0) AS anchored,
+  CAST(max(CASE WHEN {_SESSION} THEN time END) AS BIGINT) AS last_regular, max(CAST({NY} AS DATE)) AS last_date FROM d GROUP BY symbol, day)
+SELECT symbol, CAST(day AS BIGINT) AS day, day % 7 > 0 AS valid, CASE WHEN day % 7 > 0 THEN least(n, 5) END AS kept, CASE WHEN day % 7 > 0 THEN CASE WHEN n > 5 THEN last_close ELSE -1 END END AS price, CASE WHEN day % 7 > 0 THEN first_kept END AS first_kept,
+  CASE WHEN day % 7 > 0 THEN day * 86400 + day % 4 * {_NOW} < last_time + 3600 END AS forming, CASE WHEN day % 7 > 0 THEN least(regular, 3) END AS regular, CASE WHEN day % 7 > 0 THEN last_regular END AS last_regular, CASE WHEN day % 7 > 0 THEN anchored END AS anchored,
+  day % 7 > 0 AND last_date <= DATE '2024-01-15' AS in_history, day % 7 > 0 AND day % 2 = 0 AS compatible FROM g""",
+)
+def src_21(spark, sf_dir):
+    """Also PL-10 to PL-12: payloads of a day's candles as JSON, some of them cut off, read back, trimmed, marked and judged."""
+    bars = B.event_bars(spark, sf_dir).withColumn("day", F.floor(F.col("time") / 86400).cast("long"))
+    candles = F.sort_array(F.collect_list(F.struct("time", "open", "high", "low", "close", "volume")))
+    policy = F.when(F.col("day") % 2 == 0, payloads.REGULAR)
+    text = F.to_json(F.struct("symbol", F.lit(-1.0).alias("price"), "candles", policy.alias("session_policy")))
+    cached = bars.groupBy("symbol", "day").agg(candles.alias("candles")).select("symbol", "day", F.when(F.col("day") % 7 == 0, F.substr(text, F.lit(1), F.length(text) - 9)).otherwise(text).alias("text"))
+    p = cached.withColumn("p", payloads.parsed(F.col("text"))).withColumn("few", payloads.recent(F.col("p"), 5))
+    last = F.try_element_at(F.col("few.candles"), F.lit(-1))["time"]
+    p = p.withColumns({"now_marked": payloads.marked(F.col("few"), last + 3600, F.col("day") * 86400 + F.col("day") % 4 * _NOW), "regular": payloads.in_session_only(F.col("p"), 3)})
+    forming = F.try_element_at(F.col("now_marked.candles"), F.lit(-1))["is_closed"].eqNullSafe(F.lit(False))
+    valid = F.col("p").isNotNull()
+    return p.select(
+        "symbol", "day", valid.alias("valid"), F.when(valid, F.size("few.candles").cast("long")).alias("kept"), F.col("few.price").alias("price"), F.get("few.candles", F.lit(0))["time"].alias("first_kept"), F.when(valid, forming).alias("forming"),
+        F.when(valid, F.size("regular.candles").cast("long")).alias("regular"), F.try_element_at("regular.candles", F.lit(-1))["time"].alias("last_regular"), F.when(F.col("day") % 2 == 0, payloads.anchored(F.col("p"), 30)).otherwise(payloads.anchored(F.col("p"), 60)).alias("anchored"), payloads.within_history(F.col("p"), F.lit("2024-01-15").cast("date")).alias("in_history"),
+        payloads.session_compatible(F.col("p"), F.col("symbol"), 3600).alias("compatible"),
+    )
+
+
 @query("flt_18_point_in_time", f"WITH {DAYS} SELECT symbol, CAST(count(*) AS BIGINT) AS bars, arg_max(close, time) AS price FROM supplier_days WHERE time <= 946684800 GROUP BY symbol")
 def flt_18(spark, sf_dir):
     return B.supplier_days(spark, sf_dir).where("time <= 946684800").groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max_by("close", "time").alias("price"))
