@@ -24,10 +24,17 @@ POST_FILTERS = ["dead_assets", "channel_respect", "confluence", "trend"]
 STOCKS_ONLY = ["float", "shares_outstanding"]
 
 
-def _respect(b: DataFrame, length=100, line="middle", least=2, most=None, tolerance=1.0, gap=3) -> DataFrame:
-    c = channels.regression(b.where(F.col("back") <= length))
+def _respect(b: DataFrame, length=100, line="middle", least=2, most=None, tolerance=1.0, gap=3, touch_type="wick", channel="lrc", span=8, asset="stocks") -> DataFrame:
+    """How often one or several lines of a channel were respected, within bounds that a request may leave open."""
+    if channel == "trend":
+        c = trend.lined(b, trend.states_of(b, span, mintick=trend.by_price(asset))).withColumns({"upper": F.col("top"), "lower": F.col("bottom")})
+    else:
+        recent = b.where(F.col("back") <= length)
+        c = channels.regression(recent) if channel == "lrc" else channels.weighted(recent, length)
     n = F.col("respects")
-    return postfilters.respects(c, line, tolerance, min(max(gap, 3), 5)).select("symbol", ((n >= least) & (F.lit(True) if most is None else n <= most)).alias("passed"), n.cast("double").alias("value"))
+    found = postfilters.respects(c, postfilters.lines_of(line), tolerance, min(max(gap, 3), 5), touch_type=touch_type)
+    within = (F.lit(True) if least is None else n >= least) & (F.lit(True) if most is None else n <= most)
+    return found.select("symbol", within.alias("passed"), n.cast("double").alias("value"))
 
 
 def _confluence(b: DataFrame, **config) -> DataFrame:
@@ -35,10 +42,12 @@ def _confluence(b: DataFrame, **config) -> DataFrame:
     return found.select("symbol", "passed", F.col("second_back").cast("double").alias("value"))
 
 
-def _dead(b: DataFrame, kinds=("strong", "slow", "failed", "flat"), recovery=False, **config) -> DataFrame:
-    """Passes what shows none of the kinds of dead trends, or has recovered if that counts."""
+def _dead(b: DataFrame, kinds=("strong", "slow", "failed", "flat"), recovery="disabled", **config) -> DataFrame:
+    """Passes what shows none of the kinds of dead trends, or has recovered, in a way of postfilters.RECOVERIES, if that counts."""
     found = F.col("kind").isin(*kinds)
-    return postfilters.dead(b, **config).select("symbol", (~found | (F.col("recovered") if recovery else F.lit(False))).alias("passed"), F.lit(None).cast("double").alias("value"))
+    way = {True: "close_above_swing_high", False: "disabled"}.get(recovery, recovery)
+    back = F.lit(False) if way == "disabled" else F.col(way)
+    return postfilters.dead(b, **config).select("symbol", (~found | back).alias("passed"), F.lit(None).cast("double").alias("value"))
 
 
 def _trend(b: DataFrame, direction=None, span=8, mintick="price", broken=None, areas=None, asset="stocks", **more) -> DataFrame:
@@ -54,7 +63,7 @@ def _trend(b: DataFrame, direction=None, span=8, mintick="price", broken=None, a
 
 
 WHOLE = {"channel_respect": _respect, "confluence": _confluence, "dead_assets": _dead, "trend": _trend}
-WHOLE_NEED = {"channel_respect": lambda length=100, **_: length, "confluence": confluence.need, "dead_assets": lambda **_: B.MAX_BARS, "trend": lambda **_: B.MAX_BARS}
+WHOLE_NEED = {"channel_respect": lambda length=100, channel="lrc", **_: B.MAX_BARS if channel == "trend" else length, "confluence": confluence.need, "dead_assets": lambda **_: B.MAX_BARS, "trend": lambda **_: B.MAX_BARS}
 
 
 def _kind(name: str, config: dict) -> str:
@@ -108,6 +117,10 @@ class Request:
                 trend.area_rules(own["areas"])
             if kinds[name] == "dead_assets" and (not set(own.get("kinds", ("flat",))) or own.get("lookback", 200) < 20 or own.get("window", 20) < 1):
                 raise ValueError(f"{name}: at least one kind of dead trend, and a lookback of 20 bars or more")
+            if kinds[name] == "dead_assets" and (own.get("recovery", False) not in (True, False, *postfilters.RECOVERIES) or not (isinstance(own.get("trend", 200), int) or own["trend"] in postfilters.TREND_LINES)):
+                raise ValueError(f"{name}: a recovery of {postfilters.RECOVERIES} and a trend line of {sorted(postfilters.TREND_LINES)}")
+            if kinds[name] == "channel_respect" and (own.get("channel", "lrc") not in ("lrc", "regression", "trend") or own.get("touch_type", "wick") not in ("wick", "body", "both")):
+                raise ValueError(f"{name}: a channel of lrc, regression or trend, touched by wick, body or both")
         check_logic(self.logic)
         named = set(_names(self.logic))
         if unknown := sorted(named - set(self.rules)):
@@ -191,7 +204,7 @@ def explained(universe: DataFrame, bars: DataFrame, request: Request) -> DataFra
     of = lambda kinds: {n: c for n, c in request.rules.items() if _kind(n, c) in kinds}
     out = u.join(judged(b, of(RULES)), "symbol", "left").withColumn("in_price_range", F.coalesce(R.price_between(F.col("price"), *request.price), F.lit(False)))
     for name, config in of(WHOLE).items():
-        own = _split(config)[0] | ({"asset": request.asset} if _kind(name, config) == "trend" else {})
+        own = _split(config)[0] | ({"asset": request.asset} if _kind(name, config) in ("trend", "channel_respect") else {})
         found = WHOLE[_kind(name, config)](b, **own)
         out = out.join(found.withColumnsRenamed({"passed": f"passed_{name}", "value": f"value_{name}"}), "symbol", "left")
     for name, config in of(COLUMN_RULES).items():

@@ -22,16 +22,22 @@ _CLEAR = "greatest(abs(x) * 0.02, abs(x) * 0.001, 1e-6)"
 
 @query(
     "post_02_channel_respect",
-    f"""{REC}{BARS}{B.latest_sql('supplier_days', 100)}, {_LRC}, b AS (SELECT symbol, i, open, high, low, close, middle AS x, middle - abs(middle) * 0.01 AS lo, middle + abs(middle) * 0.01 AS hi FROM lrc),
-h AS (SELECT symbol, i, {_touch_sql("lo", "hi")["wick"]} AS hit, abs(close - x) >= {_CLEAR} OR abs(open - x) >= {_CLEAR} OR abs((high + low) / 2 - x) >= {_CLEAR} AS away FROM b),
+    f"""{REC}{BARS}{B.latest_sql('supplier_days', 100)}, {_LRC}, b AS (SELECT symbol, i, line, open, high, low, close, x, x - abs(x) * 0.01 AS lo, x + abs(x) * 0.01 AS hi FROM (SELECT *, middle + k * 2 * dev AS x FROM lrc, (VALUES ('upper', 1), ('middle', 0), ('lower', -1)) v(line, k))),
+h AS (SELECT symbol || '/' || line AS symbol, i, {_touch_sql("lo", "hi")["wick"]} OR {_touch_sql("lo", "hi")["body"]} AS hit, abs(close - x) >= {_CLEAR} OR abs(open - x) >= {_CLEAR} OR abs((high + low) / 2 - x) >= {_CLEAR} AS away FROM b),
 f AS (SELECT symbol, i, CASE WHEN hit THEN i ELSE -1 END AS last, false AS apart, CAST(hit AS BIGINT) AS n FROM h WHERE i = 1
   UNION ALL
-  SELECT h.symbol, h.i, CASE WHEN hit THEN h.i ELSE last END, NOT hit AND (apart OR (last >= 0 AND away)), n + CAST(hit AND (last < 0 OR (h.i - last > 3 AND apart)) AS BIGINT) FROM f JOIN h ON h.symbol = f.symbol AND h.i = f.i + 1)
-SELECT symbol, arg_max(n, i) AS respects FROM f GROUP BY symbol""",
+  SELECT h.symbol, h.i, CASE WHEN hit THEN h.i ELSE last END, NOT hit AND (apart OR (last >= 0 AND away)), n + CAST(hit AND (last < 0 OR (h.i - last > 3 AND apart)) AS BIGINT) FROM f JOIN h ON h.symbol = f.symbol AND h.i = f.i + 1),
+g AS (SELECT split_part(symbol, '/', 1) AS symbol, split_part(symbol, '/', 2) AS line, arg_max(n, i) AS n FROM f GROUP BY ALL)
+SELECT symbol, CAST(sum(n) FILTER (line = 'middle') AS BIGINT) AS middle, CAST(sum(n) FILTER (line <> 'middle') AS BIGINT) AS both, CAST(sum(n) FILTER (line <> 'lower') AS BIGINT) AS upper_middle, CAST(sum(n) AS BIGINT) AS every, sum(n) BETWEEN 8 AND 12 AS within FROM g GROUP BY symbol""",
 )
 def post_02(spark, sf_dir):
-    """Also AGG-04: distinct touches of the regression channel's middle line."""
-    return postfilters.respects(channels.regression(days(spark, sf_dir, 100)), "middle", 1.0, 3)
+    """Also AGG-04: distinct touches of a regression channel's lines, of one, two or all of them, and whether they are within bounds."""
+    c = channels.regression(days(spark, sf_dir, 100))
+    out = None
+    for name, ask in (("middle", "middle"), ("both", "both"), ("upper_middle", "upper_middle"), ("every", "all")):
+        found = postfilters.respects(c, postfilters.lines_of(ask), 1.0, 3, name, "both")
+        out = found if out is None else out.join(found, "symbol")
+    return out.withColumn("within", F.col("every").between(8, 12))
 
 
 #: What a confluence query looks at: the middle of one regression channel and a band of another; percent of tolerance.
@@ -95,28 +101,36 @@ def post_04(spark, sf_dir):
     return days(spark, sf_dir, 120).select("symbol", "time", postfilters.liquidity_sweep().alias("sweep"))
 
 
-def _runs(name: str, flag: str, price: str) -> str:
+def _runs(name: str, flag: str, price: str, lookback: int) -> str:
     return f"""{name}0 AS (SELECT symbol, i, back, {price} AS p, lag({price}) OVER (PARTITION BY symbol ORDER BY i) AS q, row_number() OVER (PARTITION BY symbol ORDER BY i DESC) AS rk FROM b WHERE {flag}),
-{name} AS (SELECT symbol, min(CASE WHEN NOT coalesce(p < q, false) THEN rk END) - 1 AS run, bool_or(coalesce(p > q, false) AND back <= 200) AS higher, arg_max(p, i) AS last FROM {name}0 GROUP BY symbol)"""
+{name} AS (SELECT symbol, min(CASE WHEN NOT coalesce(p < q, false) THEN rk END) - 1 AS run, bool_or(coalesce(p > q, false) AND back <= {lookback}) AS higher, arg_max(p, i) AS last FROM {name}0 GROUP BY symbol)"""
 
 
-@query(
-    "post_06_dead_assets",
-    f"""{REC}{BARS}{B.latest_sql('supplier_days')}, t AS (SELECT *, {TR} AS tr FROM c), {S.ema_sql("e", "t", {"line": ("close", 200)})}, {S.rma_sql("r", "t", {"running": ("tr", 14)})},
+def _dead_sql(line: str, lookback: int = 200, bounce: float = 20.0, window: int = 20) -> str:
+    return f"""{REC}{BARS}{B.latest_sql('supplier_days')}, t AS (SELECT *, {TR} AS tr FROM c), {line}, {S.rma_sql("r", "t", {"running": ("tr", 14)})},
 seed AS (SELECT symbol, avg(tr) AS seed FROM t WHERE i <= 14 GROUP BY symbol),
 b AS (SELECT t.*, line, CASE WHEN i <= 14 THEN seed ELSE running END AS atr, {_pivot_sql(5)} FROM t JOIN e USING (symbol, i) JOIN r USING (symbol, i) JOIN seed USING (symbol)),
-{_runs("hi", "pivot_high", "high")}, {_runs("lo", "pivot_low", "low")},
-up AS (SELECT s.symbol, s.i AS s, any_value(s.low) AS p, min(z.i) AS u FROM b s JOIN b z ON s.symbol = z.symbol AND z.i > s.i AND z.high >= s.low * 1.2 WHERE s.pivot_low AND s.low > 0 GROUP BY s.symbol, s.i),
-failed AS (SELECT DISTINCT up.symbol, true AS failed FROM up JOIN b z ON z.symbol = up.symbol AND z.i BETWEEN u AND u + 20 AND z.low < p),
-a AS (SELECT symbol, count(*) AS n, max(CASE WHEN back = 1 THEN line END) AS line_end, arg_min(line, i) FILTER (back <= 201) AS line_start, max(CASE WHEN back = 1 THEN close END) AS close, avg(CASE WHEN back <= 200 THEN CAST(close < line AS INT) END) AS below,
+{_runs("hi", "pivot_high", "high", lookback)}, {_runs("lo", "pivot_low", "low", lookback)},
+up AS (SELECT s.symbol, s.i AS s, any_value(s.low) AS p, min(z.i) AS u FROM b s JOIN b z ON s.symbol = z.symbol AND z.i > s.i AND z.high >= s.low * (1 + {bounce} / 100) WHERE s.pivot_low AND s.low > 0 GROUP BY s.symbol, s.i),
+failed AS (SELECT DISTINCT up.symbol, true AS failed FROM up JOIN b z ON z.symbol = up.symbol AND z.i BETWEEN u AND u + {window} AND z.low < p),
+a AS (SELECT symbol, count(*) AS n, max(CASE WHEN back = 1 THEN line END) AS line_end, arg_min(line, i) FILTER (back <= {lookback} + 1) AS line_start, max(CASE WHEN back = 1 THEN close END) AS close, max(CASE WHEN back = 2 THEN close END) AS close_before, max(CASE WHEN back = 1 THEN high END) AS high, avg(CASE WHEN back <= {lookback} THEN CAST(close < line AS INT) END) AS below,
   {', '.join(f'avg(CASE WHEN back BETWEEN {p} AND {q} THEN {x} END) AS {x}_{k}' for x in ('volume', 'atr') for k, p, q in (('now', 1, 20), ('long', 1, 100), ('prior', 21, 40)))} FROM b GROUP BY symbol),
-k AS (SELECT a.*, line_end < line_start AND NOT coalesce(hi.higher, false) AND below >= 0.8 AS slow, coalesce(hi.run >= 3, false) AND coalesce(lo.run >= 3, false) AS runs, coalesce(failed, false) AS failed, coalesce(close > hi.last, false) AS recovered
+k AS (SELECT a.*, line_end < line_start AND NOT coalesce(hi.higher, false) AND below >= 0.8 AS slow, coalesce(hi.run >= 3, false) AND coalesce(lo.run >= 3, false) AS runs, coalesce(failed, false) AS failed, coalesce(close > hi.last, false) AS recovered, hi.last AS top
   FROM a LEFT JOIN hi USING (symbol) LEFT JOIN lo USING (symbol) LEFT JOIN failed USING (symbol))
-SELECT symbol, CASE WHEN slow AND runs THEN 'strong' WHEN slow THEN 'slow' WHEN failed THEN 'failed' WHEN (volume_now < 0.5 * volume_long OR volume_now <= 0.7 * volume_prior) AND atr_now < 0.5 * atr_long THEN 'flat' ELSE 'none' END AS kind, recovered FROM k""",
-)
+SELECT symbol, CASE WHEN slow AND runs THEN 'strong' WHEN slow THEN 'slow' WHEN failed THEN 'failed' WHEN (volume_now < 0.5 * volume_long OR volume_now <= 0.7 * volume_prior) AND atr_now < 0.5 * atr_long THEN 'flat' ELSE 'none' END AS kind, recovered, coalesce(high > top, false) AS wick, recovered AND coalesce(close_before > top, false) AS twice FROM k"""
+
+
+@query("post_06_dead_assets", _dead_sql(S.ema_sql("e", "t", {"line": ("close", 200)})))
 def post_06(spark, sf_dir):
     """Also POST-07 to POST-10, JN-13 and AGG-05 to AGG-07."""
-    return postfilters.dead(days(spark, sf_dir))
+    return postfilters.dead(days(spark, sf_dir)).select("symbol", "kind", "recovered", F.col("wick_above_swing_high").alias("wick"), F.col("two_closes_above_swing_high").alias("twice"))
+
+
+@query("post_10_dead_lines", _dead_sql("e AS (SELECT symbol, i, regr_intercept(close, i) OVER w + regr_slope(close, i) OVER w * i AS line FROM t WINDOW w AS (PARTITION BY symbol))", 30, 2500.0, 1))
+def post_10(spark, sf_dir):
+    """Also TH-08 and POST-09: dead trends held against the least-squares line, and each way of recovering."""
+    found = postfilters.dead(days(spark, sf_dir), lookback=30, bounce=2500.0, window=1, trend="linear_regression")
+    return found.select("symbol", "kind", "recovered", F.col("wick_above_swing_high").alias("wick"), F.col("two_closes_above_swing_high").alias("twice"))
 
 
 _REQUEST = screen.Request(rules={"sma": {"rule": "below"}, "rsi": {"location": "neutral", "tolerance": 10}, "macd": {}}, price=(100.0, 9000.0))
