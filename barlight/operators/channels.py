@@ -29,18 +29,23 @@ def regression(bars: DataFrame, width: float = 2.0) -> DataFrame:
     return regression_of(bars, F.lit(True), width)
 
 
+def _of_last(x: Column, n: int, add=F.sum) -> Column:
+    """The sum (or count) over the last n bars as the difference of two running ones, which cost the same whatever n is."""
+    before = F.coalesce(add(x).over(S.by().rowsBetween(Window.unboundedPreceding, -n)), F.lit(0))
+    return add(x).over(S.by().rowsBetween(Window.unboundedPreceding, 0)) - before
+
+
 def filled(x: Column, n: int, kind: str = "sma", volume: Column | None = None) -> Column:
     """A filter of the last n bars in which bars before the first count as the current one: a plain mean, one weighted by age
     (lwma: the newest most; alma: a bell near the newest) or by volume (vwma); ema and rma have no frame to fill."""
     if kind in ("ema", "rma"):
         return {"ema": S.ema, "rma": S.rma}[kind](x, n)
-    f = S.frame(1 - n, 0)
     if kind == "sma":
-        return (F.sum(x).over(f) + (n - F.count(x).over(f)) * x) / n
+        return (_of_last(x, n) + (n - _of_last(x, n, F.count)) * x) / n
     if kind == "vwma":
         v = F.coalesce(volume if volume is not None else F.col("volume"), F.lit(0.0))
-        missing = n - F.count(x).over(f)
-        return F.coalesce(F.try_divide(F.sum(x * v).over(f) + missing * x * v, F.sum(v).over(f) + missing * v), x)
+        missing = n - _of_last(x, n, F.count)
+        return F.coalesce(F.try_divide(_of_last(x * v, n) + missing * x * v, _of_last(v, n) + missing * v), x)
     weights = [n - k for k in range(n)] if kind == "lwma" else S.alma_weights(n)
     return sum(F.coalesce(S.back(x, k) if k else x, x) * w for k, w in enumerate(weights)) / sum(weights)
 

@@ -93,7 +93,9 @@ def states_of(bars: DataFrame, span: int = 8, width: float = 6.0, zone: float =
         return F.struct(*[s[k].alias(k) for k in ("h1", "h2", "l1", "l2")], keep(s["down"]).alias("down"), keep(s["up"]).alias("up"), last.alias("last"))
 
     def step(s: Column, v: Column) -> Column:
-        return _let(_let(_let(seen(s, v), lambda q: opened(q, v, True)), lambda q: opened(q, v, False)), lambda q: closed(q, v))
+        # Most bars confirm no pivot, and many have no channel to move on.
+        whole = _let(_let(_let(seen(s, v), lambda q: opened(q, v, True)), lambda q: opened(q, v, False)), lambda q: closed(q, v))
+        return F.when(v["ph"].isNull() & v["pl"].isNull(), F.when(s["down"].isNull() & s["up"].isNull(), s).otherwise(closed(s, v))).otherwise(whole)
 
     start = F.struct(*[no_pivot.alias(k) for k in ("h1", "h2", "l1", "l2")], *[none.alias(k) for k in ("down", "up", "last")])
 

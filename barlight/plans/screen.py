@@ -202,6 +202,9 @@ def explained(universe: DataFrame, bars: DataFrame, request: Request) -> DataFra
     u = R.in_order(u, request.limit)
     b = B.latest(B.completed(bars).join(u.select("symbol"), "symbol", "left_semi"), request.depth)
     of = lambda kinds: {n: c for n, c in request.rules.items() if _kind(n, c) in kinds}
+    if of(WHOLE):
+        # Several aggregations read these bars, MAX_BARS a symbol at most: they are made once and kept on the executors, partitioned as they are.
+        b = b.persist()
     out = u.join(judged(b, of(RULES)), "symbol", "left").withColumn("in_price_range", F.coalesce(R.price_between(F.col("price"), *request.price), F.lit(False)))
     for name, config in of(WHOLE).items():
         own = _split(config)[0] | ({"asset": request.asset} if _kind(name, config) in ("trend", "channel_respect") else {})

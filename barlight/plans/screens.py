@@ -344,7 +344,7 @@ _explained(
 @query("screen_post_filters")
 def screen_post(spark, sf_dir):
     """POST-01 and PL-03: dead trends go first, then rules, then channel respect, confluence and the trend channel; tested by parts."""
-    request = screen.Request({"dead_assets": {"kinds": ("strong", "slow")}, "sma": {"length": 50, "rule": "touch", "tolerance": 50.0, "window": 10}, "channel_respect": {"least": 1}, "trend": {"broken": True}, "confluence": {"kind": "clustered", "tolerance": 20.0}})
+    request = screen.Request({"dead_assets": {"kinds": ("strong", "slow")}, "sma": {"length": 50, "rule": "touch", "tolerance": 50.0, "window": 10}, "channel_respect": {"least": 1}, "trend": {"direction": "up"}, "confluence": {"kind": "any", "tolerance": 20.0}})
     out = screen.explained(B.universe(spark, sf_dir), B.supplier_days(spark, sf_dir), request)
     return out.select("symbol", *[f"passed_{r}" for r in request.rules], "reason", F.concat_ws("+", "matched").alias("matched"))
 
