@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlight.functions import scalars
 from barlight.functions import series as S
 
 KEEP = ["open", "high", "low", "close", "volume", "back"]
@@ -101,18 +102,40 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, x: st
     return e.withColumn("signal", S.sma(F.col("macd"), signal))
 
 
-def volume_spikes(bars: DataFrame, n: int = 100, times: float = 1.5) -> DataFrame:
-    """bullish and bearish: the bar before was a spike of volume at a low or high that this bar confirms."""
+def volume_spikes(bars: DataFrame, n: int = 100, times: float = 1.5, extremes: bool = True, hammers: bool = True, same_color: bool = False, session: str = "", offset: int = 0) -> DataFrame:
+    """bullish and bearish: the bar before was a spike of volume that this bar confirms. extremes: its low (high) is beyond those of both
+    neighbours; hammers: it opens and closes in its upper (lower) half; same_color: it closes up (down); session: hours of the day
+    (HHMM-HHMM, UTC plus offset minutes) in which spikes count."""
     v, o, h, l, c = (F.col(x) for x in ("volume", "open", "high", "low", "close"))
-    mid = (h + l) / 2
-    big = v > times * S.sma(v, n)
+    mid = l + (h - l) / 2
+    top = low = (v > times * S.sma(v, n)) & scalars.in_hours(F.col("time"), session, offset) & (F.col("i") >= 2)
     after = lambda x: F.lead(x).over(S.by())
-    top = big & (h > S.back(h)) & (h > after(h)) & (o < mid) & (c < mid)
-    low = big & (l < S.back(l)) & (l < after(l)) & (o > mid) & (c > mid)
+    if extremes:
+        top, low = top & (h > S.back(h)) & (h > after(h)), low & (l < S.back(l)) & (l < after(l))
+    if hammers:
+        top, low = top & (o < mid) & (c < mid), low & (o > mid) & (c > mid)
+    if same_color:
+        top, low = top & (c < o), low & (c > o)
     out = bars.withColumns({"_top": F.coalesce(top, F.lit(False)), "_low": F.coalesce(low, F.lit(False))})
     return out.withColumns({"bearish": F.coalesce(S.back(F.col("_top")), F.lit(False)), "bullish": F.coalesce(S.back(F.col("_low")), F.lit(False))}).drop("_top", "_low")
 
 
+#: Where a trend's strength is called strong and exhausted.
+STRONG, EXHAUSTED = 25.0, 40.0
+
+
+def directional_label(mode: str, threshold: float = 20.0) -> Column:
+    """What a bar of trend_strength() says of a bullish or bearish trend, in words."""
+    x = F.col("adx")
+    own, other = (F.col("di_plus"), F.col("di_minus")) if mode == "bullish" else (F.col("di_minus"), F.col("di_plus"))
+    name = mode.capitalize()
+    early = f"Early {name} / Weak Strength"
+    return (
+        F.when(x.isNull(), early).when(x > EXHAUSTED, f"{name} Exhaustion Warning").when((x > STRONG) & (x > own) & (x > other), f"Strong {name} Confirmed")
+        .when((x > threshold) & (x > own), f"{name} Confirmed").when(x >= threshold, f"{name} Strength Building").otherwise(early)
+    )
+
+
 def relative_volume(bars: DataFrame, average: int = 30) -> DataFrame:
     v = F.col("volume")
     before = S.sma(v, average, 1)

@@ -375,15 +375,16 @@ SELECT t.event_id, b.close FROM t ASOF LEFT JOIN event_bars b ON t.symbol = b.sy
 
 
 def as_of(left, bars, seconds=3600):
-    """left (symbol, time and others) with the close of the last bar completed by then. Bars, few for each symbol, are carried on
-    over the gaps after them, so rows of left meet theirs in an equi-join that can split a symbol's rows; no window holds them."""
-    hour = (F.floor((F.col("time") - seconds) / seconds) * seconds).cast("long")
-    rows = left.withColumn("bar", hour)
-    until = rows.agg(F.max("bar").alias("until"))
-    following = F.lead("time").over(Window.partitionBy("symbol").orderBy("time"))
-    end = F.coalesce(following - seconds, F.greatest("time", "until"))
-    filled = bars.crossJoin(until).withColumn("end", end).select("symbol", F.explode(F.sequence("time", "end", F.lit(seconds).cast("long"))).alias("bar"), "close")
-    return rows.join(filled, ["symbol", "bar"], "left").drop("bar")
+    """left (symbol, time and others) with the close of the last bar completed by then. What is asked for comes down to a row for each
+    symbol and bar, however many rows of left ask it; these are put among the bars, one window carries closes on to them, and left
+    meets them in an equi-join that can split a symbol's rows. Gaps that nobody asks about cost nothing."""
+    rows = left.withColumn("bar", (F.floor((F.col("time") - seconds) / seconds) * seconds).cast("long"))
+    asked = rows.select("symbol", "bar").distinct().select("symbol", "bar", F.lit(None).cast("double").alias("close"), F.lit(1).alias("asks"))
+    known = bars.select("symbol", F.col("time").alias("bar"), F.col("close").cast("double").alias("close"), F.lit(0).alias("asks"))
+    # A bar comes before a question about the same hour.
+    so_far = Window.partitionBy("symbol").orderBy("bar", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(known).withColumn("close", F.last("close", ignorenulls=True).over(so_far)).where("asks = 1").drop("asks")
+    return rows.join(found, ["symbol", "bar"], "left").drop("bar")
 
 
 def _event_times(spark, sf_dir):

@@ -102,18 +102,82 @@ def macd(b: DataFrame, p: str, fast=12, slow=26, signal=9, rule="above_signal",
     return b, _chosen(rule, rules | {"histogram_above_zero": rules["above_signal"], "histogram_below_zero": rules["below_signal"], **{f"histogram_{d}_{w}_zero": F.col(f"{p}_{c}") & (m > s if w == "above" else m < s) for d, c in (("rising", "more"), ("falling", "less")) for w in ("above", "below")}}), m - s
 
 
-def wavetrend(b: DataFrame, p: str, clauses=(("zone", "oversold"),), logic="all", outer=60.0, inner=53.0, channel=10, average=21, signal=4) -> Found:
-    """Clauses of wt1 and wt2: zone, direction, cross, or compare (above, below), joined by all or any."""
+#: Conditions on the wave trend by name, as clauses; a zone without a name is that of the setting, or the condition's own.
+WAVE_CONDITIONS = {
+    "zone_only": [("zone", None)],
+    "oversold_watch": [("zone", None)],
+    "overbought_watch": [("zone", None)],
+    "cross_any": [("cross", "any")],
+    "cross_up": [("cross", "up")],
+    "cross_down": [("cross", "down")],
+    "oversold_cross_up": [("cross", "up"), ("zone", None, "wt2")],
+    "overbought_cross_down": [("cross", "down"), ("zone", None, "wt2")],
+    "rising": [("direction", "rising")],
+    "falling": [("direction", "falling")],
+    "turning_up": [("direction", "turning_up")],
+    "turning_down": [("direction", "turning_down")],
+    "turning_up_from_oversold": [("direction", "turning_up"), ("zone", None)],
+    "turning_down_from_overbought": [("direction", "turning_down"), ("zone", None)],
+}
+#: A condition in a zone means the one that has the zone in its name.
+ZONED = {("oversold", "cross_up"): "oversold_cross_up", ("oversold", "turning_up"): "turning_up_from_oversold", ("overbought", "cross_down"): "overbought_cross_down", ("overbought", "turning_down"): "turning_down_from_overbought"}
+
+
+def wave_zone(condition: str, zone: str | None, level: int = 2) -> str:
+    """The zone that a condition looks at: the one set, or that of its name, at a level (1 is further out), or any."""
+    side = next((x for x in ("oversold", "overbought") if x in condition), None)
+    return zone or (side + ("_level_1" if level == 1 else "") if side else "any")
+
+
+def wavetrend(b: DataFrame, p: str, clauses=(("zone", "oversold"),), logic="all", outer=60.0, inner=53.0, channel=10, average=21, signal=4, condition=None, zone=None, level=2, tolerance=0.0) -> Found:
+    """Clauses on wt1, wt2 and hist (their difference), joined by all or any: zone: a name and a line, widened by tolerance; direction:
+    a name and a line; cross: up, down or any of wt1 over wt2; compare: above or below (wt1 and wt2), above_zero or below_zero, or
+    line, sign (<, <=, >, >=, near) and a line or number. condition: a name of WAVE_CONDITIONS instead of clauses, in a zone if one is
+    set."""
     b = _new(b, lambda d: indicators.wavetrend(d, channel, average, signal), p)
     one, two = F.col(f"{p}_wt1"), F.col(f"{p}_wt2")
-    b = b.withColumns({f"{p}_up": S.crossed_above(one, two), f"{p}_down": S.crossed_above(two, one), **{f"{p}_{d}": S.direction(one, d) for d in ("rising", "falling", "turning_up", "turning_down")}})
-    kinds = {
-        "zone": {"oversold": one <= -inner, "extreme_oversold": one <= -outer, "overbought": one >= inner, "extreme_overbought": one >= outer, "middle": one.between(-inner, inner)},
-        "cross": {"bullish": F.col(f"{p}_up"), "bearish": F.col(f"{p}_down"), "any": F.col(f"{p}_up") | F.col(f"{p}_down")},
-        "direction": {d: F.col(f"{p}_{d}") for d in ("rising", "falling", "turning_up", "turning_down")},
-        "compare": {"above": one > two, "below": one < two, "above_zero": one > 0, "below_zero": one < 0},
-    }
-    return b, joined([_chosen(v, kinds[kind]) for kind, v in clauses], logic), one
+    b = b.withColumn(f"{p}_hist", one - two)
+    b = b.withColumns({f"{p}_up": S.crossed_above(one, two), f"{p}_down": S.crossed_above(two, one)})
+    up, down = F.col(f"{p}_up"), F.col(f"{p}_down")
+    made = 0
+
+    def line(name: str) -> Column:
+        words = {"green": "wt1", "main": "wt1", "red": "wt2", "signal": "wt2", "histogram": "hist", "area": "hist"}
+        return _chosen(words.get(name, name), {k: F.col(f"{p}_{k}") for k in ("wt1", "wt2", "hist")})
+
+    def in_zone(name: str, x: Column) -> Column:
+        of = {
+            "oversold": x <= -inner + tolerance, "oversold_level_1": x <= -outer + tolerance, "overbought": x >= inner - tolerance, "overbought_level_1": x >= outer - tolerance,
+            "neutral": x.between(-inner - tolerance, inner + tolerance), "any": F.lit(True),
+        }
+        words = {"extreme_oversold": "oversold_level_1", "deep_oversold": "oversold_level_1", "os1": "oversold_level_1", "os2": "oversold", "extreme_overbought": "overbought_level_1", "deep_overbought": "overbought_level_1", "ob1": "overbought_level_1", "ob2": "overbought", "middle": "neutral"}
+        return _chosen(words.get(name, name), of)
+
+    def clause(kind: str, *args) -> Column:
+        nonlocal b, made
+        if kind == "zone":
+            return in_zone(args[0], line(args[1] if len(args) > 1 else "wt1"))
+        if kind == "cross":
+            words = {"bullish": "up", "bearish": "down", "crossed_up": "up", "crossed_down": "down", "both": "any"}
+            return _chosen(words.get(args[0], args[0]), {"up": up, "down": down, "any": up | down})
+        if kind == "direction":
+            made += 1
+            b = b.withColumn(f"{p}_d{made}", S.direction(line(args[1] if len(args) > 1 else "wt1"), args[0]))
+            return F.col(f"{p}_d{made}")
+        if kind == "compare":
+            if len(args) == 1:
+                return _chosen(args[0], {"above": one > two, "below": one < two, "above_zero": one > 0, "below_zero": one < 0})
+            x, y = line(args[0]), line(args[2]) if isinstance(args[2], str) else F.lit(float(args[2]))
+            return _chosen(args[1], {"<": x < y + tolerance, "<=": x <= y + tolerance, ">": x > y - tolerance, ">=": x >= y - tolerance, "near": F.abs(x - y) <= tolerance})
+        raise ValueError(f"unknown clause: {kind}")
+
+    if condition is not None:
+        at = wave_zone(condition, zone, level)
+        condition = ZONED.get((at.split("_")[0], condition), condition)
+        clauses, logic = _chosen(condition, WAVE_CONDITIONS), "all"
+        clauses = [(kind, at, *rest) if kind == "zone" and value is None else (kind, value, *rest) for kind, value, *rest in clauses]
+    hit = joined([clause(*c) for c in clauses], logic)
+    return b, hit, one
 
 
 def adx(b: DataFrame, p: str, conditions=("bullish",), length=11, threshold=20.0, distance=1.0, bars=3) -> Found:
@@ -269,22 +333,25 @@ def bars_of(tree) -> int:
     return {"within": lambda: args[0] - 1 + bars_of(args[1]), "crossed": lambda: args[2], "sequence": lambda: args[2]}.get(kind, lambda: 1)()
 
 
-def volume_spikes(b: DataFrame, p: str, rule="either", length=100, times=1.5) -> Found:
-    b = _new(b, lambda d: indicators.volume_spikes(d, length, times), p)
+def volume_spikes(b: DataFrame, p: str, rule="either", length=100, times=1.5, **toggles) -> Found:
+    """toggles: extremes, hammers, same_color, session and offset of indicators.volume_spikes."""
+    b = _new(b, lambda d: indicators.volume_spikes(d, length, times, **toggles), p)
     up, down = F.col(f"{p}_bullish"), F.col(f"{p}_bearish")
-    return b, _chosen(rule, {"bullish": up, "bearish": down, "either": up | down}), F.col("volume")
+    words = {"bull": "bullish", "bear": "bearish", "any": "either", "both": "either"}
+    return b, _chosen(words.get(rule, rule), {"bullish": up, "bearish": down, "either": up | down}), F.col("volume")
 
 
 def relative_volume(b: DataFrame, p: str, rule="between", low=0.0, high=1e9, average=30, window=1, lines=("ma2",)) -> Found:
-    """entry: each of the regression lines named crosses above 0 or is there already, and one crosses now."""
+    """entry: one of the regression lines named crosses above 0."""
     b = _new(b, lambda d: indicators.relative_volume(d, average), p)
     x, v = F.col(f"{p}_rvol"), F.col("volume")
-    b = b.withColumns({f"{p}_up": S.crossed_above(x, F.lit(float(low))), f"{p}_down": S.crossed_above(F.lit(float(low)), x), f"{p}_entry": joined([S.crossed_above(F.col(f"{p}_{m}"), F.lit(0.0)) for m in lines], "any") & joined([F.col(f"{p}_{m}") > 0 for m in lines], "all"), f"{p}_top": x >= F.max(x).over(S.frame(1 - max(window, 2), 0)), f"{p}_alert": S.crossed_above(v, F.lit(2e8)), f"{p}_more": v > S.back(v)})
+    b = b.withColumns({f"{p}_up": S.crossed_above(x, F.lit(float(low))), f"{p}_down": S.crossed_above(F.lit(float(low)), x), f"{p}_entry": joined([S.crossed_above(F.col(f"{p}_{m}"), F.lit(0.0)) for m in lines], "any"), f"{p}_top": x >= F.max(x).over(S.frame(1 - max(window, 2), 0)), f"{p}_alert": S.crossed_above(v, F.lit(2e8)), f"{p}_more": v > S.back(v)})
     return b, _chosen(rule, {"between": x.between(low, high), "above": x >= low, "below": x <= high, "crossed_above": F.col(f"{p}_up"), "crossed_below": F.col(f"{p}_down"), "highest": F.col(f"{p}_top"), "anomaly": v - F.col(f"{p}_ma2") > F.col(f"{p}_sd21"), "entry": F.col(f"{p}_entry"), "volume_alert": F.col(f"{p}_alert"), "increased_volume": F.col(f"{p}_more")}), x
 
 
-def current_volume(b: DataFrame, p: str, rule="above_average", low=0.0, high=1e18, length=30) -> Found:
-    b = b.withColumn(f"{p}_mean", S.sma(F.col("volume"), length))
+def current_volume(b: DataFrame, p: str, rule="above_average", low=0.0, high=1e18, length=30, average="sma") -> Found:
+    """average: the kind of mean that volume is held against, a name of series.average."""
+    b = b.withColumn(f"{p}_mean", S.average(F.col("volume"), length, average))
     v, m = F.col("volume"), F.col(f"{p}_mean")
     percent = F.floor(F.try_divide(v * 100, m) + 0.5)
     return b, _chosen(rule, {"value": v.between(low, high), "above_average": v > m, "above_average_percent": percent >= low, "below_average_percent": percent <= high, "between_average_percent": percent.between(low, high)}), percent.cast("double")
@@ -378,8 +445,8 @@ RULES = {
     "adx": Rule(adx, lambda **_: 200),
     "vlr": Rule(vlr, lambda first=12, step=12, tree=("order", "below"), **_: first + 2 * step + 2 + bars_of(tree)),
     "volume": Rule(volume_spikes, lambda length=100, **_: length + 2),
-    "relative_volume": Rule(relative_volume, lambda average=30, **_: max(60, average + 1)),
-    "current_volume": Rule(current_volume, lambda length=30, **_: length),
+    "relative_volume": Rule(relative_volume, lambda average=30, **_: max(60, average + 2)),
+    "current_volume": Rule(current_volume, lambda length=30, average="sma", **_: max(120, 2 * length) if average in ("ema", "rma") else length),
     "volatility": Rule(volatility, lambda length=14, returns=20, **_: max(length, returns) + 1),
     "vstop": Rule(volatility_stop, lambda length=20, **_: max(120, 3 * length)),
     "linreg_candles": Rule(regression_candles, lambda length=11, smooth=11, **_: length + smooth, True),

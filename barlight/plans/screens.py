@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions import candles as K
 from barlight.functions import series as S
-from barlight.operators import channels, confluence, postfilters
+from barlight.operators import channels, confluence, indicators, postfilters
 from barlight.operators import relational as R
 from barlight.plans import screen
 from barlight.plans.features import _ADX, _LRC, _MACD, _O, _PAT, _RSI, _WT, BARS, REC, TR, _age_sql, _pivot_sql, _touch_sql, days
@@ -187,7 +187,8 @@ def screen_gate_entry(spark, sf_dir):
 
 def _explained(name: str, request: screen.Request, ctes: str, flags: dict[str, str], logic: str | None = None, doc: str = ""):
     """Registers a screen that says of every instrument what each rule says. flags: by rule, SQL of (symbol, passed)."""
-    cases = f"WHEN NOT ({logic}) THEN 'excluded:rules'" if logic else " ".join(f"WHEN NOT {r} THEN 'excluded:{r}'" for r in flags)
+    alone = [r for r in flags if r not in screen._names(request.logic)]
+    cases = " ".join(f"WHEN NOT {r} THEN 'excluded:{r}'" for r in alone) + (f" WHEN NOT ({logic}) THEN 'excluded:rules'" if logic else "")
     joins = " ".join(f"LEFT JOIN ({q}) t{k} ON t{k}.symbol = u.symbol" for k, q in enumerate(flags.values()))
     sql = f"""{REC}{BARS}{B.UNIVERSE}, {B.latest_sql('supplier_days', request.depth)}{", " + ctes if ctes else ""},
 said AS (SELECT u.symbol, m.close AS price, {', '.join(f'coalesce(t{k}.passed, false) AS {r}' for k, r in enumerate(flags))} FROM universe u LEFT JOIN (SELECT symbol, close FROM c WHERE back = 1) m ON m.symbol = u.symbol {joins})
@@ -230,7 +231,7 @@ _explained(
     f"{_WT}, wl AS (SELECT *, {S.lag_sql('wt1')} AS p1, {S.lag_sql('wt2')} AS p2 FROM w)",
     {"zone": _any("wl", "wt1 <= -20 AND wt1 - p1 > 1e-9", 10), "cross_up": _any("wl", "coalesce(p1 <= p2 AND wt1 > wt2, false) OR wt1 > 0", 2), "either": _any("wl", "coalesce(p1 <= p2 AND wt1 > wt2, false) OR coalesce(p1 >= p2 AND wt1 < wt2, false) OR wt1 >= 53")},
     None,
-    "WT-01 to WT-05: clauses of zones, crossings, directions and comparisons.",
+    "WT-01 to WT-04: clauses of zones, crossings, directions and comparisons.",
 )
 _RV = f"rv AS (SELECT *, CASE WHEN {S.sma_sql('volume', 30, 1)} > 0 THEN volume / ({S.sma_sql('volume', 30, 1)}) END AS rvol, {S.sma_sql('volume', 30)} AS mean FROM c), rvl AS (SELECT *, {S.lag_sql('rvol')} AS p, {S.lag_sql('volume')} AS v1, max(rvol) {_O(4, 0)} AS top FROM rv)"
 _explained(
@@ -239,8 +240,51 @@ _explained(
     _RV,
     {"rvol": _any("rvl", "rvol >= 1.2", 3), "crossed": _any("rvl", "p <= 1 AND rvol > 1", 4), "top": _any("rvl", "rvol >= top", 5), "more": _any("rvl", "volume > v1"), "average": _any("rvl", "volume > mean"), "percent": _any("rvl", "floor(100 * volume / mean + 0.5) BETWEEN 50 AND 120", 2)},
     "rvol OR (crossed AND average) OR NOT (percent OR top)",
-    "VH-02, VH-08: the rules of relative and current volume.",
+    "The rules of relative and current volume.",
 )
+_explained(
+    "screen_wave_conditions",
+    screen.Request({n: {"rule_of": "wavetrend", **c} for n, c in {
+        "from_low": {"condition": "cross_up", "zone": "oversold", "inner": 15.0, "window": 20}, "watch": {"condition": "overbought_watch", "level": 1, "outer": 40.0, "tolerance": 5.0, "window": 12}, "turned": {"condition": "turning_down", "zone": "overbought", "inner": 30.0, "window": 25},
+        "any_cross": {"condition": "cross_any"}, "hist": {"clauses": (("compare", "hist", ">=", 4.0), ("direction", "rising", "hist")), "window": 2}, "near": {"clauses": (("compare", "wt1", "near", "wt2"), ("compare", "red", "<=", 10.0)), "tolerance": 1.5, "window": 3},
+    }.items()}, logic=("any", ["from_low", ("all", ["watch", "turned"]), ("not", ["any_cross", "hist", "near"])])),
+    f"{_WT}, wl AS (SELECT *, {S.lag_sql('wt1')} AS p1, {S.lag_sql('wt2')} AS p2, {S.lag_sql('wt1', 2)} AS q1, {S.lag_sql('wt1')} - {S.lag_sql('wt2')} AS ph FROM w)",
+    {
+        "from_low": _any("wl", "p1 <= p2 AND wt1 > wt2 AND wt2 <= -15", 20), "watch": _any("wl", "wt1 >= 35", 12), "turned": _any("wl", "p1 - q1 >= -1e-9 AND wt1 - p1 < -1e-9 AND wt1 >= 30", 25),
+        "any_cross": _any("wl", "(p1 <= p2 AND wt1 > wt2) OR (p1 >= p2 AND wt1 < wt2)"), "hist": _any("wl", "wt1 - wt2 >= 4 AND wt1 - wt2 - ph > 1e-9", 2), "near": _any("wl", "abs(wt1 - wt2) <= 1.5 AND wt2 <= 11.5", 3),
+    },
+    "from_low OR (watch AND turned) OR NOT (any_cross OR hist OR near)",
+    "WT-05 and WT-06: conditions by name, in zones of either level, and clauses on the histogram.",
+)
+_MEAN = S.sma_sql("volume", 20)
+_explained(
+    "screen_volume_options",
+    screen.Request({n: {"rule_of": "volume", "length": 20, **c} for n, c in {
+        "plain": {"rule": "bull", "times": 1.0, "extremes": False, "hammers": False, "window": 2}, "colored": {"rule": "bearish", "times": 1.0, "hammers": False, "same_color": True, "window": 4}, "hours": {"rule": "any", "times": 0.8, "extremes": False, "session": "2300-0100", "window": 3},
+        "hammer": {"times": 0.8, "extremes": False, "window": 90},
+    }.items()} | {"entry": {"rule_of": "relative_volume", "rule": "entry", "lines": ("ma2", "ma4"), "window": 60}, "smooth": {"rule_of": "current_volume", "average": "ema", "length": 10}, "weighed": {"rule_of": "current_volume", "average": "lwma", "length": 8, "rule": "above_average_percent", "low": 90}}, logic=("any", ["plain", "entry", ("all", ["colored", "smooth"]), ("all", ["hours", "weighed", "hammer"])])),
+    f"vv AS (SELECT *, volume > {_MEAN} AS big1, volume > 0.8 * ({_MEAN}) AS big08, {S.lag_sql('high')} AS h1, lead(high) OVER (PARTITION BY symbol ORDER BY i) AS hn, low + (high - low) / 2 AS mid FROM c), "
+    + "vb AS (SELECT symbol, back - 1 AS back, big1 AND i >= 2 AS plain, big1 AND i >= 2 AND high > h1 AND high > hn AND close < open AS colored, big08 AND i >= 2 AND ((open < mid AND close < mid) OR (open > mid AND close > mid)) AS hours, big08 AND i >= 2 AND ((open < mid AND close < mid) OR (open > mid AND close > mid)) AS hammer FROM vv WHERE back > 1), "
+    + f"en AS (SELECT *, {', '.join(f'CASE WHEN i >= {n} THEN regr_intercept(volume, i) {_O(n - 1, 0)} + regr_slope(volume, i) {_O(n - 1, 0)} * i END AS m{n}' for n in (50, 6))} FROM c), el AS (SELECT *, {S.lag_sql('m50')} AS p50, {S.lag_sql('m6')} AS p6 FROM en), "
+    + S.ema_sql("ve", "c", {"vm": ("volume", 10)}) + f", vs AS (SELECT c.symbol, c.back, volume > vm AND c.i >= 10 AS smooth, floor(volume * 100 / ({' + '.join(f'{k + 1} * lag(volume, {k}) OVER (PARTITION BY c.symbol ORDER BY c.i)' for k in range(8))}) * 36 + 0.5) >= 90 AS weighed FROM c JOIN ve USING (symbol, i))",
+    {"plain": _any("vb", "plain", 2), "colored": _any("vb", "colored", 4), "hours": _any("vb", "hours", 3), "hammer": _any("vb", "hammer", 90), "entry": _any("el", "(p50 <= 0 AND m50 > 0) OR (p6 <= 0 AND m6 > 0)", 60), "smooth": _any("vs", "smooth"), "weighed": _any("vs", "weighed")},
+    "plain OR entry OR (colored AND smooth) OR (hours AND weighed AND hammer)",
+    "IND-09, IND-11, VH-02 and VH-03: the toggles of volume spikes, entries by any line, and other means of volume.",
+)
+
+
+def _label_sql(mode: str) -> str:
+    own, other, name = ("dip", "dim", "Bullish") if mode == "bullish" else ("dim", "dip", "Bearish")
+    return f"CASE WHEN adx IS NULL THEN 'Early {name} / Weak Strength' WHEN adx > 40 THEN '{name} Exhaustion Warning' WHEN adx > 25 AND adx > {own} AND adx > {other} THEN 'Strong {name} Confirmed' WHEN adx > 15 AND adx > {own} THEN '{name} Confirmed' WHEN adx >= 15 THEN '{name} Strength Building' ELSE 'Early {name} / Weak Strength' END"
+
+
+@query("ax_06_directional_labels", f"{REC}{BARS}{B.latest_sql('supplier_days', 200)}, {_ADX} SELECT symbol, CAST(i AS BIGINT) AS i, {_label_sql('bullish')} AS bullish, {_label_sql('bearish')} AS bearish FROM adx")
+def ax_06(spark, sf_dir):
+    """What every bar says of a rising and of a falling trend's strength."""
+    x = indicators.trend_strength(days(spark, sf_dir, 200), 11)
+    return x.select("symbol", F.col("i").cast("long").alias("i"), *[indicators.directional_label(m, 15.0).alias(m) for m in ("bullish", "bearish")])
+
+
 _AR = f"ar AS (SELECT symbol, i, back, CASE WHEN i >= 15 THEN 100.0 * (arg_max(i, row(high, -i)) {_O(14, 0)} - arg_min(i, row(low, i)) {_O(14, 0)}) / 14 END AS x FROM c), arl AS (SELECT *, {S.lag_sql('x')} AS x1, {S.lag_sql('x', 2)} AS x2 FROM ar)"
 _explained(
     "screen_aroon",
