@@ -112,3 +112,28 @@ def resampled(df: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: st
 def op12_importance_resampling(spark, sf_dir):
     out = resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 by its table of 256 remainders, which a recursion makes; a run of words goes on from the remainder of the run without its
+#: last word, so each distinct run costs one word.
+OP12_SQL = rf"""WITH RECURSIVE steps(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+lut AS (SELECT list(v ORDER BY i) AS l FROM steps WHERE k = 8),
+texts AS (SELECT 's' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark),
+listed AS (SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM texts),
+words AS (SELECT side, r, unnest(ws) AS w1, unnest(ws[2:]) AS w2, unnest(ws[3:]) AS w3 FROM listed),
+bytes AS (SELECT w, flatten(list_transform(string_split(w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] WHEN unicode(x) < 2048 THEN [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)]
+  WHEN unicode(x) < 65536 THEN [224 | (unicode(x) >> 12), 128 | ((unicode(x) >> 6) & 63), 128 | (unicode(x) & 63)] ELSE [240 | (unicode(x) >> 18), 128 | ((unicode(x) >> 12) & 63), 128 | ((unicode(x) >> 6) & 63), 128 | (unicode(x) & 63)] END))::BIGINT[] AS b FROM (SELECT DISTINCT w1 AS w FROM words)),
+one AS (SELECT w AS g1, list_reduce(list_prepend(4294967295::BIGINT, b), lambda s, x: xor(s >> 8, l[(xor(s, x) & 255) + 1])) AS c1 FROM bytes, lut),
+two AS (SELECT g1, w AS g2, list_reduce(list_prepend(c1, list_prepend(32::BIGINT, b)), lambda s, x: xor(s >> 8, l[(xor(s, x) & 255) + 1])) AS c2 FROM (SELECT DISTINCT w1, w2 FROM words WHERE w2 IS NOT NULL) p JOIN one ON g1 = w1 JOIN bytes ON w = w2, lut),
+three AS (SELECT g1, g2, w AS g3, list_reduce(list_prepend(c2, list_prepend(32::BIGINT, b)), lambda s, x: xor(s >> 8, l[(xor(s, x) & 255) + 1])) AS c3 FROM (SELECT DISTINCT w1, w2, w3 FROM words WHERE w3 IS NOT NULL) p JOIN two ON g1 = w1 AND g2 = w2 JOIN bytes ON w = w3, lut),
+found AS (SELECT side, r, c1 AS c FROM words JOIN one ON g1 = w1 UNION ALL SELECT side, r, c2 FROM words JOIN two ON g1 = w1 AND g2 = w2 UNION ALL SELECT side, r, c3 FROM words JOIN three ON g1 = w1 AND g2 = w2 AND g3 = w3),
+buckets AS (SELECT side, r, xor(c, 4294967295) % {BUCKETS} AS b FROM found),
+counts AS (SELECT b, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM buckets GROUP BY b),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE + {BUCKETS} AS s_all, coalesce(sum(t), 0)::DOUBLE + {BUCKETS} AS t_all FROM counts),
+gains AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * s_all / ((s + 1)::DOUBLE * t_all)))::BIGINT AS gain FROM counts, totals),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM buckets JOIN gains USING (b) WHERE side = 's' GROUP BY r),
+scored AS (SELECT doc_id, len(ws) AS n, (len(ws) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0))::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('{SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM listed LEFT JOIN weights USING (r) WHERE side = 's'),
+drawn AS (SELECT *, CASE WHEN n >= {LEAST_WORDS} THEN row_number() OVER (PARTITION BY n >= {LEAST_WORDS} ORDER BY score DESC, doc_id) END AS place, {PERCENT} * count(*) FILTER (n >= {LEAST_WORDS}) OVER () // 100 AS most FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM drawn
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op12_importance_resampling": importance.op12_importance_resampling,
     "op13_sharding": sharding.op13_sharding,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL, "op9_license_scans": licenses.OP9_SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL, "op9_license_scans": licenses.OP9_SQL, "op12_importance_resampling": importance.OP12_SQL}
