@@ -2,10 +2,11 @@
 
 Two second-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained from
 labelled samples: random strings drawn by a seeded rule over usual alphabets, identifiers built by rule from common
-programming words, platform names, versions and dates, and as further ordinary samples the words of documents labelled as good,
-also in capitals (at most SAMPLE_DOCS documents, in the order of a hash of doc_id). Every candidate (CANDIDATE) of a text is scored: it becomes
-a span of kind model if its log-likelihood ratio a character is over a threshold, which leaves MAX_FALSE of the held-out
-ordinary candidates above it and is at least 0. Of a candidate that touches a span of the fixed patterns the rest is scored,
+programming words, platform names, versions and dates, and as further ordinary samples the words that two or more documents
+labelled as good hold, also in capitals (at most SAMPLE_DOCS documents, in the order of a hash of doc_id). Every candidate (CANDIDATE) of a text is scored: it becomes
+a span of kind model if its log-likelihood ratio a character is over a threshold, and where that of the whole is not, so does
+each of its parts between - _ and / that has MIN_SIGNS or more (a token with a readable prefix). The threshold leaves MAX_FALSE of the
+held-out ordinary candidates above it, whole or in part, and is at least 0. Of a candidate that touches a span of the fixed patterns the rest is scored,
 where MIN_SIGNS or more are left. Strings of the form of a UUID are identifiers, not secrets.
 
 Spans are code points of the whole text, end exclusive. Nulls: a null text is empty; labels without doc_id are ignored, of
@@ -34,6 +35,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_SIGNS = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_SIGNS},}}")
+PART = re.compile(rf"[A-Za-z0-9+=]{{{MIN_SIGNS},}}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 8000
@@ -86,7 +88,9 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, labels:
     out = spark.createDataFrame(made, "text string, random boolean, held_out boolean")
     if docs is not None and labels is not None:
         good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").alias("q")).where("q = 1").orderBy(F.xxhash64("of"), "of").limit(SAMPLE_DOCS)
-        words = docs.join(F.broadcast(good), docs["doc_id"] == good["of"]).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_-]{5,}"), F.lit(0))).alias("text"))
+        words = docs.join(F.broadcast(good), docs["doc_id"] == good["of"]).select("of", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_-]{5,}"), F.lit(0)))).alias("text"))
+        # A word of one document alone may be a piece of a secret.
+        words = words.groupBy("text").agg(F.count_distinct("of").alias("n")).where("n > 1")
         # Shouted words are as ordinary as others.
         words = words.select(F.explode(F.array("text", F.upper("text"))).alias("text"))
         out = out.unionByName(words.select("text", F.lit(False).alias("random"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held_out")))
@@ -135,7 +139,7 @@ def fitted(samples: DataFrame) -> tuple[np.ndarray, float]:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"score": [ratio_of(ratio, x) for x in pdf["text"]]})
+            yield pd.DataFrame({"score": [max(ratio_of(ratio, x[a:b]) for a, b in parts_of(x)) for x in pdf["text"]]})
 
     held = samples.where(F.col("held_out") & ~F.col("random") & (F.length("text") >= MIN_SIGNS)).select("text").mapInPandas(score, "score double")
     top = held.agg(F.percentile_approx("score", 1 - MAX_FALSE, 100_000)).first()[0]
@@ -148,6 +152,12 @@ def ratio_of(ratio: np.ndarray, x: str) -> float:
     return float(ratio[(a[:-2] * N + a[1:-1]) * N + a[2:]].mean())
 
 
+def parts_of(x: str) -> list[tuple[int, int]]:
+    """A string as a whole, and its parts between separators that are long enough."""
+    found = [m.span() for m in PART.finditer(x)]
+    return [(0, len(x)), *(p for p in found if p != (0, len(x)))]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """start, kind, end of the fixed patterns' matches, in order."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -169,17 +179,20 @@ def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator
 
 
 def model_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    found = [(a, b) for m in CANDIDATE.finditer(text) if not UUID.fullmatch(m[0]) for a, b in outside(m.start(), m.end(), base) if b - a >= MIN_SIGNS]
-    if not found:
+    whole = [(a, b) for m in CANDIDATE.finditer(text) if not UUID.fullmatch(m[0]) for a, b in outside(m.start(), m.end(), base) if b - a >= MIN_SIGNS]
+    if not whole:
         return []
-    # All candidates of a text at once: runs of three signs, summed by candidate.
-    codes = np.concatenate([_codes(text[a:b]) for a, b in found])
-    size = np.array([b - a + 3 for a, b in found])
+    # Each candidate, then its parts; all strings of a text at once: runs of three signs, summed by string.
+    found = [(a, b, k) for k, (start, end) in enumerate(whole) for a, b in ((start + p, start + q) for p, q in parts_of(text[start:end]))]
+    codes = np.concatenate([_codes(text[a:b]) for a, b, _ in found])
+    size = np.array([b - a + 3 for a, b, _ in found])
     end = np.cumsum(size)
     value = np.append(ratio[(codes[:-2] * N + codes[1:-1]) * N + codes[2:]], [0.0, 0.0])
     value[np.concatenate([end - 2, end - 1])] = 0
     mean = np.add.reduceat(value, end - size) / (size - 2)
-    return [(a, 3, b) for (a, b), x in zip(found, mean, strict=True) if x > threshold]
+    over = {(a, b, k) for (a, b, k), x in zip(found, mean, strict=True) if x > threshold}
+    taken = {k for a, b, k in over if (a, b) == whole[k]}
+    return sorted((a, 3, b) for a, b, k in over if (a, b) == whole[k] or k not in taken)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
