@@ -15,7 +15,7 @@ from barlight.plans.features import _ADX, _LRC, _MACD, _O, _PAT, _RSI, _WT, BARS
 from barlight.plans.registry import query
 from barlight.sources import bars as B
 from barlight.streaming import bars as stream
-from barlight.streaming import machines
+from barlight.streaming import machines, schedule
 
 _CLEAR = "greatest(abs(x) * 0.02, abs(x) * 0.001, 1e-6)"
 
@@ -428,3 +428,21 @@ def str_09(spark, sf_dir):
     slices = [at < cuts[0], at.between(cuts[0], cuts[1] - 1), at.between(cuts[1], cuts[2] - 1), at >= cuts[2]]
     out = machines.in_batches(ticks, slices, idle="3650 days").groupBy("symbol").agg(F.max(F.struct("seen", "ema", "rma", "stop", "up")).alias("m"))
     return out.select("symbol", "m.seen", *[(F.round(F.col(f"m.{k}"), 6) + 0.0).alias(k) for k in ("ema", "rma", "stop")], "m.up")
+
+
+@query(
+    "str_06_refresh_schedule",
+    """WITH o AS (SELECT event_type || '-' || (user_id % 40) AS symbol, ['1h', '4h', '1day'][event_id % 3 + 1] AS timeframe, [3600, 14400, 86400][event_id % 3 + 1] AS seconds, CAST(floor(epoch(ts)) AS BIGINT) AS tm, event_id * 7 % 10 > 3 AS ok FROM events),
+g AS (SELECT symbol, timeframe, max(tm) FILTER (ok) AS ok_at FROM o GROUP BY ALL),
+s AS (SELECT symbol, timeframe, max(seconds) AS seconds, max(tm) AS last_at, any_value(ok_at) AS ok_at, count(*) FILTER (NOT ok AND tm > coalesce(ok_at, -1)) AS failures FROM o JOIN g USING (symbol, timeframe) GROUP BY symbol, timeframe)
+SELECT symbol, timeframe, CAST(last_at AS BIGINT) AS last_at, CAST(ok_at AS BIGINT) AS ok_at, CAST(failures AS BIGINT) AS failures, CAST(CASE WHEN failures = 0 THEN (last_at // seconds + 1) * seconds + 5 ELSE last_at + greatest(300, seconds // 4) END AS BIGINT) AS next_refresh_at FROM s""",
+)
+def str_06(spark, sf_dir):
+    """When each symbol's next refresh is due, kept in a merged table over three batches of outcomes; failures wait."""
+    e, k = B.table(spark, sf_dir, "events"), F.col("event_id") % 3
+    at = B.epoch(F.col("ts"))
+    o = e.select(F.concat_ws("-", "event_type", F.col("user_id") % 40).alias("symbol"), F.when(k == 0, "1h").when(k == 1, "4h").otherwise("1day").alias("timeframe"), F.when(k == 0, 3600).when(k == 1, 14400).otherwise(86400).cast("long").alias("seconds"), at.alias("at"), (F.col("event_id") * 7 % 10 > 3).alias("ok"))
+    first, last = o.agg(F.min("at"), F.max("at")).first()
+    cuts = [first + (last - first) * k // 3 for k in (1, 2)]
+    slices = [F.col("at") < cuts[0], F.col("at").between(cuts[0], cuts[1] - 1), F.col("at") >= cuts[1]]
+    return schedule.refresh_schedule(o, slices).drop("seconds")

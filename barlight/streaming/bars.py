@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlight.sources.bars import epoch
 from barlight.sources.shared import scratch
+from barlight.streaming.schedule import current, merging
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +33,18 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def upserted_bars(stream: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Forming bars too: each micro-batch's partial bars are appended, and the last state of each bar is read back."""
+    """Forming bars too: each micro-batch is merged into a table with a row for each bar."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession)
     bar = (F.floor(epoch(F.col("ts")) / seconds) * seconds).cast("long")
 
-    def put(batch: DataFrame, n: int) -> None:
-        k = F.struct("ts", "event_id")
-        part = batch.groupBy(F.col("event_type").alias("symbol"), bar.alias("time")).agg(F.max(F.struct(k.alias("k"), "value")).alias("last"), F.count(F.lit(1)).alias("volume"))
-        part.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+    def part(batch: DataFrame) -> DataFrame:
+        last = F.struct(F.struct("ts", "event_id").alias("k"), F.col("value").cast("double").alias("value"))
+        return batch.groupBy(F.col("event_type").alias("symbol"), bar.alias("time")).agg(F.max(last).alias("last"), F.count(F.lit(1)).alias("volume"))
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    parts = spark.read.parquet(f"{path}/out")
-    return parts.groupBy("symbol", "time").agg(F.max("last")["value"].alias("close"), F.sum("volume").alias("volume"))
+    def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy("symbol", "time").agg(F.max("last").alias("last"), F.sum("volume").alias("volume"))
+
+    types = {f.name: f.dataType.simpleString() for f in stream.schema}
+    schema = f"symbol string, time long, last struct<k: struct<ts: {types['ts']}, event_id: {types['event_id']}>, value: double>, volume long"
+    stream.writeStream.foreachBatch(merging(f"{path}/bars", schema, part, merged)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return current(spark, f"{path}/bars", schema).select("symbol", "time", F.col("last.value").alias("close"), "volume")
