@@ -426,7 +426,7 @@ def str_09(spark, sf_dir):
     first, last = ticks.agg(F.min(at), F.max(at)).first()
     cuts = [first + (last - first) * k // 4 for k in (1, 2, 3)]
     slices = [at < cuts[0], at.between(cuts[0], cuts[1] - 1), at.between(cuts[1], cuts[2] - 1), at >= cuts[2]]
-    out = machines.in_batches(ticks, slices, idle="3650 days").groupBy("symbol").agg(F.max(F.struct("seen", "ema", "rma", "stop", "up")).alias("m"))
+    out = machines.in_batches(ticks, slices, idle="3650 days", partitions=2 * spark.sparkContext.defaultParallelism).groupBy("symbol").agg(F.max(F.struct("seen", "ema", "rma", "stop", "up")).alias("m"))
     return out.select("symbol", "m.seen", *[(F.round(F.col(f"m.{k}"), 6) + 0.0).alias(k) for k in ("ema", "rma", "stop")], "m.up")
 
 

@@ -60,13 +60,20 @@ def machines(ticks: DataFrame, n: int = 14, factor: float = 2.0, idle: str = "6
     return rows.groupBy("symbol").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def in_batches(ticks: DataFrame, slices: list, n: int = 14, factor: float = 2.0, idle: str = "6 hours", wait: str = "1 hour") -> DataFrame:
+def in_batches(ticks: DataFrame, slices: list, n: int = 14, factor: float = 2.0, idle: str = "6 hours", wait: str = "1 hour", partitions: int | None = None) -> DataFrame:
     """All rows of machines() when ticks arrive in slices (conditions on ticks): each slice is added to the stream's folder and drained
-    by a query that takes up its state where the one before left off."""
+    by a query that takes up its state where the one before left off. partitions: over how many the state is dealt, which holds for
+    the life of a stream; by default the session's number."""
     spark, path = ticks.sparkSession, scratch(ticks.sparkSession)
-    for part in slices:
-        ticks.where(part).write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema(ticks.schema).parquet(f"{path}/in")
-        out = machines(stream, n, factor, idle, wait)
-        out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, partitions or before)
+        for part in slices:
+            ticks.where(part).write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema(ticks.schema).parquet(f"{path}/in")
+            out = machines(stream, n, factor, idle, wait)
+            out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(OUT).parquet(f"{path}/out")
