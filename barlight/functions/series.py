@@ -81,6 +81,13 @@ def linreg(x: Column, n: int, offset: int = 0) -> Column:
     return full(x, n, F.regr_intercept(x, i).over(f) + F.regr_slope(x, i).over(f) * (i - offset))
 
 
+def linreg_of_whole(x: Column, n: int) -> Column:
+    """linreg() of whole numbers, from sums of whole numbers: an end that is exactly 0 is 0, whatever the order of its bars."""
+    f = frame(1 - n, 0)
+    ages = F.col("i") * F.sum(x).over(f) - F.sum(x * F.col("i")).over(f)
+    return full(x, n, ((2 * n - 1) * F.sum(x).over(f) - 3 * ages) * 2 / (n * (n + 1)))
+
+
 def pearson(x: Column, n: int) -> Column:
     """Correlation with the position counted back from the current bar: a rise is negative."""
     f = frame(1 - n, 0)
