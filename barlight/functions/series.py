@@ -180,6 +180,13 @@ def scan(values: Column, step: Callable[[Column, Column, Column], Column], of: s
     return F.aggregate(values, F.array().cast(f"array<{of}>"), lambda out, v: F.concat(out, F.array(step(F.try_element_at(out, F.lit(-1)), v, F.size(out)).cast(of))))
 
 
+def first_from(values: Column, at: Column, ok: Callable[[Column], Column]) -> Column:
+    """The first of an array from a position (counted from 1) on for which ok holds, null without one. Longer and longer stretches are
+    tried, as the next only counts where those before have none."""
+    first = lambda start, n: F.try_element_at(F.filter(F.slice(values, start, n), ok), F.lit(1))
+    return F.coalesce(first(at, F.lit(8)), first(at + 8, F.lit(56)), first(at + 64, F.size(values)))
+
+
 def arrays(bars: DataFrame, **columns: Column) -> DataFrame:
     """A row for each symbol: the columns as arrays in the order of time. Bars must be bounded by latest() before."""
     names = list(columns)

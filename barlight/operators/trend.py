@@ -71,41 +71,45 @@ def states_of(bars: DataFrame, span: int = 8, width: float = 6.0, zone: float =
         at = lambda p: F.struct((v["i"] - span).alias("i"), p.alias("p")).cast(PIVOT)
         return packed(s, h1=F.when(top, s["h2"]).otherwise(s["h1"]), h2=F.when(top, at(v["ph"])).otherwise(s["h2"]), l1=F.when(bottom, s["l2"]).otherwise(s["l1"]), l2=F.when(bottom, at(v["pl"])).otherwise(s["l2"]), fresh_high=top & s["h2"].isNotNull(), fresh_low=bottom & s["l2"].isNotNull())
 
+    def beyond(c: Column, v: Column) -> Column:
+        """Whether a bar lies beyond a channel's lines, which move on by a bar from the one that it was made at."""
+        moved = c["slope"] * (v["i"] - c["created"] + 1)
+        return (v["low"] > c["top"] + moved) | (v["high"] < c["bottom"] + moved)
+
     def opened(s: Column, v: Column, down: bool) -> Column:
         own, other, a, z = ("down", "up", "h1", "h2") if down else ("up", "down", "l1", "l2")
         fresh = s["fresh_high" if down else "fresh_low"]
         right = (s[z]["p"] <= s[a]["p"]) if down else (s[z]["p"] >= s[a]["p"])
         opens = fresh & s[own].isNull() & (s[other].isNull() if wait else F.lit(True)) & right & (v["atr"] * width > 1e-9)
-        new = made(down, v, s[a], s[z])
+        new = _let(made(down, v, s[a], s[z]), lambda c: c.withField("broken", S.first_from(F.col("bars"), v["i"], lambda w: beyond(c, w))["i"]))
         more = {} if show_last else {other: F.when(opens, none).otherwise(s[other])}
-        return packed(s, **{own: F.when(opens, new).otherwise(s[own]), "last": F.when(opens, new).otherwise(s["last"])}, **more)
-
-    def closed(s: Column, v: Column) -> Column:
-        """Channels move on by a bar, and break when it lies beyond their lines."""
+        return _let(F.when(opens, new), lambda c: packed(s, **{own: F.coalesce(c, s[own]), "last": F.coalesce(c, s["last"])}, **more))
 
-        def beyond(c: Column) -> Column:
-            moved = c["slope"] * (v["i"] - c["created"] + 1)
-            return c.isNotNull() & ((v["low"] > c["top"] + moved) | (v["high"] < c["bottom"] + moved))
-
-        ended = lambda c: c.withField("broken", v["i"])
-        keep = lambda c: F.when(beyond(c), none).otherwise(c)
-        last = F.when(beyond(s["up"]), ended(s["up"])).when(beyond(s["down"]), ended(s["down"])).otherwise(s["last"])
-        return F.struct(*[s[k].alias(k) for k in ("h1", "h2", "l1", "l2")], keep(s["down"]).alias("down"), keep(s["up"]).alias("up"), last.alias("last"))
+    def expired(s: Column, at: Column) -> Column:
+        """The state without the channels that broke before a bar; the later of them is the last one, of two at once the rising one."""
+        gone = lambda k: s[k]["broken"] < at
+        later = F.coalesce((s["down"]["broken"] >= at) | (s["up"]["broken"] >= s["down"]["broken"]), F.lit(True))
+        last = F.when(gone("up") & later, s["up"]).when(gone("down"), s["down"]).otherwise(s["last"])
+        return F.struct(*[s[k].alias(k) for k in ("h1", "h2", "l1", "l2")], *[F.when(gone(k), none).otherwise(s[k]).alias(k) for k in ("down", "up")], last.alias("last"))
 
     def step(s: Column, v: Column) -> Column:
-        # Most bars confirm no pivot, and many have no channel to move on.
-        whole = _let(_let(_let(seen(s, v), lambda q: opened(q, v, True)), lambda q: opened(q, v, False)), lambda q: closed(q, v))
-        return F.when(v["ph"].isNull() & v["pl"].isNull(), F.when(s["down"].isNull() & s["up"].isNull(), s).otherwise(closed(s, v))).otherwise(whole)
+        kept = lambda q: F.struct(*[q[k].alias(k) for k in ("h1", "h2", "l1", "l2", "down", "up", "last")])
+        return _let(_let(_let(_let(expired(s, v["i"]), lambda q: seen(q, v)), lambda q: opened(q, v, True)), lambda q: opened(q, v, False)), kept)
 
     start = F.struct(*[no_pivot.alias(k) for k in ("h1", "h2", "l1", "l2")], *[none.alias(k) for k in ("down", "up", "last")])
 
     def latest(s: Column) -> Column:
+        return _let(expired(s, F.lit(2**31 - 1)), shown)
+
+    def shown(s: Column) -> Column:
         still = F.when(s["up"].isNull() | (s["down"]["created"] >= s["up"]["created"]), F.coalesce(s["down"], s["up"])).otherwise(s["up"])
         if not show_last:
             return still
         return F.when(still.isNull() | (s["last"]["created"] > still["created"]), s["last"]).otherwise(still)
 
-    out = rows.where(F.size("bars") >= max(2 * span + 1, 5)).select("symbol", F.size("bars").alias("n"), F.aggregate("bars", start, step, latest).alias("c")).where("c IS NOT NULL")
+    # Only bars that confirm a pivot change the state; where a channel breaks is known when it opens.
+    pivots = F.filter("bars", lambda v: v["ph"].isNotNull() | v["pl"].isNotNull())
+    out = rows.where(F.size("bars") >= max(2 * span + 1, 5)).select("symbol", F.size("bars").alias("n"), F.aggregate(pivots, start, step, latest).alias("c")).where("c IS NOT NULL")
     c = F.col("c")
     end = F.coalesce(c["broken"], F.col("n"))
     moved = c["slope"] * (end - c["created"] + 1)
@@ -161,7 +165,7 @@ def area_rules(rules) -> list[dict]:
 def areas(bars: DataFrame, found: DataFrame, rules, window: int = 1, tolerance: float = 0.0) -> DataFrame:
     """A row for each symbol of found (states_of): passed, whether every rule on an area has held for just its window of bars up to
     the last, and, if it asks for it, was confirmed from the run's first bar on; and age_k, the bars that the k-th active rule has
-    held for. Bars before the channel's first pivot or after its break are not eligible, so a channel that broke before the last bar
+    held for; and the channel's direction and whether it is broken. Bars before the channel's first pivot or after its break are not eligible, so a channel that broke before the last bar
     has no run. If all rules are disabled it passes, without rules it does not."""
     given = area_rules(rules)
     active = [r for r in given if "disabled" not in (r["area"], r.get("action"))]
@@ -178,8 +182,8 @@ def areas(bars: DataFrame, found: DataFrame, rules, window: int = 1, tolerance:
     ages = [channels.age(F.col(f"_a{k}")).alias(f"age_{k}") for k in range(len(active))]
     # The run's first bar, if it has the length asked for, is the one that many bars back.
     oks = [F.max(F.when(F.col("back") == int(r.get("window", window)), F.col(f"_ok{k}"))).alias(f"ok_{k}") if r.get("confirmation") else F.lit(True).alias(f"ok_{k}") for k, r in enumerate(active)]
-    runs = b.groupBy("symbol").agg(*ages, *oks)
+    runs = b.groupBy("symbol").agg(*ages, *oks, F.max(F.col("direction") == "up").alias("_up"), F.max("broken").alias("broken"))
     every = F.lit(True)
     for k, r in enumerate(active):
         every = every & (F.col(f"age_{k}") == int(r.get("window", window))) & F.coalesce(F.col(f"ok_{k}"), F.lit(False))
-    return runs.select("symbol", every.alias("passed"), *[f"age_{k}" for k in range(len(active))])
+    return runs.select("symbol", every.alias("passed"), *[f"age_{k}" for k in range(len(active))], F.when(F.col("_up"), "up").otherwise("down").alias("direction"), "broken")

@@ -317,5 +317,5 @@ def chn_05(spark, sf_dir):
     b = days(spark, sf_dir)
     rules = [{"area": "middle_line", "action": "closed_above"}, {"area": "bottom_zone", "action": "entered", "touch_type": "both", "tolerance": 20.0}, {"area": "top_line", "action": "closed_below", "tolerance": 10.0}, {"area": "top_zone", "action": "breach", "touch_type": "body"}]
     found = trend.states_of(b, 8, mintick=trend.by_price())
-    below = trend.areas(b, found, {"middle_line": "closed_below"}).select("symbol", "passed")
-    return found.select("symbol", "direction", "broken").join(trend.areas(b, found, rules).drop("passed"), "symbol").join(below, "symbol")
+    runs = trend.areas(b, found, [*rules, {"area": "middle_line", "action": "closed_below"}])
+    return runs.select("symbol", "direction", "broken", *[f"age_{k}" for k in range(4)], (F.col("age_4") == 1).alias("passed"))
