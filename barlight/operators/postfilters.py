@@ -90,13 +90,13 @@ def dead(bars: DataFrame, lookback: int = 200, runs: int = 3, bounce: float = 20
     swings = lambda flag, price: F.transform(F.filter(t, lambda z: z[flag]), lambda z: F.struct(z[price].alias("price"), z["recent"].alias("recent")))
 
     def bounced(low_bar: Column) -> Column:
-        later = F.filter(t, lambda z: (z["i"] > low_bar["i"]) & (z["high"] >= low_bar["low"] * (1 + bounce / 100)))
-        return F.struct(low_bar["low"].alias("p"), F.try_element_at(later, F.lit(1))["i"].alias("u"))
+        later = S.first_from(t, low_bar["i"] + 1, lambda z: z["high"] >= low_bar["low"] * (1 + bounce / 100))
+        return F.struct(low_bar["low"].alias("p"), later["i"].alias("u"))
 
     # Each swing low with the first bar that bounced off it; then whether a bar soon after is below the low.
     bounces = F.filter(F.transform(F.filter(t, lambda z: z["swing"] & (z["low"] > 0)), bounced), lambda q: q["u"].isNotNull())
     s = s.withColumns({"bounces": bounces, "tops": _runs(swings("top", "high")), "lows": _runs(swings("swing", "low"))})
-    failed = F.exists("bounces", lambda q: F.exists(t, lambda z: (z["i"] >= q["u"]) & (z["i"] <= q["u"] + window) & (z["low"] < q["p"])))
+    failed = F.exists("bounces", lambda q: F.exists(F.slice(t, q["u"], window + 1), lambda z: z["low"] < q["p"]))
     down = F.col("end") < F.col("start")
     no = lambda c: F.coalesce(c, F.lit(False))
     slow = down & ~F.col("tops.higher") & (F.col("below") >= 0.8)
