@@ -7,6 +7,7 @@ bars add up to the rule's answer is the engine's part (screen.py): any of the la
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -21,10 +22,18 @@ from barlight.operators import channels, indicators, states
 Found = tuple[DataFrame, Column, Column]
 
 
-def _new(bars: DataFrame, make: Callable[[DataFrame], DataFrame], p: str) -> DataFrame:
-    """make(bars) with the columns that it adds named p_..., so that rules of one kind don't clash."""
+def _named(*settings) -> str:
+    """A prefix of columns that is the same for the same settings only; as it ends with a bracket, none begins with another."""
+    return "_" + re.sub(r"\W", lambda m: f"${ord(m[0])}$", repr(settings))
+
+
+def _new(bars: DataFrame, make: Callable[[DataFrame], DataFrame], *settings) -> tuple[DataFrame, str]:
+    """make(bars) with the columns that it adds named q_..., and q. Rules with the same settings share them: series are made once."""
+    q = _named(*settings)
+    if any(c.startswith(f"{q}_") for c in bars.columns):
+        return bars, q
     out = make(bars)
-    return out.withColumnsRenamed({c: f"{p}_{c}" for c in out.columns if c not in bars.columns})
+    return out.withColumnsRenamed({c: f"{q}_{c}" for c in out.columns if c not in bars.columns}), q
 
 
 def _chosen(name: str, of: dict[str, Column]) -> Column:
@@ -48,8 +57,8 @@ def rsi(b: DataFrame, p: str, length=14, location=None, direction=None, toleranc
 
 
 def stochrsi(b: DataFrame, p: str, length=14, smooth=3, rule="oversold") -> Found:
-    b = _new(b, lambda d: indicators.stochastic_rsi(d, length, smooth), p)
-    k, d = F.col(f"{p}_k"), F.col(f"{p}_d")
+    b, q = _new(b, lambda d: indicators.stochastic_rsi(d, length, smooth), "stochrsi", length, smooth)
+    k, d = F.col(f"{q}_k"), F.col(f"{q}_d")
     b = b.withColumns({f"{p}_up": S.crossed_above(k, d), f"{p}_down": S.crossed_above(d, k)})
     return b, _chosen(rule, {"oversold": k <= 20, "overbought": k >= 80, "bullish_cross": F.col(f"{p}_up"), "bearish_cross": F.col(f"{p}_down")}), k
 
@@ -84,8 +93,8 @@ def _price_rule(b: DataFrame, p: str, rule: str, tolerance: float, least: float)
 
 
 def ema_wave(b: DataFrame, p: str, lengths=(5, 25, 50), smooth=4, cutoff=10.0, rule="any_spike") -> Found:
-    b = _new(b, lambda d: indicators.ema_wave(d, lengths, smooth), p)
-    wa, wb, wc = (F.col(f"{p}_w{k}") for k in "abc")
+    b, q = _new(b, lambda d: indicators.ema_wave(d, lengths, smooth), "ema_wave", *lengths, smooth)
+    wa, wb, wc = (F.col(f"{q}_w{k}") for k in "abc")
     one, two = F.coalesce(F.try_divide(wb, wa) > cutoff, F.lit(False)), F.coalesce(F.try_divide(wc, wb) > cutoff, F.lit(False))
     zero = F.lit(0.0)
     b = b.withColumns({f"{p}_up": S.crossed_above(wa, zero), f"{p}_down": S.crossed_above(zero, wa)})
@@ -93,8 +102,8 @@ def ema_wave(b: DataFrame, p: str, lengths=(5, 25, 50), smooth=4, cutoff=10.0, r
 
 
 def macd(b: DataFrame, p: str, fast=12, slow=26, signal=9, rule="above_signal", tolerance=0.0, source="close") -> Found:
-    b = _new(b, lambda d: indicators.macd(d, fast, slow, signal, source), p)
-    m, s = F.col(f"{p}_macd"), F.col(f"{p}_signal")
+    b, q = _new(b, lambda d: indicators.macd(d, fast, slow, signal, source), "macd", fast, slow, signal, source)
+    m, s = F.col(f"{q}_macd"), F.col(f"{q}_signal")
     b = b.withColumn(f"{p}_near", F.greatest(F.abs(m), F.abs(s)) * tolerance / 100)
     near = F.col(f"{p}_near")
     b = b.withColumns({f"{p}_up": (S.back(m) <= S.back(s) + S.back(near)) & (m > s - near), f"{p}_down": (S.back(m) >= S.back(s) - S.back(near)) & (m < s + near), f"{p}_more": m - s > S.back(m - s), f"{p}_less": m - s < S.back(m - s)})
@@ -134,16 +143,15 @@ def wavetrend(b: DataFrame, p: str, clauses=(("zone", "oversold"),), logic="all"
     a name and a line; cross: up, down or any of wt1 over wt2; compare: above or below (wt1 and wt2), above_zero or below_zero, or
     line, sign (<, <=, >, >=, near) and a line or number. condition: a name of WAVE_CONDITIONS instead of clauses, in a zone if one is
     set."""
-    b = _new(b, lambda d: indicators.wavetrend(d, channel, average, signal), p)
-    one, two = F.col(f"{p}_wt1"), F.col(f"{p}_wt2")
-    b = b.withColumn(f"{p}_hist", one - two)
+    b, q = _new(b, lambda d: indicators.wavetrend(d, channel, average, signal).withColumn("hist", F.col("wt1") - F.col("wt2")), "wavetrend", channel, average, signal)
+    one, two = F.col(f"{q}_wt1"), F.col(f"{q}_wt2")
     b = b.withColumns({f"{p}_up": S.crossed_above(one, two), f"{p}_down": S.crossed_above(two, one)})
     up, down = F.col(f"{p}_up"), F.col(f"{p}_down")
     made = 0
 
     def line(name: str) -> Column:
         words = {"green": "wt1", "main": "wt1", "red": "wt2", "signal": "wt2", "histogram": "hist", "area": "hist"}
-        return _chosen(words.get(name, name), {k: F.col(f"{p}_{k}") for k in ("wt1", "wt2", "hist")})
+        return _chosen(words.get(name, name), {k: F.col(f"{q}_{k}") for k in ("wt1", "wt2", "hist")})
 
     def in_zone(name: str, x: Column) -> Column:
         of = {
@@ -183,8 +191,8 @@ def wavetrend(b: DataFrame, p: str, clauses=(("zone", "oversold"),), logic="all"
 def adx(b: DataFrame, p: str, conditions=("bullish",), length=11, threshold=20.0, distance=1.0, bars=3) -> Found:
     """Conditions on the directional lines, all of which must hold. bullish_started and bearish_started: the line has been ahead for
     bars bars at most; ..._active: for so many at least."""
-    b = _new(b, lambda d: indicators.trend_strength(d, length), p)
-    up, down, x = F.col(f"{p}_di_plus"), F.col(f"{p}_di_minus"), F.col(f"{p}_adx")
+    b, q = _new(b, lambda d: indicators.trend_strength(d, length), "adx", length)
+    up, down, x = F.col(f"{q}_di_plus"), F.col(f"{q}_di_minus"), F.col(f"{q}_adx")
     b = b.withColumns({f"{p}_bull": S.crossed_above(up, down), f"{p}_bear": S.crossed_above(down, up), f"{p}_both": S.crossed_above(x, up) & (x > down) | S.crossed_above(x, down) & (x > up), f"{p}_rise": S.direction(x, "rising"), f"{p}_fall": S.direction(x, "falling")})
     state = indicators.trend_state(up - down)
     run = lambda ahead: F.col("i") - F.coalesce(F.max(F.when(~F.coalesce(ahead, F.lit(False)), F.col("i"))).over(S.by().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
@@ -235,12 +243,11 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
     red_first, green_first, blue_first or sequential, bullish (lines that fall through zero) or bearish (that rise through it), and
     within how many bars: by the first crossing of each line in them. preset: a tree by name. within: a number of bars, and a tree
     that holds at any of them. A sign may be "near", within slack."""
-    b = b.withColumn(f"{p}_s", S.source(source))
-    b = b.withColumns({f"{p}_r{k}": S.pearson(F.col(f"{p}_s"), first + step * (k - 1)) for k in (1, 2, 3)})
+    b, q = _new(b, lambda d: d.withColumn("s", S.source(source)).withColumns({f"r{k}": S.pearson(F.col("s"), first + step * (k - 1)) for k in (1, 2, 3)}), "vlr", first, step, source)
     made = 0
 
     def line(name: str) -> Column:
-        return F.col(f"{p}_{LINE_NAMES.get(name, name)}")
+        return F.col(f"{q}_{LINE_NAMES.get(name, name)}")
 
     def stored(c: Column) -> Column:
         """c as a column, as windows can't stand in windows."""
@@ -249,6 +256,15 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
         b = b.withColumn(f"{p}_c{made}", c)
         return F.col(f"{p}_c{made}")
 
+    def shared(make: Callable[[], Column], *what) -> Column:
+        """As stored(), of what rules on the same lines may ask as well."""
+        nonlocal b
+        name = f"{q}{_named(*what)}"
+        if name not in b.columns:
+            c = make()
+            b = b.withColumn(name, c)
+        return F.col(name)
+
     def within(n: int, c: Column) -> Column:
         return F.max(F.coalesce(stored(c), F.lit(False))).over(S.frame(1 - n, 0))
 
@@ -263,15 +279,16 @@ def vlr(b: DataFrame, p: str, tree=("order", "below"), first=12, step=12, source
     def pair(name: str) -> Column:
         if name.endswith("_both"):
             x, way, _ = name.split("_")
-            return stored(beyond_both(x, way))
+            return shared(lambda: beyond_both(x, way), "both", x, way)
         x, y, way = PAIRS[name] if name in PAIRS else _chosen(name, dict.fromkeys([*PAIRS, "red_below_both", "red_above_both"]))
-        return stored(crossed(line(x), line(y), way))
+        return shared(lambda: crossed(line(x), line(y), way), "pair", x, y, way)
 
     def sequence(which: str, way: str, n: int) -> Column:
         at = []
         for name in LINE_NAMES:
-            cross = stored(crossed(line(name), F.lit(0.0), "below" if way == "bullish" else "above"))
-            at.append(stored(F.min(F.when(cross, F.col("i"))).over(S.frame(1 - n, 0))))
+            side = "below" if way == "bullish" else "above"
+            cross = shared(lambda name=name: crossed(line(name), F.lit(0.0), side), "zero", name, side)
+            at.append(shared(lambda cross=cross: F.min(F.when(cross, F.col("i"))).over(S.frame(1 - n, 0)), "first", name, side, n))
         red, green, blue = at
         first = lambda x, *others: x.isNotNull() & reduce(lambda u, v: u & v, [y.isNull() | (x <= y) for y in others])
         of = {"red_first": first(red, green, blue), "green_first": first(green, red, blue), "blue_first": first(blue, red, green), "sequential": (red <= green) & (green <= blue), "any": F.lit(True)}
@@ -335,18 +352,18 @@ def bars_of(tree) -> int:
 
 def volume_spikes(b: DataFrame, p: str, rule="either", length=100, times=1.5, **toggles) -> Found:
     """toggles: extremes, hammers, same_color, session and offset of indicators.volume_spikes."""
-    b = _new(b, lambda d: indicators.volume_spikes(d, length, times, **toggles), p)
-    up, down = F.col(f"{p}_bullish"), F.col(f"{p}_bearish")
+    b, q = _new(b, lambda d: indicators.volume_spikes(d, length, times, **toggles), "volume", length, times, *sorted(toggles.items()))
+    up, down = F.col(f"{q}_bullish"), F.col(f"{q}_bearish")
     words = {"bull": "bullish", "bear": "bearish", "any": "either", "both": "either"}
     return b, _chosen(words.get(rule, rule), {"bullish": up, "bearish": down, "either": up | down}), F.col("volume")
 
 
 def relative_volume(b: DataFrame, p: str, rule="between", low=0.0, high=1e9, average=30, window=1, lines=("ma2",)) -> Found:
     """entry: one of the regression lines named crosses above 0."""
-    b = _new(b, lambda d: indicators.relative_volume(d, average), p)
-    x, v = F.col(f"{p}_rvol"), F.col("volume")
-    b = b.withColumns({f"{p}_up": S.crossed_above(x, F.lit(float(low))), f"{p}_down": S.crossed_above(F.lit(float(low)), x), f"{p}_entry": joined([S.crossed_above(F.col(f"{p}_{m}"), F.lit(0.0)) for m in lines], "any"), f"{p}_top": x >= F.max(x).over(S.frame(1 - max(window, 2), 0)), f"{p}_alert": S.crossed_above(v, F.lit(2e8)), f"{p}_more": v > S.back(v)})
-    return b, _chosen(rule, {"between": x.between(low, high), "above": x >= low, "below": x <= high, "crossed_above": F.col(f"{p}_up"), "crossed_below": F.col(f"{p}_down"), "highest": F.col(f"{p}_top"), "anomaly": v - F.col(f"{p}_ma2") > F.col(f"{p}_sd21"), "entry": F.col(f"{p}_entry"), "volume_alert": F.col(f"{p}_alert"), "increased_volume": F.col(f"{p}_more")}), x
+    b, q = _new(b, lambda d: indicators.relative_volume(d, average), "relative_volume", average)
+    x, v = F.col(f"{q}_rvol"), F.col("volume")
+    b = b.withColumns({f"{p}_up": S.crossed_above(x, F.lit(float(low))), f"{p}_down": S.crossed_above(F.lit(float(low)), x), f"{p}_entry": joined([S.crossed_above(F.col(f"{q}_{m}"), F.lit(0.0)) for m in lines], "any"), f"{p}_top": x >= F.max(x).over(S.frame(1 - max(window, 2), 0)), f"{p}_alert": S.crossed_above(v, F.lit(2e8)), f"{p}_more": v > S.back(v)})
+    return b, _chosen(rule, {"between": x.between(low, high), "above": x >= low, "below": x <= high, "crossed_above": F.col(f"{p}_up"), "crossed_below": F.col(f"{p}_down"), "highest": F.col(f"{p}_top"), "anomaly": v - F.col(f"{q}_ma2") > F.col(f"{q}_sd21"), "entry": F.col(f"{p}_entry"), "volume_alert": F.col(f"{p}_alert"), "increased_volume": F.col(f"{p}_more")}), x
 
 
 def current_volume(b: DataFrame, p: str, rule="above_average", low=0.0, high=1e18, length=30, average="sma") -> Found:
@@ -358,9 +375,9 @@ def current_volume(b: DataFrame, p: str, rule="above_average", low=0.0, high=1e1
 
 
 def volatility(b: DataFrame, p: str, mode="range_avg", low=None, high=None, tolerance=0.0, length=14, returns=20) -> Found:
-    b = _new(b, lambda d: indicators.volatility(d, length, returns), p)
+    b, q = _new(b, lambda d: indicators.volatility(d, length, returns), "volatility", length, returns)
     b = b.withColumn(f"{p}_daily", F.when(F.col("low") != 0, S.true_range() * 100 / F.abs("low")))
-    x = _chosen(mode, {"range_avg": F.col(f"{p}_range_avg"), "returns_std": F.col(f"{p}_realised"), "daily": F.col(f"{p}_daily")})
+    x = _chosen(mode, {"range_avg": F.col(f"{q}_range_avg"), "returns_std": F.col(f"{q}_realised"), "daily": F.col(f"{p}_daily")})
     return b, (F.lit(True) if low is None else x >= low - tolerance) & (F.lit(True) if high is None else x <= high + tolerance) & x.isNotNull(), x
 
 
@@ -377,8 +394,8 @@ def volatility_stop(b: DataFrame, p: str, rule="uptrend", length=20, factor=2.0,
 
 def regression_candles(b: DataFrame, p: str, position=None, close=None, length=11, smooth=11) -> Found:
     """The virtual bar of regression ends against its signal line."""
-    b = _new(b, lambda d: indicators.regression_candles(d, length, smooth), p)
-    o, h, l, c, s = (F.col(f"{p}_{x}") for x in ("bo", "bh", "bl", "bc", "signal"))
+    b, q = _new(b, lambda d: indicators.regression_candles(d, length, smooth), "linreg_candles", length, smooth)
+    o, h, l, c, s = (F.col(f"{q}_{x}") for x in ("bo", "bh", "bl", "bc", "signal"))
     on = (l <= s) & (h >= s)
     b = b.withColumns({f"{p}_was_above": S.back(l > s), f"{p}_was_below": S.back(h < s)})
     where = {"above": l > s, "below": h < s, "on": on, "piercing_from_below": F.col(f"{p}_was_below") & on, "piercing_from_above": F.col(f"{p}_was_above") & on, "any_signal": s.isNotNull()}
@@ -400,8 +417,8 @@ def regression_channel(b: DataFrame, p: str, lines=(("middle", "touch"),), lengt
 
 
 def weighted_channel(b: DataFrame, p: str, lines=(("middle", "touch"),), length=200, width=1.0, kind="sma", tolerance=0.0, tick=None) -> Found:
-    b = _new(b, lambda d: channels.weighted(d, length, width, kind), p)
-    return b, joined([channels.action(f"{p}_{line}", do, tolerance, tick) for line, do in lines], "any"), F.col(f"{p}_middle")
+    b, q = _new(b, lambda d: channels.weighted(d, length, width, kind), "regression", length, width, kind)
+    return b, joined([channels.action(f"{q}_{line}", do, tolerance, tick) for line, do in lines], "any"), F.col(f"{q}_middle")
 
 
 def pattern(b: DataFrame, p: str, names=("hammer",)) -> Found:
