@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlight.sources import bars as B
-from barlight.sources.shared import scratch
 
 #: Days in a folder.
 SPAN = 32
@@ -50,19 +49,19 @@ def put(bars: DataFrame, folder: str) -> None:
     """Merges bars into the store: of bars with the same symbol and time the new one stays. Spans without new bars are not read."""
     spark = bars.sparkSession
     new = _with_span(bars.select(*[c.split()[0] for c in BARS.split(", ")]))
-    fresh = f"{scratch(spark)}/merged"
-    old = stored(spark, folder)
+    old, rest = stored(spark, folder), [c for c in new.columns if c not in ("symbol", "time", "span")]
+    spans = None
     if old is not None:
         spans = [r.span for r in new.select("span").distinct().collect()]  # a number for each folder
-        both = old.where(F.col("span").isin(spans)).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-        rest = [c for c in new.columns if c not in ("symbol", "time", "span")]
-        new = both.groupBy("symbol", "time", "span").agg(F.max_by(F.struct(*rest), "_new").alias("bar")).select("symbol", "time", "bar.*", "span")
-    # One file or few in a folder, whatever the number of tasks.
-    new.repartition("span").write.partitionBy("span").parquet(fresh)
-    merged = spark.read.parquet(fresh)
-    out = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("span")
-    out.parquet(f"{folder}/bars")
-    counts = merged.groupBy("symbol", "span").agg(F.count(F.lit(1)).alias("n"))
+        new = old.where(F.col("span").isin(spans)).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    # One file or few in a folder, whatever the number of tasks; bars meet their later versions on the same exchange.
+    new = new.repartition("span")
+    if old is not None:
+        new = new.groupBy("symbol", "time", "span").agg(*[F.max_by(c, "_new").alias(c) for c in rest])
+    # Folders are replaced when all are written, so those being read may be written.
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("span").parquet(f"{folder}/bars")
+    merged = stored(spark, folder)
+    counts = (merged if spans is None else merged.where(F.col("span").isin(spans))).groupBy("symbol", "span").agg(F.count(F.lit(1)).alias("n"))
     counts.repartition("span").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("span").parquet(f"{folder}/counts")
 
 

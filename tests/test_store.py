@@ -68,3 +68,11 @@ def test_empty_store(spark, tmp_path, unit):
     assert store.stored(spark, folder) is None
     store.put(bars(spark, [100]), folder)
     assert store.latest_of(spark, folder, 5, 1, unit, until=date(2030, 1, 1)).count() == 0
+
+
+def test_bars_are_written_once(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(store, "scratch", lambda _: made.append(1) or f"{tmp_path}/scratch{len(made)}", raising=False)
+    for _ in range(2):
+        store.put(bars(spark, [100, 101]), f"{tmp_path}/store")
+    assert not made and store.stored(spark, f"{tmp_path}/store").count() == 48
