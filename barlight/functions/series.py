@@ -88,6 +88,35 @@ def linreg_of_whole(x: Column, n: int) -> Column:
     return full(x, n, ((2 * n - 1) * F.sum(x).over(f) - 3 * ages) * 2 / (n * (n + 1)))
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once. a has few bits, so that its products with half of b's bits are exact; all have similar magnitudes."""
+    p, k = a * b, b * 134217729.0
+    upper = k - (k - b)
+    rest = (upper * a - p) + (b - upper) * a
+    s = p + c
+    v = s - p
+    return s + ((p - (s - v)) + (c - v) + rest)
+
+
+def linreg_rounded(x: Column, n: int) -> Column:
+    """linreg() of n whole numbers that are all there, with the rest of rounding that DuckDB's regr_intercept + regr_slope * i leaves: running
+    means, oldest bar first, products fused with the sum that follows. For lines whose SQL compares them with a value that they meet."""
+    i, total = F.col("i").cast("double"), F.sum(x).over(frame(1 - n, 0))
+    values = F.array(*[(back(x, k) if k else x).cast("double") for k in range(n - 1, -1, -1)])
+
+    def step(s: Column, y: Column) -> Column:
+        j = s["j"] + 1.0
+        mean = s["mean"] + (y - s["mean"]) / j
+        # Bar j is j / 2 after the mean of the bars before it.
+        return F.struct(j.alias("j"), mean.alias("mean"), _fused(j / 2, y - mean, s["moment"]).alias("moment"))
+
+    def end(s: Column) -> Column:
+        slope = s["moment"] / n / ((n * (n * n - 1) / 12) / n)
+        return _fused(i - (n - 1) / 2, -slope, total / n) + slope * i
+
+    return F.aggregate(values, F.struct(*[F.lit(0.0).alias(k) for k in ("j", "mean", "moment")]), step, end)
+
+
 def pearson(x: Column, n: int) -> Column:
     """Correlation with the position counted back from the current bar: a rise is negative."""
     f = frame(1 - n, 0)

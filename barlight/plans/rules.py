@@ -359,10 +359,10 @@ def volume_spikes(b: DataFrame, p: str, rule="either", length=100, times=1.5, **
 
 
 def relative_volume(b: DataFrame, p: str, rule="between", low=0.0, high=1e9, average=30, window=1, lines=("ma2",)) -> Found:
-    """entry: one of the regression lines named crosses above 0."""
+    """entry: one of the regression lines named crosses above 0; ma4, which can end at exactly 0, by the SQL's rounding."""
     b, q = _new(b, lambda d: indicators.relative_volume(d, average), "relative_volume", average)
     x, v = F.col(f"{q}_rvol"), F.col("volume")
-    b = b.withColumns({f"{p}_up": S.crossed_above(x, F.lit(float(low))), f"{p}_down": S.crossed_above(F.lit(float(low)), x), f"{p}_entry": joined([S.crossed_above(F.col(f"{q}_{m}"), F.lit(0.0)) for m in lines], "any"), f"{p}_top": x >= F.max(x).over(S.frame(1 - max(window, 2), 0)), f"{p}_alert": S.crossed_above(v, F.lit(2e8)), f"{p}_more": v > S.back(v)})
+    b = b.withColumns({f"{p}_up": S.crossed_above(x, F.lit(float(low))), f"{p}_down": S.crossed_above(F.lit(float(low)), x), f"{p}_entry": joined([S.crossed_above(F.col(f"{q}_{'end4' if m == 'ma4' else m}"), F.lit(0.0)) for m in lines], "any"), f"{p}_top": x >= F.max(x).over(S.frame(1 - max(window, 2), 0)), f"{p}_alert": S.crossed_above(v, F.lit(2e8)), f"{p}_more": v > S.back(v)})
     return b, _chosen(rule, {"between": x.between(low, high), "above": x >= low, "below": x <= high, "crossed_above": F.col(f"{p}_up"), "crossed_below": F.col(f"{p}_down"), "highest": F.col(f"{p}_top"), "anomaly": v - F.col(f"{q}_ma2") > F.col(f"{q}_sd21"), "entry": F.col(f"{p}_entry"), "volume_alert": F.col(f"{p}_alert"), "increased_volume": F.col(f"{p}_more")}), x
 
 
